@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from skein.llm import bpe, exact_dedup, mixing, quality, simhash
+from skein.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, secrets, simhash, warc
 
 
 def pipeline(spark, sf_dir):
@@ -12,7 +12,12 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_distribution_divergence": quality.query,
+    "op2_markov_secrets": secrets.query,
+    "op3_warc_salvage": warc.query,
+    "op4_language_mixture": langid.query,
+    "op5_license_scan": licenses.query,
     "op6_bpe": bpe.query,
+    "op7_chat_snapshots": chat.query,
     "op8_simhash": simhash.query,
     "op9_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
@@ -20,6 +25,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc_salvage": warc.SQL,
+    "op7_chat_snapshots": chat.SQL,
     "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
