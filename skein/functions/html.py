@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
 
@@ -78,7 +79,10 @@ def read(html: str, page_url: str) -> dict:
     return {"links": links, "canonical": page.canonical, "base": str(base), "ignored": ignored}
 
 
-SCHEMA = "links array<string>, canonical string, base string, ignored array<struct<reason string, raw string>>"
+_TEXT = T.StringType()
+_IGNORED = T.StructType([T.StructField("reason", _TEXT), T.StructField("raw", _TEXT)])
+#: A type, not its DDL: workers import this module without a session.
+SCHEMA = T.StructType([T.StructField("links", T.ArrayType(_TEXT)), T.StructField("canonical", _TEXT), T.StructField("base", _TEXT), T.StructField("ignored", T.ArrayType(_IGNORED))])
 
 
 @F.pandas_udf(SCHEMA)
