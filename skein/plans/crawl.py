@@ -11,6 +11,7 @@ are those of one worker; ``concurrency`` changes nothing.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,6 +29,8 @@ PAGES = (
 )
 COLUMNS = [c.split()[0] for c in PAGES.split(", ")]
 STATES = ("queued", "fetching", "ok", "skipped", "failed")
+#: Of a live web: the answers to a table of URLs, each asked once.
+Source = Callable[[DataFrame], DataFrame]
 HOP = "array<struct<key string, url string, status int, type string, attempts int>>"
 
 
@@ -62,12 +65,13 @@ def tally(pages: DataFrame, state: str, column: str) -> DataFrame:
     return some.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "name")
 
 
-def _walk(gen: DataFrame, web: DataFrame, config: CrawlConfig, start_origin: str, rules: list, redirects: bool) -> DataFrame:
+def _walk(gen: DataFrame, web: DataFrame | Source, config: CrawlConfig, start_origin: str, rules: list, redirects: bool) -> DataFrame:
     """Follows each row's responses; adds its end and ``hops``, the aliased keys with what was known at each."""
     rows = gen.withColumns({"at": F.col("spelling"), "hops": F.array().cast(HOP), "tried": F.lit(0)})
     done = None
     for hop in range(HOP_LIMIT + 1):
-        got = rows.join(web.withColumnRenamed("url", "at"), "at", "left")
+        answers = web(rows.select(F.col("at").alias("url"))) if callable(web) else web
+        got = rows.join(answers.withColumnRenamed("url", "at"), "at", "left")
         got = got.withColumns({"status_code": F.when(F.col("error_kind").isNull(), F.coalesce("status_code", F.lit(404))).otherwise(F.col("status_code")), "tried": F.col("tried") + F.coalesce("attempts", F.lit(1))})
         status = F.col("status_code")
         html = http.is_html(F.col("content_type"))
@@ -133,12 +137,12 @@ def _settled(ends: DataFrame, cut: DataFrame | None, hashes: DataFrame, config:
             "errorKind": F.when(~met, F.col("errorKind")),
             "errorMessage": F.when(~met, F.col("errorMessage")),
             "skipReason": F.when(met, "duplicate").otherwise(F.col("skipReason")),
-            "aliases": F.transform(F.when(met, F.slice("hops", 1, F.col("met") - 1)).otherwise(F.col("hops")), lambda h: h["key"]),
+            "trail": F.when(met, F.slice("hops", 1, F.col("met") - 1)).otherwise(F.col("hops")),
         }
-    )
+    ).withColumn("aliases", F.transform("trail", lambda h: h["key"]))
     fine = F.col("errorKind").isNull() & F.col("skipReason").isNull()
     sha = F.when(fine & F.lit(config.dedupe_content), F.col("sha"))
-    rows = rows.withColumn("_sha", sha)
+    rows = rows.withColumns({"_sha": sha, "n_links": F.when(fine, F.coalesce(F.size("links"), F.lit(0)))})
     known = hashes.withColumn("_known", F.lit(True))
     rows = rows.join(known, rows["_sha"] == known["known_sha"], "left").drop("known_sha")
     first = F.row_number().over(Window.partitionBy("_sha").orderBy("sequence")) == 1
@@ -183,32 +187,39 @@ def _meets(ends: DataFrame, seen: DataFrame, first: DataFrame | None) -> DataFra
     return met.groupBy("sequence").agg((F.min("n") + 1).cast("int").alias("met"))
 
 
-def crawl(spark: SparkSession, config: CrawlConfig, web: DataFrame, robots_web: dict | None = None) -> CrawlResult:
+def crawl(spark: SparkSession, config: CrawlConfig, web: DataFrame | Source, robots_web: dict | Callable | None = None, stopped: Callable[[], bool] = lambda: False) -> CrawlResult:
     """Crawls a stored web: url, status_code, content_type, location, error_kind, error_message, attempts, byte_length, sha, links (url, key), canonical_url, canonical_key.
 
-    URLs that aren't stored answer 404. robots_web: the responses of robots.txt files by URL.
+    URLs that aren't stored answer 404. A live web is a function from URLs to such rows. robots_web:
+    the responses of robots.txt files by URL, or a function that gets one. stopped: asked before each
+    generation; once it says so, what waits stays queued and the crawl was interrupted.
     """
     started = int(time.time() * 1000)
     start = str(weburl.parse(config.start_url))
     start_key, start_origin = weburl.canonical_key(start), weburl.parse(start).origin
     token = config.user_agent.split("/")[0].split()[0] if config.user_agent.split() else config.user_agent
-    robots = robots_rules.load(start_origin, token, config.respect_robots, (robots_web or {}).get)
-    web = staged(web, "web")
-    redirects = not web.where(F.col("status_code").isin(*http.REDIRECTS)).isEmpty()
+    robots = robots_rules.load(start_origin, token, config.respect_robots, robots_web if callable(robots_web) else (robots_web or {}).get)
+    web = web if callable(web) else staged(web, "web")
+    redirects = callable(web) or not web.where(F.col("status_code").isin(*http.REDIRECTS)).isEmpty()
     queued = spark.createDataFrame([(0, start_key, start, None, 0)], "created_ord bigint, key string, spelling string, discovered_from string, depth int")
-    queued = queued.withColumn("sequence", F.col("created_ord"))
+    queued = queued.withColumns({"sequence": F.col("created_ord"), "parent_sequence": F.lit(-1).cast("bigint")})
     seen = spark.createDataFrame([(start_key, 0)], "claimed string, owner bigint")
     hashes = spark.createDataFrame([], "known_sha string")
     created, sequence, reserved, stop, spent = 1, 1, 1, "completed", robots.attempts
     pages, generations = [], 0
-    shape = [*COLUMNS, "created_ord", "sequence", "reserved"]
+    shape = [*COLUMNS, "created_ord", "sequence", "reserved", "parent_sequence", "trail", "n_links"]
 
     def page(df: DataFrame, **values: Column) -> DataFrame:
-        kinds = dict(x.split() for x in PAGES.split(", ")) | {"created_ord": "bigint", "sequence": "bigint", "reserved": "boolean"}
+        kinds = dict(x.split() for x in PAGES.split(", ")) | {"created_ord": "bigint", "sequence": "bigint", "reserved": "boolean", "parent_sequence": "bigint", "trail": HOP, "n_links": "bigint"}
         own = {"canonicalUrl": F.col("key"), "requestedUrl": F.col("spelling"), "discoveredFrom": F.col("discovered_from"), "attempts": F.lit(0)} | values
         return df.select(*((own.get(c) if c in own else F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in shape))
 
     while not queued.isEmpty():
+        late = config.max_duration_ms is not None and time.time() * 1000 - started >= config.max_duration_ms
+        if late or stopped():
+            stop = "budget" if late else "interrupted"
+            pages.append(page(queued, state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
+            break
         generations += 1
         if robots.outcome == "unavailable":
             pages.append(page(queued, state=F.lit("skipped"), skipReason=F.lit("robots-unavailable"), reserved=F.lit(True)))
@@ -254,10 +265,10 @@ def crawl(spark: SparkSession, config: CrawlConfig, web: DataFrame, robots_web:
         placed = ranked(fresh, ["sequence", "kind", "claimed"], "n", F.col("reason").isNull().cast("int"), "before")
         full = F.col("reason").isNull() & (F.col("before") + reserved >= config.max_pages)
         placed = placed.withColumn("skipReason", F.when(full, "page-limit").otherwise(F.col("reason"))).withColumn("created_ord", F.col("n") + created)
-        placed = staged(placed.withColumnsRenamed({"claimed": "key", "parent": "discovered_from", "sequence": "by"}), "placed")
+        placed = staged(placed.withColumnsRenamed({"claimed": "key", "parent": "discovered_from", "sequence": "parent_sequence"}), "placed")
         pages.append(page(placed.where("skipReason IS NOT NULL"), state=F.lit("skipped"), skipReason=F.col("skipReason"), reserved=F.lit(False), sequence=F.lit(None)))
         queued = ranked(placed.where("skipReason IS NULL").drop("n", "before"), ["created_ord"], "sequence")
-        queued = staged(queued.withColumn("sequence", F.col("sequence") + sequence).select("created_ord", "key", "spelling", "discovered_from", "depth", "sequence"), "queued")
+        queued = staged(queued.withColumn("sequence", F.col("sequence") + sequence).select("created_ord", "key", "spelling", "discovered_from", "depth", "sequence", "parent_sequence"), "queued")
         n, m = placed.count(), queued.count()
         owners = placed.select(F.col("key").alias("claimed")).join(queued.select(F.col("key").alias("claimed"), F.col("sequence").alias("owner")), "claimed", "left").select("claimed", F.coalesce("owner", F.lit(-1)).alias("owner"))
         aliases = rows.select(F.explode("aliases").alias("claimed"), F.col("sequence").alias("owner"))
@@ -269,4 +280,4 @@ def crawl(spark: SparkSession, config: CrawlConfig, web: DataFrame, robots_web:
     summary = [{"origin": start_origin, "statusCode": robots.status, "outcome": robots.outcome, "errorKind": robots.error}]
     result = staged(out, "pages")
     edges = result.where("discoveredFrom IS NOT NULL").select("discoveredFrom", "canonicalUrl", "depth")
-    return CrawlResult(config, result, summary, stop, started, int(time.time() * 1000), edges, generations)
+    return CrawlResult(config, result, summary, stop, started, int(time.time() * 1000), edges, generations, {"robots_attempts": robots.attempts})

@@ -30,7 +30,11 @@ def settle(responses: DataFrame, retry_count: int, base_ms: int, max_bytes: int)
 
 def web(responses: DataFrame, retry_count: int = 2, base_ms: int = 500, max_bytes: int = 1_000_000) -> DataFrame:
     """RESPONSES -> the stored web that the crawl reads: bodies are parsed once, and only links go on."""
-    rows = settle(responses, retry_count, base_ms, max_bytes)
+    return parsed(settle(responses, retry_count, base_ms, max_bytes), max_bytes)
+
+
+def parsed(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """Settled responses with error_kind and attempts -> what the crawl reads."""
     good = F.col("error_kind").isNull() & F.col("status_code").between(200, 299) & http.is_html(F.col("content_type"))
     body = F.when(good, F.coalesce("body", F.lit("")))
     rows = rows.withColumn("page", F.when(good, html.read_html(body, F.col("url"))))
