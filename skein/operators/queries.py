@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from skein.functions import html, http, url
 from skein.operators import politeness, robots
 from skein.plans import crawl as engine
+from skein.plans import trace
 from skein.plans.config import CrawlConfig
 from skein.sources import site
 from skein.sources.staging import ranked
+from skein.streaming import crawl_streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -343,3 +345,14 @@ def q_broken_links(spark, sf_dir):
     return pages.groupBy(F.col("discoveredFrom").alias("parent")).agg(F.count("*").alias("broken"))
 
 
+@query(_SITE + """, c AS (SELECT count(*) AS pages, count(*) FILTER (depth <= 2) AS taken FROM s WHERE depth <= 3)
+SELECT unnest(['crawl-start', 'reserved', 'skipped', 'take', 'robots-check', 'attempt-start', 'links', 'commit', 'crawl-stop']) AS event,
+  CAST(unnest([1, taken, pages - taken, taken, taken, taken + 1, taken, taken, 1]) AS BIGINT) AS n FROM c""")
+def q_trace_events(spark, sf_dir):
+    """Events of a crawl of depth 2: every page was asked once, and robots.txt too."""
+    return trace.events(_crawled(spark, sf_dir, 2)).groupBy("event").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT {_KEY} AS key FROM ({_LINKS})")
+def q_first_seen(spark, sf_dir):
+    return crawl_streams.first_seen(links(_t(spark, sf_dir, "pages"))).select("key")
