@@ -136,6 +136,23 @@ def test_secrets(spark, odd):
     assert secrets.scan(odd).count() == 7
 
 
+def test_secret_models_on_held_out_strings(spark):
+    """Strings that no rule finds, against words and identifiers that the models weren't trained on."""
+    r = random.Random(11)
+    letters = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    secret = ["".join(r.choice(letters[i % 2]) for _ in range(r.randint(28, 44))) for i in range(300)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = sorted({w.strip(".,") for t in docs.where("text IS NOT NULL").limit(400).toPandas().text for w in t.split() if w.isascii() and w.strip(".,").isalpha()})
+    names = ["".join(w.capitalize() for w in r.sample(plain, 5)) for _ in range(150)] + ["_".join(r.sample(plain, 5)).lower() for _ in range(150)]
+    names = [n for n in names if len(n) >= secrets.RUN_LENGTH]
+    rows = spark.createDataFrame([(i, f"see {v} here") for i, v in enumerate(secret + names)], "doc_id bigint, text string")
+    model = secrets.train(secrets.labelled_samples(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    hit = {x.doc_id for x in secrets.spans(rows, model).collect() if x.random or x.access or x.hex or x.assign}
+    recall, false = sum(i in hit for i in range(300)) / 300, sum(i in hit for i in range(300, 300 + len(names))) / len(names)
+    print("recall", recall, "false", false)
+    assert recall >= 0.95 and false <= 0.01
+
+
 def test_running_totals(spark):
     from pyspark.sql import functions as F
 
