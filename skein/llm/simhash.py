@@ -214,7 +214,7 @@ def cross_links(labelled: DataFrame) -> DataFrame:
 
 
 def components_of(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, fp) -> fp, component_id: the smallest doc_id that links lead to."""
+    """rows (doc_id, fp) -> fp, component_id: the smallest doc_id that links lead to, and root: the component's own fingerprint."""
     prints = common.staged(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "prints")
     stars = components(star_links(prints))
     labelled = prints.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"), "first_id")
@@ -223,21 +223,24 @@ def components_of(rows: DataFrame) -> DataFrame:
     joined = labelled.join(roots.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("root", "label").alias("root"), "first_id")
     joined = common.staged(joined, "rooted")
     least = common.staged(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    return common.staged(joined.join(least, "root").select("fp", "component_id"), "components")
+    return common.staged(joined.join(least, "root").select("fp", "component_id", "root"), "components")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keys, fp and component_id of every row."""
+    """doc_id, keys, fp, component_id and root of every row."""
     rows = common.staged(fingerprints(docs), "fingerprints")
-    return rows.join(components_of(rows), "fp").select("doc_id", "fp", "component_id", common.ID_KEY, common.TEXT_KEY)
+    return rows.join(components_of(rows), "fp").select("doc_id", "fp", "component_id", "root", common.ID_KEY, common.TEXT_KEY)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs from each component: that of its smallest doc_id."""
+    """One row of docs from each component: that of its smallest doc_id.
+
+    A component is known by its root, as components may share a doc_id or have none.
+    """
     found = common.staged(near_dedup(docs), "near")
-    # Where rows share that doc_id, the least text key stands for them.
-    keys = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(common.ID_KEY, "component_id")
-    return common.rows_of(docs, keys.agg(F.min(common.TEXT_KEY).alias(common.TEXT_KEY)), distinct=True)
+    # Null doc_ids come last; where rows share that doc_id, the least text key stands for them.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", common.TEXT_KEY, common.ID_KEY)).alias("first")
+    return common.rows_of(docs, found.groupBy("root").agg(first).select("first.*"), distinct=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

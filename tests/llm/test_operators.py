@@ -80,6 +80,14 @@ def test_fingerprints(odd):
     assert simhash.deduplicated(odd).columns == odd.columns
 
 
+def test_near_dedup_keeps_a_row_of_each_component(spark):
+    """Components whose doc_ids are null, or the same, are still different ones."""
+    texts = {i: words(60, 900 + i) for i in range(6)}
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper()), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[3].upper()), (None, texts[4]), (9, texts[4].upper()), (None, None)]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(kept) == 6 and {(r.doc_id, (r.text or "").lower()) for r in kept} == {(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (None, "")}
+
+
 def test_mixing(spark, odd):
     docs = spark.createDataFrame([(i, words(10 + i % 7, i), "en", "abc"[i % 3] if i % 10 else "a", 0, "x", 1) for i in range(600)], DOCS)
     rows = mixing.mix(docs).collect()
