@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import common
+from skein.llm import common, resemblance
 from skein.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -233,11 +233,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs from each component: that of its smallest doc_id.
+    """One row of docs from each group of near copies: that of its smallest doc_id.
 
-    A component is known by its root, as components may share a doc_id or have none.
+    Three bits are too few for texts that are 0.8 alike, so groups are those of the resemblance links.
+    A group is known by its root, as groups may share a doc_id or have none.
     """
-    found = common.staged(near_dedup(docs), "near")
+    found = common.staged(resemblance.near_roots(docs), "near")
     # Null doc_ids come last; where rows share that doc_id, the least text key stands for them.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", common.TEXT_KEY, common.ID_KEY)).alias("first")
     return common.rows_of(docs, found.groupBy("root").agg(first).select("first.*"), distinct=True)

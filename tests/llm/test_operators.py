@@ -80,6 +80,37 @@ def test_fingerprints(odd):
     assert simhash.deduplicated(odd).columns == odd.columns
 
 
+def test_near_stage_against_brute_force(spark):
+    """Five-word Jaccard similarity of 0.8 links, whatever the fingerprints' distance."""
+    r = random.Random(21)
+    texts = [words(80, 300 + i) for i in range(25)]
+    for text in texts[:25]:
+        for edits in (1, 1, 2, 2, 3, 4):
+            w = text.split()
+            for _ in range(edits):
+                w[r.randrange(len(w))] = "new" + str(r.randrange(999))
+            texts.append(" ".join(w))
+    texts += ["", None, "one two", "ONE  two", "one three"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)})
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {x.doc_id for x in simhash.deduplicated(docs).collect()} == {root(i) for i in range(len(texts))}
+
+
 def test_near_dedup_keeps_a_row_of_each_component(spark):
     """Components whose doc_ids are null, or the same, are still different ones."""
     texts = {i: words(60, 900 + i) for i in range(6)}
