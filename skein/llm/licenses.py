@@ -8,8 +8,8 @@ probability 1 - (3/4)^48 > 0.999998; for templates of one shingle, windows are s
 retrieval is certain. A retrieved window is verified by its exact containment of the template's
 shingles, by their words.
 
-Null and empty texts, and texts of fewer than five words, have no shingles and give no rows; a
-text gives one row for each place of each template. Repeated rows repeat their matches. Texts of
+A template of fewer than five words is one shingle of its own length. Null and empty texts have no
+shingles and give no rows; a text gives one row for each place of each template. Repeated rows repeat their matches. Texts of
 any length are worked through in pieces that overlap by a window.
 """
 
@@ -31,6 +31,7 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "All rights reserved": "All rights reserved.",
     "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
     License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
     writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express
@@ -66,14 +67,14 @@ _HASHES = _Hashes()
 _FACTORS = np.random.default_rng(1).integers(1, 1 << 63, (BANDS + SHINGLE,), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles_of(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each run of five words."""
-    n = len(words) - SHINGLE + 1
+def shingles_of(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
+    """A 64-bit hash of each run of width words."""
+    n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     mixed = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
+    for i in range(width):
         mixed += each[i : i + n] * _FACTORS[BANDS + i]
     return mixed ^ (mixed >> np.uint64(29))
 
@@ -82,12 +83,13 @@ class Template:
     def __init__(self, name: str, text: str):
         words = words_of(text)
         self.name = name
-        self.shingles = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
-        if not self.shingles:
-            raise ValueError(f"{name}: a template has {SHINGLE} words at least")
+        if not words:
+            raise ValueError(f"{name}: a template has a word at least")
+        self.width = min(SHINGLE, len(words))
+        self.shingles = {tuple(words[i : i + self.width]) for i in range(len(words) - self.width + 1)}
         self.size = len(self.shingles)
         self.group = 1 << (self.size - 1).bit_length()
-        self.signature = (shingles_of(words)[None, :] * _FACTORS[:BANDS, None]).min(axis=1)
+        self.signature = (shingles_of(words, self.width)[None, :] * _FACTORS[:BANDS, None]).min(axis=1)
 
 
 @lru_cache(maxsize=4)
@@ -109,25 +111,27 @@ def _windows(hashes: np.ndarray, group: int) -> tuple[np.ndarray, int, int]:
 def matches(text: str, known: list[Template]) -> list[tuple[str, int, int, float]]:
     """(template, first word, word after the last, containment), by template and place."""
     words = words_of(text)
-    every = shingles_of(words)
+    every = {width: shingles_of(words, width) for width in {t.width for t in known}}
     found: dict[str, list[tuple[int, int, float]]] = {}
     largest = max(t.group for t in known)
     jump = max(PIECE, 2 * largest)
-    for lo in range(0, len(every), jump):
-        piece = every[lo : lo + jump + 2 * largest]
-        for group in sorted({t.group for t in known}):
+    for lo in range(0, len(words), jump):
+        for group, width in sorted({(t.group, t.width) for t in known}):
+            piece = every[width][lo : lo + jump + 2 * largest]
+            if not len(piece):
+                continue
             hashes, step, length = _windows(piece, group)
-            for t in (t for t in known if t.group == group):
+            for t in (t for t in known if (t.group, t.width) == (group, width)):
                 met = (hashes == t.signature[: len(hashes), None]).any(axis=0)
                 for w in np.flatnonzero(met):
                     at = lo + int(w) * step
                     here = {}
-                    for i in range(at, min(at + length, len(every))):
-                        s = tuple(words[i : i + SHINGLE])
+                    for i in range(at, min(at + length, len(every[width]))):
+                        s = tuple(words[i : i + width])
                         if s in t.shingles:
                             here.setdefault(s, i)
                     if len(here) >= CONTAINMENT * t.size:
-                        found.setdefault(t.name, []).append((min(here.values()), max(here.values()) + SHINGLE, len(here) / t.size))
+                        found.setdefault(t.name, []).append((min(here.values()), max(here.values()) + width, len(here) / t.size))
     out = []
     for name in sorted(found):
         last = -1

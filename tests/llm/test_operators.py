@@ -247,6 +247,14 @@ def test_licenses(odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_short_license_templates():
+    known = licenses.templates(tuple(licenses.TEMPLATES.items()))
+    for text, first in (("All rights reserved.", 0), (words(30, 1) + " (c) Someone. ALL RIGHTS RESERVED, " + words(9000, 2), 32)):
+        assert ("All rights reserved", first, first + 3, 1.0) in licenses.matches(text, known)
+    assert licenses.matches("all rights", known) == [] == licenses.matches("all the rights reserved", known)
+    assert [m[1] for m in licenses.matches("one two one two", licenses.templates((("x", "one two"),)))] == [0, 2]
+
+
 def test_chat_snapshots(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 5, None, None), (None, 0, "user", "hi"), (5, 0, "user", "a"), (5, 3000, "user", "b"), (5, 3000, "user", "b")]
     got = {(r.conv_id, r.part): (r.n_turns, r.text) for r in chat.render(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
