@@ -5,8 +5,10 @@ shingles, each class C a power of two. For a class, windows of 3C/2 shingles beg
 that one of them holds any run of C shingles whole. A window that contains 0.8 of a template has a
 Jaccard similarity of 1/4 at least to it, so with 48 bands of one MinHash each it is retrieved with
 probability 1 - (3/4)^48 > 0.999998; for templates of one shingle, windows are single shingles and
-retrieval is certain. A retrieved window is verified by its exact containment of the template's
-shingles, by their words.
+retrieval is certain. Retrieved windows are only candidates: the words in and around them, merged,
+are searched for the template's shingles, by their words. Where these stand is cut into successive
+places: runs in the template's order that hold 0.8 of it first, then what is left between those, so that
+moved or repeated passages count as well. A place may have C other shingles between two of its own.
 
 A template of fewer than five words is one shingle of its own length. Null and empty texts have no
 shingles and give no rows; a text gives one row for each place of each template. Repeated rows repeat their matches. Texts of
@@ -86,7 +88,10 @@ class Template:
         if not words:
             raise ValueError(f"{name}: a template has a word at least")
         self.width = min(SHINGLE, len(words))
-        self.shingles = {tuple(words[i : i + self.width]) for i in range(len(words) - self.width + 1)}
+        #: Where each shingle stands in the template.
+        self.shingles: dict[tuple, list[int]] = {}
+        for i in range(len(words) - self.width + 1):
+            self.shingles.setdefault(tuple(words[i : i + self.width]), []).append(i)
         self.size = len(self.shingles)
         self.group = 1 << (self.size - 1).bit_length()
         self.signature = (shingles_of(words, self.width)[None, :] * _FACTORS[:BANDS, None]).min(axis=1)
@@ -108,11 +113,62 @@ def _windows(hashes: np.ndarray, group: int) -> tuple[np.ndarray, int, int]:
     return np.minimum(np.minimum(blocks[:, :-2], blocks[:, 1:-1]), blocks[:, 2:]), step, 3 * step
 
 
+def _places(hits: list[tuple[int, tuple]], t: Template) -> list[tuple[int, int, float]]:
+    """Successive places of a template: first word, word after the last, containment; hits are (word, shingle)."""
+    need = CONTAINMENT * t.size
+
+    def place(some):
+        return some[0][0], some[-1][0] + t.width, len({s for _, s in some}) / t.size
+
+    def anyhow(some):
+        """Places in any order: the earliest end, the latest start of it, then what is new behind it."""
+        out, lo, k, counts = [], 0, 0, {}
+        while k < len(some):
+            counts[some[k][1]] = counts.get(some[k][1], 0) + 1
+            k += 1
+            if len(counts) < need:
+                continue
+            while counts[some[lo][1]] > 1:
+                counts[some[lo][1]] -= 1
+                lo += 1
+            while k < len(some) and some[k][1] not in counts:
+                counts[some[k][1]] = 1
+                k += 1
+            out.append(place(some[lo:k]))
+            lo, counts = k, {}
+        return out
+
+    def apart(some):
+        cut = [0, *(i for i in range(1, len(some)) if some[i][0] - some[i - 1][0] > t.group + t.width), len(some)]
+        return [some[i:j] for i, j in zip(cut, cut[1:]) if i < j]
+
+    out = []
+    for near in apart(hits):
+        left, run, last = [], [], -1
+        for hit in [*near, None]:
+            later = [i for i in t.shingles[hit[1]] if i > last] if hit else []
+            if run and not later:
+                if len({s for _, s in run}) >= need:
+                    for some in apart(left):
+                        out += anyhow(some)
+                    out.append(place(run))
+                    left = []
+                else:
+                    left += run
+                run = []
+            if hit:
+                run.append(hit)
+                last = later[0] if later else t.shingles[hit[1]][0]
+        for some in apart(left):
+            out += anyhow(some)
+    return out
+
+
 def matches(text: str, known: list[Template]) -> list[tuple[str, int, int, float]]:
     """(template, first word, word after the last, containment), by template and place."""
     words = words_of(text)
     every = {width: shingles_of(words, width) for width in {t.width for t in known}}
-    found: dict[str, list[tuple[int, int, float]]] = {}
+    met: dict[str, list[tuple[int, int]]] = {}
     largest = max(t.group for t in known)
     jump = max(PIECE, 2 * largest)
     for lo in range(0, len(words), jump):
@@ -122,30 +178,20 @@ def matches(text: str, known: list[Template]) -> list[tuple[str, int, int, float
                 continue
             hashes, step, length = _windows(piece, group)
             for t in (t for t in known if (t.group, t.width) == (group, width)):
-                met = (hashes == t.signature[: len(hashes), None]).any(axis=0)
-                for w in np.flatnonzero(met):
+                for w in np.flatnonzero((hashes == t.signature[: len(hashes), None]).any(axis=0)):
                     at = lo + int(w) * step
-                    here = {}
-                    for i in range(at, min(at + length, len(every[width]))):
-                        s = tuple(words[i : i + width])
-                        if s in t.shingles:
-                            here.setdefault(s, i)
-                    if len(here) >= CONTAINMENT * t.size:
-                        found.setdefault(t.name, []).append((min(here.values()), max(here.values()) + width, len(here) / t.size))
+                    around = 0 if group == 1 else length
+                    met.setdefault(t.name, []).append((at - around, at + length + around))
     out = []
-    for name in sorted(found):
-        last = -1
-        # Windows overlap: of places that do, the fullest stays, then the first.
-        kept: list[tuple[int, int, float]] = []
-        for place in sorted(set(found[name]), key=lambda p: (p[0], -p[2], p[1])):
-            if place[0] < last:
-                if place[2] > kept[-1][2]:
-                    kept[-1] = place
-                    last = place[1]
-                continue
-            kept.append(place)
-            last = place[1]
-        out += [(name, *p) for p in kept]
+    for t in sorted((t for t in known if t.name in met), key=lambda t: t.name):
+        hits, done = [], 0
+        for start, stop in sorted(met[t.name]):
+            for i in range(max(start, done), min(stop, len(every[t.width]))):
+                s = tuple(words[i : i + t.width])
+                if s in t.shingles:
+                    hits.append((i, s))
+            done = max(done, stop)
+        out += [(t.name, *p) for p in _places(hits, t)]
     return out
 
 

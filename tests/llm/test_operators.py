@@ -247,6 +247,27 @@ def test_licenses(odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_each_place_of_a_license():
+    known = licenses.templates(tuple(licenses.TEMPLATES.items()))
+    for name in ("Apache-2.0 header", "MIT grant", "GPL-3.0 header", "MIT"):
+        text = licenses.TEMPLATES[name]
+        n = len(text.split())
+        for gap in (0, 15):
+            for offset in range(0, 128, 5):
+                w = words(offset, 1).split()
+                want = []
+                for copy in range(4):
+                    want.append((name, len(w), len(w) + n, 1.0))
+                    w += text.split() + words(gap, 50 + copy).split()
+                assert [m for m in licenses.matches(" ".join(w), known) if m[0] == name] == want
+    w = licenses.TEMPLATES["MIT grant"].split()
+    for offset in range(0, 128, 5):
+        torn = " ".join([words(offset, 1), *w[:30], words(40, 2), *w[30:], words(50, 3)])
+        assert [m[1:3] for m in licenses.matches(torn, known) if m[0] == "MIT grant"] == [(offset, offset + len(w) + 40)]
+        moved = " ".join([words(offset, 1), *w[30:], *w[:30]])
+        assert len([m for m in licenses.matches(moved, known) if m[0] == "MIT grant"]) == 1
+
+
 def test_short_license_templates():
     known = licenses.templates(tuple(licenses.TEMPLATES.items()))
     for text, first in (("All rights reserved.", 0), (words(30, 1) + " (c) Someone. ALL RIGHTS RESERVED, " + words(9000, 2), 32)):
