@@ -4,7 +4,7 @@ Everything runs in DataFrame expressions. The fixed rules find assignments, acce
 hex runs. The method then looks at every long run of token characters: two first-order Markov
 models over 64 character classes, one of random strings and one of ordinary identifiers, give a
 log-likelihood ratio, and runs that look random by a margin are secrets too unless they overlap a
-fixed span. The models are bigram counts of labelled samples: random are strings that the fixed
+fixed span; so are the long parts, between '/', '_' and '-', of runs that don't. The models are bigram counts of labelled samples: random are strings that the fixed
 rules find and generated ones, identifiers are the other words of the sampled documents.
 
 Spans are kind:start:end in code points, end exclusive. Null and empty texts have none. Repeated
@@ -29,8 +29,10 @@ ASSIGN_LETTERS = 12
 KINDS = ("assign", "access", "hex", "random")
 
 #: A candidate of the method: a run of token characters that is as long as this.
-RUN_LENGTH = 20
+RUN_LENGTH = 16
 RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{RUN_LENGTH},}}"
+#: Also a part of a run between '/', '_' and '-', as words beside a secret would dilute it.
+PART = rf"(?<![A-Za-z0-9+])[A-Za-z0-9+]{{{RUN_LENGTH},}}"
 #: Log-likelihood ratio in nats a character, and in all, from which a run counts as random.
 MARGIN_EACH, MARGIN = 0.5, 12.0
 #: Documents (about) whose words train the models, those of the smallest hashes, and generated strings.
@@ -135,7 +137,7 @@ def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """doc_id and, of every row, an array of spans for each kind: structs of start and end."""
     rows = docs.select("doc_id", common.text_or_empty().alias("text"))
     empty = F.array().cast("array<string>")
-    for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", RUN)):
+    for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", RUN), ("part", PART)):
         there = F.col("text").rlike(pattern)
         rows = rows.withColumn(f"{kind}_m", F.when(there, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(empty))
         # The piece after the last match has no match behind it.
@@ -143,11 +145,11 @@ def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
         rows = rows.withColumn(f"{kind}_b", F.transform(before, lambda x: F.char_length(x)))
     group = F.when(F.size("assign_m") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).otherwise(empty)
     rows = rows.withColumn("assign_v", F.transform(group, lambda v: F.char_length(v))).drop("text")
-    for kind in KINDS:
+    for kind in (*KINDS, "part"):
         sizes = F.zip_with(f"{kind}_b", f"{kind}_m", lambda b, m: b + F.char_length(m))
         rows = rows.withColumn(f"{kind}_e", F.when(F.size(f"{kind}_m") > 0, running_totals(sizes)).otherwise(F.array().cast("array<int>")))
     place = lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("m"))
-    for kind in KINDS:
+    for kind in (*KINDS, "part"):
         rows = rows.withColumn(kind, F.zip_with(f"{kind}_e", f"{kind}_m", place))
     long = F.zip_with("assign", "assign_v", lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("v")))
     rows = rows.withColumn("assign", F.filter(long, lambda s: s["v"] >= ASSIGN_LETTERS))
@@ -156,11 +158,16 @@ def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     score = lambda m: F.aggregate(bigrams(m), F.lit(0.0), lambda s, p: s + F.element_at(table, p + 1))
     fixed = F.concat(*(F.transform(k, bare) for k in KINDS[:3]))
-    scored = F.transform("random", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.char_length(s["m"]).alias("n"), score(s["m"]).alias("score"), F.size(F.array_distinct(F.split(s["m"], ""))).alias("letters")))
-    likely = F.filter(scored, lambda s: (s["score"] >= MARGIN) & (s["score"] >= MARGIN_EACH * s["n"]) & (s["letters"] >= DIFFERENT))
-    rows = rows.withColumn("fixed", fixed).withColumn("random", likely)
-    apart = F.filter("random", lambda s: ~F.exists("fixed", lambda f: (f["start"] < s["end"]) & (s["start"] < f["end"])))
-    return rows.select("doc_id", *(F.transform(k, bare).alias(k) for k in KINDS[:3]), F.transform(apart, bare).alias("random"))
+
+    def likely(kind: str) -> Column:
+        scored = F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.char_length(s["m"]).alias("n"), score(s["m"]).alias("score"), F.size(F.array_distinct(F.split(s["m"], ""))).alias("letters")))
+        return F.filter(scored, lambda s: (s["score"] >= MARGIN) & (s["score"] >= MARGIN_EACH * s["n"]) & (s["letters"] >= DIFFERENT))
+
+    rows = rows.withColumn("fixed", fixed).withColumn("random", likely("random")).withColumn("part", likely("part"))
+    clear = lambda kind, of: F.filter(kind, lambda s: ~F.exists(of, lambda f: (f["start"] < s["end"]) & (s["start"] < f["end"])))
+    rows = rows.withColumn("random", clear("random", "fixed")).withColumn("part", clear("part", "fixed"))
+    apart = F.array_sort(F.concat(F.transform("random", bare), F.transform(clear("part", "random"), bare)))
+    return rows.select("doc_id", *(F.transform(k, bare).alias(k) for k in KINDS[:3]), apart.alias("random"))
 
 
 def _joined(kinds) -> Column:

@@ -192,6 +192,31 @@ def test_secret_models_on_held_out_strings(spark):
     assert recall >= 0.95 and false <= 0.01
 
 
+def test_secrets_in_paths_and_short_ones(spark):
+    """Strings of 16 characters and more, alone and behind words of a path, against such paths alone."""
+    r = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = sorted({w.strip(".,").lower() for t in docs.where("text IS NOT NULL").limit(400).toPandas().text for w in t.split() if w.isascii() and w.strip(".,").isalpha()})
+    path = lambda n, sign: sign.join(r.choice(plain) for _ in range(n))
+    cases = [(n, k, sign) for n in (16, 19, 24, 32, 40) for k, sign in ((0, ""), (3, "/"), (6, "/"), (8, "_"), (8, "-"))]
+    texts, kind = [], []
+    for case in cases:
+        for _ in range(60):
+            key = "".join(r.choice(letters) for _ in range(case[0]))
+            texts.append((f"see {path(case[1], case[2])}{case[2]}{key} here", key))
+            kind.append(case)
+    texts += [(f"see {path(8, r.choice('/_-'))} here", None) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    model = secrets.train(secrets.labelled_samples(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    spans = {x.doc_id: [*x.random, *x.hex, *x.access, *x.assign] for x in secrets.spans(rows, model).collect()}
+    hit = {i for i, (t, key) in enumerate(texts) if key and any(key in t[s.start : s.end] for s in spans[i])}
+    recall = {c: sum(i in hit for i, k in enumerate(kind) if k == c) / 60 for c in cases}
+    print(recall, "false", sum(bool(spans[i]) for i in range(len(kind), len(texts))) / 300)
+    assert min(recall.values()) >= 0.9
+    assert sum(bool(spans[i]) for i in range(len(kind), len(texts))) <= 3
+
+
 def test_running_totals(spark):
     from pyspark.sql import functions as F
 
