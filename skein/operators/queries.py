@@ -323,7 +323,17 @@ def q_csv_lines(spark, sf_dir):
 
 @query("SELECT page_id, '[trace] take url=' || url || ' depth=' || (page_id % 3) || ' sequence=' || page_id AS line FROM pages WHERE regexp_matches(url, '^[A-Za-z0-9._:/-]+$')")
 def q_trace_lines(spark, sf_dir):
-    rows = _t(spark, sf_dir, "pages").where(F.col("url").rlike(r"\A[A-Za-z0-9._:/-]+\z"))
+    """The lines of URLs that need no quotes, which is what the SQL has."""
+    return _trace_lines(_t(spark, sf_dir, "pages").where(F.col("url").rlike(r"\A[A-Za-z0-9._:/-]+\z")))
+
+
+@query()
+def q_trace_lines_all(spark, sf_dir):
+    """The lines of all pages; a test compares with a brute-force version."""
+    return _trace_lines(_t(spark, sf_dir, "pages"))
+
+
+def _trace_lines(rows):
     return rows.select("page_id", http.trace_line("take", url=F.col("url"), depth=F.col("page_id") % 3, sequence=F.col("page_id"), reason=F.lit(None).cast("string")).alias("line"))
 
 
