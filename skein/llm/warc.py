@@ -115,37 +115,70 @@ def parse_record(data: bytes, at: int, check: bool = True) -> tuple[dict, int]:
     return out, stop + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member that begins at ``at``, and where it ends."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What inflates of the gzip member that begins at ``at``, where reading ended, and what went wrong."""
     unzip = zlib.decompressobj(31)
+    # Members are short against an archive: feed pieces, not all that follows.
+    parts, step, to = [], 1 << 16, at
     try:
-        # Members are short against an archive: feed pieces, not all that follows.
-        parts, step, to = [], 1 << 16, at
         while not unzip.eof and to < len(data):
             parts.append(unzip.decompress(data[to : to + step]))
             to += step
     except zlib.error as e:
-        raise Broken(f"gzip: {e}") from None
+        # The piece that failed is fed again, byte by byte, for what came before the error.
+        unzip, parts, bad = zlib.decompressobj(31), [], to
+        try:
+            if bad > at:
+                parts.append(unzip.decompress(data[at:bad]))
+            for to in range(bad, len(data)):
+                parts.append(unzip.decompress(data[to : to + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), to, f"gzip: {e}"
+    to = min(to, len(data))
     if not unzip.eof:
-        raise Broken("gzip: the member does not end")
-    return b"".join(parts), min(to, len(data)) - len(unzip.unused_data)
+        return b"".join(parts), to, "gzip: the member does not end"
+    return b"".join(parts), to - len(unzip.unused_data), ""
+
+
+def _inside(plain: bytes) -> tuple[list[dict], str]:
+    """The records of a member's inflated bytes that pass, and the reason of the first that doesn't."""
+    found, reason, at = [], "", 0
+    while at < len(plain):
+        try:
+            one, at = parse_record(plain, at)
+            found.append(one)
+        except Broken as e:
+            reason = reason or str(e)
+            line = _VERSION_LINE.search(plain, at + 1)
+            at = line.start() if line else len(plain)
+    return found, reason
 
 
 def salvage(data: bytes):
-    """Yields (offset, record or None, end, reason): the records that pass, and the gaps between them."""
+    """Yields (offset, record or None, end, reason): the records that pass, and the gaps between them.
+
+    A member of which only some records pass yields those, and a gap with the member's own offsets; one
+    that doesn't inflate to its end yields the records that are whole before the error, then a gap.
+    """
     at, gap, reason = 0, None, ""
     while at < len(data):
+        found, inner = [], ""
         try:
             if data.startswith(MEMBER, at):
-                plain, end = _inflate(data, at)
-                found, inner = [], 0
-                while inner < len(plain):
-                    one, inner = parse_record(plain, inner)
-                    found.append(one)
+                plain, end, error = _inflate(data, at)
+                found, inner = _inside(plain)
+                if error or (inner and not found):
+                    raise Broken(error or inner)
             else:
                 one, end = parse_record(data, at)
                 found = [one]
         except Broken as e:
+            if found and gap is not None:
+                yield gap, None, at, reason
+                gap = None
+            for one in found:
+                yield at, one, end, ""
             if gap is None:
                 gap, reason = at, str(e)
             # The next place at which either kind of record can begin.
@@ -158,6 +191,8 @@ def salvage(data: bytes):
             gap = None
         for one in found:
             yield at, one, end, ""
+        if inner:
+            yield at, None, end, inner
         at = end
     if gap is not None:
         yield gap, None, len(data), reason

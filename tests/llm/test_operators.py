@@ -239,6 +239,35 @@ def test_warc_salvage():
         assert [one is None for _, one, _, _ in warc.salvage(whole[:-20])].count(True) == 1
 
 
+def test_warc_salvage_inside_a_member():
+    bodies = [np.random.default_rng(i).bytes(3000).hex().encode() for i in range(6)]
+    records = [warc.record(i, f"http://e.com/{i}", b, warc.digest(b), None) for i, b in enumerate(bodies)]
+    other = warc.member(warc.record(6, "u", b"x", warc.digest(b"x"), None))
+    ids = lambda whole: [one["fields"]["page-id"] for _, one, _, _ in warc.salvage(whole) if one]
+    gaps = lambda whole: [(a, b) for a, one, b, _ in warc.salvage(whole) if one is None]
+    changed = records[2][:-20] + b"!" + records[2][-19:]
+    longer = records[2].replace(b"Content-Length: 6", b"Content-Length: 7", 1)
+    for bad in (changed, longer):
+        whole = warc.member(b"".join([*records[:2], bad, *records[3:]]))
+        assert ids(whole + other) == list("013456") and gaps(whole + other) == [(0, gzip_end(whole))]
+    whole = warc.member(b"".join(records))
+    assert ids(whole) == list("012345") and gaps(whole) == []
+    cut = whole[: len(whole) * 7 // 12]
+    assert ids(cut + other) == list("0126") and len(gaps(cut + other)) == 1
+    end = gzip_end(whole)
+    crc = bytearray(whole)
+    crc[end - 8] ^= 0xFF
+    assert ids(bytes(crc) + other) == list("0123456") and len(gaps(bytes(crc) + other)) == 1
+
+
+def gzip_end(data):
+    import zlib
+
+    unzip = zlib.decompressobj(31)
+    unzip.decompress(data)
+    return len(data) - len(unzip.unused_data)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://e.com/a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://e.com/c\r\nX: y", None), (4, "u", LONG), (None, "n", "<p>x</p>")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, owner int")
