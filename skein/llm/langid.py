@@ -132,7 +132,7 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], ["lang", "slot", "n"])
 
 
-#: More languages than this can't be learned: the model's size is bounded.
+#: More languages than this can't be learned, as the model's size is bounded: a table of more is refused.
 MOST_LANGS = 256
 
 
@@ -144,7 +144,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """
     common.small_batches(docs.sparkSession)
     known = docs.where(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang; none is left out silently")
     if not counts:
         return Model([], np.zeros((SLOTS, 0), np.float32))
     share = F.lit(0)

@@ -291,6 +291,12 @@ def test_language_mixture(spark):
     assert langid.predict(docs, langid.train(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_are_not_left_out(spark):
+    docs = spark.createDataFrame([(10 * i + k, "some words here", f"l{i}") for i in range(langid.MOST_LANGS + 1) for k in range(8)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="values of lang"):
+        langid.train(docs)
+
+
 def test_licenses(odd):
     known = licenses.templates(tuple(licenses.TEMPLATES.items()))
     r = random.Random(4)
