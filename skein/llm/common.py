@@ -1,87 +1,28 @@
-"""What the corpus operators share: staging tables, row keys, batch limits."""
+"""What the corpus operators share: row keys, Arrow batches, words."""
 
 from __future__ import annotations
 
-import atexit
-import io
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.shipping import ship  # noqa: F401
+from skein.sources.staging import arrow_batches, running, scratch, shared_path, staged  # noqa: F401
+
 #: The white space of every word definition here: space and U+0009 to U+000D.
 SPACE = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
-#: Names no input column is expected to have.
+#: Names of the keys; rows of the input stand beside them as a struct.
 ID_KEY, TEXT_KEY = "__skein_id", "__skein_text"
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a temporary folder serves, but in local mode only.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if master not in _LOCAL:
-        _LOCAL[master] = tempfile.mkdtemp(prefix="skein-")
-        atexit.register(shutil.rmtree, _LOCAL[master], ignore_errors=True)
-    return _LOCAL[master]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it again.
-
-    It cuts the lineage: a lost executor costs a read of this table, not the work behind it.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows and bytes, so that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, as their workers import it."""
-    context = spark.sparkContext
-    if getattr(context, "_skein_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    if not os.path.isdir(root / "skein"):  # imported from an archive that was shipped already
-        return
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as archive:
-        for path in sorted((root / "skein").rglob("*.py")):
-            archive.write(path, path.relative_to(root))
-    folder = tempfile.mkdtemp(prefix="skein-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    Path(folder, "skein_code.zip").write_bytes(buffer.getvalue())
-    context.addPyFile(f"{folder}/skein_code.zip")
-    context._skein_shipped = True
+def mapped(rows: DataFrame, function, schema: str, name: str, batch_rows: int = 500) -> DataFrame:
+    """rows.mapInArrow(function, schema), staged, in small batches."""
+    with arrow_batches(rows.sparkSession, batch_rows):
+        return staged(rows.mapInArrow(function, schema), name)
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -97,13 +38,17 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The keys of each row, and the whole row as one struct, so that no name of docs can clash."""
+    return docs.select(id_key().alias(ID_KEY), text_key().alias(TEXT_KEY), F.struct("*").alias("row"))
+
+
 def rows_of(docs: DataFrame, keys: DataFrame, distinct: bool) -> DataFrame:
     """The rows of docs whose (ID_KEY, TEXT_KEY) is in keys, with the columns of docs.
 
     distinct: of rows equal in both, one stays. Both steps use one exchange of docs.
     """
-    marked = docs.withColumns({ID_KEY: id_key(), TEXT_KEY: text_key()})
-    out = marked.join(keys.select(ID_KEY, TEXT_KEY), [ID_KEY, TEXT_KEY], "left_semi")
+    out = keyed(docs).join(keys.select(ID_KEY, TEXT_KEY), [ID_KEY, TEXT_KEY], "left_semi")
     if distinct:
         out = out.dropDuplicates([ID_KEY, TEXT_KEY])
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select("row.*")

@@ -23,20 +23,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Loops and repeated edges change nothing; no edges give no rows.
     """
     low, high = F.least(a, b), F.greatest(a, b)
-    edges = common.staged(edges.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct(), "edges")
-    seen = _print(edges)
-    while seen[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "minima")
-        # large star: neighbours above u point to u's minimum.
-        large = common.staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        # small star: u and its neighbours below it point to the least of them.
-        least = common.staged(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
-        below = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.staged(below.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _print(edges)
-        if now == seen:
-            break
-        seen = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return common.staged(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "roots")
+    with common.scratch() as keep:
+        edges = common.staged(edges.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct(), "edges")
+        seen = _print(edges)
+        while seen[0]:
+            with common.scratch() as keep_edges:
+                edges = keep_edges(_round(edges), "edges")
+            now = _print(edges)
+            if now == seen:
+                break
+            seen = now
+        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        return keep(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "roots")
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = common.staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "minima")
+    # large star: neighbours above u point to u's minimum.
+    large = common.staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    # small star: u and its neighbours below it point to the least of them.
+    least = common.staged(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+    below = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return below.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -16,8 +16,9 @@ Copies collapse to one distinct fingerprint first. A bucket of many fingerprints
 other is first joined to its most copied member only, which is linear; the exact search then asks
 just for links between what is still apart, so its output doesn't grow with a group's square.
 
-Null texts and texts without words have fingerprint zero and link like any other. Null doc_ids
-count as largest. Repeated rows share their fingerprint. An empty table gives an empty result.
+Null texts and texts without words have fingerprint zero and link like any other; texts of any
+length are read whole. Null doc_ids count as largest. Repeated rows share their fingerprint. An
+empty table gives an empty result. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -67,11 +68,10 @@ def _fingerprints(batches):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, keys and fp (the 64 bits as a signed long) of every row."""
-    common.small_batches(docs.sparkSession)
+    """doc_id, keys and fp (the 64 bits as a signed long) of every row; staged."""
     rows = docs.select("doc_id", common.id_key().alias(common.ID_KEY), common.text_key().alias(common.TEXT_KEY), common.text_or_empty().cast("binary").alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, {common.ID_KEY} string, {common.TEXT_KEY} bigint, fp bigint")
+    return common.mapped(rows, _fingerprints, f"doc_id {kind}, {common.ID_KEY} string, {common.TEXT_KEY} bigint, fp bigint", "fingerprints")
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -206,42 +206,53 @@ def star_links(prints: DataFrame) -> DataFrame:
 
 
 def cross_links(labelled: DataFrame) -> DataFrame:
-    """Of prints (fp, label): the pairs of labels between which fingerprints link."""
-    stored = keyed(labelled, stored_keys)
+    """Of prints (fp, label): the pairs of labels between which fingerprints link.
+
+    Only keys under which another label is stored are asked any further, so that a bucket whose
+    members are together already makes no pairs. Both sides of the last join are staged, so that the
+    planner can split what is left of a large bucket.
+    """
+    stored = common.staged(keyed(labelled, stored_keys), "stored")
     asked = keyed(labelled, looked_up_keys).toDF("key", "fp2", "label2")
+    there = stored.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    asked = asked.join(there, "key").where((F.col("label2") != F.col("low")) | (F.col("label2") != F.col("high")))
+    asked = common.staged(asked.select("key", "fp2", "label2"), "asked")
+    stored = common.staged(stored.join(asked.select("key").distinct(), "key", "left_semi"), "stored")
     met = asked.join(stored, "key").where((F.col("label") != F.col("label2")) & _close("fp", "fp2"))
     return met.select(F.least("label", "label2").alias("a"), F.greatest("label", "label2").alias("b")).distinct()
 
 
 def components_of(rows: DataFrame) -> DataFrame:
     """rows (doc_id, fp) -> fp, component_id: the smallest doc_id that links lead to, and root: the component's own fingerprint."""
-    prints = common.staged(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "prints")
-    stars = components(star_links(prints))
-    labelled = prints.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"), "first_id")
-    labelled = common.staged(labelled, "labelled")
-    roots = components(cross_links(labelled))
-    joined = labelled.join(roots.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("root", "label").alias("root"), "first_id")
-    joined = common.staged(joined, "rooted")
-    least = common.staged(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    return common.staged(joined.join(least, "root").select("fp", "component_id", "root"), "components")
+    with common.scratch() as keep:
+        prints = common.staged(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "prints")
+        stars = components(star_links(prints))
+        labelled = prints.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"), "first_id")
+        labelled = common.staged(labelled, "labelled")
+        roots = components(cross_links(labelled))
+        joined = labelled.join(roots.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("root", "label").alias("root"), "first_id")
+        joined = common.staged(joined, "rooted")
+        least = common.staged(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+        return keep(joined.join(least, "root").select("fp", "component_id", "root"), "components")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keys, fp, component_id and root of every row."""
-    rows = common.staged(fingerprints(docs), "fingerprints")
+    rows = fingerprints(docs)
     return rows.join(components_of(rows), "fp").select("doc_id", "fp", "component_id", "root", common.ID_KEY, common.TEXT_KEY)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs from each group of near copies: that of its smallest doc_id.
+    """One row of docs from each group of near copies, with all its columns: that of its smallest doc_id.
 
     Three bits are too few for texts that are 0.8 alike, so groups are those of the resemblance links.
     A group is known by its root, as groups may share a doc_id or have none.
     """
-    found = common.staged(resemblance.near_roots(docs), "near")
+    found = resemblance.near_roots(docs)
     # Null doc_ids come last; where rows share that doc_id, the least text key stands for them.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", common.TEXT_KEY, common.ID_KEY)).alias("first")
-    return common.rows_of(docs, found.groupBy("root").agg(first).select("first.*"), distinct=True)
+    kept = common.staged(found.groupBy("root").agg(first).select("first.*"), "firsts")
+    return common.rows_of(docs, kept, distinct=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
