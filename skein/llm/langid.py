@@ -7,10 +7,14 @@ the set of languages grows by one, in the order of their proportions, as long as
 more than a penalty for each (BIC). The prediction is the language with the largest proportion in the
 chosen set, the score that proportion.
 
+Any number of languages is learned: the model holds the trigrams that each was seen with, and one
+number for all others, and words are worked on in blocks of bounded size.
+
 Null texts and texts without a letter are ``und`` with score 0; so is every text if no row can be
 learned from. Letters alone count, so white space, digits and marks are no evidence. Languages that
-tie are taken in alphabetical order. Repeated rows get equal results. Training looks at text and lang
-only; prediction at text only. An empty table gives an empty result.
+tie are taken in alphabetical order. Texts of any length are read whole. Repeated rows get equal
+results. Training looks at doc_id (to hold out), text and lang only; prediction at text only, whatever
+other columns are called. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,12 +39,18 @@ ROUNDS, STEADY = 25, 1e-3
 #: A word's log-likelihood counts by this much: its trigrams overlap, so they aren't independent evidence.
 TEMPER = 0.5
 UNKNOWN = "und"
+#: Likelihoods (words x languages) that are held at once.
+CELLS = 1 << 22
+#: Entries of the model, at most (12 bytes each): a table whose languages need more is refused, as the model is broadcast.
+MOST_ENTRIES = 1 << 26
+#: Letters beyond this code point don't exist.
+CODES = 0x40000
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Of each code point: its lower-case letter, or 0 if it is none."""
-    out = np.zeros(0x30000, np.int64)
+    out = np.zeros(CODES, np.int64)
     for code in range(len(out)):
         c = chr(code)
         if unicodedata.category(c)[0] == "L":
@@ -53,7 +63,7 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the trigrams of all words (runs of letters, with a border on each side), and where each word's begin."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
     letters = np.zeros(len(codes) + 2, np.int64)
-    letters[1:-1] = np.where(codes < 0x30000, _letters()[np.minimum(codes, 0x2FFFF)], 0)
+    letters[1:-1] = np.where(codes < CODES, _letters()[np.minimum(codes, CODES - 1)], 0)
     middle = np.flatnonzero(letters)
     if not len(middle):
         return middle, middle
@@ -63,33 +73,66 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return slots, starts
 
 
-def _em(likely: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions of the columns, and the log-likelihood; likely: words x languages, in logs."""
-    top = likely.max(axis=1, keepdims=True)
-    weight = np.exp(likely - top)
-    share = np.full(likely.shape[1], 1.0 / likely.shape[1])
+class Words:
+    """The different words of a text: how often each occurs, and its likelihood in each language."""
+
+    def __init__(self, model: Model, slots: np.ndarray, starts: np.ndarray):
+        self.model, k = model, len(model.langs)
+        ends = np.append(starts[1:], len(slots))
+        first: dict[bytes, int] = {}
+        which = [first.setdefault(slots[a:b].tobytes(), len(first)) for a, b in zip(starts, ends)]
+        self.counts = np.bincount(which).astype(np.float64)
+        own = [np.frombuffer(w, slots.dtype) for w in first]
+        step = max(1, CELLS // max(1, k))
+        self.pieces = [(self.counts[lo : lo + step], own[lo : lo + step]) for lo in range(0, len(own), step)]
+        self.kept = [(n, self._likely(w)) for n, w in self.pieces] if len(self.pieces) == 1 else None
+
+    def _likely(self, words: list[np.ndarray]) -> np.ndarray:
+        sizes = np.array([len(w) for w in words])
+        return np.add.reduceat(self.model.rows(np.concatenate(words)), np.cumsum(sizes) - sizes, axis=0).astype(np.float64) * TEMPER
+
+    def blocks(self):
+        """(counts, log-likelihoods words x languages) in blocks; those of a long text in many languages are made anew each time."""
+        return self.kept if self.kept is not None else ((n, self._likely(w)) for n, w in self.pieces)
+
+
+def _em(words, which: np.ndarray) -> tuple[np.ndarray, float]:
+    """Proportions of the languages ``which``, and the log-likelihood."""
+    total = float(words.counts.sum())
+    share = np.full(len(which), 1.0 / len(which))
+
+    def weights():
+        for n, likely in words.blocks():
+            own = likely[:, which]
+            top = own.max(axis=1, keepdims=True)
+            yield n, np.exp(own - top), top[:, 0]
+
     for _ in range(ROUNDS):
-        joint = weight * share
-        new = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+        new = np.zeros(len(which))
+        for n, weight, _ in weights():
+            joint = weight * share
+            new += (joint / joint.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0)
+        new /= total
         done = np.abs(new - share).max() < STEADY
         share = new
         if done:
             break
-    return share, float(np.log((weight * share).sum(axis=1)).sum() + top.sum())
+    return share, float(sum((n * (np.log((weight * share).sum(axis=1)) + top)).sum() for n, weight, top in weights()))
 
 
-def mixture(likely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen languages (columns of likely) and their proportions, largest first."""
-    n, k = likely.shape
-    single = likely.sum(axis=0)
+def mixture(words) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen languages and their proportions, largest first."""
+    n = float(words.counts.sum())
+    single = sum((c[:, None] * likely).sum(axis=0) for c, likely in words.blocks())
+    k = len(single)
     best = np.array([int(single.argmax())])
     chosen, shares, value = best, np.ones(1), single[best[0]]
     if k > 1:
-        every, _ = _em(likely)
+        every, _ = _em(words, np.arange(k))
         order = [best[0], *(x for x in np.argsort(-every, kind="stable") if x != best[0])]
         for m in range(2, k + 1):
             tried = np.array(order[:m])
-            found, gained = _em(likely[:, tried])
+            found, gained = _em(words, tried)
             if gained - value <= 0.5 * np.log(max(n, 2)) + 1:
                 break
             chosen, shares, value = tried, found, gained
@@ -98,20 +141,35 @@ def mixture(likely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, langs: list[str], logs: np.ndarray):
-        self.langs, self.logs = langs, logs
-
-    def likelihoods(self, text: str) -> np.ndarray | None:
-        slots, starts = trigrams(text)
-        if not len(slots):
-            return None
-        return np.add.reduceat(self.logs[slots], starts, axis=0).astype(np.float64) * TEMPER
+    """Log-probabilities by language: ``least`` for all trigrams but those of the entries (slot, language, log above the least)."""
+
+    def __init__(self, langs: list[str], least: np.ndarray, slots: np.ndarray, which: np.ndarray, above: np.ndarray):
+        self.langs, self.least = langs, least
+        order = np.argsort(slots, kind="stable")
+        self.which, self.above = which[order], above[order]
+        self.starts = np.searchsorted(slots[order], np.arange(SLOTS + 1))
+        self.parts = langs, least, slots, which, above
+        self.dense = None
+        if SLOTS * len(langs) <= CELLS:
+            self.dense = self._rows(np.arange(SLOTS))
+
+    def _rows(self, slots: np.ndarray) -> np.ndarray:
+        out = np.tile(self.least, (len(slots), 1))
+        sizes = self.starts[slots + 1] - self.starts[slots]
+        row = np.repeat(np.arange(len(slots)), sizes)
+        at = np.repeat(self.starts[slots] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(row))
+        out[row, self.which[at]] += self.above[at]
+        return out
+
+    def rows(self, slots: np.ndarray) -> np.ndarray:
+        """Log-probabilities, slots x languages."""
+        return self._rows(slots) if self.dense is None else self.dense[slots]
 
     def predict(self, text: str | None) -> tuple[str, float, str]:
-        likely = self.likelihoods(text) if text and self.langs else None
-        if likely is None:
+        slots, starts = trigrams(text or "")
+        if not len(slots) or not self.langs:
             return UNKNOWN, 0.0, ""
-        which, shares = mixture(likely)
+        which, shares = mixture(Words(self, slots, starts))
         return self.langs[which[0]], float(shares[0]), ",".join(f"{self.langs[i]}:{s:.3f}" for i, s in zip(which, shares))
 
 
@@ -132,46 +190,39 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], ["lang", "slot", "n"])
 
 
-#: More languages than this can't be learned, as the model's size is bounded: a table of more is refused.
-MOST_LANGS = 256
-
-
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learns from the labelled rows that aren't held out.
+    """Learns every value of lang from the labelled rows that aren't held out.
 
     Of a language with more than ``rows`` of them, those whose hash is under a threshold are read:
-    about ``rows``, and the same ones in every run. The model is of fixed size by language.
+    about ``rows``, and the same ones in every run.
     """
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     known = docs.where(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS + 1).collect()}
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} values of lang; none is left out silently")
-    if not counts:
-        return Model([], np.zeros((SLOTS, 0), np.float32))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(share)
+    known = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(unit < share).select("text", F.col("lang").cast("string"))
-    sums = {lang: np.zeros(SLOTS, np.int64) for lang in sorted(counts)}
-    parts = sample.mapInArrow(_counted, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    found = parts.toArrow()  # SLOTS rows a language at most
-    slots, numbers = (found.column(c).to_numpy() for c in ("slot", "n"))
-    lang_of = np.array(found.column("lang").to_pylist(), object)
-    for lang in sums:
-        own = lang_of == lang
-        sums[lang][slots[own]] = numbers[own]
-    langs = sorted(sums)
-    table = np.stack([sums[x] for x in langs], axis=1).astype(np.float64) + SMOOTHING
-    return Model(langs, np.log(table / table.sum(axis=0)).astype(np.float32))
+    with common.scratch():
+        sample = known.join(common.staged(shares, "shares"), "lang").where(unit < F.col("share")).select("text", "lang")
+        parts = common.mapped(sample, _counted, "lang string, slot bigint, n bigint", "trigrams")
+        sums = common.staged(parts.groupBy("lang", "slot").agg(F.sum("n").alias("n")), "trigram_counts")
+        entries = sums.count()
+        if entries > MOST_ENTRIES:
+            raise ValueError(f"the languages of this table need {entries} entries, above {MOST_ENTRIES}; none is left out silently")
+        found = sums.orderBy("lang", "slot").toArrow()
+    langs = sorted(set(found.column("lang").to_pylist()))
+    if not langs:
+        return Model([], np.zeros(0, np.float32), *(np.zeros(0, t) for t in (np.int64, np.int32, np.float32)))
+    number = {x: i for i, x in enumerate(langs)}
+    which = np.array([number[x] for x in found.column("lang").to_pylist()], np.int32)
+    slots, counts = found.column("slot").to_numpy(), found.column("n").to_numpy()
+    total = np.bincount(which, counts, len(langs)) + SMOOTHING * SLOTS
+    above = np.log(counts + SMOOTHING) - np.log(SMOOTHING)
+    return Model(langs, (np.log(SMOOTHING) - np.log(total)).astype(np.float32), slots, which, above.astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and the proportions of every row."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    shared = spark.sparkContext.broadcast((model.langs, model.logs))  # SLOTS x languages
+    """doc_id, lang_pred, score and the proportions of every row; staged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts)  # MOST_ENTRIES entries at most
 
     def run(batches):
         own = Model(*shared.value)
@@ -181,7 +232,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "languages"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, languages string")
+    return common.mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, languages string", "languages")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
