@@ -1,70 +1,74 @@
 """Chat formatting: cumulative snapshots collapse to the longest logged conversation.
 
-A conversation's prefix hash after k turns is the sum, modulo 2^64 and in two independent sums, of
-hashes of (position, role, text) of its first k turns. Sums can be built block by block, so that a
-very long conversation needs no single task: turns are summed within blocks of turn numbers, blocks
-within their conversation. A conversation whose hash is a prefix hash of a longer one is a snapshot
-of it and goes, by an anti-join; of equal conversations the one with the smallest conv_id stays.
-What stays is rendered as ChatML-like text.
-
-Turns are ordered by turn (nulls first), then role and text; rows repeated in all four columns
-count once. A null role is "unknown", a null text empty; a null conv_id is a conversation of its
-own, which yields to equal ones with an id. An empty table gives an empty result.
+All turns are put in one order, by conversation and turn, that is dealt by range: a conversation of
+very many turns lies over several partitions, and running totals are carried over from one to the
+next. A conversation's prefix hash after k turns is the sum, in two independent sums, of hashes of (place, role, text) of its first k turns: the running total there less the one
+before its first turn. A conversation whose hash is a prefix hash of a longer one is a snapshot of it
+and goes, by an anti-join; of equal conversations the one with the smallest conv_id stays. What stays
+is rendered as ChatML-like text.
+
+Turns are ordered by turn (nulls last), then role and text; rows repeated in all four columns count
+once. A null role is "unknown", a null text empty; a null conv_id is a conversation of its own, which
+yields to equal ones with an id. A conversation is one row; only one whose text is longer than
+PART_BYTES is cut into parts between turns. An empty table gives an empty result. Only conv_id, turn,
+role and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import common
 
-#: Turn numbers of a block; a rendered part holds the turns of one block.
-BLOCK = 1024
+#: Bytes of text after which a conversation's next turn begins another row: a string has an end in Spark.
+PART_BYTES = 256 << 20
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
 def _hash(seed: int) -> Column:
     """A hash of a turn at its place, as a number below 2^62 so that sums of many stay exact as decimals."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "place", "role", "text"), 2).cast("decimal(20,0)")
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "place", f"h{seed}"), 2).cast("decimal(20,0)")
+
+
+def _rendered() -> Column:
+    return F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END))
+
+
+def _order() -> list[Column]:
+    return [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+
+
+def _since_start(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Takes from each running total (of ``names``) the one at the conversation's first row; ids may be null."""
+    least = F.min(F.struct("rank", *names)).alias("first")
+    starts = common.staged(rows.groupBy(F.col("conv_id").alias("c")).agg(least).select("c", *(F.col(f"first.{n}").alias(f"s_{n}") for n in ["rank", *names])), "starts")
+    joined = rows.join(starts, rows["conv_id"].eqNullSafe(F.col("c")))
+    return joined.withColumns({n: F.col(n) - F.col(f"s_{n}") for n in names}).withColumn("place", F.col("rank") - F.col("s_rank") + 1).drop("c", *(f"s_{n}" for n in ["rank", *names]))
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """Turns with their block and their place (from 1) in the conversation; staged."""
+    """Turns with their rank in the whole order, their place (from 1) in the conversation and the bytes before them there; staged."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), common.text_or_empty().alias("text")).distinct()
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1 << 40)))
-    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")))
-    rows = common.staged(rows, "turns")
-    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = common.staged(blocks.select("conv_id", "block", F.coalesce(before, F.lit(0)).alias("before")), "blocks")
-    return _beside(rows, blocks).withColumn("place", F.col("before") + F.col("within")).drop("before", "within")
-
-
-def _beside(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """rows with their block's columns; ids may be null."""
-    other = blocks.withColumnsRenamed({"conv_id": "c", "block": "b"})
-    return rows.join(other, rows["conv_id"].eqNullSafe(F.col("c")) & (rows["block"] == F.col("b"))).drop("c", "b")
-
-
-def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, place and the hashes of the first ``place`` turns."""
-    rows = numbered(turns)
-    hashed = common.staged(rows.select("conv_id", "block", "place", _hash(1).alias("x"), _hash(2).alias("y")), "hashed")
-    up = Window.partitionBy("conv_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = hashed.groupBy("conv_id", "block").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
-    over = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = common.staged(blocks.select("conv_id", "block", *(F.coalesce(F.sum(s).over(over), F.lit(0)).cast("decimal(38,0)").alias(s) for s in ("sx", "sy"))), "sums")
-    running = hashed.select("conv_id", "block", "place", F.sum("x").over(up).alias("x"), F.sum("y").over(up).alias("y"))
-    joined = _beside(running, blocks)
-    return joined.select("conv_id", "place", *((F.col(h) + F.col(f"s{h}")).cast("string").alias(h) for h in ("x", "y")))
-
-
-def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that stay."""
-    every = common.staged(prefixes(turns), "prefixes")
-    ends = every.groupBy("conv_id").agg(F.max("place").alias("last"))
-    other = common.staged(ends, "ends").withColumnRenamed("conv_id", "c")
+    size = F.octet_length(_rendered()).cast("bigint")
+    ranked = common.staged(common.running(rows, _order(), {"bytes": size}), "ranked_turns")
+    return common.staged(_since_start(ranked, ["bytes"]), "turns")
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """conv_id, place and the hashes x and y of the first ``place`` turns, from numbered turns."""
+    hashed = rows.select("conv_id", "rank", "place", *(F.xxhash64(F.lit(seed), "role", "text").alias(f"h{seed}") for seed in (1, 2)))
+    hashed = hashed.select("conv_id", "rank", "place", _hash(1).alias("x"), _hash(2).alias("y")).withColumnRenamed("rank", "at")
+    # "rank" again: the same order, as at is unique.
+    totals = common.staged(common.running(hashed, ["at"], {"bx": F.col("x"), "by": F.col("y")}), "totals")
+    since = _since_start(totals, ["bx", "by"])
+    return since.select("conv_id", "place", *((F.col(f"b{h}") + F.col(h)).cast("string").alias(h) for h in ("x", "y")))
+
+
+def maximal(rows: DataFrame) -> DataFrame:
+    """conv_id and n_turns of the conversations that stay, from numbered turns."""
+    every = common.staged(prefixes(rows), "prefixes")
+    other = common.staged(every.groupBy(F.col("conv_id").alias("c")).agg(F.max("place").alias("last")), "ends")
     marked = common.staged(every.join(other, every["conv_id"].eqNullSafe(F.col("c"))).drop("c"), "marked")
     whole = marked.where("place = last").groupBy("place", "x", "y").agg(F.min("conv_id").alias("conv_id"))
     inner = marked.where("place < last").select("place", "x", "y").distinct()
@@ -72,17 +76,15 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """conv_id, part, n_turns, text: the maximal conversations as text.
-
-    Parts are blocks of turns in their order; all but very long conversations have one, part 0.
-    """
-    kept = common.staged(maximal(turns), "maximal").withColumnRenamed("conv_id", "c")
-    rows = numbered(turns)
-    rows = rows.join(kept, rows["conv_id"].eqNullSafe(F.col("c"))).drop("c")
-    each = F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END))
-    parts = rows.groupBy("conv_id", "block", "n_turns").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", each.alias("t")))), lambda s: s["t"]), "").alias("text"))
-    part = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1
-    return parts.select("conv_id", part.cast("bigint").alias("part"), F.col("n_turns").cast("bigint").alias("n_turns"), "text")
+    """conv_id, part, n_turns, text: the maximal conversations as text; staged. Part is 0 but for parts that follow."""
+    with common.scratch() as keep:
+        rows = numbered(turns)
+        kept = common.staged(maximal(rows), "maximal").withColumnRenamed("conv_id", "c")
+        rows = rows.join(kept, rows["conv_id"].eqNullSafe(F.col("c"))).drop("c")
+        part = F.floor(F.col("bytes") / F.lit(PART_BYTES)).cast("bigint").alias("part")
+        lines = F.array_sort(F.collect_list(F.struct("place", _rendered().alias("t"))))
+        parts = rows.groupBy("conv_id", part, "n_turns").agg(F.array_join(F.transform(lines, lambda s: s["t"]), "").alias("text"))
+        return keep(parts.select("conv_id", "part", F.col("n_turns").cast("bigint").alias("n_turns"), "text"), "chats")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
