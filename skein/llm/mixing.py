@@ -1,13 +1,16 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every row has a hash from its doc_id and a size in words. Sizes are summed by source and hash
-bucket; running sums show the bucket in which a source's budget ends; only the rows of that
-bucket are summed again by the next bits, and so on. What is left is one threshold a source, and
-rows are taken by a comparison, without a sort of the corpus.
+Every row has a hash and a size in words. Sizes are summed by source and hash bucket; running sums
+show the bucket in which a source's budget ends; only the rows of that bucket are summed again by the
+next bits, and so on. What is left is one threshold a source, and rows are taken by a comparison,
+without a sort of the corpus.
 
 A source whose target is r times its size gives every row floor(r) times, and the rows under the
-threshold once more. Rows with the same doc_id (nulls too) share a hash and are taken together.
-Null texts have size 0 and are never taken; a null source is a source of its own, ordered last.
+threshold once more. The hash is that of doc_id. Where several rows have one doc_id, or none, it is
+that of the whole row and its number among the rows equal to it, so that they aren't taken together.
+Null texts have size 0 and add no words; a null source is a source of its own, ordered last. Texts of
+any length are read whole. Repeated rows are taken each by itself. An empty table gives an empty
+result. Other columns are carried along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,22 +40,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     fixed point of sharing the excess again: with sources in the order of most * size / weight, the
     first ones get their cap, and the others a share of the rest by weight.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
-    w = sizes.withColumn("source_no", (F.row_number().over(order) - 1).cast("bigint")).withColumn("weight", weight)
-    w = w.withColumns({"cap": F.col("source_size") * most, "level": F.col("source_size") * most / F.col("weight")})
-    capped = Window.orderBy("level", "source_no").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    w = w.withColumns(
-        {
-            "rest": F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(capped), F.lit(0)),
-            "heavy": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(capped), F.lit(0)),
-        }
-    )
-    w = w.withColumn("share", F.when(F.col("rest") <= F.col("level") * F.col("heavy"), F.struct("level", "source_no", "rest", "heavy")))
-    w = w.withColumn("share", F.min("share").over(every))  # where the first source is below its cap
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.col("share.rest").cast("double") / F.col("share.heavy"))
-    return w.select("source", "source_no", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
+    w = common.running(sizes, [F.col("source").isNull(), F.col("source")], {}, "source_no")
+    w = w.withColumn("source_no", F.col("source_no").cast("bigint")).withColumn("weight", weight)
+    w = common.staged(w.withColumns({"cap": F.col("source_size") * most, "level": F.col("source_size") * most / F.col("weight")}), "weighted")
+    total, heavy = w.agg(F.sum("source_size"), F.sum("weight")).first()
+    w = common.running(w, ["level", "source_no"], {"capped": F.col("cap"), "lighter": F.col("weight")})
+    w = common.staged(w.withColumns({"rest": F.lit(total or 0) - F.col("capped"), "heavy": F.lit(heavy or 0) - F.col("lighter")}), "shares")
+    # Where the first source is below its cap.
+    below = w.where(F.col("rest") <= F.col("level") * F.col("heavy")).agg(F.min(F.struct("level", "source_no", "rest", "heavy"))).first()[0]
+    cap = F.col("cap").cast("double")
+    target = cap if below is None else F.least(cap, F.col("weight") * F.lit(below["rest"]).cast("double") / F.lit(below["heavy"]))
+    return w.select("source", "source_no", "source_size", F.coalesce(target, cap).alias("target"))
 
 
 def _boundary(level: DataFrame) -> DataFrame:
@@ -89,19 +88,34 @@ def _within(rows: DataFrame, prefix: DataFrame, shift: int) -> DataFrame:
     return rows.join(prefix.select("source_no", "prefix", "base"), "source_no").where(F.shiftright("h", shift) == F.col("prefix"))
 
 
-#: A row's identity in ``mixed``: with its source, as rows with one doc_id may come from several.
+#: A row's identity: rows equal in it are copies of one another.
 ROW_KEY = "__skein_row"
 
 
-def _row_key() -> Column:
-    return F.xxhash64("text", "source", F.col("source").isNull())
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns; those that can't be hashed count by their JSON."""
+    columns = []
+    for name, kind in docs.dtypes:
+        c = F.col("`" + name.replace("`", "``") + "`")
+        columns += [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c, c.isNull()]
+    return F.xxhash64(*columns)
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, hash and keys of every row, staged; whole texts are read once."""
+    """doc_id, source, size, hash h and keys of every row, staged; whole texts are read once."""
     size = F.regexp_count(common.text_or_empty(), F.lit(common.WORD)).cast("bigint")
-    keys = [common.id_key().alias(common.ID_KEY), _row_key().alias(ROW_KEY)]
-    return common.staged(docs.select("doc_id", "source", size.alias("size"), hash_bits(F.col("doc_id")).alias("h"), *keys), "sizes")
+    keys = [common.id_key().alias(common.ID_KEY), _row_key(docs).alias(ROW_KEY), F.monotonically_increasing_id().alias("row_no")]
+    rows = common.staged(docs.select("doc_id", "source", size.alias("size"), hash_bits(F.col("doc_id")).alias("h"), *keys), "sizes")
+    several = rows.groupBy(common.ID_KEY).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    several = common.staged(several.select(common.ID_KEY), "repeated_ids")
+    if several.isEmpty():
+        return rows.drop("row_no")
+    again = common.staged(common.running(rows.join(several, common.ID_KEY, "left_semi"), [common.ID_KEY, ROW_KEY, "row_no"], {}), "repeats")
+    firsts = common.staged(again.groupBy(common.ID_KEY, ROW_KEY).agg(F.min("rank").alias("first")), "firsts")
+    again = again.join(firsts, [common.ID_KEY, ROW_KEY])
+    own = hash_bits(F.concat_ws(":", common.ID_KEY, F.col(ROW_KEY).cast("string"), (F.col("rank") - F.col("first")).cast("string")))
+    again = again.withColumn("h", own).select(*rows.columns)
+    return common.staged(rows.join(several, common.ID_KEY, "left_anti").select(*rows.columns).unionByName(again).drop("row_no"), "sizes")
 
 
 #: Up to this many sources, their table of a few numbers each is broadcast; beyond it, it is joined by salted keys.
@@ -119,27 +133,30 @@ def _with_source(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, copies (times the row is taken) and keys of every row."""
-    rows = with_sizes(docs)
-    sources = common.staged(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "sources")
-    n = sources.count()
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = sources.withColumn("whole", whole.cast("bigint"))
-    plan = plan.withColumn("need", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("bigint"))
-    cuts = common.staged(thresholds(_with_source(rows, plan.select("source", "source_no", "need"), n).select("source_no", "size", "h", "need")), "cuts")
-    plan = plan.join(cuts, "source_no", "left")
-    out = _with_source(rows, plan.select("source", "source_size", "target", "whole", "cut"), n)
-    copies = F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), common.ID_KEY, ROW_KEY)
+    """doc_id, size, source_size, target, copies (times the row is taken) and keys of every row; staged."""
+    with common.scratch() as keep:
+        rows = with_sizes(docs)
+        sums = common.staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
+        sources = common.staged(targets(sums, weights, most), "sources")
+        n = sources.count()
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+        plan = sources.withColumn("whole", whole.cast("bigint"))
+        plan = plan.withColumn("need", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("bigint"))
+        cuts = common.staged(thresholds(_with_source(rows, plan.select("source", "source_no", "need"), n).select("source_no", "size", "h", "need")), "cuts")
+        plan = plan.join(cuts, "source_no", "left")
+        out = _with_source(rows, plan.select("source", "source_size", "target", "whole", "cut"), n)
+        copies = F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+        return keep(out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), common.ID_KEY, ROW_KEY), "mix")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row that is taken k times stands there k times."""
+    """docs as the mix takes them, with their columns: a row that is taken k times stands there k times."""
     keys = [common.ID_KEY, ROW_KEY]
-    taken = mix(docs).where("copies > 0").groupBy(*keys).agg(F.max("copies").cast("int").alias("__skein_copies"))
-    marked = docs.withColumns({common.ID_KEY: common.id_key(), ROW_KEY: _row_key()})
-    out = marked.join(taken, keys).withColumn("__skein_copy", F.explode(F.sequence(F.lit(1), F.col("__skein_copies"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Rows equal in all columns are one row with the copies of all.
+    taken = common.staged(mix(docs).where("copies > 0").groupBy(*keys).agg(F.sum("copies").alias("copies")), "taken")
+    marked = docs.select(common.id_key().alias(common.ID_KEY), _row_key(docs).alias(ROW_KEY), F.struct("*").alias("row"))
+    one = marked.join(taken, keys).dropDuplicates(keys)
+    return one.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
