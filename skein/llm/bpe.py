@@ -9,8 +9,9 @@ result is the one the merge list gives. Verdicts on pairs are kept in a table.
 
 Decoding takes each id's offset and length in one byte string of all tokens.
 
-Null and empty texts have no tokens. Texts are read whole; strings of special tokens become those
-tokens. Repeated rows get repeated results; an empty table gives an empty result.
+Null and empty texts have no tokens. Texts of any length are read whole; strings of special tokens
+become those tokens. Repeated rows get repeated results; an empty table gives an empty result. Only
+doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -60,8 +61,8 @@ class Splitter:
         return (self.every if self.beyond(text) else self.plane_0)(text)
 
 
-#: Encoded pieces that a worker keeps; beyond it, it starts afresh.
-KEPT_PIECES = 600_000
+#: Encoded pieces that a worker keeps, none longer than so many characters; beyond it, it starts afresh.
+KEPT_PIECES, KEPT_LENGTH = 600_000, 64
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 
@@ -94,12 +95,12 @@ class Encoder(dict):
                 self.trie.add_word(token, (len(token), i))
         self.single = {token: i for token, i in vocab.items() if len(token) == 1}
         self.trie.make_automaton()
-        most = max(vocab.values()) + 1
+        self.size = most = max(vocab.values()) + 1
         self.length, self.shorter = [0] * most, [-1] * most
         for token, i in vocab.items():
             self.length[i] = len(token)
             self.shorter[i] = next((vocab[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in vocab), -1)
-        #: left * 65536 + right -> whether they may stand side by side.
+        #: left * size + right -> whether they may stand side by side.
         self.compatible: dict[int, bool] = {}
         self.added = added
         self.split_at = re.compile("|".join(re.escape(s) for s in sorted(added, key=len, reverse=True))) if added else None
@@ -139,7 +140,7 @@ class Encoder(dict):
             longest[start] = token  # matches come by their end, so the last one is the longest
         if self.length[longest[0]] == end:
             return [longest[0]]
-        length, shorter, known = self.length, self.shorter, self.compatible.get
+        length, shorter, known, size = self.length, self.shorter, self.compatible.get, self.size
         dead = bytearray(end + 1)
         out: list[int] = []
         at, token, last = 0, longest[0], -1
@@ -149,7 +150,7 @@ class Encoder(dict):
                 if not dead[after]:
                     if last < 0:
                         break
-                    fits = known(last << 16 | token)
+                    fits = known(last * size + token)
                     if fits is None:
                         fits = self._remember(last, token)
                     if fits:
@@ -170,14 +171,16 @@ class Encoder(dict):
     def _remember(self, left: int, right: int) -> bool:
         if len(self.compatible) >= 2_000_000:
             self.compatible.clear()
-        fits = self.compatible[left << 16 | right] = self._fits(left, right)
+        fits = self.compatible[left * self.size + right] = self._fits(left, right)
         return fits
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= KEPT_PIECES:
             self.clear()
         letters = piece.encode().decode("latin-1").translate(self.to_letters)
-        ids = self[piece] = array("I", self.encode_letters(letters)).tobytes()
+        ids = array("I", self.encode_letters(letters)).tobytes()
+        if len(piece) <= KEPT_LENGTH:
+            self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -255,25 +258,23 @@ def _decoded(path: str | None):
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", common.text_or_empty().alias("text"))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids."""
-    return _rows(docs).mapInArrow(_ids(path), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    """doc_id, ids; staged."""
+    return common.mapped(_rows(docs), _ids(path), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>", "ids")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids -> doc_id, text."""
-    common.small_batches(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(path), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    """doc_id, ids -> doc_id, text; null ids give an empty text; staged."""
+    return common.mapped(encoded.select("doc_id", "ids"), _decoded(path), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string", "decoded")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the text they decode to."""
+    """doc_id, n_tokens and the digests of the ids and of the text they decode to; staged."""
     kind = dict(docs.dtypes)["doc_id"]
-    return _rows(docs).mapInArrow(_encoded(path), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return common.mapped(_rows(docs), _encoded(path), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", "token_digests")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,11 @@ Jensen-Shannon distance (base 2, from 0 to 1) of either histogram is too large;
 documents under a minimum length are too noisy and are not judged.
 
 The language is ``lang`` if there is a word list for it, else the list with most hits in the text
-(ties: the first in alphabetical order). Null and empty texts have no words, so the base rules drop
-them. Repeated rows count as often as they are there. An empty table gives an empty result.
+(ties: the first in alphabetical order), if a twentieth of its words at least are hits. A text whose
+language has no list has no reference: it isn't judged, and the base rules alone decide. Null and
+empty texts have no words, so the base rules drop them. Texts of any length are read whole. Repeated
+rows count as often as they are there. An empty table gives an empty result. Only doc_id, text and
+lang are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ CLASS_GUARD, WORD_GUARD = 20, 40
 #: The largest distances: a constant, and a part that shrinks with the square root of the words, as a sample's distance does.
 CLASS_LIMIT, WORD_LIMIT = (0.10, 1.5), (0.15, 1.35)
 
+#: Share of a text's words that its list must hold where ``lang`` doesn't name one.
+LEAST_HITS = 0.05
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "symbol", "mark", "accented lower", "accented upper", "other")
@@ -105,9 +110,12 @@ def measure(text: str, lang: str | None) -> tuple:
     chars = len(text) - sum(map(text.count, common.SPACE))
     counted = Counter(w.strip(_TRIM).lower() for w in words)
     if lang not in _WORD_AT:
-        lang = max(LANGS, key=lambda x: sum(counted[w] for w in _WORD_AT[x]))
+        hits = {x: sum(counted[w] for w in _WORD_AT[x]) for x in LANGS}
+        lang = max(LANGS, key=hits.get)
+        if hits[lang] < LEAST_HITS * len(words):
+            lang = None
     hist = [0] * WORD_BINS
-    for w, i in _WORD_AT[lang].items():
+    for w, i in _WORD_AT.get(lang, {}).items():
         hist[i] = counted.get(w, 0)
     hist[-1] = len(words) - sum(hist)
     return len(words), chars, sum(data.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words), lang, class_histogram(text), hist
@@ -127,12 +135,11 @@ def _measured(batches):
 
 def measures(docs: DataFrame) -> DataFrame:
     """Counts and histograms of every row, staged."""
-    common.small_batches(docs.sparkSession)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", common.id_key().alias(common.ID_KEY), common.text_key().alias(common.TEXT_KEY), common.text_or_empty().alias("text"), lang.alias("lang"))
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, {common.ID_KEY} string, {common.TEXT_KEY} bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, ref_lang string, classes array<int>, common array<int>"
-    out = common.staged(rows.mapInArrow(_measured, schema), "measures")
+    out = common.mapped(rows, _measured, schema, "measures")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -144,7 +151,7 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]
     """
     sums = [F.sum(F.col(c)[i].cast("double")).alias(f"{c}{i}") for c, n in (("classes", len(CLASSES)), ("common", WORD_BINS)) for i in range(n)]
     out = {}
-    for row in measured.where("NOT base_failed").groupBy("ref_lang").agg(*sums).collect():
+    for row in measured.where("NOT base_failed AND ref_lang IS NOT NULL").groupBy("ref_lang").agg(*sums).collect():
         values = [v or 0.0 for v in row[1:]]
         parts = values[: len(CLASSES)], values[len(CLASSES) :]
         out[row[0]] = tuple([v / max(1.0, sum(p)) for v in p] for p in parts)
@@ -193,7 +200,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def passed(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep."""
-    return common.rows_of(docs, quality(docs).where("kept"), distinct=False)
+    return common.rows_of(docs, quality(docs).where("kept").select(common.ID_KEY, common.TEXT_KEY).distinct(), distinct=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
