@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import corpus_pipeline
 import numpy as np
@@ -131,6 +132,40 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd).count() == 7
 
 
+def test_mixing_of_rows_without_ids(spark):
+    """Rows that share an id, or have none, are taken one by one; rows equal in all columns too."""
+    rows = [(None if i % 2 else 7, words(10, i % 20), "en", "a", 0, "x", i % 3) for i in range(400)] + [(i, words(40, i), "en", "b", 0, "x", 1) for i in range(1000, 1060)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for size in {r.source_size for r in got}:
+        some = [r for r in got if r.source_size == size]
+        assert abs(sum(r.size * r.copies for r in some) - some[0].target) <= 40
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted((r.doc_id or -1, r[-1], r.copies) for r in got) == sorted((r.doc_id or -1, r[-1], r.copies) for r in again)
+    assert mixing.mixed(docs).count() == sum(r.copies for r in got)
+
+
+def test_mixing_with_many_sources(spark, monkeypatch):
+    """The join by salted keys gives what the broadcast gives."""
+    docs = spark.createDataFrame([(i, words(5 + i % 7, i), "en", None if i % 11 == 0 else f"s{i % 37}", 0, "x", 1) for i in range(500)], DOCS)
+    whole = {r.doc_id: (r.copies, r.target) for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert {r.doc_id: (r.copies, r.target) for r in mixing.mix(docs).collect()} == whole
+
+
+def test_column_names_never_clash(spark):
+    """Extra columns with any name come through the operators that return documents."""
+    odd_names = ["__skein_id", "__skein_text", "__skein_row", "__skein_copies", "row", "copies", "a`b", "a.b"]
+    schema = DOCS + "".join(f", `{n.replace('`', '``')}` string" for n in odd_names)
+    rows = [(i, words(60, i // 2), "en", "s", 0, "d", 1, *(f"{n}{i}" for n in odd_names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, schema)
+    for run in (exact_dedup.deduplicated, simhash.deduplicated, mixing.mixed, quality.passed):
+        out = run(docs)
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows)
+    assert exact_dedup.deduplicated(docs).count() == 4 == simhash.deduplicated(docs).count()
+
+
 def test_bpe_against_the_library(odd):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(bpe.vocabulary_path())
@@ -291,12 +326,82 @@ def test_language_mixture(spark):
     assert langid.predict(docs, langid.train(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_languages_are_not_left_out(spark):
-    docs = spark.createDataFrame([(10 * i + k, "some words here", f"l{i}") for i in range(langid.MOST_LANGS + 1) for k in range(8)], "doc_id bigint, text string, lang string")
-    with pytest.raises(ValueError, match="values of lang"):
+def test_languages_are_not_left_out(spark, monkeypatch):
+    """300 languages, each with a word of its own; the model's size alone has a limit, and says so."""
+    own = lambda i: chr(97 + i % 26) * 3 + chr(97 + i // 26) * 4
+    docs = spark.createDataFrame([(10 * i + k, f"some words here {own(i)}", f"l{i}") for i in range(300) for k in range(8)], "doc_id bigint, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 300 and model.dense is None
+    assert langid.predict(docs, model).join(docs, "doc_id").where("lang <> lang_pred").count() == 0
+    monkeypatch.setattr(langid, "MOST_ENTRIES", 10)
+    with pytest.raises(ValueError, match="none is left out silently"):
         langid.train(docs)
 
 
+def test_mixture_against_plain_em(spark):
+    """Proportions and sets of languages, against a loop over every word without blocks, tables or counts of equal words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    table = model.rows(np.arange(langid.SLOTS)).astype(np.float64)
+
+    def em(likely):
+        share = np.full(likely.shape[1], 1 / likely.shape[1])
+        for _ in range(langid.ROUNDS):
+            new = np.zeros(len(share))
+            for row in likely:
+                joint = np.exp(row - row.max()) * share
+                new += joint / joint.sum()
+            new /= len(likely)
+            done = np.abs(new - share).max() < langid.STEADY
+            share = new
+            if done:
+                break
+        return share, sum(row.max() + np.log((np.exp(row - row.max()) * share).sum()) for row in likely)
+
+    texts = [r.text for r in docs.where("text IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    texts += [a[:300] + " " + b[:500] for a, b in zip(texts, texts[7:])]
+    mixed = 0
+    for text in texts:
+        slots, starts = langid.trigrams(text)
+        if not len(slots):
+            continue
+        likely = np.array([table[w].sum(axis=0) for w in np.split(slots, starts[1:])]) * langid.TEMPER
+        order = [int(likely.sum(axis=0).argmax())]
+        order += [x for x in np.argsort(-em(likely)[0], kind="stable") if x != order[0]]
+        chosen, value = {order[0]: 1.0}, likely.sum(axis=0)[order[0]]
+        for m in range(2, len(order) + 1):
+            share, gained = em(likely[:, order[:m]])
+            if gained - value <= 0.5 * np.log(max(len(likely), 2)) + 1:
+                break
+            chosen, value = dict(zip(order[:m], share)), gained
+        which, shares = langid.mixture(langid.Words(model, slots, starts))
+        assert set(which) == set(chosen) and all(abs(chosen[w] - s) < 1e-3 for w, s in zip(which, shares))
+        mixed += len(which) > 1
+    assert mixed > 10
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL")
+    model, texts = langid.train(docs), [r.text for r in docs.limit(40).collect()]
+    whole = [model.predict(t) for t in texts]
+    monkeypatch.setattr(langid, "CELLS", 64)
+    for (a, x, _), (b, y, _) in zip(whole, map(langid.Model(*model.parts).predict, texts)):
+        assert a == b and abs(x - y) < 1e-6
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.query(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+def test_letters_of_every_plane():
+    """Text of one letter beyond plane 2 is text."""
+    model = langid.Model(["x"], np.zeros(1, np.float32), *(np.zeros(0, t) for t in (np.int64, np.int32, np.float32)))
+    assert model.predict("\U00030000\U00031350")[0] == "x" and model.predict("\U000E0041 1")[0] == "und"
+    assert not any(unicodedata.category(chr(c))[0] == "L" for c in range(langid.CODES, 0x110000))
+
+
 def test_licenses(odd):
     known = licenses.templates(tuple(licenses.TEMPLATES.items()))
     r = random.Random(4)
@@ -336,12 +441,43 @@ def test_short_license_templates():
     assert [m[1] for m in licenses.matches("one two one two", licenses.templates((("x", "one two"),)))] == [0, 2]
 
 
+CHATS = "conv_id bigint, turn bigint, role string, text string"
+
+
 def test_chat_snapshots(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 5, None, None), (None, 0, "user", "hi"), (5, 0, "user", "a"), (5, 3000, "user", "b"), (5, 3000, "user", "b")]
-    got = {(r.conv_id, r.part): (r.n_turns, r.text) for r in chat.render(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
-    assert set(got) == {(2, 0), (4, 0), (5, 0), (5, 1)}
+    got = {(r.conv_id, r.part): (r.n_turns, r.text) for r in chat.render(spark.createDataFrame(rows, CHATS)).collect()}
+    assert set(got) == {(2, 0), (4, 0), (5, 0)}
     assert got[2, 0] == (2, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n")
     assert got[4, 0] == (1, "<|im_start|>unknown\n<|im_end|>\n")
+    assert got[5, 0] == (2, "<|im_start|>user\na<|im_end|>\n<|im_start|>user\nb<|im_end|>\n")
+    assert chat.render(spark.createDataFrame([], CHATS)).count() == 0
+
+
+def test_chats_against_sql(spark, tmp_path):
+    """Turns 0 to 3000, null and equal turns, copies and snapshots, extra columns: the query and its SQL agree."""
+    import duckdb
+
+    r = random.Random(6)
+    rows = [(1, t, "user", f"t{t}") for t in range(3001)] + [(2, t, "user", f"t{t}") for t in range(1025)] + [(3, t, "user", f"t{t}") for t in range(3001)]
+    rows += [(4, t, "user", "x") for t in (1020, 1021, 1024)] + [(5, None, "user", "only"), (6, 0, "a", "z"), (6, None, "a", "y"), (6, None, "a", "y"), (7, 2, "b", "z"), (7, 2, "a", "z")]
+    for c in range(10, 150):
+        line = [r.choice("pq") for _ in range(r.randint(1, 5))]
+        rows += [(c, i + c % 3, "user", x) for i, x in enumerate(line)]
+    turns = spark.createDataFrame([(*x, 1, "u") for x in rows], CHATS + ", place int, `x ``y` string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(db.execute(chat.SQL).fetchall())
+    assert sorted(tuple(x) for x in chat.query(spark, str(tmp_path)).collect()) == want and len(want) > 5
+
+
+def test_long_chats_have_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_BYTES", 100)
+    rows = spark.createDataFrame([(1, t, "user", "x" * 20) for t in range(12)], CHATS)
+    got = sorted((r.part, r.text, r.n_turns) for r in chat.render(rows).collect())
+    each = "<|im_start|>user\n" + "x" * 20 + "<|im_end|>\n"
+    assert [(p, n) for p, _, n in got] == [(i, 12) for i in range(len(got))] and "".join(t for _, t, _ in got) == each * 12 and len(got) > 4
 
 
 def test_pipeline(spark):
