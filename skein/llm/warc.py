@@ -7,11 +7,15 @@ plain ``.warc.gz`` stream of members.
 The reader checks every record: the gzip checksum, the version line, Content-Length and the
 payload digest. Where a check fails it searches for the next place at which a valid member, or a
 version line in an uncompressed archive, begins, goes on from there, and logs the bytes between as
-a quarantined gap.
-
-Null html is an empty payload. Of pages with equal payloads, the one with the largest page_id is
-the response and the others revisit it (null ids count as smallest; rows that repeat the largest
-id are all responses). A null url leaves its header out. An empty table gives an empty result.
+a quarantined gap. Within a member it does the same over the inflated bytes. Places that were looked
+up stay known, so the time is linear in the archive however many checks fail.
+
+An archive is one row of Spark's binary reader, which ends at 2 GB; the writer's hold ARCHIVE_BYTES
+and a record at most. Null html is an empty payload. Of pages with equal payloads, the one with the
+largest page_id is the response and the others revisit it (null ids count as smallest; rows that
+repeat the largest id are all responses). A null url leaves its header out. Texts of any length are
+written whole. An empty table gives an empty result. Only page_id, url and html are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from logging import getLogger
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +34,11 @@ from pyspark.sql import functions as F
 
 from skein.llm import common
 
-#: Uncompressed bytes an archive is meant to hold.
+log = getLogger("skein.warc")
+#: Uncompressed bytes of an archive's records, unless a single one is larger.
 ARCHIVE_BYTES = 24 << 20
+#: Gaps whose bytes are logged one by one.
+LOGGED = 20
 VERSION = b"WARC/1.1"
 MEMBER = b"\x1f\x8b\x08"
 #: Fixed values of the format.
@@ -78,41 +86,67 @@ class Broken(Exception):
     """A check failed; the message names it."""
 
 
-def parse_record(data: bytes, at: int, check: bool = True) -> tuple[dict, int]:
-    """The record that begins at ``at`` of uncompressed data, and where it ends."""
-    line = _VERSION_LINE.match(data, at)
-    if not line:
-        raise Broken("no version line")
-    end = data.find(b"\r\n\r\n", line.end() - 2)
-    if end < 0:
-        raise Broken("headers do not end")
-    fields: dict[str, str] = {}
-    for text in data[line.end() : end].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = text.partition(":")
-        if text and not colon:
-            raise Broken("a header without a colon")
-        fields[name.strip().lower()] = value.strip()
-    length = fields.get("content-length", "")
-    if not re.fullmatch(r"\d{1,18}", length):
-        raise Broken("no Content-Length")
-    start, stop = end + 4, end + 4 + int(length)
-    if data[stop : stop + 4] != b"\r\n\r\n":
-        raise Broken("the block does not end where Content-Length says")
-    out = {"fields": fields, "payload": None, "bytes": None, "digest": fields.get("warc-payload-digest", "").rpartition(":")[2] or None}
-    head = data.find(b"\r\n\r\n", start, stop)
-    declared = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})", data[start : head + 2]) if head >= 0 else None
-    if fields.get("warc-type") == "revisit":
-        out["bytes"] = int(declared[1]) if declared else None
-    elif fields.get("warc-type") == "response":
-        if head < 0:
-            raise Broken("no HTTP headers")
-        out["payload"] = data[head + 4 : stop]
-        out["bytes"] = len(out["payload"])
-        if check and (own := digest(out["payload"])) != out["digest"]:
-            if out["digest"]:
-                raise Broken("payload digest differs")
-            out["digest"] = own
-    return out, stop + 4
+class Places:
+    """Where something begins in the data, at or after places that are asked for in ascending order."""
+
+    def __init__(self, data: bytes, pattern: re.Pattern):
+        self.data, self.pattern, self.found = data, pattern, -1
+
+    def at_or_after(self, at: int) -> int:
+        if self.found < at:
+            match = self.pattern.search(self.data, at)
+            self.found = match.start() if match else len(self.data)
+        return self.found
+
+
+_HEAD_END, _MEMBERS = re.compile(rb"\r\n\r\n"), re.compile(re.escape(MEMBER))
+
+
+class Reader:
+    """Records of uncompressed data."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.lines, self.heads = Places(data, _VERSION_LINE), Places(data, _HEAD_END)
+
+    def record(self, at: int) -> tuple[dict, int]:
+        """The record that begins at ``at``, and where it ends; ``at`` never falls."""
+        data = self.data
+        line = _VERSION_LINE.match(data, at)
+        if not line:
+            raise Broken("no version line")
+        end = self.heads.at_or_after(line.end() - 2)
+        if end == len(data):
+            raise Broken("headers do not end")
+        if (inner := self.lines.at_or_after(at + 1)) < end and data[inner - 2 : inner] == b"\r\n":
+            raise Broken("a version line among the headers")
+        fields: dict[str, str] = {}
+        for text in data[line.end() : end].decode("utf-8", "replace").split("\r\n"):
+            name, colon, value = text.partition(":")
+            if text and not colon:
+                raise Broken("a header without a colon")
+            fields[name.strip().lower()] = value.strip()
+        length = fields.get("content-length", "")
+        if not re.fullmatch(r"\d{1,18}", length):
+            raise Broken("no Content-Length")
+        start, stop = end + 4, end + 4 + int(length)
+        if data[stop : stop + 4] != b"\r\n\r\n":
+            raise Broken("the block does not end where Content-Length says")
+        out = {"fields": fields, "payload": None, "bytes": None, "digest": fields.get("warc-payload-digest", "").rpartition(":")[2] or None}
+        head = data.find(b"\r\n\r\n", start, stop)
+        declared = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})", data[start : head + 2]) if head >= 0 else None
+        if fields.get("warc-type") == "revisit":
+            out["bytes"] = int(declared[1]) if declared else None
+        elif fields.get("warc-type") == "response":
+            if head < 0:
+                raise Broken("no HTTP headers")
+            out["payload"] = data[head + 4 : stop]
+            out["bytes"] = len(out["payload"])
+            if (own := digest(out["payload"])) != out["digest"]:
+                if out["digest"]:
+                    raise Broken("payload digest differs")
+                out["digest"] = own
+        return out, stop + 4
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
@@ -143,15 +177,14 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
 
 def _inside(plain: bytes) -> tuple[list[dict], str]:
     """The records of a member's inflated bytes that pass, and the reason of the first that doesn't."""
-    found, reason, at = [], "", 0
+    found, reason, at, reader = [], "", 0, Reader(plain)
     while at < len(plain):
         try:
-            one, at = parse_record(plain, at)
+            one, at = reader.record(at)
             found.append(one)
         except Broken as e:
             reason = reason or str(e)
-            line = _VERSION_LINE.search(plain, at + 1)
-            at = line.start() if line else len(plain)
+            at = reader.lines.at_or_after(at + 1)
     return found, reason
 
 
@@ -162,37 +195,37 @@ def salvage(data: bytes):
     that doesn't inflate to its end yields the records that are whole before the error, then a gap.
     """
     at, gap, reason = 0, None, ""
+    reader, members = Reader(data), Places(data, _MEMBERS)
     while at < len(data):
-        found, inner = [], ""
-        try:
-            if data.startswith(MEMBER, at):
-                plain, end, error = _inflate(data, at)
-                found, inner = _inside(plain)
-                if error or (inner and not found):
-                    raise Broken(error or inner)
-            else:
-                one, end = parse_record(data, at)
+        found, inner, bad, end = [], "", "", -1
+        if data.startswith(MEMBER, at):
+            plain, to, bad = _inflate(data, at)
+            found, inner = _inside(plain)
+            if not bad:
+                end = to  # the checksum holds, so the next member begins where this one ends
+                bad = "" if found or not inner else inner
+        else:
+            try:
+                one, end = reader.record(at)
                 found = [one]
-        except Broken as e:
-            if found and gap is not None:
-                yield gap, None, at, reason
-                gap = None
-            for one in found:
-                yield at, one, end, ""
-            if gap is None:
-                gap, reason = at, str(e)
-            # The next place at which either kind of record can begin.
-            member_at, line = data.find(MEMBER, at + 1), _VERSION_LINE.search(data, at + 1)
-            nexts = [x for x in (member_at, line.start() if line else -1) if x >= 0]
-            at = min(nexts, default=len(data))
-            continue
-        if gap is not None:
+            except Broken as e:
+                bad = str(e)
+        if gap is not None and found:
             yield gap, None, at, reason
             gap = None
         for one in found:
-            yield at, one, end, ""
+            yield at, one, to if bad else end, ""
+        if bad:
+            if gap is None:
+                gap, reason = at, bad
+            # Where either kind of record can begin, unless the member's end is known.
+            at = end if end > at else min(members.at_or_after(at + 1), reader.lines.at_or_after(at + 1))
+            continue
         if inner:
             yield at, None, end, inner
+        if gap is not None:  # an empty member between two records
+            yield gap, None, at, reason
+            gap = None
         at = end
     if gap is not None:
         yield gap, None, len(data), reason
@@ -228,11 +261,19 @@ def _read(payloads: bool):
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each record and each quarantined gap (gap: the reason; offset, end: its bytes)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file is a row
-    # An archive is a row of its own; files are not packed into one partition.
+    """A row for each record and each quarantined gap (gap: the reason; offset, end: its bytes); staged.
+
+    Gaps are logged by their number, the first ones with their bytes; read_log has them all.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(_read(payloads), SCHEMA)
+    # An archive is a batch of its own.
+    records = common.mapped(files, _read(payloads), SCHEMA, "records", 1)
+    gaps = read_log(records)
+    if number := gaps.count():
+        log.warning("%d quarantined gaps in %s", number, path)
+        for row in gaps.orderBy("path", "offset").limit(LOGGED).collect():
+            log.warning("quarantined %s bytes %d to %d: %s", row["path"], row["offset"], row["end"], row["reason"])
+    return records
 
 
 def read_log(records: DataFrame) -> DataFrame:
@@ -244,10 +285,19 @@ def read_log(records: DataFrame) -> DataFrame:
 
 
 def _members(batches):
+    """A member for each row, and the number of the task's archive it belongs to, by the bytes so far."""
+    size, number = 0, 0
     for batch in batches:
         rows = [c.to_pylist() for c in batch.columns]
-        out = [member(record(page, url, html, digest(html), owner))[:-1] for page, url, html, owner in zip(*rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+        out, archives = [], []
+        for page, url, html, owner in zip(*rows):
+            data = record(page, url, html, digest(html), owner)
+            if size and size + len(data) > ARCHIVE_BYTES:
+                size, number = 0, number + 1
+            size += len(data)
+            out.append(member(data)[:-1])
+            archives.append(number)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(archives, pa.int32())], ["member", "archive"])
 
 
 def payload(column: str = "html"):
@@ -259,19 +309,18 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
     Of equal payloads of at least min_bytes bytes, that of the largest page_id is kept whole.
     """
-    common.small_batches(pages.sparkSession)
-    hashed = common.staged(pages.select("page_id", F.octet_length(payload()).alias("bytes"), F.sha1(payload()).alias("sha1")), "payload_digests")
-    owners = common.staged(hashed.groupBy("sha1").agg(F.max("page_id").alias("owner")), "payload_owners")
-    n, total = hashed.agg(F.count("*"), F.sum("bytes")).first()
-    again = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    # The digest is part of the key: rows may repeat a page_id with other contents.
-    key = F.coalesce(F.col("page_id").cast("string"), F.lit("\u0000")).alias("key")
-    revisits = common.staged(hashed.join(owners, "sha1").where(again).select(key, "sha1", "owner").distinct(), "revisits")
-    rows = pages.select("page_id", "url", payload().alias("html"), F.sha1(payload()).alias("sha1"), key)
-    joined = rows.join(revisits, ["key", "sha1"], "left").select("page_id", "url", "html", "owner")
-    members = joined.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
-    each = max(1, ARCHIVE_BYTES * n // max(1, total or 0)) if n else 1
-    members.write.option("lineSep", "\u0000").option("maxRecordsPerFile", each).text(path)
+    with common.scratch():
+        hashed = common.staged(pages.select("page_id", F.octet_length(payload()).alias("bytes"), F.sha1(payload()).alias("sha1")), "payload_digests")
+        owners = common.staged(hashed.groupBy("sha1").agg(F.max("page_id").alias("owner")), "payload_owners")
+        again = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
+        # The digest is part of the key: rows may repeat a page_id with other contents.
+        key = F.coalesce(F.col("page_id").cast("string"), F.lit("\u0000")).alias("key")
+        revisits = common.staged(hashed.join(owners, "sha1").where(again).select(key, "sha1", "owner").distinct(), "revisits")
+        rows = pages.select("page_id", "url", payload().alias("html"), F.sha1(payload()).alias("sha1"), key)
+        joined = rows.join(revisits, ["key", "sha1"], "left").select("page_id", "url", "html", "owner")
+        with common.arrow_batches(pages.sparkSession):
+            members = joined.mapInArrow(_members, "member binary, archive int")
+            members.select(F.col("member").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\u0000").text(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
