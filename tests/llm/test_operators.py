@@ -4,6 +4,7 @@ import unicodedata
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, secrets, simhash, warc
@@ -295,6 +296,58 @@ def test_warc_salvage_inside_a_member():
     assert ids(bytes(crc) + other) == list("0123456") and len(gaps(bytes(crc) + other)) == 1
 
 
+def test_salvage_is_linear():
+    """20,000 failed checks, in members and in plain archives, with and without good records after them."""
+    import time
+
+    good = warc.record(1, "u", b"x", warc.digest(b"x"), None)
+    bad = [warc.record(i, "u", b"y%d" % i, warc.digest(b"z"), None) for i in range(20000)]
+    headless = b"WARC/1.1\r\nContent-Length: 5\r\n" * 20000
+    for data, n in ((b"".join(map(warc.member, bad)) + warc.member(good), 1), (b"".join(bad) + good, 1), (warc.member(b"".join(bad) + good), 1), (headless, 0), (warc.member(headless), 0), (headless + good, 1)):
+        began = time.time()
+        out = list(warc.salvage(data))
+        assert sum(one is not None for _, one, _, _ in out) == n and 1 <= sum(one is None for _, one, _, _ in out) <= 2
+        assert time.time() - began < 8
+        assert sum(b - a for a, one, b, _ in out if one is None) > 0
+
+
+def test_archives_are_of_bounded_size(spark, monkeypatch, caplog):
+    """Large pages next to each other don't make a large archive; an archive's gaps are logged."""
+    from skein.llm import common
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    pages = spark.createDataFrame([(i, "u", chr(97 + i % 26) * (3000 if i < 20 else 1) + str(i)) for i in range(200)], "page_id bigint, url string, html string")
+    sizes, out = [], []
+    for batch in warc._members([pa.RecordBatch.from_pylist([{"page_id": r.page_id, "url": r.url, "html": r.html.encode(), "owner": None} for r in pages.collect()])]):
+        out += zip(batch.column(1).to_pylist(), (len(warc.gzip.decompress(m.as_py() + b"\0")) for m in batch.column(0)))
+    for number in {n for n, _ in out}:
+        sizes.append(sum(k for n, k in out if n == number))
+    assert max(sizes) <= 4000 and len(sizes) > 10
+    path = common.shared_path(spark, "archives")
+    warc.write_archives(pages, path)
+    assert warc.read_archives(spark, path).where("gap IS NULL").count() == 200
+    broken = common.shared_path(spark, "broken")
+    spark.createDataFrame([("WARC/1.1\r\nnothing",)], "value string").write.text(broken)
+    with caplog.at_level("WARNING", "skein.warc"):
+        assert warc.read_log(warc.read_archives(spark, broken)).count() >= 1
+    assert "quarantined" in caplog.text
+
+
+def test_warc_of_an_empty_table(spark):
+    from skein.llm import common
+
+    path = common.shared_path(spark, "archives")
+    warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
+def test_arrow_settings_stay(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    warc.query(spark, "/root/testdata/sf0.001").count()
+    assert spark.conf.get(name) == before
+
+
 def gzip_end(data):
     import zlib
 
