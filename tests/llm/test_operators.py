@@ -486,6 +486,64 @@ def test_each_place_of_a_license():
         assert len([m for m in licenses.matches(moved, known) if m[0] == "MIT grant"]) == 1
 
 
+def test_license_recall_at_the_edge():
+    """Torn and edited copies that hold 0.8 to 0.9 of a template: an exhaustive search over all runs of words finds no place more."""
+    r = random.Random(8)
+    known = licenses.templates(tuple(licenses.TEMPLATES.items()))
+    wanted = found = 0
+    for t in known.known:
+        text = licenses.words_of(licenses.TEMPLATES[t.name])
+        for _ in range(40):
+            w = [*text]
+            while True:
+                held = len({tuple(w[i : i + t.width]) for i in range(len(w))} & set(t.shingles)) / t.size
+                if held < 0.9 or t.size == 1:
+                    break
+                w[r.randrange(len(w))] = b"other%d" % r.randrange(10**6)
+            lead = words(r.randrange(300), r.random()).encode().split()
+            doc = b" ".join([*lead, *w, *words(40, r.random()).encode().split()])
+            # Exhaustive: a window of twice the template's length at every word.
+            everywhere = doc.split()
+            best = max(len({tuple(everywhere[i : i + t.width]) for i in range(k, min(len(everywhere), k + 2 * len(text)))} & set(t.shingles)) for k in range(max(1, len(everywhere) - len(text))))
+            if best >= licenses.CONTAINMENT * t.size:
+                wanted += 1
+                found += any(m[0] == t.name and len(lead) <= m[1] <= m[2] <= len(lead) + len(w) for m in licenses.matches(doc.decode(), known))
+    assert wanted > 200 and found >= 0.99 * wanted
+
+
+def test_licenses_against_exhaustive_windows(spark):
+    """Every document of a small table against a search that looks at all places, without bands."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    known = licenses.templates(tuple(licenses.TEMPLATES.items())).known
+    for row in docs.collect():
+        w = licenses.words_of(row.text or "")
+        want = set()
+        for t in known:
+            at = [i for i in range(len(w)) if tuple(w[i : i + t.width]) in t.shingles]
+            if any(len({tuple(w[i : i + t.width]) for i in at if lo <= i < lo + t.size + t.group}) >= licenses.CONTAINMENT * t.size for lo in at):
+                want.add(t.name)
+        assert got.get(row.doc_id, set()) == want
+
+
+def test_license_index_grows_with_windows_only():
+    import time
+
+    text = words(3000, 1)
+    took = []
+    for n in (0, 500):
+        more = {f"t{i}": words(20 + i % 150, 5000 + i) for i in range(n)}
+        known = licenses.templates(tuple((licenses.TEMPLATES | more).items()))
+        licenses.matches(text, known)
+        began = time.process_time()
+        for _ in range(20):
+            licenses.matches(text, known)
+        took.append(time.process_time() - began)
+    assert took[1] < 6 * took[0] + 0.2  # 30 times the templates
+
+
 def test_short_license_templates():
     known = licenses.templates(tuple(licenses.TEMPLATES.items()))
     for text, first in (("All rights reserved.", 0), (words(30, 1) + " (c) Someone. ALL RIGHTS RESERVED, " + words(9000, 2), 32)):
