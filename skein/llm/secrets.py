@@ -4,11 +4,14 @@ Everything runs in DataFrame expressions. The fixed rules find assignments, acce
 hex runs. The method then looks at every long run of token characters: two first-order Markov
 models over 64 character classes, one of random strings and one of ordinary identifiers, give a
 log-likelihood ratio, and runs that look random by a margin are secrets too unless they overlap a
-fixed span; so are the long parts, between '/', '_' and '-', of runs that don't. The models are bigram counts of labelled samples: random are strings that the fixed
-rules find and generated ones, identifiers are the other words of the sampled documents.
-
-Spans are kind:start:end in code points, end exclusive. Null and empty texts have none. Repeated
-rows get equal results; an empty table gives an empty result. Only doc_id and text are read.
+fixed span; so are the long parts, between '/', '_' and '-', of runs that don't. The models are
+bigram counts of labelled samples: random are strings that the fixed rules find and generated ones,
+identifiers are the other words of the sampled documents.
+
+Spans are kind:start:end in code points, end exclusive. Null and empty texts have none. Texts of any
+length are read whole; what is done with their matches takes little more than linear time. Repeated
+rows get equal results; an empty table gives an empty result. Only doc_id and text are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
@@ -112,25 +115,45 @@ def train(samples: DataFrame) -> list[float]:
 # ---------------------------------------------------------------- spans
 
 
-def running_totals(values: Column) -> Column:
-    """Sums of an array's first 1, 2, ... values.
+def running_totals(rows: DataFrame, name: str, values: Column) -> DataFrame:
+    """Adds ``name``: the sums of an array's first 1, 2, ... values.
 
     In two levels, by blocks of about the square root of the length, so that a text with very many
-    matches doesn't take time with the square of their number.
+    matches doesn't take time with the square of their number. Each level is a column of its own: an
+    expression inside a lambda would be worked out again for each element.
     """
-    n = F.size(values)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.ceil((n - 1) / width).cast("int")), lambda b: F.slice(values, b * width + 1, width))).otherwise(
-        F.array().cast("array<array<int>>")
-    )
     add = lambda s, x: s + x
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), add))
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b, k: F.transform(b, lambda _, i: F.aggregate(F.slice(totals, 1, k), F.lit(0), add) + F.aggregate(F.slice(b, 1, i + 1), F.lit(0), add)),
-        )
-    )
+    none = F.array().cast("array<int>")
+    n = F.size("__values")
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.ceil((n - 1) / width).cast("int")), lambda b: F.slice("__values", b * width + 1, width))
+    rows = rows.withColumn("__values", values)
+    rows = rows.withColumn("__blocks", F.when(n > 0, cut).otherwise(F.array().cast("array<array<int>>")))
+    rows = rows.withColumn("__sums", F.transform("__blocks", lambda b: F.aggregate(b, F.lit(0), add)))
+    rows = rows.withColumn("__before", F.transform("__sums", lambda _, k: F.when(k > 0, F.aggregate(F.slice("__sums", 1, k), F.lit(0), add)).otherwise(0)))
+    whole = F.zip_with("__blocks", "__before", lambda b, o: F.transform(b, lambda _, i: o + F.aggregate(F.slice(b, 1, i + 1), F.lit(0), add)))
+    return rows.withColumn(name, F.when(n > 0, F.flatten(whole)).otherwise(none)).drop("__values", "__blocks", "__sums", "__before")
+
+
+def clear_of(rows: DataFrame, spans: str, fixed: str) -> DataFrame:
+    """Leaves of ``spans`` those that overlap none of ``fixed``; spans must lie one after another, fixed ones need not.
+
+    All ends are put in one order. A span is met by a fixed one if more of them have begun before its
+    end than have ended by its start.
+    """
+    at = lambda pos, order: F.struct(pos.alias("pos"), F.lit(order).alias("order"))
+    events = F.array_sort(F.concat(
+        F.transform(fixed, lambda f: at(f["end"], 0)), F.transform(spans, lambda s: at(s["start"], 1)),
+        F.transform(spans, lambda s: at(s["end"], 2)), F.transform(fixed, lambda f: at(f["start"], 3)),
+    ))
+    both = (F.size(spans) > 0) & (F.size(fixed) > 0)
+    rows = rows.withColumn("__orders", F.when(both, F.transform(events, lambda e: e["order"])).otherwise(F.array().cast("array<int>")))
+    rows = running_totals(rows, "__begun", F.transform("__orders", lambda o: F.when(o == 3, 1).otherwise(0)))
+    rows = running_totals(rows, "__ended", F.transform("__orders", lambda o: F.when(o == 0, 1).otherwise(0)))
+    pick = lambda counts, order: F.filter(F.zip_with("__orders", counts, lambda o, n: F.when(o == order, n)), lambda n: n.isNotNull())
+    rows = rows.withColumn("__met", F.zip_with(pick("__begun", 2), pick("__ended", 1), lambda begun, ended: begun > ended))
+    free = F.filter(F.zip_with(spans, "__met", lambda s, m: F.when(~m, s)), lambda s: s.isNotNull())
+    return rows.withColumn(spans, F.when(F.size("__met") > 0, free).otherwise(F.col(spans))).drop("__orders", "__begun", "__ended", "__met")
 
 
 def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
@@ -146,8 +169,7 @@ def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
     group = F.when(F.size("assign_m") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).otherwise(empty)
     rows = rows.withColumn("assign_v", F.transform(group, lambda v: F.char_length(v))).drop("text")
     for kind in (*KINDS, "part"):
-        sizes = F.zip_with(f"{kind}_b", f"{kind}_m", lambda b, m: b + F.char_length(m))
-        rows = rows.withColumn(f"{kind}_e", F.when(F.size(f"{kind}_m") > 0, running_totals(sizes)).otherwise(F.array().cast("array<int>")))
+        rows = running_totals(rows, f"{kind}_e", F.zip_with(f"{kind}_b", f"{kind}_m", lambda b, m: b + F.char_length(m)))
     place = lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("m"))
     for kind in (*KINDS, "part"):
         rows = rows.withColumn(kind, F.zip_with(f"{kind}_e", f"{kind}_m", place))
@@ -164,9 +186,11 @@ def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
         return F.filter(scored, lambda s: (s["score"] >= MARGIN) & (s["score"] >= MARGIN_EACH * s["n"]) & (s["letters"] >= DIFFERENT))
 
     rows = rows.withColumn("fixed", fixed).withColumn("random", likely("random")).withColumn("part", likely("part"))
-    clear = lambda kind, of: F.filter(kind, lambda s: ~F.exists(of, lambda f: (f["start"] < s["end"]) & (s["start"] < f["end"])))
-    rows = rows.withColumn("random", clear("random", "fixed")).withColumn("part", clear("part", "fixed"))
-    apart = F.array_sort(F.concat(F.transform("random", bare), F.transform(clear("part", "random"), bare)))
+    for kind in ("random", "part"):
+        rows = rows.withColumn(kind, F.transform(kind, bare))
+    for kind, other in (("random", "fixed"), ("part", "fixed"), ("part", "random")):
+        rows = clear_of(rows, kind, other)
+    apart = F.array_sort(F.concat("random", "part"))
     return rows.select("doc_id", *(F.transform(k, bare).alias(k) for k in KINDS[:3]), apart.alias("random"))
 
 
