@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.shipping import ship  # noqa: F401
-from skein.sources.staging import arrow_batches, running, scratch, shared_path, staged  # noqa: F401
+from skein.sources.staging import arrow_batches, remove, running, scratch, shared_path, staged  # noqa: F401
 
 #: The white space of every word definition here: space and U+0009 to U+000D.
 SPACE = "\t\n\x0b\x0c\r "

@@ -36,19 +36,53 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, batch) in ``path``, in buckets sorted by digest.
+    """A table (digest, keep_id, batch) below ``path``, in buckets sorted by digest.
 
-    The folder persists; another session opens it again with the same path, buckets and type of id.
+    The folder persists, and another session opens it again by its path. Its layout is written beside
+    the files: opening it with other buckets, or another type of id, is refused. Each batch adds a
+    file to a bucket; ``compact`` makes one of them again.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, id_type: str = "bigint"):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id {id_type}, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+        self.spark, self.path, self.buckets, self.id_type = spark, path, buckets, id_type
+        self.layout = f"{path}/layout"
+        known = self._layout()
+        if known is None:
+            self._write_layout(0)
+            known = self._layout()
+        if (known["buckets"], known["id_type"]) != (buckets, id_type):
+            raise ValueError(f"the index in {path} has {known['buckets']} buckets and ids of type {known['id_type']}, not {buckets} and {id_type}")
+        self._open(known["generation"])
+
+    def _layout(self):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.layout)
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return self.spark.read.schema("generation int, buckets int, id_type string").json(self.layout).orderBy(F.desc("generation")).first()
+
+    def _write_layout(self, generation: int) -> None:
+        self.spark.range(1).select(F.lit(generation).alias("generation"), F.lit(self.buckets).alias("buckets"), F.lit(self.id_type).alias("id_type")).coalesce(1).write.mode("append").json(self.layout)
+
+    def _open(self, generation: int) -> None:
+        self.generation, place = generation, f"{self.path}/generation-{generation}"
+        self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, place).hex}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id {self.id_type}, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{place}'"
         )
 
+    def compact(self) -> None:
+        """One sorted file a bucket, as a new generation; the old one stays valid until the layout names the new one, then goes."""
+        old, place = self.table, f"{self.path}/generation-{self.generation}"
+        # Read as plain files: of a bucketed table the planner would leave the exchange out.
+        rows = self.spark.read.schema(self.read().schema).parquet(place)
+        self._open(self.generation + 1)
+        rows.repartition(self.buckets, "digest").write.mode("overwrite").insertInto(self.table)
+        self._write_layout(self.generation)
+        self.spark.catalog.refreshTable(self.table)
+        self.spark.sql(f"DROP TABLE {old}")
+        common.remove(self.spark, place)
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
