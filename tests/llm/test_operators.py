@@ -39,7 +39,27 @@ def test_digest_index_persists(spark, odd):
     assert index.read().count() == 4
 
 
-@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, simhash.near_dedup, mixing.mix, quality.quality, bpe.digests, secrets.scan, licenses.scan])
+def test_digest_index_reopens_and_compacts(spark, odd):
+    from skein.llm import common
+
+    index = exact_dedup.new_index(odd)
+    index.add(odd, "a").count()
+    more = spark.createDataFrame([(50 + i, f"text {i}", "en", "a", 0, "x", 1) for i in range(40)], DOCS)
+    index.add(more, "b").count()
+    again = exact_dedup.DigestIndex(spark, index.path, index.buckets)
+    assert again.read().count() == 44 and again.add(more, "c").where("kept").count() == 0
+    with pytest.raises(ValueError, match="buckets"):
+        exact_dedup.DigestIndex(spark, index.path, index.buckets * 2)
+    before = sorted(map(tuple, again.read().collect()))
+    again.compact()
+    assert sorted(map(tuple, again.read().collect())) == before
+    files = [r[0] for r in again.read().selectExpr("input_file_name()").distinct().collect()]
+    assert len(files) <= again.buckets and len({f.rsplit("_", 1)[1][:5] for f in files}) == len(files)
+    last = exact_dedup.DigestIndex(spark, index.path, index.buckets)
+    assert last.generation == 1 and last.add(more, "d").where("kept").count() == 0 and last.add(odd.limit(0), "e").count() == 0
+
+
+@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, simhash.near_dedup, simhash.deduplicated, mixing.mix, mixing.mixed, quality.quality, quality.passed, bpe.digests, secrets.scan, licenses.scan])
 def test_empty_tables(odd, run):
     assert run(odd.limit(0)).count() == 0
 
@@ -82,6 +102,69 @@ def test_fingerprints(odd):
     assert simhash.deduplicated(odd).columns == odd.columns
 
 
+def test_fingerprints_bit_by_bit(spark):
+    import xxhash
+
+    for row in simhash.query(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id").collect():
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in row.text or "").encode().split()
+        shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        want = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+        assert row.fingerprint == f"{want:016x}"
+
+
+def test_close_fingerprints_under_one_key(spark):
+    """20,000 fingerprints that share a segment: the links stay few, the components are those of brute force."""
+    r = random.Random(4)
+    prints = set()
+    while len(prints) < 20000:
+        prints.add(0x3ABCDE | (r.getrandbits(14) << 30) | (r.getrandbits(3) << 60))
+    order = sorted(prints)
+    signed = lambda p: int(np.uint64(p).astype(np.int64))
+    rows = spark.createDataFrame([(i, signed(p)) for i, p in enumerate(order)], "doc_id bigint, fp bigint")
+    number, parent = {p: i for i, p in enumerate(order)}, list(range(len(order)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    bits = [*range(30, 44), *range(60, 63)]
+    flips = [1 << a for a in bits] + [1 << a | 1 << b for a in bits for b in bits if a < b]
+    flips += [f | 1 << c for f in flips[len(bits) :] for c in bits if 1 << c > f]
+    for p, i in number.items():
+        for f in flips:
+            if (j := number.get(p ^ f)) is not None:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    got = {x.fp: x.component_id for x in simhash.components_of(rows).collect()}
+    assert all(got[signed(p)] == root(i) for p, i in number.items())
+
+
+def test_prefixes_of_related_texts(spark):
+    """Edits of one text, most pairs of which are below 0.8: all links are found, few other pairs are looked at."""
+    from skein.llm import resemblance
+
+    r = random.Random(17)
+    base, texts = words(150, 77).split(), []
+    for i in range(400):
+        w = [*base]
+        for _ in range(r.randint(1, 14)):
+            w[r.randrange(len(w))] = "e" + str(r.randrange(40))
+        texts.append(" ".join(w))
+    sets = [resemblance.shingles_of(t.encode().split()) for t in texts]
+    links = {(i, j) for i in range(400) for j in range(400) if i != j and resemblance.alike(sets[i], sets[j])}
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "fp bigint, text binary")
+    pairs = {(x.a, x.b) for x in resemblance.prefix_pairs(rows, spark.range(400).selectExpr("id fp", "id label")).collect()}
+    assert links <= pairs | {(b, a) for a, b in pairs}
+    assert len(pairs) < 0.4 * 400 * 399 / 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.root for x in resemblance.near_roots(docs).collect()}
+    for i, j in links:
+        assert got[i] == got[j]
+
+
 def test_near_stage_against_brute_force(spark):
     """Five-word Jaccard similarity of 0.8 links, whatever the fingerprints' distance."""
     r = random.Random(21)
@@ -191,6 +274,91 @@ def test_repeated_words_against_brute_force():
         assert quality.repeated_words(w) == len(hit)
 
 
+def test_quality_against_brute_force(spark):
+    """Every column of op1 over a whole table, in plain Python."""
+    import math
+    import re
+    import unicodedata as u
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.doc_id: r for r in quality.query(spark, "/root/testdata/sf0.001").collect()}
+    marks, facts = ".,;:!?\"'()", {}
+
+    def kind(c):
+        if c == "\n":
+            return "line"
+        if c in "\t\x0b\x0c\r " or u.category(c) == "Zs":
+            return "space"
+        if c in "#*$%&|<>":
+            return "symbol"
+        if c in ".,:;\"'()-":
+            return "stop"
+        if c in "!?":
+            return "mark"
+        first = u.category(c) if ord(c) < 0x10000 else "Cn"
+        accent = "" if ord(c) < 128 else "accented "
+        return accent + "lower" if first in ("Ll", "Lo") else accent + "upper" if first == "Lu" else "digit" if first == "Nd" else "other"
+
+    for d in docs:
+        text = d.text or ""
+        w = re.findall("[^\\x20\\x09-\\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search("[^\\x20\\x09-\\x0D]", x)]
+        eights = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        often = {e for e in eights if eights.count(e) > 1} if len(eights) < 3000 else {e for e, n in __import__("collections").Counter(eights).items() if n > 1}
+        repeated = {j for i, e in enumerate(eights) if e in often for j in range(i, i + 8)}
+        failed = len(w) < 20 or 100 * len(repeated) > 30 * len(w)
+        lower = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(marks)) for x in w]
+        hits = {lang: sum(x in quality.COMMON_WORDS[lang] for x in lower) for lang in quality.LANGS}
+        lang = d.lang if d.lang in hits else max(quality.LANGS, key=hits.get)
+        if d.lang not in hits and hits[lang] < 0.05 * len(w):
+            lang = None
+        classes = [0] * len(quality.CLASSES)
+        for c in text:
+            classes[quality.CLASSES.index(kind(c))] += 1
+        hist = [lower.count(x) for x in quality.COMMON_WORDS[lang]] if lang else []
+        hist += [0] * (quality.WORD_BINS - 1 - len(hist))
+        hist.append(len(w) - sum(hist))
+        facts[d.doc_id] = lang, failed, classes, hist, len(w)
+        row = got[d.doc_id]
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.base_failed) == (
+            len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated), failed)
+
+    def distance(hist, ref):
+        total = sum(hist)
+        if not total or ref is None:
+            return None
+        p = [h / total for h in hist]
+        entropy = lambda v: -sum(x * math.log2(x) for x in v if x > 0)
+        return math.sqrt(max(0, entropy([(a + b) / 2 for a, b in zip(p, ref)]) - (entropy(p) + entropy(ref)) / 2))
+
+    chosen = {i for i, f in facts.items() if not f[1]}
+    for last in (False, True):
+        refs = {}
+        for lang in quality.LANGS:
+            own = [facts[i] for i in chosen if facts[i][0] == lang]
+            refs[lang] = [[sum(c) / max(1, sum(map(sum, zip(*[f[k] for f in own])))) for c in zip(*[f[k] for f in own])] if own else None for k in (2, 3)]
+        kept = set()
+        for i, (lang, failed, classes, hist, n) in facts.items():
+            a, b = (distance(h, refs[lang][k] if lang else None) for k, h in enumerate((classes, hist)))
+            far = n >= 20 and (a or 0) > 0.10 + 1.5 / math.sqrt(n) or n >= 40 and (b or 0) > 0.15 + 1.35 / math.sqrt(n)
+            if not failed and not far:
+                kept.add(i)
+            if last:
+                for mine, theirs in ((a, got[i].class_distance), (b, got[i].word_distance)):
+                    assert (mine is None) == (theirs is None) and (mine is None or abs(mine - theirs) < 1e-6)
+        chosen = kept
+    assert kept == {i for i, r in got.items() if r.kept} and 0 < len(kept) < len(facts)
+
+
+def test_languages_without_a_reference_are_not_judged(spark):
+    """Prose of a language without a list stays, if the base rules keep it."""
+    r = random.Random(31)
+    russian = [" ".join("".join(r.choice("абвгдежзиклмнопрстуя") for _ in range(r.randint(2, 9))) for _ in range(90)) for _ in range(5)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**6 + i, t, None if i % 2 else "ru") for i, t in enumerate(russian)], docs.schema)
+    assert quality.quality(docs.unionByName(more)).where(f"doc_id >= {10**6} AND kept").count() == 5
+
+
 def test_quality(spark, odd):
     good = [(i, " ".join(random.Random(i * 1000 + k).choice("the of and to in a is that it for on was with as".split()) + " " + words(1, i * 99 + k) for k in range(1, 80)), "en", "s", 0, "x", 1) for i in range(60)]
     bad = [(100 + i, " ".join(f"{w}$$$" for w in words(90, 500 + i).split()), "en", "s", 0, "x", 1) for i in range(3)]
@@ -258,8 +426,62 @@ def test_running_totals(spark):
 
     for n in (0, 1, 2, 5, 50):
         values = list(range(1, n + 1))
-        row = spark.createDataFrame([(values,)], "v array<int>").select(secrets.running_totals(F.col("v"))).first()[0]
-        assert row == [sum(values[: i + 1]) for i in range(n)]
+        row = secrets.running_totals(spark.createDataFrame([(values,)], "v array<int>"), "t", F.col("v")).first()
+        assert row.t == [sum(values[: i + 1]) for i in range(n)]
+
+
+def test_spans_clear_of_others(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(80):
+        cuts = sorted(r.sample(range(60), 2 * r.randint(0, 8)))
+        rows.append((list(zip(cuts[::2], cuts[1::2])), [(a, a + r.randint(1, 9)) for a in r.sample(range(60), r.randint(0, 5))]))
+    kind = "array<struct<start int, end int>>"
+    got = secrets.clear_of(spark.createDataFrame(rows, f"s {kind}, f {kind}").repartition(1), "s", "f").collect()
+    want = [[s for s in spans if not any(a < s[1] and s[0] < b for a, b in fixed)] for spans, fixed in rows]
+    assert sorted([tuple(x) for x in g.s] for g in got) == sorted(want)
+
+
+def base_spans(text):
+    """The rules by Python's re, as they are written down."""
+    import re
+
+    out = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for i, (kind, pattern, least) in enumerate((("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16))):
+        out += [(m.start(), i + 1, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return [x for *_, x in sorted(out)]
+
+
+def test_base_secrets_against_brute_force(spark, tmp_path):
+    """Every document of a table, and lines made of the rules' own pieces, through the query."""
+    r = random.Random(9)
+    pieces = ["password", "PassWd", "secret", "api_key", "APIKEY", "token", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH01234567", "deadbeef", "0123456789abcdef", "x" * 11, "y" * 12, "é", "😀", "\n", ".", "/", "-"]
+    made = [(10**6 + i, "".join(r.choice(pieces) for _ in range(r.randint(1, 25)))) for i in range(400)] + [(10**7, None), (10**7 + 1, "token=" + "z1" * 30000 + " deadbeefdeadbeef" * 3000)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    spark.createDataFrame(made, docs.schema).unionByName(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    for x in secrets.query(spark, str(tmp_path)).collect():
+        want = base_spans(texts[x.doc_id])
+        assert x.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+        assert set(want) <= set(x.spans.split(",") if x.spans else []) and want == [w for w in x.spans.split(",") if w and not w.startswith("random")]
+
+
+def test_many_matches_in_one_text(spark):
+    """10,000 secrets of each kind in one text take seconds."""
+    import time
+
+    r = random.Random(5)
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) for _ in range(10000)]
+    text = " ".join(f"token={k} {k[::-1]} deadbeef{i:08x}" for i, k in enumerate(keys))
+    model = secrets.train(secrets.labelled_samples(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    began = time.time()
+    row = secrets.spans(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).first()
+    assert len(row.assign) == 10000 and len(row.random) > 9000 and time.time() - began < 60
+    assert {text[s.start : s.end] for s in row.random} <= {k[::-1] for k in keys}
 
 
 def test_warc_salvage():
@@ -592,17 +814,39 @@ def test_long_chats_have_parts(spark, monkeypatch):
 
 
 def test_pipeline(spark):
-    """The stages against plain Python over what the first stage kept."""
+    """Every stage against plain Python over what the stage before it kept."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, "")
     first = {r.doc_id: r.text for r in kept.collect()}
+    assert set(first) == {r.doc_id for r in quality.quality(docs).where("kept").collect()}
     groups: dict = {}
     for i, text in first.items():
-        groups.setdefault("".join(text.split()), []).append((-len(text), i))
+        groups.setdefault("".join(text.split(" ")).translate({c: None for c in range(9, 14)}), []).append((-len(text), i))
     want = {min(g)[1] for g in groups.values()}
     exact = corpus_pipeline.exact(spark, kept, "")
     assert {r.doc_id for r in exact.collect()} == want and exact.columns == docs.columns
+    sets = {}
+    for i in want:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in first[i]).encode().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+    group = {i: i for i in want}
+    while True:
+        links = [(a, b) for a in want for b in want if group[a] < group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+        if not links:
+            break
+        for a, b in links:
+            low, high = sorted((group[a], group[b]))
+            group = {i: low if g == high else g for i, g in group.items()}
     near = corpus_pipeline.near(spark, exact, "")
-    assert {r.doc_id for r in near.collect()} <= want
-    out = corpus_pipeline.tokens(spark, corpus_pipeline.mix(spark, near, ""), "").collect()
+    assert {r.doc_id for r in near.collect()} == set(group.values()) and near.columns == docs.columns
+    mixed = corpus_pipeline.mix(spark, near, "")
+    taken = {r.doc_id: r.copies for r in mixing.mix(near).collect() if r.copies}
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(i for i, n in taken.items() for _ in range(n)) and mixed.columns == docs.columns
+    out = corpus_pipeline.tokens(spark, mixed, "").collect()
+    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in mixed.collect())
     assert out and all(hashlib.sha256(first[r.doc_id].encode()).hexdigest() == r.decoded_sha256 for r in out)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
