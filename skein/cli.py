@@ -83,7 +83,7 @@ def live_crawl(config, stopped):
     def robots_file(address: str) -> dict:
         got = fetch(address)
         if got["error_kind"] is None and 200 <= (got["status_code"] or 0) < 300:
-            rules = robots_rules.parse(got["body"] or "", config.user_agent.split("/")[0].split()[0])
+            rules = robots_rules.parse(got["body"] or "", robots_rules.product_token(config.user_agent))
             if rules.delay is not None and rules.delay * 1000 > config.min_interval_ms:
                 gap["ms"] = int(min(robots_rules.DELAY_CAP_MS, rules.delay * 1000))
         return got

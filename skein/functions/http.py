@@ -12,7 +12,7 @@ WAIT_CAP = 5000
 
 
 def is_html(content_type: Column) -> Column:
-    media = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+    media = F.lower(F.regexp_replace(F.substring_index(content_type, ";", 1), r"^\s+|\s+$", ""))
     return F.coalesce(media.isin("text/html", "application/xhtml+xml"), F.lit(False))
 
 
@@ -39,11 +39,25 @@ def backoff_ms(retry: Column, base_ms: Column) -> Column:
     return F.least(F.lit(float(WAIT_CAP)), base_ms * F.pow(F.lit(2.0), retry - 1)).cast("bigint")
 
 
+#: The three forms of an HTTP date without the day's name, as patterns: what to match, what to read it as.
+_DATES = (
+    (r"^[A-Za-z]{3}, (\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d) (?:GMT|UTC)$", "d MMM yyyy HH:mm:ss Z"),
+    (r"^[A-Za-z]{6,9}, (\d\d-[A-Za-z]{3}-\d\d \d\d:\d\d:\d\d) (?:GMT|UTC)$", "dd-MMM-yy HH:mm:ss Z"),
+    (r"^[A-Za-z]{3} ([A-Za-z]{3} +\d{1,2} \d\d:\d\d:\d\d \d{4})$", "MMM d HH:mm:ss yyyy Z"),
+)
+
+
+def http_date_ms(text: Column) -> Column:
+    """Milliseconds of an HTTP date, which is in UTC whatever the session's zone; null if it is none."""
+    read = lambda pattern, form: F.unix_millis(F.try_to_timestamp(F.concat(F.regexp_replace(F.regexp_extract(text, pattern, 1), " +", " "), F.lit(" +0000")), F.lit(form)))
+    return F.coalesce(*(F.when(text.rlike(pattern), read(pattern, form)) for pattern, form in _DATES))
+
+
 def retry_after_ms(header: Column, now_ms: Column) -> Column:
     """Seconds, or an HTTP date from now on; null if neither."""
     text = F.trim(header)
-    date = F.try_to_timestamp(F.regexp_extract(text, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.when(text.rlike(r"^\d+$"), text.try_cast("bigint") * 1000).when(date.isNotNull(), F.greatest(F.lit(0), F.unix_millis(date) - now_ms))
+    date = http_date_ms(text)
+    return F.when(text.rlike(r"^\d+$"), text.try_cast("bigint") * 1000).when(date.isNotNull(), F.greatest(F.lit(0), date - now_ms))
 
 
 def retry_wait_ms(status: Column, retry_after: Column, attempt: Column, base_ms: Column, now_ms: Column) -> Column:

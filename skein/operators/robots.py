@@ -27,7 +27,7 @@ def parse(text: str, token: str) -> Rules:
     groups: dict[str, Rules] = {}
     agents: list[str] = []
     in_rules = False
-    for line in text.lstrip("﻿").splitlines():
+    for line in re.split(r"\r\n|\r|\n", text.lstrip("\ufeff")):
         name, colon, value = line.split("#", 1)[0].partition(":")
         name, value = name.strip().lower(), value.strip()
         if not colon:
@@ -57,23 +57,75 @@ def regex_of(pattern: str) -> str:
     return f"^{body}" + ("$" if end else "")
 
 
+def product_token(user_agent: str) -> str:
+    """What stands before the first slash or white space."""
+    return re.split(r"[/\s]", user_agent, maxsplit=1)[0]
+
+
+class Matcher:
+    """The rules of one file, for many paths: plain prefixes by a table of their own, patterns one by one."""
+
+    def __init__(self, rules: list[tuple[bool, str]]):
+        self.plain: dict[str, bool] = {}
+        self.patterns: dict[str, tuple[re.Pattern, bool]] = {}
+        for allow, p in rules:
+            if "*" in p or p.endswith("$"):
+                self.patterns[p] = re.compile(regex_of(p)), allow or self.patterns.get(p, (None, False))[1]
+            else:
+                self.plain[p] = allow or self.plain.get(p, False)
+        self.lengths = sorted({len(p) for p in self.plain})
+        self.longest = sorted(self.patterns, key=len, reverse=True)
+
+    def allows(self, path: str) -> bool:
+        """The longest matching rule decides; allow wins a tie; without a match the path is allowed."""
+        best = (0, True)
+        for n in self.lengths:
+            if n > len(path):
+                break
+            if (allow := self.plain.get(path[:n])) is not None:
+                best = max(best, (n, allow)) if n == best[0] else (n, allow)
+        for p in self.longest:
+            if len(p) < best[0]:
+                break
+            pattern, allow = self.patterns[p]
+            if (len(p), allow) > best and pattern.match(path):
+                best = (len(p), allow)
+        return best[1]
+
+
 def allowed_path(path: str, rules: list[tuple[bool, str]]) -> bool:
-    """The longest matching rule decides; allow wins a tie; without a match the path is allowed."""
-    best = max(((len(p), allow) for allow, p in rules if re.match(regex_of(p), path)), default=(0, True))
-    return best[1]
+    return Matcher(rules).allows(path)
+
+
+#: More rules than this are matched by a function over the paths, as an expression with a branch for each has no end.
+BRANCHES = 64
 
 
 def allowed(url: Column, rules: list[tuple[bool, str]]) -> Column:
-    """The same decision over URLs, in the JVM; a robots file's size, and so their number, is capped."""
+    """The same decision over URLs; what a robots file may hold is capped in bytes, so its rules can be sent along."""
     if not rules:
         return F.lit(True)
     place = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1)
     place = F.when(place.startswith("/"), place).otherwise(F.concat(F.lit("/"), place))
+    if len(rules) > BRANCHES:
+        return _matches(rules)(place)
     found = F.array(*(F.when(place.rlike(regex_of(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(allow).alias("allow"))) for allow, p in rules))
     best = F.array_max(F.filter(found, lambda x: x.isNotNull()))
     return F.coalesce(best["allow"], F.lit(True))
 
 
+def _matches(rules: list[tuple[bool, str]]):
+    own: list[Matcher] = []
+
+    @F.pandas_udf("boolean")
+    def match(paths):
+        if not own:
+            own.append(Matcher(rules))
+        return paths.map(own[0].allows)
+
+    return match
+
+
 def outcome(status: Column, error: Column) -> Column:
     """parsed, allow-all or unavailable from the last response of robots.txt."""
     return F.when(error.isNotNull(), "unavailable").when(status.between(200, 299), "parsed").when(status.between(400, 499) & (status != 429), "allow-all").otherwise("unavailable")

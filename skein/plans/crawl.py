@@ -13,14 +13,17 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import http, url, weburl
 from skein.operators import robots as robots_rules
 from skein.plans.config import CrawlConfig
-from skein.sources.staging import ranked, staged
+from skein.shipping import ship
+from skein.sources.staging import ranked, running, scratch, staged
+from skein.sources.stored import StoredWeb, stored
 
 HOP_LIMIT = 5
 PAGES = (
@@ -65,12 +68,12 @@ def tally(pages: DataFrame, state: str, column: str) -> DataFrame:
     return some.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "name")
 
 
-def _walk(gen: DataFrame, web: DataFrame | Source, config: CrawlConfig, start_origin: str, rules: list, redirects: bool) -> DataFrame:
+def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_origin: str, rules: list, redirects: bool) -> DataFrame:
     """Follows each row's responses; adds its end and ``hops``, the aliased keys with what was known at each."""
     rows = gen.withColumns({"at": F.col("spelling"), "hops": F.array().cast(HOP), "tried": F.lit(0)})
     done = None
     for hop in range(HOP_LIMIT + 1):
-        answers = web(rows.select(F.col("at").alias("url"))) if callable(web) else web
+        answers = web(rows.select(F.col("at").alias("url"))).withColumn("n_links", F.size("links")) if callable(web) else web.pages
         got = rows.join(answers.withColumnRenamed("url", "at"), "at", "left")
         got = got.withColumns({"status_code": F.when(F.col("error_kind").isNull(), F.coalesce("status_code", F.lit(404))).otherwise(F.col("status_code")), "tried": F.col("tried") + F.coalesce("attempts", F.lit(1))})
         status = F.col("status_code")
@@ -85,13 +88,14 @@ def _walk(gen: DataFrame, web: DataFrame | Source, config: CrawlConfig, start_or
         got = got.withColumn("to_key", F.when(F.col("to").isNotNull(), url.exact_key(F.col("to"))))
         to = F.col("to")
         scheme = F.regexp_extract(to, "^([a-z][a-z0-9+.-]*):", 1)
+        named = F.coalesce(to.rlike("^[a-z][a-z0-9+.-]*://[^/?#]*@"), F.lit(False))
         chain = F.concat(F.array("key"), F.transform("hops", lambda h: h["key"]))
         skip = (
-            F.when(redirect & to.isNotNull() & ~scheme.isin("http", "https"), "redirect-off-origin")
+            F.when(redirect & to.isNotNull() & ~scheme.isin("http", "https") & ~named, "redirect-off-origin")
             .when(redirect & F.col("to_key").isNotNull() & ~url.origin(to).eqNullSafe(F.lit(start_origin)), "redirect-off-origin")
             .when(~redirect & status.between(200, 299) & ~html, "non-html")
         )
-        bad = redirect & (F.col("location").isNull() | (F.col("location") == "") | to.isNull() | (scheme.isin("http", "https") & F.col("to_key").isNull()))
+        bad = redirect & (F.col("location").isNull() | (F.col("location") == "") | to.isNull() | named | (scheme.isin("http", "https") & F.col("to_key").isNull()))
         error = (
             F.when(F.col("error_kind").isNotNull(), F.col("error_kind"))
             .when(redirect & F.lit(hop >= HOP_LIMIT), "redirect-limit")
@@ -123,8 +127,8 @@ def _walk(gen: DataFrame, web: DataFrame | Source, config: CrawlConfig, start_or
     return done
 
 
-def _settled(ends: DataFrame, cut: DataFrame | None, hashes: DataFrame, config: CrawlConfig, start_origin: str) -> DataFrame:
-    """The rows' states, given at which hop a row met a key of an earlier one (cut)."""
+def _settled(ends: DataFrame, cut: DataFrame | None, hashes: DataFrame | None, config: CrawlConfig, start_origin: str) -> DataFrame:
+    """The rows' states, given at which hop a row met a key of an earlier one (cut); hashes: the bodies seen, None to take repeats too."""
     rows = ends.withColumn("met", F.lit(None).cast("int")) if cut is None else ends.join(cut, "sequence", "left")
     met = F.col("met").isNotNull()
     there = F.element_at("hops", F.col("met"))
@@ -141,13 +145,14 @@ def _settled(ends: DataFrame, cut: DataFrame | None, hashes: DataFrame, config:
         }
     ).withColumn("aliases", F.transform("trail", lambda h: h["key"]))
     fine = F.col("errorKind").isNull() & F.col("skipReason").isNull()
-    sha = F.when(fine & F.lit(config.dedupe_content), F.col("sha"))
-    rows = rows.withColumns({"_sha": sha, "n_links": F.when(fine, F.coalesce(F.size("links"), F.lit(0)))})
-    known = hashes.withColumn("_known", F.lit(True))
-    rows = rows.join(known, rows["_sha"] == known["known_sha"], "left").drop("known_sha")
-    first = F.row_number().over(Window.partitionBy("_sha").orderBy("sequence")) == 1
-    again = F.col("_sha").isNotNull() & (F.col("_known").isNotNull() | ~first)
-    rows = rows.withColumn("skipReason", F.when(again, "duplicate-content").otherwise(F.col("skipReason")))
+    rows = rows.withColumns({"_sha": F.when(fine, F.col("sha")), "n_links": F.when(fine, F.coalesce("n_links", F.lit(0)))})
+    if hashes is not None:
+        # Each body's first page, known ones first of all; rows without a body must not meet under one key.
+        own = rows.where("_sha IS NOT NULL").select(F.col("_sha").alias("_body"), F.col("sequence").alias("_first"))
+        firsts = own.unionByName(hashes.select(F.col("known_sha").alias("_body"), F.lit(-1).cast("bigint").alias("_first"))).groupBy("_body").agg(F.min("_first").alias("_first"))
+        rows = rows.withColumn("_body", F.coalesce("_sha", F.concat(F.lit("-"), F.col("sequence").cast("string")))).join(firsts, "_body", "left").drop("_body")
+        again = F.col("_sha").isNotNull() & (F.col("_first") != F.col("sequence"))
+        rows = rows.withColumn("skipReason", F.when(again, "duplicate-content").otherwise(F.col("skipReason"))).drop("_first")
     fine = F.col("errorKind").isNull() & F.col("skipReason").isNull()
     other = F.col("canonical_key").isNotNull() & (F.col("canonical_key") != F.col("key")) & url.origin(F.col("canonical_url")).eqNullSafe(F.lit(start_origin))
     canonical = fine & other & F.lit(config.respect_canonical)
@@ -158,17 +163,21 @@ def _settled(ends: DataFrame, cut: DataFrame | None, hashes: DataFrame, config:
             "state": F.when(F.col("errorKind").isNotNull(), "failed").when(canonical | F.col("skipReason").isNotNull(), "skipped").otherwise("ok"),
             "byteLength": F.when(F.col("statusCode").between(200, 299) & http.is_html(F.col("contentType")) & ~F.col("met").isNotNull(), F.col("byte_length")),
         }
-    ).drop("_known", "_sha")
+    ).drop("_sha")
 
 
-def _claims(rows: DataFrame) -> DataFrame:
+def _claims(rows: DataFrame, web: StoredWeb | Source) -> DataFrame:
     """(claimed, sequence, kind, position, spelling, depth, parent): what each row claims, first spelling of a link first."""
     base = ["sequence", "depth", F.col("key").alias("parent")]
     none = F.lit(None).cast("string")
     alias = rows.select(*base, F.posexplode("aliases").alias("n", "claimed")).select("sequence", "depth", "parent", "claimed", F.lit(0).alias("kind"), none.alias("spelling"))
     canon = rows.where("to_canonical").select(*base, F.col("canonical_key").alias("claimed"), F.lit(1).alias("kind"), F.col("canonical_url").alias("spelling"))
-    links = rows.where("expands").select(*base, F.posexplode("links").alias("n", "link"))
-    links = links.groupBy("sequence", "depth", "parent", F.col("link.key").alias("claimed")).agg(F.min_by("link.url", "n").alias("spelling"))
+    wide = rows.where("expands")
+    if callable(web):
+        links = wide.select(*base, F.posexplode("links").alias("n", "link")).select("sequence", "depth", "parent", "n", "link.url", "link.key")
+    else:
+        links = wide.select(*base, F.col("at").alias("from_url")).join(web.links, "from_url").select("sequence", "depth", "parent", "n", "url", "key")
+    links = links.groupBy("sequence", "depth", "parent", F.col("key").alias("claimed")).agg(F.min_by("url", "n").alias("spelling"))
     links = links.select("sequence", F.col("depth") + 1, "parent", "claimed", F.lit(2), "spelling").toDF("sequence", "depth", "parent", "claimed", "kind", "spelling")
     return alias.unionByName(canon).unionByName(links)
 
@@ -187,25 +196,38 @@ def _meets(ends: DataFrame, seen: DataFrame, first: DataFrame | None) -> DataFra
     return met.groupBy("sequence").agg((F.min("n") + 1).cast("int").alias("met"))
 
 
-def crawl(spark: SparkSession, config: CrawlConfig, web: DataFrame | Source, robots_web: dict | Callable | None = None, stopped: Callable[[], bool] = lambda: False) -> CrawlResult:
-    """Crawls a stored web: url, status_code, content_type, location, error_kind, error_message, attempts, byte_length, sha, links (url, key), canonical_url, canonical_key.
+def crawl(
+    spark: SparkSession, config: CrawlConfig, web: DataFrame | StoredWeb | Source, robots_web: dict | Callable | None = None,
+    stopped: Callable[[], bool] = lambda: False, clock: Callable[[], float] = time.time,
+) -> CrawlResult:
+    """Crawls a stored web: url, status_code, content_type, location, error_kind, error_message, attempts, retries, byte_length, sha, links (url, key), canonical_url, canonical_key.
 
     URLs that aren't stored answer 404. A live web is a function from URLs to such rows. robots_web:
     the responses of robots.txt files by URL, or a function that gets one. stopped: asked before each
-    generation; once it says so, what waits stays queued and the crawl was interrupted.
+    generation; once it says so, what waits stays queued and the crawl was interrupted. clock gives
+    the time in seconds.
     """
-    started = int(time.time() * 1000)
+    ship(spark)
+    with scratch() as keep:
+        return _crawl(spark, config, web, robots_web, stopped, clock, keep)
+
+
+#: Parts of what has been seen that are read side by side, before they are written as one.
+SEEN_PARTS = 16
+
+
+def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
+    started = int(clock() * 1000)
     start = str(weburl.parse(config.start_url))
     start_key, start_origin = weburl.canonical_key(start), weburl.parse(start).origin
-    token = config.user_agent.split("/")[0].split()[0] if config.user_agent.split() else config.user_agent
-    robots = robots_rules.load(start_origin, token, config.respect_robots, robots_web if callable(robots_web) else (robots_web or {}).get)
-    web = web if callable(web) else staged(web, "web")
-    redirects = callable(web) or not web.where(F.col("status_code").isin(*http.REDIRECTS)).isEmpty()
+    robots = robots_rules.load(start_origin, robots_rules.product_token(config.user_agent), config.respect_robots, robots_web if callable(robots_web) else (robots_web or {}).get)
+    web = web if callable(web) else stored(web)
+    redirects = callable(web) or not web.pages.where(F.col("status_code").isin(*http.REDIRECTS)).isEmpty()
     queued = spark.createDataFrame([(0, start_key, start, None, 0)], "created_ord bigint, key string, spelling string, discovered_from string, depth int")
     queued = queued.withColumns({"sequence": F.col("created_ord"), "parent_sequence": F.lit(-1).cast("bigint")})
-    seen = spark.createDataFrame([(start_key, 0)], "claimed string, owner bigint")
-    hashes = spark.createDataFrame([], "known_sha string")
-    created, sequence, reserved, stop, spent = 1, 1, 1, "completed", robots.attempts
+    seen = [spark.createDataFrame([(start_key, 0)], "claimed string, owner bigint")]
+    hashes = [spark.createDataFrame([], "known_sha string")]
+    created, sequence, reserved, waiting, stop, spent = 1, 1, 1, 1, "completed", robots.attempts
     pages, generations = [], 0
     shape = [*COLUMNS, "created_ord", "sequence", "reserved", "parent_sequence", "trail", "n_links"]
 
@@ -214,8 +236,14 @@ def crawl(spark: SparkSession, config: CrawlConfig, web: DataFrame | Source, rob
         own = {"canonicalUrl": F.col("key"), "requestedUrl": F.col("spelling"), "discoveredFrom": F.col("discovered_from"), "attempts": F.lit(0)} | values
         return df.select(*((own.get(c) if c in own else F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in shape))
 
-    while not queued.isEmpty():
-        late = config.max_duration_ms is not None and time.time() * 1000 - started >= config.max_duration_ms
+    def whole(parts: list[DataFrame], name: str) -> DataFrame:
+        """The union of what each generation has added; many parts become one."""
+        if len(parts) > SEEN_PARTS:
+            parts[:] = [staged(reduce(DataFrame.unionByName, parts), name)]
+        return reduce(DataFrame.unionByName, parts)
+
+    while waiting:
+        late = config.max_duration_ms is not None and clock() * 1000 - started >= config.max_duration_ms
         if late or stopped():
             stop = "budget" if late else "interrupted"
             pages.append(page(queued, state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
@@ -224,32 +252,36 @@ def crawl(spark: SparkSession, config: CrawlConfig, web: DataFrame | Source, rob
         if robots.outcome == "unavailable":
             pages.append(page(queued, state=F.lit("skipped"), skipReason=F.lit("robots-unavailable"), reserved=F.lit(True)))
             break
-        allowed = robots_rules.allowed(F.col("spelling"), robots.rules.rules)
-        denied = queued.where(~allowed)
-        ends = staged(_walk(queued.where(allowed), web, config, start_origin, robots.rules.rules, redirects), "ends")
+        rules = robots.rules.rules
+        may = robots_rules.allowed(F.col("spelling"), rules)
+        ends = staged(_walk(queued.where(may) if rules else queued, web, config, start_origin, rules, redirects), "ends")
+        denied = queued.where(~may) if rules else None
         if config.max_total_attempts is not None:
             placed = ranked(ends.select("sequence", "tried"), ["sequence"], "n", F.col("tried"), "before")
             cut_at = placed.where(F.col("before") + F.col("tried") + spent > config.max_total_attempts).agg(F.min(F.struct("sequence", "before"))).first()[0]
             if cut_at is not None:
                 left = config.max_total_attempts - spent - cut_at["before"]
                 stop = "budget"
-                waiting = queued.where(F.col("sequence") > cut_at["sequence"])
-                pages.append(page(waiting, state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
+                pages.append(page(queued.where(F.col("sequence") > cut_at["sequence"]), state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
                 pages.append(page(queued.where(F.col("sequence") == cut_at["sequence"]), state=F.lit("skipped"), skipReason=F.lit("budget"), attempts=F.lit(left), reserved=F.lit(True)))
                 ends = ends.where(F.col("sequence") < cut_at["sequence"])
-                denied = denied.where(F.col("sequence") < cut_at["sequence"])
+                denied = None if denied is None else denied.where(F.col("sequence") < cut_at["sequence"])
             else:
                 spent += ends.agg(F.coalesce(F.sum("tried"), F.lit(0))).first()[0]
-        pages.append(page(denied, state=F.lit("skipped"), skipReason=F.lit("robots"), reserved=F.lit(True)))
+        if denied is not None:
+            pages.append(page(denied, state=F.lit("skipped"), skipReason=F.lit("robots"), reserved=F.lit(True)))
+        known = whole(seen, "seen")
+        bodies = whole(hashes, "hashes") if config.dedupe_content else None
         hopping = redirects and not ends.where(F.size("hops") > 0).isEmpty()
-        cut = staged(_meets(ends, seen, None), "met") if hopping else None
+        cut = staged(_meets(ends, known, None), "met") if hopping else None
         before = None
         while True:
-            rows = staged(_settled(ends, cut, hashes, config, start_origin), "settled")
-            first = staged(_first(_claims(rows)), "first")
+            rows = staged(_settled(ends, cut, bodies, config, start_origin), "settled")
+            first = _first(_claims(rows, web))
             if not hopping:
                 break
-            cut = staged(_meets(ends, seen, first), "met")
+            first = staged(first, "first")
+            cut = staged(_meets(ends, known, first), "met")
             now = cut.agg(F.count("*"), F.bit_xor(F.xxhash64("sequence", "met"))).first()
             if now == before:
                 break
@@ -257,27 +289,27 @@ def crawl(spark: SparkSession, config: CrawlConfig, web: DataFrame | Source, rob
         pages.append(page(rows, attempts=F.col("attempts"), reserved=F.lit(True)))
         if stop == "budget":
             break
-        hashes = staged(hashes.unionByName(rows.where("new_sha IS NOT NULL").select(F.col("new_sha").alias("known_sha"))), "hashes")
-        fresh = first.where("kind > 0").join(seen, "claimed", "left_anti")
+        fresh = first.where("kind > 0").join(known, "claimed", "left_anti")
         inside = url.origin(F.col("spelling")).eqNullSafe(F.lit(start_origin))
         trap = url.trap_reason(F.col("claimed"), config.max_url_length, config.max_path_depth, config.max_segment_repeats)
         fresh = fresh.withColumn("reason", F.when(~inside, "other-origin").when(F.col("depth") > config.max_depth, "depth-limit").otherwise(trap))
-        placed = ranked(fresh, ["sequence", "kind", "claimed"], "n", F.col("reason").isNull().cast("int"), "before")
+        # Those that are let in stand at the front of those that may be, so their number before is their place too.
+        placed = running(fresh, ["sequence", "kind", "claimed"], {"before": F.col("reason").isNull().cast("bigint")}, "n")
         full = F.col("reason").isNull() & (F.col("before") + reserved >= config.max_pages)
         placed = placed.withColumn("skipReason", F.when(full, "page-limit").otherwise(F.col("reason"))).withColumn("created_ord", F.col("n") + created)
-        placed = staged(placed.withColumnsRenamed({"claimed": "key", "parent": "discovered_from", "sequence": "parent_sequence"}), "placed")
+        placed = placed.withColumnsRenamed({"claimed": "key", "parent": "discovered_from", "sequence": "parent_sequence"})
+        placed = staged(placed.withColumn("sequence", F.when(F.col("skipReason").isNull(), F.col("before") + sequence)).drop("n", "before", "reason"), "placed")
+        n, waiting = placed.agg(F.count("*"), F.count("sequence")).first()
         pages.append(page(placed.where("skipReason IS NOT NULL"), state=F.lit("skipped"), skipReason=F.col("skipReason"), reserved=F.lit(False), sequence=F.lit(None)))
-        queued = ranked(placed.where("skipReason IS NULL").drop("n", "before"), ["created_ord"], "sequence")
-        queued = staged(queued.withColumn("sequence", F.col("sequence") + sequence).select("created_ord", "key", "spelling", "discovered_from", "depth", "sequence", "parent_sequence"), "queued")
-        n, m = placed.count(), queued.count()
-        owners = placed.select(F.col("key").alias("claimed")).join(queued.select(F.col("key").alias("claimed"), F.col("sequence").alias("owner")), "claimed", "left").select("claimed", F.coalesce("owner", F.lit(-1)).alias("owner"))
-        aliases = rows.select(F.explode("aliases").alias("claimed"), F.col("sequence").alias("owner"))
-        seen = staged(seen.unionByName(owners).unionByName(aliases).groupBy("claimed").agg(F.min("owner").alias("owner")), "seen")
-        created, sequence, reserved = created + n, sequence + m, reserved + m
-    out = pages[0]
-    for more in pages[1:]:
-        out = out.unionByName(more)
+        queued = placed.where("sequence IS NOT NULL").select("created_ord", "key", "spelling", "discovered_from", "depth", "sequence", "parent_sequence")
+        seen.append(placed.select(F.col("key").alias("claimed"), F.coalesce("sequence", F.lit(-1)).alias("owner")))
+        if hopping:
+            seen.append(rows.select(F.explode("aliases").alias("claimed"), F.col("sequence").alias("owner")))
+        hashes.append(rows.where("new_sha IS NOT NULL").select(F.col("new_sha").alias("known_sha")))
+        created, sequence, reserved = created + n, sequence + waiting, reserved + waiting
     summary = [{"origin": start_origin, "statusCode": robots.status, "outcome": robots.outcome, "errorKind": robots.error}]
-    result = staged(out, "pages")
+    result = keep(reduce(DataFrame.unionByName, pages), "pages")
+    if not callable(web):
+        web.drop()
     edges = result.where("discoveredFrom IS NOT NULL").select("discoveredFrom", "canonicalUrl", "depth")
-    return CrawlResult(config, result, summary, stop, started, int(time.time() * 1000), edges, generations, {"robots_attempts": robots.attempts})
+    return CrawlResult(config, result, summary, stop, started, int(clock() * 1000), edges, generations, {"robots_attempts": robots.attempts})

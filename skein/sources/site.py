@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import html, http, url
+from skein.sources.stored import StoredWeb
 
 RESPONSES = "url string, attempt int, status_code int, content_type string, location string, retry_after string, content_length string, body string, error_code string"
 SITE = "https://site.test"
@@ -55,30 +56,71 @@ def _keys(links):
     return links.map(lambda urls: None if urls is None else [weburl.canonical_key(u) for u in urls])
 
 
-def relational_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relational_site(spark: SparkSession, sf_dir: str) -> StoredWeb:
     """A stored web of four levels under https://site.test: regions, nations, customers, orders.
 
     An order's status says how its page answers: P 404, O plain text, F a page without links.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     page = lambda kind, key: F.concat(F.lit(f"{SITE}/{kind}/"), F.col(key))
-
-    def level(parents: Column, children: DataFrame, parent_key: str, child: Column) -> DataFrame:
-        return children.groupBy(parent_key).agg(F.collect_list(F.struct(child.alias("url"), child.alias("key"))).alias("links")).select(parents.alias("url"), "links")
-
     region, nation, customer, orders = map(read, ("region", "nation", "customer", "orders"))
-    root = region.agg(F.collect_list(F.struct(page("r", "r_regionkey").alias("url"), page("r", "r_regionkey").alias("key"))).alias("links")).select(F.lit(f"{SITE}/").alias("url"), "links")
-    inner = root.unionByName(level(page("r", "n_regionkey"), nation, "n_regionkey", page("n", "n_nationkey")))
-    inner = inner.unionByName(level(page("n", "c_nationkey"), customer, "c_nationkey", page("c", "c_custkey")))
-    inner = inner.unionByName(level(page("c", "o_custkey"), orders, "o_custkey", page("o", "o_orderkey")))
-    childless = customer.join(orders, customer["c_custkey"] == orders["o_custkey"], "left_anti").select(page("c", "c_custkey").alias("url"))
-    inner = inner.unionByName(childless, allowMissingColumns=True).select("url", "links", F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"))
+    link = lambda rows, parent, child: rows.select(parent.alias("from_url"), F.lit(0).alias("n"), child.alias("url"), child.alias("key"))
+    links = link(region, F.lit(f"{SITE}/"), page("r", "r_regionkey"))
+    for rows, parent, child in ((nation, page("r", "n_regionkey"), page("n", "n_nationkey")), (customer, page("n", "c_nationkey"), page("c", "c_custkey")), (orders, page("c", "o_custkey"), page("o", "o_orderkey"))):
+        links = links.unionByName(link(rows, parent, child))
+    html_page = (F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"))
+    urls = spark.range(1).select(F.lit(f"{SITE}/").alias("url"))
+    for rows, at in ((region, page("r", "r_regionkey")), (nation, page("n", "n_nationkey")), (customer, page("c", "c_custkey"))):
+        urls = urls.unionByName(rows.select(at.alias("url")))
     status = F.col("o_orderstatus")
     leaves = orders.select(page("o", "o_orderkey").alias("url"), F.when(status == "P", 404).otherwise(200).alias("status_code"), F.when(status == "O", "text/plain").otherwise("text/html").alias("content_type"))
-    every = inner.unionByName(leaves, allowMissingColumns=True)
+    pages = urls.select("url", *html_page).unionByName(leaves)
+    counted = links.groupBy(F.col("from_url").alias("url")).agg(F.count("*").cast("int").alias("n_links"))
+    return StoredWeb(answered(pages).join(counted, "url", "left"), links)
+
+
+def answered(pages: DataFrame, location: Column | None = None, sha: Column | None = None, canonical: Column | None = None) -> DataFrame:
+    """url, status_code, content_type -> what the crawl reads of a page that answers at the first attempt; no links."""
     none = lambda kind: F.lit(None).cast(kind)
-    return every.select(
-        "url", "status_code", "content_type", none("string").alias("location"), none("string").alias("error_kind"), none("string").alias("error_message"),
-        F.lit(1).alias("attempts"), F.when((F.col("status_code") == 200) & (F.col("content_type") == "text/html"), F.length("url")).cast("bigint").alias("byte_length"),
-        F.sha2("url", 256).alias("sha"), "links", none("string").alias("canonical_url"), none("string").alias("canonical_key"),
+    fine = (F.col("status_code") == 200) & (F.col("content_type") == "text/html")
+    declared = none("string") if canonical is None else canonical
+    return pages.select(
+        "url", "status_code", "content_type", (none("string") if location is None else location).alias("location"), none("string").alias("error_kind"), none("string").alias("error_message"),
+        F.lit(1).alias("attempts"), F.when(fine, F.length("url")).cast("bigint").alias("byte_length"),
+        F.sha2("url" if sha is None else sha, 256).alias("sha"), declared.alias("canonical_url"), declared.alias("canonical_key"),
+    )
+
+
+MAZE = "https://maze.test"
+
+
+def maze(spark: SparkSession, sf_dir: str, kinds: tuple[int, ...]) -> StoredWeb:
+    """A stored web of redirects, declared canonicals, repeated bodies and odd links under https://maze.test.
+
+    The start links to a page for each customer whose key modulo 10 is one of kinds, which says how it
+    answers: 0 a redirect to a page, 1 one to itself, 2 a chain of six, 3 one to another site, 4 one to
+    the page of the customer four before, 5 a page that declares another one as canonical, 6 and 7 two
+    pages of one body, 8 a redirect without a target, 9 a page with a link to another site, into a trap
+    and to a page of its own.
+    """
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k")).withColumn("kind", (F.col("k") % 10).cast("int")).where(F.col("kind").isin(*kinds))
+    at = lambda prefix, tail="": F.concat(F.lit(f"{MAZE}{prefix}"), F.col("k").cast("string"), F.lit(tail))
+    kind, none = F.col("kind"), F.lit(None).cast("string")
+    to = (
+        F.when(kind == 0, at("/f/")).when(kind == 1, at("/c/")).when(kind == 2, at("/h/", "/1")).when(kind == 3, F.concat(F.lit("https://other.test/"), F.col("k").cast("string")))
+        .when(kind == 4, F.concat(F.lit(f"{MAZE}/c/"), (F.col("k") - 4).cast("string")))
     )
+    moved = kind.isin(0, 1, 2, 3, 4, 8)
+    body = F.when(kind.isin(6, 7), F.concat(F.lit("twin "), (F.col("k") - kind).cast("string"))).otherwise(at("/c/"))
+    pages = keys.select(at("/c/").alias("url"), F.when(moved, 302).otherwise(200).alias("status_code"), F.when(~moved, "text/html").alias("content_type"), to.alias("to"), body.alias("body"), F.when(kind == 5, at("/t/")).alias("canonical"))
+    steps = keys.where("kind = 2").select("k", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("i"))
+    step = lambda i: F.concat(F.lit(f"{MAZE}/h/"), F.col("k").cast("string"), F.lit("/"), i.cast("string"))
+    pages = pages.unionByName(steps.select(step(F.col("i")).alias("url"), F.lit(302).alias("status_code"), none.alias("content_type"), step(F.col("i") + 1).alias("to"), none.alias("body"), none.alias("canonical")))
+    plain = keys.where("kind IN (0, 5, 9)").select(F.when(kind == 0, at("/f/")).when(kind == 5, at("/t/")).otherwise(at("/l/")).alias("url"))
+    plain = plain.unionByName(spark.range(1).select(F.lit(f"{MAZE}/").alias("url")))
+    pages = pages.unionByName(plain.select("url", F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), none.alias("to"), F.col("url").alias("body"), none.alias("canonical")))
+    odd = F.array(F.concat(F.lit("https://other.test/x"), F.col("k").cast("string")), at("/a/a/a/"), at("/l/"))
+    links = keys.select(F.lit(f"{MAZE}/").alias("from_url"), F.lit(0).alias("n"), at("/c/").alias("url"))
+    links = links.unionByName(keys.where("kind = 9").select(at("/c/").alias("from_url"), F.posexplode(odd).alias("n", "url"))).withColumn("key", F.col("url"))
+    counted = links.groupBy(F.col("from_url").alias("url")).agg(F.count("*").cast("int").alias("n_links"))
+    return StoredWeb(answered(pages, F.col("to"), F.col("body"), F.col("canonical")).join(counted, "url", "left"), links)
