@@ -34,7 +34,9 @@ COLUMNS = [c.split()[0] for c in PAGES.split(", ")]
 STATES = ("queued", "fetching", "ok", "skipped", "failed")
 #: Of a live web: the answers to a table of URLs, each asked once.
 Source = Callable[[DataFrame], DataFrame]
-HOP = "array<struct<key string, url string, status int, type string, attempts int>>"
+#: The attempts at one URL: what came of each, the wait before the next one (null after the last), and how long it took.
+TRIES = "array<struct<status int, kind string, wait bigint, duration bigint>>"
+HOP = f"array<struct<key string, url string, status int, type string, attempts int, tries {TRIES}>>"
 
 
 @dataclass
@@ -68,6 +70,13 @@ def tally(pages: DataFrame, state: str, column: str) -> DataFrame:
     return some.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "name")
 
 
+def _tries(answers: DataFrame) -> Column:
+    """The stored attempts; where a web keeps none, as many as it counts, without waits."""
+    plain = F.struct(F.col("status_code").cast("int").alias("status"), F.col("error_kind").alias("kind"), F.lit(None).cast("bigint").alias("wait"), F.lit(0).cast("bigint").alias("duration"))
+    made = F.array_repeat(plain, F.coalesce("attempts", F.lit(1)).cast("int")).cast(TRIES)
+    return F.coalesce(F.col("tries").cast(TRIES), made) if "tries" in answers.columns else made
+
+
 def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_origin: str, rules: list, redirects: bool) -> DataFrame:
     """Follows each row's responses; adds its end and ``hops``, the aliased keys with what was known at each."""
     rows = gen.withColumns({"at": F.col("spelling"), "hops": F.array().cast(HOP), "tried": F.lit(0)})
@@ -75,6 +84,7 @@ def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_or
     for hop in range(HOP_LIMIT + 1):
         answers = web(rows.select(F.col("at").alias("url"))).withColumn("n_links", F.size("links")) if callable(web) else web.pages
         got = rows.join(answers.withColumnRenamed("url", "at"), "at", "left")
+        got = got.withColumn("tries", _tries(answers))
         got = got.withColumns({"status_code": F.when(F.col("error_kind").isNull(), F.coalesce("status_code", F.lit(404))).otherwise(F.col("status_code")), "tried": F.col("tried") + F.coalesce("attempts", F.lit(1))})
         status = F.col("status_code")
         html = http.is_html(F.col("content_type"))
@@ -115,7 +125,7 @@ def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_or
         goes = redirect & error.isNull() & skip.isNull()
         guard = F.when(goes, url.trap_reason(F.col("to_key"), config.max_url_length, config.max_path_depth, config.max_segment_repeats))
         denied = F.when(goes & ~robots_rules.allowed(to, rules), "robots")
-        step = F.struct(F.col("to_key").alias("key"), F.col("at").alias("url"), status.cast("int").alias("status"), F.col("content_type").alias("type"), F.col("tried").cast("int").alias("attempts"))
+        step = F.struct(F.col("to_key").alias("key"), F.col("at").alias("url"), status.cast("int").alias("status"), F.col("content_type").alias("type"), F.col("tried").cast("int").alias("attempts"), F.col("tries").alias("tries"))
         got = got.withColumns({"_goes": goes, "_step": step, "_error": error, "_message": F.when(error.isNotNull(), message), "_skip": F.when(error.isNull(), F.coalesce(skip, guard, denied))})
         got = got.withColumn("hops", F.when(F.col("_goes"), F.concat("hops", F.array("_step"))).otherwise(F.col("hops")))
         got = staged(got, "hop")
@@ -141,6 +151,7 @@ def _settled(ends: DataFrame, cut: DataFrame | None, hashes: DataFrame | None, c
             "errorKind": F.when(~met, F.col("errorKind")),
             "errorMessage": F.when(~met, F.col("errorMessage")),
             "skipReason": F.when(met, "duplicate").otherwise(F.col("skipReason")),
+            "tries": F.when(met, there["tries"]).otherwise(F.col("tries")),
             "trail": F.when(met, F.slice("hops", 1, F.col("met") - 1)).otherwise(F.col("hops")),
         }
     ).withColumn("aliases", F.transform("trail", lambda h: h["key"]))
@@ -186,6 +197,34 @@ def _first(claims: DataFrame) -> DataFrame:
     return claims.groupBy("claimed").agg(F.min(F.struct("sequence", "kind", "spelling", "depth", "parent")).alias("c")).select("claimed", "c.*")
 
 
+def asked(trail: Column, final: Column, tries: Column) -> Column:
+    """What was asked: url and tries of each hop, and of the last URL, unless the last hop led nowhere."""
+    hops = F.transform(trail, lambda h: F.struct(h["url"].alias("url"), h["tries"].alias("tries"), h["status"].alias("status")))
+    last = F.struct(final.alias("url"), tries.alias("tries"), F.lit(None).cast("int").alias("status"))
+    ended = (F.size(trail) > 0) & F.element_at(hops, -1)["url"].eqNullSafe(final)
+    return F.when(ended, hops).otherwise(F.concat(hops, F.array(last)))
+
+
+def timed(pages: DataFrame, gap: int, robots_asked: bool) -> DataFrame:
+    """Sets waitedMs and durationMs as they are with one worker.
+
+    Attempts follow each other in the crawl's order. The next one starts once the one before has
+    ended, its retry wait is over and the gap since its start has passed: steps that add up, so that a
+    page's times need only its own attempts and the last one of the page before it.
+    """
+    every = F.flatten(F.transform(asked(F.coalesce("trail", F.array()), F.col("finalUrl"), F.col("tries")), lambda a: a["tries"]))
+    rows = pages.withColumn("_all", F.when((F.col("attempts") > 0) & F.col("tries").isNotNull(), every))
+    step = lambda t: F.greatest(t["duration"] + F.coalesce(t["wait"], F.lit(0)), F.lit(gap))
+    last = F.element_at("_all", -1)["duration"]
+    began = F.aggregate(F.slice("_all", 1, F.size("_all") - 1), F.lit(0).cast("bigint"), lambda s, t: s + step(t))
+    rows = rows.withColumns({"durationMs": F.when(F.col("_all").isNotNull(), began + last), "_left": F.greatest(F.lit(0).cast("bigint"), F.lit(gap) - last)})
+    order = running(rows.where("_all IS NOT NULL").select("sequence", "_left"), ["sequence"], {}, "_at")
+    order = staged(order, "taken")
+    before = order.select((F.col("_at") + 1).alias("_at"), F.col("_left").alias("_wait"))
+    waits = order.select("sequence", "_at").join(before, "_at", "left").select("sequence", F.coalesce("_wait", F.lit(gap if robots_asked else 0)).cast("bigint").alias("waited"))
+    return rows.join(waits, "sequence", "left").withColumn("waitedMs", F.col("waited")).select(pages.columns)
+
+
 def _meets(ends: DataFrame, seen: DataFrame, first: DataFrame | None) -> DataFrame:
     """(sequence, met): a row's first hop whose key another row owns already."""
     hops = ends.select("sequence", "key", F.posexplode("hops").alias("n", "hop")).select("sequence", "key", "n", F.col("hop.key").alias("claimed"))
@@ -229,10 +268,10 @@ def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
     hashes = [spark.createDataFrame([], "known_sha string")]
     created, sequence, reserved, waiting, stop, spent = 1, 1, 1, 1, "completed", robots.attempts
     pages, generations = [], 0
-    shape = [*COLUMNS, "created_ord", "sequence", "reserved", "parent_sequence", "trail", "n_links"]
+    shape = [*COLUMNS, "created_ord", "sequence", "reserved", "parent_sequence", "trail", "n_links", "tries"]
 
     def page(df: DataFrame, **values: Column) -> DataFrame:
-        kinds = dict(x.split() for x in PAGES.split(", ")) | {"created_ord": "bigint", "sequence": "bigint", "reserved": "boolean", "parent_sequence": "bigint", "trail": HOP, "n_links": "bigint"}
+        kinds = dict(x.split() for x in PAGES.split(", ")) | {"created_ord": "bigint", "sequence": "bigint", "reserved": "boolean", "parent_sequence": "bigint", "trail": HOP, "n_links": "bigint", "tries": TRIES}
         own = {"canonicalUrl": F.col("key"), "requestedUrl": F.col("spelling"), "discoveredFrom": F.col("discovered_from"), "attempts": F.lit(0)} | values
         return df.select(*((own.get(c) if c in own else F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in shape))
 
@@ -308,7 +347,8 @@ def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
         hashes.append(rows.where("new_sha IS NOT NULL").select(F.col("new_sha").alias("known_sha")))
         created, sequence, reserved = created + n, sequence + waiting, reserved + waiting
     summary = [{"origin": start_origin, "statusCode": robots.status, "outcome": robots.outcome, "errorKind": robots.error}]
-    result = keep(reduce(DataFrame.unionByName, pages), "pages")
+    gap = config.min_interval_ms if robots.outcome != "parsed" or robots.rules.delay is None else max(config.min_interval_ms, min(robots_rules.DELAY_CAP_MS, int(robots.rules.delay * 1000)))
+    result = keep(timed(staged(reduce(DataFrame.unionByName, pages), "untimed"), gap, robots.attempts > 0), "pages")
     if not callable(web):
         web.drop()
     edges = result.where("discoveredFrom IS NOT NULL").select("discoveredFrom", "canonicalUrl", "depth")

@@ -1,8 +1,7 @@
 """The trace of a crawl: one row an event, in the order of a crawl with one worker.
 
 It is derived from the pages: each one says when it was taken, which redirects it followed and after
-how many attempts, how many links it has, and which page created it. Retries leave attempts but no
-``retry`` event of their own, as the stored web keeps no waits.
+how many attempts and waits, how many links it has, and which page created it.
 """
 
 from __future__ import annotations
@@ -14,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import http, weburl
-from skein.plans.crawl import CrawlResult
+from skein.plans.crawl import CrawlResult, asked
 
 #: Fields in an order that is that of every event's own.
 FIELDS = {"from": "string", "to": "string", "status": "int", "url": "string", "depth": "int", "allowed": "boolean", "attempt": "int", "discovered": "bigint",
-          "sequence": "bigint", "state": "string", "reason": "string"}
+          "sequence": "bigint", "state": "string", "reason": "string", "next": "int", "wait": "bigint", "last_status": "int", "kind": "string"}
+#: Fields that a line names otherwise, as they stand elsewhere in it.
+LABELS = {"last_status": "status"}
 STOPPED = {"completed": "completed", "budget": "budget", "interrupted": "interrupted"}
 
 
@@ -45,21 +46,17 @@ def events(result: CrawlResult) -> DataFrame:
     created = F.when(F.col("reserved"), _event("reserved", (F.col("parent_sequence"), 4, F.col("created_ord")), url=url, depth=F.col("depth"), reason=F.when(F.col("discoveredFrom").isNull(), "start").otherwise("discovered"))).otherwise(
         _event("skipped", (F.col("parent_sequence"), 4, F.col("created_ord")), url=url, reason=skip)
     )
-    #: What was asked: the URL of each hop and the attempts until then; after them the last one, unless the last hop led nowhere.
-    asked = F.transform(trail, lambda h: F.struct(h["url"].alias("url"), h["attempts"].alias("upto"), h["status"].alias("status")))
-    last = F.struct(F.coalesce("finalUrl", url).alias("url"), F.col("attempts").alias("upto"), F.lit(None).cast("int").alias("status"))
-    ended = (n > 0) & F.element_at(asked, -1)["url"].eqNullSafe(F.col("finalUrl"))
-    asked = F.when(ended, asked).otherwise(F.concat(asked, F.array(last)))
 
     def at_hop(h: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(F.col("_asked"), i - 1)["upto"]).otherwise(0)
-        numbers = F.when(h["upto"] > before, F.sequence(F.lit(1), h["upto"] - before)).otherwise(F.array().cast("array<int>"))
-        attempts = F.transform(numbers, lambda k: _event("attempt-start", (s, 2, i, 0, k), url=h["url"], attempt=k))
+        def attempt(t: Column, k: Column) -> Column:
+            retry = _event("retry", (s, 2, i, 0, 2 * k + 1), url=h["url"], next=k + 2, wait=t["wait"], last_status=F.when(t["kind"].isNull(), t["status"]), kind=t["kind"])
+            return F.concat(F.array(_event("attempt-start", (s, 2, i, 0, 2 * k), url=h["url"], attempt=k + 1)), _when(t["wait"].isNotNull(), retry))
+
         to = F.get(F.col("_asked"), i + 1)["url"]
         onward = (_event("robots-check", (s, 2, i, 1), url=to, allowed=F.lit(True)), _event("redirect", (s, 2, i, 2), **{"from": h["url"], "to": to, "status": h["status"]}))
-        return F.concat(attempts, F.filter(F.array(*onward), lambda _: to.isNotNull()))
+        return F.concat(F.flatten(F.transform(h["tries"], attempt)), F.filter(F.array(*onward), lambda _: to.isNotNull()))
 
-    pages = result.pages.withColumn("_asked", F.when(F.col("attempts") > 0, asked).otherwise(F.array()))
+    pages = result.pages.withColumn("_asked", F.when((F.col("attempts") > 0) & F.col("tries").isNotNull(), asked(trail, F.coalesce("finalUrl", url), F.col("tries"))).otherwise(F.array()))
     hop_denied = (skip == "robots") & (F.col("attempts") > 0) & (n > 0)
     own = F.concat(
         F.array(created),
@@ -80,7 +77,7 @@ def events(result: CrawlResult) -> DataFrame:
 
 def lines(result: CrawlResult) -> DataFrame:
     """place and line; a null field is left out."""
-    parts = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}="), http.trace_value(F.col(f)))) for f in FIELDS]
+    parts = [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{LABELS.get(f, f)}="), http.trace_value(F.col(f)))) for f in FIELDS]
     return events(result).select("place", F.concat_ws(" ", F.concat(F.lit("[trace] "), F.col("event")), *parts).alias("line"))
 
 

@@ -23,8 +23,8 @@ from skein.plans.config import CrawlConfig
 from skein.sources import site
 from skein.sources.staging import staged
 
-ANSWER = "url string, status_code int, content_type string, location string, body string, error_code string, too_large boolean, attempts int"
-_NAMES = [c.split()[0] for c in ANSWER.split(", ")]
+ANSWER = "url string, status_code int, content_type string, location string, body string, error_code string, too_large boolean, attempts int, tries array<struct<status int, kind string, wait bigint, duration bigint>>"
+_NAMES = "url status_code content_type location body error_code too_large attempts tries".split()
 ACCEPT = "text/html,application/xhtml+xml"
 
 
@@ -93,16 +93,29 @@ def wait_ms(status: int | None, retry_after: str | None, attempt: int, base_ms:
 _AGAIN = {"TimeoutError", "ECONNREFUSED", "ECONNRESET"}
 
 
+KINDS = {"TimeoutError": "timeout", "ENOTFOUND": "dns", "ECONNREFUSED": "connect", "ECONNRESET": "reset"}
+
+
+def error_kind(code: str | None) -> str | None:
+    if code is None:
+        return None
+    return "tls" if code.startswith(("CERT_", "ERR_TLS_")) else KINDS.get(code, "connect")
+
+
 def get(address: str, config: CrawlConfig, pace: Callable[[], None] = lambda: None, **body) -> dict:
     """A GET with its retries."""
+    tries: list[dict] = []
     for attempt in range(1, config.retry_count + 2):
         pace()
+        began = time.monotonic()
         got, after = once(address, config, **body)
-        got["attempts"] = attempt
+        got |= {"attempts": attempt, "tries": tries}
+        tries.append({"status": got["status_code"], "kind": error_kind(got["error_code"]), "wait": None, "duration": int((time.monotonic() - began) * 1000)})
         again = not got["too_large"] and (got["status_code"] in rules.RETRY_STATUSES if got["error_code"] is None else got["error_code"] in _AGAIN)
         wait = wait_ms(got["status_code"], after, attempt, config.retry_base_delay_ms, time.time())
         if not again or wait is None or attempt > config.retry_count:
             break
+        tries[-1]["wait"] = wait
         time.sleep(wait / 1000)
     return got
 
@@ -140,8 +153,6 @@ def robots_file(config: CrawlConfig) -> Callable[[str], dict]:
     def fetch(address: str) -> dict:
         got = get(address, config, any_type=True, most=ROBOTS_BYTES)
         code = got.pop("error_code")
-        kinds = {"TimeoutError": "timeout", "ENOTFOUND": "dns", "ECONNREFUSED": "connect", "ECONNRESET": "reset"}
-        tls = code is not None and code.startswith(("CERT_", "ERR_TLS_"))
-        return got | {"error_kind": "too-large" if got["too_large"] else None if code is None else "tls" if tls else kinds.get(code, "connect")}
+        return got | {"error_kind": "too-large" if got["too_large"] else error_kind(code)}
 
     return fetch

@@ -14,7 +14,11 @@ SITE = "https://site.test"
 
 
 def settle(responses: DataFrame, retry_count: int, base_ms: int, max_bytes: int) -> DataFrame:
-    """One row a URL from its scripted attempts, by the retry rules; the last script repeats."""
+    """One row a URL from its scripted attempts, by the retry rules; the last script repeats.
+
+    tries has each attempt that is made: its status or kind, the wait after it, and its duration_ms if the scripts say so.
+    """
+    took = (F.col("duration_ms") if "duration_ms" in responses.columns else F.lit(0)).cast("bigint")
     kind = F.when(F.col("error_code").isNotNull(), http.error_kind(F.col("error_code")))
     ok_html = F.col("status_code").between(200, 299) & http.is_html(F.col("content_type"))
     kind = F.coalesce(kind, F.when(ok_html & http.too_large(F.col("content_length"), F.col("body"), max_bytes), F.lit("too-large")))
@@ -26,7 +30,14 @@ def settle(responses: DataFrame, retry_count: int, base_ms: int, max_bytes: int)
     stops = rows.where(~F.col("again")).groupBy("url").agg(F.min("attempt").alias("stop"))
     ends = last.join(stops, "url", "left").withColumn("attempts", F.least(F.coalesce("stop", F.lit(1 << 20)), F.lit(retry_count + 1)))
     ends = ends.withColumn("attempt", F.least("attempts", "last"))
-    return ends.select("url", "attempt", "attempts").join(rows, ["url", "attempt"]).withColumn("error_kind", F.col("kind"))
+    tries = ends.join(rows.withColumnRenamed("attempt", "script"), "url")
+    # The last script stands for all attempts after it, whose waits grow on.
+    tries = tries.withColumn("no", F.explode(F.when(F.col("script") == F.col("last"), F.sequence("script", F.greatest("script", "attempts"))).otherwise(F.array("script"))))
+    tries = tries.where(F.col("no") <= F.col("attempts"))
+    later = http.retry_wait_ms(F.when(F.col("kind").isNull(), F.col("status_code")), F.col("retry_after"), F.col("no"), F.lit(base_ms), F.lit(0))
+    one = F.struct("no", F.col("status_code").cast("int").alias("status"), F.col("kind").alias("kind"), F.when(F.col("no") < F.col("attempts"), later).alias("wait"), took.alias("duration"))
+    tries = tries.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(one)), lambda t: F.struct(t["status"].alias("status"), t["kind"].alias("kind"), t["wait"].alias("wait"), t["duration"].alias("duration"))).alias("tries"))
+    return ends.select("url", "attempt", "attempts").join(rows, ["url", "attempt"]).join(tries, "url").withColumn("error_kind", F.col("kind"))
 
 
 def web(responses: DataFrame, retry_count: int = 2, base_ms: int = 500, max_bytes: int = 1_000_000) -> DataFrame:
@@ -43,7 +54,7 @@ def parsed(rows: DataFrame, max_bytes: int) -> DataFrame:
     canonical = F.when(F.col("page.canonical").isNotNull(), url.resolve(F.col("page.canonical"), F.col("page.base")))
     message = F.when(F.col("error_code").isNotNull(), http.error_message(F.lit("fetch failed"), F.col("error_code"))).when(F.col("error_kind") == "too-large", F.lit(f"response exceeds {max_bytes} bytes"))
     return rows.select(
-        "url", "status_code", "content_type", "location", "error_kind", message.alias("error_message"), "attempts",
+        "url", "status_code", "content_type", "location", "error_kind", message.alias("error_message"), "attempts", "tries",
         F.octet_length(body).cast("bigint").alias("byte_length"), http.content_hash(body).alias("sha"), links.alias("links"),
         canonical.alias("canonical_url"), url.exact_key(canonical).alias("canonical_key"),
     )
