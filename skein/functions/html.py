@@ -11,11 +11,27 @@ from pyspark.sql import types as T
 HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
 
 
+#: What a pattern could misread: comments, elements whose contents aren't markup, self-made tags, anchors with other quotes.
+ODD = r"(?is)<!|<\?|<(script|style|template|textarea|title|noscript|iframe|xmp|noembed|noframes|plaintext)\b[^>]*>[^<]*<(?!/)|<(script|template|plaintext|style)\b"
+
+
 def fast_hrefs(html: Column) -> Column:
     """Double-quoted hrefs of anchors in their order, in the JVM."""
     return F.filter(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda h: F.trim(h) != "")
 
 
+def hrefs(html: Column) -> Column:
+    """The hrefs of a page's anchors, raw: by the pattern where it can't be wrong, else by the tokenizer, which alone sees those pages.
+
+    The pattern is trusted if nothing in the page could hide or make up an anchor, no value holds a
+    character reference, and it finds every anchor that has an href.
+    """
+    anchors = F.size(F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*\shref\b"), F.lit(0)))
+    double = F.size(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)))
+    plain = ~F.regexp_replace(html, "(?i)<!doctype[^>]*>", "").rlike(ODD) & (anchors == double) & ~html.rlike("""(?i)<a\\b[^>]*(&|'|=\\s*"[^"]*[<>])""")
+    return F.when(plain, fast_hrefs(html)).otherwise(raw_hrefs(F.when(~plain, html)))
+
+
 class _Page(HTMLParser):
     """Anchors' hrefs, the first base's and the first canonical link's; templates' contents don't count."""
 
@@ -80,6 +96,23 @@ def read(html: str, page_url: str) -> dict:
 
 
 _TEXT = T.StringType()
+
+
+@F.pandas_udf(T.ArrayType(_TEXT))
+def raw_hrefs(bodies):
+    from skein.functions.html import _Page
+
+    def read(body):
+        if body is None:
+            return None
+        page = _Page()
+        page.feed(body)
+        page.close()
+        return page.hrefs
+
+    return bodies.map(read)
+
+
 _IGNORED = T.StructType([T.StructField("reason", _TEXT), T.StructField("raw", _TEXT)])
 #: A type, not its DDL: workers import this module without a session.
 SCHEMA = T.StructType([T.StructField("links", T.ArrayType(_TEXT)), T.StructField("canonical", _TEXT), T.StructField("base", _TEXT), T.StructField("ignored", T.ArrayType(_IGNORED))])

@@ -42,14 +42,20 @@ def backoff_ms(retry: Column, base_ms: Column) -> Column:
 #: The three forms of an HTTP date without the day's name, as patterns: what to match, what to read it as.
 _DATES = (
     (r"^[A-Za-z]{3}, (\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d) (?:GMT|UTC)$", "d MMM yyyy HH:mm:ss Z"),
-    (r"^[A-Za-z]{6,9}, (\d\d-[A-Za-z]{3}-\d\d \d\d:\d\d:\d\d) (?:GMT|UTC)$", "dd-MMM-yy HH:mm:ss Z"),
+    (r"^[A-Za-z]{6,9}, (\d\d-[A-Za-z]{3}-\d\d \d\d:\d\d:\d\d) (?:GMT|UTC)$", "dd-MMM-yyyy HH:mm:ss Z"),
     (r"^[A-Za-z]{3} ([A-Za-z]{3} +\d{1,2} \d\d:\d\d:\d\d \d{4})$", "MMM d HH:mm:ss yyyy Z"),
 )
 
 
 def http_date_ms(text: Column) -> Column:
     """Milliseconds of an HTTP date, which is in UTC whatever the session's zone; null if it is none."""
-    read = lambda pattern, form: F.unix_millis(F.try_to_timestamp(F.concat(F.regexp_replace(F.regexp_extract(text, pattern, 1), " +", " "), F.lit(" +0000")), F.lit(form)))
+
+    def read(pattern: str, form: str) -> Column:
+        found = F.regexp_replace(F.regexp_extract(text, pattern, 1), " +", " ")
+        # Years of two digits lie between 1950 and 2049.
+        found = F.regexp_replace(F.regexp_replace(found, r"-([5-9]\d) ", "-19$1 "), r"-(\d\d) ", "-20$1 ")
+        return F.unix_millis(F.try_to_timestamp(F.concat(found, F.lit(" +0000")), F.lit(form)))
+
     return F.coalesce(*(F.when(text.rlike(pattern), read(pattern, form)) for pattern, form in _DATES))
 
 

@@ -1,6 +1,6 @@
 """URL identity, traps and display as Column expressions.
 
-URLs of the common shape stay in the JVM; ``exact_key`` and ``resolve`` (Arrow UDFs over
+URLs of plain shape stay in the JVM; ``exact_key`` and ``resolve`` (Arrow UDFs over
 ``skein.functions.weburl``) cover dot segments, odd characters and hosts.
 """
 
@@ -51,11 +51,23 @@ def query_string(url: Column) -> Column:
     return F.array_join(pairs, "&")
 
 
+#: URLs whose key the expressions give: plain ASCII hosts, no dot segments, only escapes of ASCII in the query.
+PLAIN = (
+    r"^[Hh][Tt][Tt][Pp][Ss]?://(?:[A-Za-z0-9-]+\.)*[A-Za-z0-9-]*[A-Za-z-][A-Za-z0-9-]*(?::(?:[1-9]\d{0,3}|[1-5]\d{4})?)?"
+    r"(?:/(?!\.|%2[Ee])[A-Za-z0-9_~!$&'()*+,;=:@%.-]*)*(?:\?(?:[A-Za-z0-9_~!$'()*+,;=:@&/?.-]|%[0-7][0-9A-Fa-f])*)?(?:#.*)?$"
+)
+
+
 def canonical_key(url: Column) -> Column:
-    """The identity of a URL: origin, path without closing slashes, sorted query; null if there is none."""
+    """The identity of a URL: origin, path without closing slashes, sorted query; null if there is none.
+
+    URLs of plain shape stay in the JVM; the others alone go to the exact function.
+    """
     bare = F.regexp_replace(path(url), "/+$", "")
     text = query_string(url)
-    return F.concat(origin(url), F.when(bare == "", "/").otherwise(bare), F.when(text == "", "").otherwise(F.concat(F.lit("?"), text)))
+    key = F.concat(origin(url), F.when(bare == "", "/").otherwise(bare), F.when(text == "", "").otherwise(F.concat(F.lit("?"), text)))
+    plain = url.rlike(PLAIN) & ~F.lower(url).rlike("^https?://(?:[^/?#]*[.])?(?:0x[0-9a-f]*|xn--[^/?#]*)[:/?#]") & ~F.lower(url).rlike("^https?://(?:[^/?#]*[.])?(?:0x[0-9a-f]*|xn--[^/?#]*)$")
+    return F.when(plain, key).otherwise(exact_key(F.when(~plain, url)))
 
 
 def requested_spelling(url: Column) -> Column:

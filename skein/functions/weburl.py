@@ -1,13 +1,14 @@
 """URL parsing by the WHATWG URL Standard, for the special schemes a crawl meets.
 
 It covers what the Column functions leave out: dot segments, percent-encode sets, backslashes, tabs
-and newlines, numeric IPv4 hosts. Hosts beyond ASCII take Python's IDNA codec.
+and newlines, numeric IPv4 hosts, hosts beyond ASCII.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from encodings.idna import nameprep
 from urllib.parse import quote_plus, unquote_to_bytes
 
 PORTS = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
@@ -52,6 +53,17 @@ def _number(part: str) -> int | None:
         return None
 
 
+#: Letters that the URL standard's mapping keeps, where the older one changes or drops them.
+_KEPT = re.compile("([\u00df\u1e9e\u03c2\u200c\u200d])")
+
+
+def _label(text: str) -> str:
+    """A label of a host name in ASCII."""
+    parts = (("\u00df" if p == "\u1e9e" else p) if _KEPT.fullmatch(p) else nameprep(p) for p in _KEPT.split(text))
+    mapped = "".join(parts)
+    return mapped if mapped.isascii() else "xn--" + mapped.encode("punycode").decode()
+
+
 def _host(text: str) -> str | None:
     if text.startswith("["):
         import ipaddress
@@ -62,7 +74,7 @@ def _host(text: str) -> str | None:
             return None
     try:
         name = unquote_to_bytes(text).decode("utf-8")
-        name = name.lower() if name.isascii() else name.encode("idna").decode().lower()
+        name = name.lower() if name.isascii() else ".".join(map(_label, re.split("[.\u3002\uff0e\uff61]", name)))
     except UnicodeError:
         return None
     if not name or any(c in _FORBIDDEN for c in name):

@@ -44,7 +44,8 @@ _PAIRS = f"""list_sort(list_transform(list_filter(string_split({_QUERY}, '&'), l
   'name': url_decode(replace(string_split(p, '=')[1], '+', ' ')),
   'value': CASE WHEN instr(p, '=') > 0 THEN url_decode(replace(substr(p, instr(p, '=') + 1), '+', ' ')) ELSE '' END}}))"""
 _QS = f"array_to_string(list_transform({_PAIRS}, lambda q: {_ENC.format('q.name')} || '=' || {_ENC.format('q.value')}), '&')"
-_BARE = f"regexp_replace({_PATH}, '/+$', '')"
+#: Characters beyond ASCII stand percent-encoded in a key, as the URL standard says.
+_BARE = f"array_to_string(list_transform(string_split(regexp_replace({_PATH}, '/+$', ''), ''), lambda c: CASE WHEN ord(c) > 127 THEN url_encode(c) ELSE c END), '')"
 _KEY = f"{_ORIGIN} || CASE WHEN {_BARE} = '' THEN '/' ELSE {_BARE} END || CASE WHEN {_QS} = '' THEN '' ELSE '?' || {_QS} END"
 #: Root-relative links, as the pages table has them.
 _LINKS = r"""SELECT page_id, page_url, pos, CASE WHEN href LIKE '/%' THEN regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href ELSE href END AS url FROM (
@@ -78,8 +79,8 @@ def q_query_params(spark, sf_dir):
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, page_url, pos, url of every anchor, by patterns in the JVM."""
-    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(html.fast_hrefs(F.col("html"))).alias("pos", "raw"))
+    """page_id, page_url, pos, url of every anchor; pages of plain markup stay in the JVM."""
+    rows = pages.select("page_id", F.col("url").alias("page_url"), html.hrefs(F.col("html")).alias("raws")).select("page_id", "page_url", F.posexplode("raws").alias("pos", "raw"))
     return rows.select("page_id", "page_url", "pos", url.resolve_simple(F.col("raw"), F.col("page_url")).alias("url"))
 
 
