@@ -56,7 +56,7 @@ def test_config():
 
 
 def test_trace_lines_of_all_pages(spark):
-    from skein.operators.queries import QUERIES
+    from skein.operators.registered import QUERIES
 
     sf = "/root/testdata/sf0.001"
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()

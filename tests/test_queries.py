@@ -5,12 +5,9 @@ import os
 import duckdb
 import pytest
 
-from skein.operators.queries import QUERIES, SQL
+from skein.operators.registered import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-#: Each crawl takes about a minute on a small machine; one of them is run here.
-CRAWLS = {"q_bfs_counts", "q_tallies", "q_edges_first_discovery", "q_broken_links", "q_bfs_pages", "q_bfs_page_limit"}
-
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
@@ -25,6 +22,6 @@ def oracle(sql, sf=SF):
     return db.execute(sql).df()
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - CRAWLS))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(oracle(SQL[name]))
