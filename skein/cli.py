@@ -13,7 +13,7 @@ from skein.plans.config import ConfigError, from_options
 #: flag, config key, text
 NUMBERS = [
     ("--depth", "maxDepth", "deepest page depth, the start being 0 (2)"), ("--max-pages", "maxPages", "URLs reserved at most, the start included (50)"),
-    ("--concurrency", "concurrency", "accepted and reported; results are those of one worker (5)"), ("--per-origin", "perOriginLimit", "accepted and reported (2)"),
+    ("--concurrency", "concurrency", "open requests at most; results are those of one worker (5)"), ("--per-origin", "perOriginLimit", "open requests on an origin (2)"),
     ("--min-interval", "minIntervalMs", "ms between request starts on an origin (200)"), ("--timeout", "timeoutMs", "ms for one attempt (10000)"),
     ("--max-duration", "maxDurationMs", "ms after which no generation begins (off)"), ("--max-attempts", "maxTotalAttempts", "HTTP attempts at most (off)"),
     ("--max-url-length", "maxUrlLength", "longest key that is fetched (2048)"), ("--max-path-depth", "maxPathDepth", "most path segments (16)"),

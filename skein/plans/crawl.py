@@ -129,7 +129,9 @@ def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_or
         got = got.withColumns({"_goes": goes, "_step": step, "_error": error, "_message": F.when(error.isNotNull(), message), "_skip": F.when(error.isNull(), F.coalesce(skip, guard, denied))})
         got = got.withColumn("hops", F.when(F.col("_goes"), F.concat("hops", F.array("_step"))).otherwise(F.col("hops")))
         got = staged(got, "hop")
-        ends = got.where(~(F.col("_goes") & F.col("_skip").isNull())).withColumnsRenamed({"_error": "errorKind", "_message": "errorMessage", "_skip": "skipReason"}).drop("_goes", "_step", "to", "to_key")
+        ends = got.where(~(F.col("_goes") & F.col("_skip").isNull())).withColumnsRenamed({"_error": "errorKind", "_message": "errorMessage", "_skip": "skipReason"})
+        # A hop that leads nowhere has its tries among the hops already.
+        ends = ends.withColumn("tries", F.when(F.col("_goes"), F.array().cast(TRIES)).otherwise(F.col("tries"))).drop("_goes", "_step", "to", "to_key")
         done = ends if done is None else done.unionByName(ends)
         rows = got.where(F.col("_goes") & F.col("_skip").isNull()).select(*gen.columns, F.col("to").alias("at"), "hops", "tried")
         if rows.isEmpty():
@@ -144,7 +146,9 @@ def _settled(ends: DataFrame, cut: DataFrame | None, hashes: DataFrame | None, c
     there = F.element_at("hops", F.col("met"))
     rows = rows.withColumns(
         {
-            "finalUrl": F.when(met, there["url"]).otherwise(F.col("at")),
+            # A URL that gave no answer is not the final one.
+            "finalUrl": F.when(met, there["url"]).when(F.col("error_kind").isNotNull() & (F.size("hops") > 0) & ~F.coalesce(F.col("status_code").isNotNull(), F.lit(False)), F.element_at("hops", -1)["url"]).otherwise(F.col("at")),
+            "askedUrl": F.when(met, there["url"]).otherwise(F.col("at")),
             "statusCode": F.when(met, there["status"]).otherwise(F.col("status_code").cast("int")),
             "contentType": F.when(met, there["type"]).otherwise(F.col("content_type")),
             "attempts": F.when(met, there["attempts"]).otherwise(F.col("tried").cast("int")),
@@ -197,12 +201,35 @@ def _first(claims: DataFrame) -> DataFrame:
     return claims.groupBy("claimed").agg(F.min(F.struct("sequence", "kind", "spelling", "depth", "parent")).alias("c")).select("claimed", "c.*")
 
 
-def asked(trail: Column, final: Column, tries: Column) -> Column:
-    """What was asked: url and tries of each hop, and of the last URL, unless the last hop led nowhere."""
+REFUSED = {"state": "string", "skipReason": "string", "errorKind": "string", "errorMessage": "string", "finalUrl": "string", "askedUrl": "string", "statusCode": "int", "contentType": "string", "attempts": "int", "trail": HOP, "tries": TRIES}
+
+
+def refused(row: dict, left: int) -> dict:
+    """The page in hand when a claim is refused after ``left`` attempts of its own.
+
+    A refused retry leaves what the attempt before it gave; a refused first attempt at a URL leaves
+    the page as skipped, with what its redirects gave.
+    """
+    steps = [(h["url"], h["tries"], h["status"], h["type"]) for h in row["trail"]] + [(row["askedUrl"], row["tries"], None, None)]
+    out = dict.fromkeys(REFUSED) | {"state": "skipped", "skipReason": "budget", "attempts": left, "trail": [], "tries": []}
+    for n, (at, tries, status, kind) in enumerate(steps):
+        if left < len(tries):
+            out["trail"] = row["trail"][:n]
+            if left:
+                end = tries[left - 1]
+                out |= {"state": "failed", "skipReason": None, "errorKind": end["kind"] or "http-status", "errorMessage": None if end["kind"] else f"HTTP {end['status']}", "statusCode": end["status"], "contentType": None}
+                out |= {"askedUrl": at, "tries": [*tries[: left - 1], end | {"wait": None}], "finalUrl": at if end["kind"] is None or not n else out["finalUrl"]}
+            return out
+        left -= len(tries)
+        out |= {"finalUrl": at, "askedUrl": at, "statusCode": status, "contentType": kind}
+    return out
+
+
+def asked(trail: Column, last: Column, tries: Column) -> Column:
+    """What was asked: url, tries and status of each hop, and the last URL, unless the last hop led nowhere (no tries)."""
     hops = F.transform(trail, lambda h: F.struct(h["url"].alias("url"), h["tries"].alias("tries"), h["status"].alias("status")))
-    last = F.struct(final.alias("url"), tries.alias("tries"), F.lit(None).cast("int").alias("status"))
-    ended = (F.size(trail) > 0) & F.element_at(hops, -1)["url"].eqNullSafe(final)
-    return F.when(ended, hops).otherwise(F.concat(hops, F.array(last)))
+    final = F.struct(last.alias("url"), tries.alias("tries"), F.lit(None).cast("int").alias("status"))
+    return F.when(F.size(tries) > 0, F.concat(hops, F.array(final))).otherwise(hops)
 
 
 def timed(pages: DataFrame, gap: int, robots_asked: bool) -> DataFrame:
@@ -212,7 +239,7 @@ def timed(pages: DataFrame, gap: int, robots_asked: bool) -> DataFrame:
     ended, its retry wait is over and the gap since its start has passed: steps that add up, so that a
     page's times need only its own attempts and the last one of the page before it.
     """
-    every = F.flatten(F.transform(asked(F.coalesce("trail", F.array()), F.col("finalUrl"), F.col("tries")), lambda a: a["tries"]))
+    every = F.flatten(F.transform(asked(F.coalesce("trail", F.array()), F.col("askedUrl"), F.col("tries")), lambda a: a["tries"]))
     rows = pages.withColumn("_all", F.when((F.col("attempts") > 0) & F.col("tries").isNotNull(), every))
     step = lambda t: F.greatest(t["duration"] + F.coalesce(t["wait"], F.lit(0)), F.lit(gap))
     last = F.element_at("_all", -1)["duration"]
@@ -268,10 +295,10 @@ def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
     hashes = [spark.createDataFrame([], "known_sha string")]
     created, sequence, reserved, waiting, stop, spent = 1, 1, 1, 1, "completed", robots.attempts
     pages, generations = [], 0
-    shape = [*COLUMNS, "created_ord", "sequence", "reserved", "parent_sequence", "trail", "n_links", "tries"]
+    shape = [*COLUMNS, "created_ord", "sequence", "reserved", "parent_sequence", "trail", "n_links", "tries", "askedUrl"]
 
     def page(df: DataFrame, **values: Column) -> DataFrame:
-        kinds = dict(x.split() for x in PAGES.split(", ")) | {"created_ord": "bigint", "sequence": "bigint", "reserved": "boolean", "parent_sequence": "bigint", "trail": HOP, "n_links": "bigint", "tries": TRIES}
+        kinds = dict(x.split() for x in PAGES.split(", ")) | {"created_ord": "bigint", "sequence": "bigint", "reserved": "boolean", "parent_sequence": "bigint", "trail": HOP, "n_links": "bigint", "tries": TRIES, "askedUrl": "string"}
         own = {"canonicalUrl": F.col("key"), "requestedUrl": F.col("spelling"), "discoveredFrom": F.col("discovered_from"), "attempts": F.lit(0)} | values
         return df.select(*((own.get(c) if c in own else F.col(c) if c in df.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in shape))
 
@@ -295,20 +322,6 @@ def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
         may = robots_rules.allowed(F.col("spelling"), rules)
         ends = staged(_walk(queued.where(may) if rules else queued, web, config, start_origin, rules, redirects), "ends")
         denied = queued.where(~may) if rules else None
-        if config.max_total_attempts is not None:
-            placed = ranked(ends.select("sequence", "tried"), ["sequence"], "n", F.col("tried"), "before")
-            cut_at = placed.where(F.col("before") + F.col("tried") + spent > config.max_total_attempts).agg(F.min(F.struct("sequence", "before"))).first()[0]
-            if cut_at is not None:
-                left = config.max_total_attempts - spent - cut_at["before"]
-                stop = "budget"
-                pages.append(page(queued.where(F.col("sequence") > cut_at["sequence"]), state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
-                pages.append(page(queued.where(F.col("sequence") == cut_at["sequence"]), state=F.lit("skipped"), skipReason=F.lit("budget"), attempts=F.lit(left), reserved=F.lit(True)))
-                ends = ends.where(F.col("sequence") < cut_at["sequence"])
-                denied = None if denied is None else denied.where(F.col("sequence") < cut_at["sequence"])
-            else:
-                spent += ends.agg(F.coalesce(F.sum("tried"), F.lit(0))).first()[0]
-        if denied is not None:
-            pages.append(page(denied, state=F.lit("skipped"), skipReason=F.lit("robots"), reserved=F.lit(True)))
         known = whole(seen, "seen")
         bodies = whole(hashes, "hashes") if config.dedupe_content else None
         hopping = redirects and not ends.where(F.size("hops") > 0).isEmpty()
@@ -325,9 +338,24 @@ def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
             if now == before:
                 break
             before = now
+        if config.max_total_attempts is not None:
+            # With one worker attempts are claimed in the pages' order; the first claim that is refused ends the crawl.
+            placed = ranked(rows.select("sequence", "attempts"), ["sequence"], "n", F.col("attempts"), "before")
+            cut_at = placed.where(F.col("before") + F.col("attempts") + spent > config.max_total_attempts).agg(F.min(F.struct("sequence", "before"))).first()[0]
+            if cut_at is not None:
+                stop, at = "budget", F.col("sequence") == cut_at["sequence"]
+                own = refused(rows.where(at).first().asDict(recursive=True), config.max_total_attempts - spent - cut_at["before"])
+                own_page = spark.createDataFrame([(cut_at["sequence"], *own.values())], "sequence bigint, " + ", ".join(f"{k} {REFUSED[k]}" for k in own))
+                pages.append(page(queued.where(at).join(own_page, "sequence"), attempts=F.col("attempts"), reserved=F.lit(True)))
+                pages.append(page(queued.where(F.col("sequence") > cut_at["sequence"]), state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
+                rows, earlier = rows.where(F.col("sequence") < cut_at["sequence"]), F.col("sequence") < cut_at["sequence"]
+                denied = None if denied is None else denied.where(earlier)
+                first = _first(_claims(rows, web))
+            else:
+                spent += rows.agg(F.coalesce(F.sum("attempts"), F.lit(0))).first()[0]
+        if denied is not None:
+            pages.append(page(denied, state=F.lit("skipped"), skipReason=F.lit("robots"), reserved=F.lit(True)))
         pages.append(page(rows, attempts=F.col("attempts"), reserved=F.lit(True)))
-        if stop == "budget":
-            break
         fresh = first.where("kind > 0").join(known, "claimed", "left_anti")
         inside = url.origin(F.col("spelling")).eqNullSafe(F.lit(start_origin))
         trap = url.trap_reason(F.col("claimed"), config.max_url_length, config.max_path_depth, config.max_segment_repeats)
@@ -346,6 +374,10 @@ def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
             seen.append(rows.select(F.explode("aliases").alias("claimed"), F.col("sequence").alias("owner")))
         hashes.append(rows.where("new_sha IS NOT NULL").select(F.col("new_sha").alias("known_sha")))
         created, sequence, reserved = created + n, sequence + waiting, reserved + waiting
+        if stop == "budget":
+            # What the pages before the refusal led to has been let in and waits.
+            pages.append(page(queued, state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
+            break
     summary = [{"origin": start_origin, "statusCode": robots.status, "outcome": robots.outcome, "errorKind": robots.error}]
     gap = config.min_interval_ms if robots.outcome != "parsed" or robots.rules.delay is None else max(config.min_interval_ms, min(robots_rules.DELAY_CAP_MS, int(robots.rules.delay * 1000)))
     result = keep(timed(staged(reduce(DataFrame.unionByName, pages), "untimed"), gap, robots.attempts > 0), "pages")

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions import http, url
+from skein.functions import html, http, url
 from skein.plans.config import ConfigError, camel
 from skein.plans.crawl import COLUMNS, CrawlResult, tally
 
@@ -40,6 +40,13 @@ def console(result: CrawlResult) -> str:
     return "\n\n".join(blocks) + "\n"
 
 
+def ignored_lines(pages: DataFrame) -> DataFrame:
+    """The columns of pages (url, html, ...) and a debug line for each link of a page that is no candidate."""
+    read = pages.withColumn("_page", html.read_html(F.col("html"), F.col("url")))
+    rows = read.select(*pages.columns, F.explode("_page.ignored").alias("_link"))
+    return rows.withColumn("line", F.concat(F.lit("[debug] ignored "), F.col("_link.reason"), F.lit(" "), F.col("_link.raw"), F.lit(" base "), F.regexp_replace("url", r"[\r\n]+", " "))).drop("_link")
+
+
 def details_rows(pages: DataFrame) -> DataFrame:
     """created_ord, line, shortened: the table's lines."""
     shown = pages.withColumn("shown", url.display_url(F.col("canonicalUrl")))

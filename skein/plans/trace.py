@@ -56,7 +56,7 @@ def events(result: CrawlResult) -> DataFrame:
         onward = (_event("robots-check", (s, 2, i, 1), url=to, allowed=F.lit(True)), _event("redirect", (s, 2, i, 2), **{"from": h["url"], "to": to, "status": h["status"]}))
         return F.concat(F.flatten(F.transform(h["tries"], attempt)), F.filter(F.array(*onward), lambda _: to.isNotNull()))
 
-    pages = result.pages.withColumn("_asked", F.when((F.col("attempts") > 0) & F.col("tries").isNotNull(), asked(trail, F.coalesce("finalUrl", url), F.col("tries"))).otherwise(F.array()))
+    pages = result.pages.withColumn("_asked", F.when((F.col("attempts") > 0) & F.col("tries").isNotNull(), asked(trail, F.coalesce("askedUrl", url), F.col("tries"))).otherwise(F.array()))
     hop_denied = (skip == "robots") & (F.col("attempts") > 0) & (n > 0)
     own = F.concat(
         F.array(created),

@@ -1,7 +1,7 @@
 """A live web: GET requests by the executors, spaced by origin.
 
 URLs are dealt by origin, so that one task sends all requests of an origin in a generation and can
-keep its gap. A task that is run again asks again; what it got is staged once it ends.
+keep its gap and its number of open requests. A task that is run again asks again; what it got is staged once it ends.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 import http.client
 import socket
 import ssl
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from email.utils import parsedate_to_datetime
 from urllib.parse import urlsplit
 
@@ -126,16 +128,21 @@ def answers(config: CrawlConfig, gap_ms: int) -> Callable[[DataFrame], DataFrame
     def asked(frames):
         import pandas as pd
 
-        last: dict[str, float] = {}
+        starts: dict[str, float] = {}
+        turn = threading.Lock()
 
         def pace(origin: str) -> None:
-            at = last.get(origin, 0.0) + gap_ms / 1000
+            """Waits for the origin's next start; starts keep the gap whatever the order in which they are asked for."""
+            with turn:
+                at = max(time.monotonic(), starts.get(origin, 0.0) + gap_ms / 1000)
+                starts[origin] = at
             time.sleep(max(0.0, at - time.monotonic()))
-            last[origin] = time.monotonic()
 
-        for frame in frames:
-            rows = [get(u, config, lambda: pace(o)) for u, o in zip(frame["url"], frame["origin"])]
-            yield pd.DataFrame(rows, columns=_NAMES).astype({"status_code": "Int32", "attempts": "Int32"})
+        # As many open requests as an origin has leases; a task has all of an origin's URLs.
+        with ThreadPoolExecutor(min(config.concurrency, config.per_origin_limit)) as pool:
+            for frame in frames:
+                rows = list(pool.map(lambda u, o: get(u, config, lambda: pace(o)), frame["url"], frame["origin"]))
+                yield pd.DataFrame(rows, columns=_NAMES).astype({"status_code": "Int32", "attempts": "Int32"})
 
     def web(urls: DataFrame) -> DataFrame:
         each = urls.distinct().withColumn("origin", url.origin(F.col("url"))).repartition("origin")

@@ -31,7 +31,8 @@ def html(k, links, canonical):
     return f"<p>{k}</p>" + (f"<link rel=canonical href={canonical}>" if canonical else "") + "".join(f"<a href={x}>x</a>" for x in links)
 
 
-def one_worker(web, depth_limit, page_limit):
+def one_worker(web, depth_limit, page_limit, budget=10**9, tries=lambda path: [None]):
+    """tries: what a URL's attempts give before the last one that counts, which is None."""
     pages, queue, seen, hashes, reserved = [], [], {}, set(), 0
 
     def consider(key, depth, parent):
@@ -50,13 +51,19 @@ def one_worker(web, depth_limit, page_limit):
             queue.append(page)
 
     consider("/", 0, None)
-    while queue:
+    stopped = False
+    while queue and not stopped:
         page = queue.pop(0)
         at, chain = page["key"], [page["key"]]
         while True:
             status, body, links, canonical, to = web[at]
-            page["attempts"] += 1
-            if status != 302:
+            for n, gives in enumerate(tries(at)):
+                if not budget:
+                    stopped, page["verdict"] = True, "http-status" if n else "budget"
+                    break
+                budget -= 1
+                page["attempts"] += 1
+            if stopped or status != 302:
                 break
             if len(chain) > 5:
                 page["verdict"] = "redirect-limit"
@@ -85,7 +92,7 @@ def one_worker(web, depth_limit, page_limit):
             consider(canonical, page["depth"], page["key"])
         for key in sorted(set(links)):
             consider(key, page["depth"] + 1, page["key"])
-    return [(p["key"], p["parent"], p["depth"], p["verdict"], p["attempts"]) for p in pages]
+    return [(p["key"], p["parent"], p["depth"], p["verdict"] or "queued", p["attempts"]) for p in pages]
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -99,3 +106,19 @@ def test_crawl_equals_one_worker(spark, seed):
     want = one_worker(web, 4, 40)
     assert {v for *_, v, _ in want} >= {"ok", "duplicate"}
     assert got == want
+
+
+@pytest.mark.parametrize("budget", [1, 9, 23])
+def test_budget_equals_one_worker(spark, budget):
+    """Attempts run out before a page, between its redirects or between its retries."""
+    web = random_site(5)
+    flaky = lambda path: [503] * (sum(map(ord, path)) % 3) + [None]
+    rows = []
+    for p, (s, k, links, c, to) in web.items():
+        rows += [(ORIGIN + p, i + 1, x, "text/html", None, None, None, "", None) for i, x in enumerate(flaky(p)[:-1])]
+        rows.append((ORIGIN + p, len(flaky(p)), s, "text/html", to, None, None, html(k, links, c) if s == 200 else "", None))
+    config = CrawlConfig(start_url=ORIGIN, max_depth=3, max_pages=40, respect_robots=False, max_total_attempts=budget)
+    result = crawl(spark, config, site.web(spark.createDataFrame(rows, site.RESPONSES)))
+    cut = lambda u: u and u[len(ORIGIN) :]
+    got = [(cut(r.canonicalUrl), cut(r.discoveredFrom), r.depth, r.skipReason or r.errorKind or r.state, r.attempts) for r in result.pages.orderBy("created_ord").collect()]
+    assert got == one_worker(web, 3, 40, budget, flaky) and result.stop_reason == "budget"
