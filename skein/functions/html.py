@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Column
@@ -89,7 +90,7 @@ def read(html: str, page_url: str) -> dict:
         url = weburl.parse(raw, base)
         problem = "unparsable" if url is None else "scheme" if url.scheme not in ("http", "https") else "userinfo" if url.user else None
         if problem:
-            ignored.append({"reason": problem, "raw": " ".join(raw.splitlines())})
+            ignored.append({"reason": problem, "raw": re.sub(r"[\r\n]+", " ", raw)})
         else:
             links.append(str(url))
     return {"links": links, "canonical": page.canonical, "base": str(base), "ignored": ignored}

@@ -22,23 +22,30 @@ def start_times(requests: DataFrame, key: str, ready: str, gap: Column, order: l
 
 
 def lease_times(requests: DataFrame, key: str, limit: int, gap_ms: int) -> DataFrame:
-    """(key, id, ready_ms, hold_ms) -> take_ms, start_ms where ``limit`` leases a key are held in order of arrival."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(["ready_ms", "id"], kind="stable")
-        held: list[int] = []
-        last, takes, starts = None, [], []
-        for ready, hold in zip(pdf["ready_ms"], pdf["hold_ms"]):
-            take = int(ready) if len(held) < limit else max(int(ready), heapq.heappop(held))
-            start = take if last is None else max(take, last + gap_ms)
-            last = start
-            heapq.heappush(held, start + int(hold))
-            takes.append(take)
-            starts.append(start)
-        return pdf.assign(take_ms=takes, start_ms=starts)
+    """(key, id, ready_ms, hold_ms) -> take_ms, start_ms where ``limit`` leases a key are held in order of arrival.
+
+    Each start depends on the one before, so a key's requests go through one task, in order and as a
+    stream: what is held is the leases' ends, whatever the number of requests.
+    """
+
+    def run(frames):
+        now, held, last = object(), [], None
+        for frame in frames:
+            takes, starts = [], []
+            for own, ready, hold in zip(frame[key], frame["ready_ms"].tolist(), frame["hold_ms"].tolist()):
+                if own != now:
+                    now, held, last = own, [], None
+                take = ready if len(held) < limit else max(ready, heapq.heappop(held))
+                last = take if last is None else max(take, last + gap_ms)
+                heapq.heappush(held, last + hold)
+                takes.append(take)
+                starts.append(last)
+            yield frame.assign(take_ms=takes, start_ms=starts)
 
     kind = dict(requests.dtypes)[key]
-    return requests.select(key, "id", "ready_ms", "hold_ms").groupBy(key).applyInPandas(run, f"{key} {kind}, id bigint, ready_ms bigint, hold_ms bigint, take_ms bigint, start_ms bigint")
+    rows = requests.select(key, "id", F.col("ready_ms").cast("bigint"), F.col("hold_ms").cast("bigint"))
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, "ready_ms", "id")
+    return sorted_rows.mapInPandas(run, f"{key} {kind}, id bigint, ready_ms bigint, hold_ms bigint, take_ms bigint, start_ms bigint")
 
 
 def budget_cut(claims: DataFrame, order: list, most: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein.functions import html, http, url
 from skein.operators import politeness
 from skein.operators.queries import _pick, _t, query
+from skein.plans import report
 from skein.sources import site
 
 #: URL and its key, as the identity rules say.
@@ -36,8 +37,8 @@ _CASES = ", ".join(f"({i}, {_literal(u)}, {_literal(k)})" for i, (u, k) in enume
 @query(f"SELECT r_regionkey AS region, n, u AS url, k AS key, k AS exact FROM region, (VALUES {_CASES}) c(n, u, k)")
 def q_url_identity(spark, sf_dir):
     """Literal URLs and keys, by the expression and by the exact function."""
-    cases = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(KEYS)], "n int, url string")
-    rows = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region")).join(F.broadcast(cases), F.lit(True))
+    cases = F.posexplode(F.array(*(F.lit(u) for u, _ in KEYS)))
+    rows = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), cases.alias("n", "url"))
     return rows.select("region", "n", "url", url.canonical_key(F.col("url")).alias("key"), url.exact_key(F.col("url")).alias("exact"))
 
 
@@ -142,3 +143,10 @@ def q_resolved(spark, sf_dir):
     rows = _t(spark, sf_dir, "pages").select("page_id", base.alias("base"), F.posexplode(F.array(*map(F.lit, _TARGETS))).alias("n", "raw"))
     rows = rows.select("page_id", F.struct("n", url.resolve(F.col("raw"), F.col("base")).alias("u")).alias("r"))
     return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["u"]), " ").alias("resolved"))
+
+
+@query(r"""SELECT page_id, '[debug] ignored ' || unnest(['scheme mailto:x', 'userinfo https://u@h.test/', 'unparsable http://[ x']) || ' base ' || url AS line FROM pages""")
+def q_ignored_lines(spark, sf_dir):
+    """Debug lines of links that are no candidates, in the page's order."""
+    page = F.concat("html", F.lit("""<a href='mailto:x'>1</a><a href="https://u@h.test/">2</a><a href="http://[\n\n x">3</a>"""))
+    return report.ignored_lines(_t(spark, sf_dir, "pages").select("page_id", "url", page.alias("html"))).select("page_id", "line")

@@ -26,3 +26,47 @@ def test_robots_and_errors(spark):
     robots = {"http://e.com/robots.txt": {"status_code": 200, "body": "User-agent: *\nDisallow: /s"}}
     result = run(spark, [response("/", body="<a href=/s>s</a><a href=/m>m</a><a href=/t>t</a>"), response("/t", kind="text/plain")], robots, max_depth=1)
     assert {(r.canonicalUrl[12:], r.skipReason or r.errorKind or r.state) for r in result.pages.collect()} == {("/", "ok"), ("/s", "robots"), ("/m", "http-status"), ("/t", "non-html")}
+
+
+def test_the_web_is_not_moved(spark):
+    """A generation is joined to buckets: neither the pages nor the links of the web are exchanged again."""
+    from skein.sources.stored import stored
+
+    web = stored(site.relational_site(spark, "/root/testdata/sf0.001"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frontier = spark.range(1000).selectExpr("concat('https://site.test/c/', id) url")
+        for table, key in ((web.pages, "url"), (web.links, "from_url")):
+            joined = frontier.withColumnRenamed("url", key).join(table, key)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        web.drop()
+
+
+def test_redirects_with_user_names_are_bad(spark):
+    result = run(spark, [response("/", body="<a href=/a>a</a><a href=/b>b</a><a href=/c>c</a>"), response("/a", 302, location="ftp://u@h/"), response("/b", 302, location="ftp://h/"), response("/c", 302, location="http://u@e.com/")])
+    rows = {r.canonicalUrl[12:]: (r.skipReason or r.errorKind, r.errorMessage) for r in result.pages.collect()}
+    assert rows["/a"] == rows["/c"] == ("bad-redirect", "redirect location contains userinfo") and rows["/b"] == ("redirect-off-origin", None)
+
+
+def test_clock_and_time_budget(spark):
+    """Times come from the clock that is handed in."""
+    times = iter(range(0, 10**6, 3))
+    web = site.web(spark.createDataFrame([response("/", body="<a href=/a>a</a>"), response("/a", body="<a href=/b>b</a>")], site.RESPONSES))
+    result = crawl(spark, CrawlConfig(start_url="http://e.com", max_duration_ms=4000), web, None, clock=lambda: next(times))
+    assert result.stop_reason == "budget" and result.started_ms == 0
+    assert [(r.canonicalUrl[12:], r.state) for r in result.pages.orderBy("created_ord").collect()] == [("/", "ok"), ("/a", "queued")]
+
+
+def test_retries_in_times_and_trace(spark):
+    from skein.plans import trace
+
+    rows = [response("/", 503), response("/", 500, attempt=2), response("/", body="x", attempt=3)]
+    result = run(spark, rows, respect_robots=False, min_interval_ms=100)
+    page = result.pages.first()
+    assert (page.attempts, page.waitedMs, page.durationMs) == (3, 0, 1500)
+    lines = trace.text(result).splitlines()
+    assert [x for x in lines if " retry " in x] == ["[trace] retry url=http://e.com/ next=2 wait=500 status=503", "[trace] retry url=http://e.com/ next=3 wait=1000 status=500"]
+    assert [x.split()[1] for x in lines] == ["crawl-start", "reserved", "take", "robots-check", "attempt-start", "retry", "attempt-start", "retry", "attempt-start", "links", "commit", "crawl-stop"]

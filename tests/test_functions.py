@@ -64,3 +64,67 @@ def test_trace_lines_of_all_pages(spark):
     shown = lambda u: u if re.fullmatch(r"[A-Za-z0-9._:/-]+", u) else json.dumps(re.sub(r"[\r\n]+", " ", u), ensure_ascii=False)
     assert not any("@" in r.url for r in pages) and any(shown(r.url) != r.url for r in pages)
     assert got == {r.page_id: f"[trace] take url={shown(r.url)} depth={r.page_id % 3} sequence={r.page_id}" for r in pages}
+
+
+def test_dates_in_any_session_zone(spark):
+    """A wait is the same whatever the session's zone, for all three forms of a date."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    headers = ["Thu, 01 Jan 1970 00:00:03 GMT", "Thursday, 01-Jan-70 00:00:03 GMT", "Thu Jan  1 00:00:03 1970", "tomorrow", "Thu, 01 Foo 1970 00:00:03 GMT"]
+    try:
+        for name in ("America/New_York", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            got = spark.createDataFrame([(i, h) for i, h in enumerate(headers)], "n int, h string").select("n", http.retry_after_ms(F.col("h"), F.lit(1000)).alias("w")).collect()
+            assert [r.w for r in sorted(got)] == [2000, 2000, 2000, None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_product_tokens():
+    for agent, want in (("SkeinBot/1.0", "SkeinBot"), ("A b/2", "A"), ("/x", ""), (" x", ""), ("plain", "plain")):
+        assert robots.product_token(agent) == want
+
+
+def test_hosts_beyond_ascii():
+    for host, want in (("faß.de", "xn--fa-hia.de"), ("BÜCHER.example", "xn--bcher-kva.example"), ("βόλος.com", "xn--nxasmm1c.com"), ("ａ.de", "a.de")):
+        assert weburl.canonical_key(f"http://{host}/") == f"http://{want}/"
+
+
+def test_lines_of_robots_files():
+    """Only CR and LF end a line."""
+    assert robots.parse("User-agent: *\u2028Disallow: /no\x0b\rDisallow: /a\nDisallow: /b\r\nDisallow: /c", "x").rules == []
+    assert robots.parse("User-agent: *\rDisallow: /a\u2028b\nDisallow: /b\r\nAllow: /c", "x").rules == [(False, "/a\u2028b"), (False, "/b"), (True, "/c")]
+
+
+def test_very_many_robots_rules(spark):
+    """40,000 rules decide as a loop over all of them does, and few rules as many."""
+    import random
+
+    r = random.Random(2)
+    rules = [(r.random() < 0.3, "/" + "".join(r.choice("ab/*") for _ in range(r.randint(1, 7))) + ("$" if r.random() < 0.1 else "")) for _ in range(40000)]
+    paths = ["/" + "".join(r.choice("ab/") for _ in range(r.randint(0, 12))) for _ in range(60)]
+
+    def slowly(path, some):
+        best = (0, True)
+        for allow, p in some:
+            if re.match(robots.regex_of(p), path):
+                best = max(best, (len(p), allow))
+        return best[1]
+
+    rows = spark.createDataFrame([(i, f"https://e.test{p}") for i, p in enumerate(paths)], "n int, u string")
+    few = [x for x in rules if len(x[1]) > 4][:50]
+    for some in (rules, few):
+        got = {x.n: x.a for x in rows.select("n", robots.allowed(F.col("u"), some).alias("a")).collect()}
+        assert got == {i: slowly(p, list(dict.fromkeys(some))) for i, p in enumerate(paths)}
+
+
+def test_hrefs_of_any_markup(spark):
+    """The pattern and the tokenizer agree on every page; odd ones go to the tokenizer."""
+    pages = ["<a href=\"/a\">x</a><A class=b HREF = \"/b\">", "<!-- <a href=\"/no\"> --><a href=\"/a\">", "<script>'<a href=\"/no\">'</script><a href=\"/a\">", "<a href='/a'><a href=/b>", "<a href=\"/a?x=1&amp;y=2\">",
+             "<title><a href=\"/no\"></title><a href=\"/a\">", "<title>plain</title><a href=\"/a\"><a href=\" \">", "<a data-x='<a href=\"/no\">' href=\"/a\">", "", "<template><a href=\"/no\"></template>", "<a href=\"/a\" href=\"/b\">"]
+    pages += [x.html for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    got = {x.n: x.h for x in spark.createDataFrame(list(enumerate(pages)), "n int, p string").select("n", html.hrefs(F.col("p")).alias("h")).collect()}
+    for i, page in enumerate(pages):
+        own = html._Page()
+        own.feed(page)
+        own.close()
+        assert got[i] == own.hrefs, page[:200]
