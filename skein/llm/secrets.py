@@ -6,7 +6,7 @@ models over 64 character classes, one of random strings and one of ordinary iden
 log-likelihood ratio, and runs that look random by a margin are secrets too unless they overlap a
 fixed span; so are the long parts, between '/', '_' and '-', of runs that don't. The models are
 bigram counts of labelled samples: random are strings that the fixed rules find and generated ones,
-identifiers are the other words of the sampled documents.
+identifiers are the other words of the sampled documents and made-up names of programs.
 
 Spans are kind:start:end in code points, end exclusive. Null and empty texts have none. Texts of any
 length are read whole; what is done with their matches takes little more than linear time. Repeated
@@ -40,6 +40,17 @@ PART = rf"(?<![A-Za-z0-9+])[A-Za-z0-9+]{{{RUN_LENGTH},}}"
 MARGIN_EACH, MARGIN = 0.5, 12.0
 #: Documents (about) whose words train the models, those of the smallest hashes, and generated strings.
 TRAIN_DOCS, GENERATED = 1000, 2000
+#: Words that names in programs are made of.
+CODE_WORDS = (
+    "abstract access account action adapter address admin agent array async attribute author base batch bean binary block boolean buffer build button byte cache call case channel char check child class client "
+    "code collection column command common component config connection const constant container content context control controller copy core count create current custom data database date default delete "
+    "description detail device directory document double element email empty entity entry enum error event exception execute export factory field file filter final find float folder format function get group "
+    "handler hash header helper id image impl import index info input instance int integer interface internal is item iterator job json key label language length level library line list listener load local lock log "
+    "logger long main manager map mapper master max message method min mode model module name node null number object offset option order output package page param parent parser password path pattern payload point "
+    "policy pool port process processor product profile property provider proxy query queue read record reference registry remote remove repository request resource response result return root row rule run scheduler "
+    "schema scope search server service session set settings single singleton size source stack start state status stop store stream string style table target task template test text thread time timeout title token "
+    "tree type update upload url user util value vector version view void web width window worker wrapper write xml"
+).split()
 CLASSES = 64
 #: Different characters of a random string, at least: rules of dashes and the like aren't secrets.
 DIFFERENT = 8
@@ -87,6 +98,12 @@ def labelled_samples(docs: DataFrame, rows: int = TRAIN_DOCS, generated: int = G
     # Identifiers are also words joined by the usual signs.
     joins = F.explode(F.array(*(F.concat_ws(sign, "value", "value") for sign in "_-/")))
     words = words.unionByName(words.distinct().select(joins.alias("value")))
+    # And names in programs, of two and three words, in their usual spellings.
+    code = spark.createDataFrame([(i, w) for i, w in enumerate(CODE_WORDS)], "i int, w string")
+    beside = lambda step: F.element_at(F.array(*map(F.lit, CODE_WORDS)), (F.pmod(F.col("i") * step + F.col("k"), F.lit(len(CODE_WORDS))) + 1).cast("int"))
+    code = code.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).select(F.array("w", beside(3), beside(7)).alias("p"))
+    spellings = [F.array_join(F.transform("p", F.initcap), ""), F.array_join("p", "_"), F.array_join("p", "/"), F.upper(F.array_join("p", "_"))]
+    words = words.unionByName(code.select(F.explode(F.array(*spellings)).alias("value")))
     made = None
     for letters in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
         some = spark.range(generated).select(_random_string(letters, 32).alias("value"))
