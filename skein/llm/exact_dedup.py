@@ -83,6 +83,11 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE {old}")
         common.remove(self.spark, place)
 
+    def drop(self) -> None:
+        """Deletes the index with its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        common.remove(self.spark, self.path)
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -121,7 +126,13 @@ def new_index(docs: DataFrame) -> DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str = "first") -> DataFrame:
-    return (index or new_index(docs)).add(docs, batch)
+    """Dedups docs against an index, or by themselves with one that goes afterwards; staged."""
+    with common.scratch() as keep:
+        own = index or new_index(docs)
+        out = keep(own.add(docs, batch), "deduplicated")
+        if index is None:
+            own.drop()
+        return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

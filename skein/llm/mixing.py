@@ -153,7 +153,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them, with their columns: a row that is taken k times stands there k times."""
     keys = [common.ID_KEY, ROW_KEY]
     # Rows equal in all columns are one row with the copies of all.
-    taken = common.staged(mix(docs).where("copies > 0").groupBy(*keys).agg(F.sum("copies").alias("copies")), "taken")
+    with common.scratch() as keep:
+        taken = keep(mix(docs).where("copies > 0").groupBy(*keys).agg(F.sum("copies").alias("copies")), "taken")
     marked = docs.select(common.id_key().alias(common.ID_KEY), _row_key(docs).alias(ROW_KEY), F.struct("*").alias("row"))
     one = marked.join(taken, keys).dropDuplicates(keys)
     return one.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

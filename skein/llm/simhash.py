@@ -237,9 +237,10 @@ def components_of(rows: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keys, fp, component_id and root of every row."""
-    rows = fingerprints(docs)
-    return rows.join(components_of(rows), "fp").select("doc_id", "fp", "component_id", "root", common.ID_KEY, common.TEXT_KEY)
+    """doc_id, keys, fp, component_id and root of every row; staged."""
+    with common.scratch() as keep:
+        rows = fingerprints(docs)
+        return keep(rows.join(components_of(rows), "fp").select("doc_id", "fp", "component_id", "root", common.ID_KEY, common.TEXT_KEY), "near")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -248,10 +249,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Three bits are too few for texts that are 0.8 alike, so groups are those of the resemblance links.
     A group is known by its root, as groups may share a doc_id or have none.
     """
-    found = resemblance.near_roots(docs)
     # Null doc_ids come last; where rows share that doc_id, the least text key stands for them.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", common.TEXT_KEY, common.ID_KEY)).alias("first")
-    kept = common.staged(found.groupBy("root").agg(first).select("first.*"), "firsts")
+    with common.scratch() as keep:
+        kept = keep(resemblance.near_roots(docs).groupBy("root").agg(first).select("first.*"), "firsts")
     return common.rows_of(docs, kept, distinct=True)
 
 
