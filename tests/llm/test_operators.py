@@ -421,6 +421,25 @@ def test_secrets_in_paths_and_short_ones(spark):
     assert sum(bool(spans[i]) for i in range(len(kind), len(texts))) <= 3
 
 
+def test_secrets_of_known_formats(spark):
+    """Keys in the formats of well-known services, bare in a line, against ordinary long tokens."""
+    r = random.Random(23)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    formats = {
+        "ghp": lambda: "ghp_" + some(base62, 36), "google": lambda: "AIza" + some(base62 + "-_", 35), "stripe": lambda: "sk_live_" + some(base62, 24), "slack": lambda: f"xoxb-{some('0123456789', 12)}-{some(base62, 24)}",
+        "aws secret": lambda: some(base62 + "+/", 40), "jwt part": lambda: "eyJ" + some(base62, 60), "npm": lambda: "npm_" + some(base62, 36), "twilio": lambda: "SK" + some("0123456789abcdef", 32), "sendgrid": lambda: "SG" + some(base62, 22) + some(base62, 43),
+    }
+    plain = ["internationalization_of_configuration_files", "getUserAccountInformationByIdentifier", "src/main/resources/application/configuration", "some-very-long-css-class-name-for-buttons", "CONSTANT_NAME_OF_SOME_SETTING_VALUE", "AbstractSingletonProxyFactoryBean", "----------------------------------", "________________________________", "/usr/local/share/documentation/examples"]
+    rows = [(name, f"use {make()} now") for name, make in formats.items() for _ in range(60)] + [("plain", f"see {w} there") for w in plain]
+    model = secrets.train(secrets.labelled_samples(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    got = secrets.spans(spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id bigint, text string"), model).collect()
+    hit = {x.doc_id for x in got if x.random or x.hex or x.access or x.assign}
+    recall = {name: sum(i in hit for i, (n, _) in enumerate(rows) if n == name) / 60 for name in formats}
+    assert min(recall.values()) >= 0.9, recall
+    assert not [rows[i] for i in hit if rows[i][0] == "plain"]
+
+
 def test_running_totals(spark):
     from pyspark.sql import functions as F
 
@@ -687,6 +706,16 @@ def test_licenses(odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_languages_of_odd_rows(spark, odd):
+    """Null, empty and very long texts, repeated rows, languages that tie, no rows at all."""
+    docs = odd.unionByName(spark.createDataFrame([(100 + i, "tie tie", lang, None, 0, "x", 1) for i, lang in enumerate(["bb", "aa"] * 8)], DOCS))
+    model = langid.train(docs)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == docs.count() and {r.lang_pred for r in got if r.doc_id in (1, 2)} == {"und"} and len({(r.lang_pred, r.score) for r in got if r.doc_id == 5}) == 1
+    assert {r.lang_pred for r in got if r.doc_id and r.doc_id >= 100} == {"aa"}
+    assert langid.predict(odd.limit(0), model).count() == 0
+
+
 def test_each_place_of_a_license():
     known = licenses.templates(tuple(licenses.TEMPLATES.items()))
     for name in ("Apache-2.0 header", "MIT grant", "GPL-3.0 header", "MIT"):
