@@ -7,18 +7,41 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.sources.staging import ranked, staged
+
 
 def start_times(requests: DataFrame, key: str, ready: str, gap: Column, order: list[str]) -> DataFrame:
-    """Adds start_ms: start = max(ready, start before + larger of the two gaps).
+    """Adds start_ms: start = max(ready, start before + larger of the two gaps); order must be total within a key.
 
-    With C the running sum of gaps, start - C is the running maximum of ready - C: two windows by key.
+    With C the running sum of gaps, start - C is the running maximum of ready - C. All requests are put
+    in one order by key, dealt by range: an origin with most of the requests lies over many partitions.
+    What a partition takes over from those before it, for the key they share, is a row a partition.
     """
-    by = Window.partitionBy(key).orderBy(*order)
-    up = by.rowsBetween(Window.unboundedPreceding, 0)
-    w = requests.withColumn("_gap", gap)
-    w = w.withColumn("_step", F.when(F.row_number().over(by) == 1, 0).otherwise(F.greatest("_gap", F.lag("_gap").over(by))))
-    w = w.withColumn("_sum", F.sum("_step").over(up))
-    return w.withColumn("start_ms", F.col("_sum") + F.max(F.col(ready) - F.col("_sum")).over(up)).drop("_gap", "_step", "_sum")
+    rows = requests.withColumn("_gap", gap)
+    # The row before the first of a partition is the last one of an earlier partition: they meet among the edges.
+    parts = staged(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "paced")
+    own = Window.partitionBy("_part").orderBy(key, *order)
+    mine = Window.partitionBy("_part", key).orderBy(*order)
+    edge = parts.groupBy("_part").agg(F.max(F.struct(key, *order, "_gap")).alias("e")).select("_part", F.col(f"e.{key}").alias("_last_key"), F.col("e._gap").alias("_last_gap"))
+    earlier = Window.orderBy("_part")
+    edge = edge.select((F.lead("_part").over(earlier)).alias("_part"), "_last_key", "_last_gap").where("_part IS NOT NULL")
+    w = parts.join(F.broadcast(edge), "_part", "left")
+    first_row = F.row_number().over(own) == 1
+    before = F.coalesce(F.lag("_gap").over(mine), F.when(first_row & F.col(key).eqNullSafe(F.col("_last_key")), F.col("_last_gap")))
+    w = w.withColumn("_step", F.when(before.isNull(), 0).otherwise(F.greatest("_gap", before)))
+    w = w.withColumn("_sum", F.sum("_step").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+    w = staged(w.withColumn("_top", F.max(F.col(ready) - F.col("_sum")).over(mine.rowsBetween(Window.unboundedPreceding, 0))).drop("_last_key", "_last_gap"), "stepped")
+    # A key that goes on in later partitions hands over its sum, and its top seen from there.
+    sums = w.groupBy(key, "_part").agg(F.max("_sum").alias("s"), F.max("_top").alias("t"))
+    spread = sums.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n")).where("n > 1")
+    sums = sums.join(spread, sums[key].eqNullSafe(F.col("_k")), "left_semi")  # two rows a partition at most
+    over = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_add", F.coalesce(F.sum("s").over(over), F.lit(0)))
+    sums = sums.withColumn("_floor", F.max(F.col("t") - F.col("_add")).over(over)).select(F.col(key).alias("_k"), F.col("_part").alias("_p"), "_add", "_floor")
+    out = w.join(F.broadcast(sums), w[key].eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")), "left")
+    add = F.coalesce("_add", F.lit(0))
+    start = F.col("_sum") + add + F.greatest(F.col("_top") - add, F.coalesce("_floor", F.col("_top") - add))
+    return out.withColumn("start_ms", start).drop("_gap", "_step", "_sum", "_top", "_part", "_k", "_p", "_add", "_floor")
 
 
 def lease_times(requests: DataFrame, key: str, limit: int, gap_ms: int) -> DataFrame:
@@ -50,6 +73,4 @@ def lease_times(requests: DataFrame, key: str, limit: int, gap_ms: int) -> DataF
 
 def budget_cut(claims: DataFrame, order: list, most: int) -> DataFrame:
     """Attempt claims in order: granted as long as fewer than ``most`` were before."""
-    from skein.sources.staging import ranked
-
     return ranked(claims, order, "claim").withColumn("granted", F.col("claim") < most)

@@ -148,5 +148,5 @@ def q_resolved(spark, sf_dir):
 @query(r"""SELECT page_id, '[debug] ignored ' || unnest(['scheme mailto:x', 'userinfo https://u@h.test/', 'unparsable http://[ x']) || ' base ' || url AS line FROM pages""")
 def q_ignored_lines(spark, sf_dir):
     """Debug lines of links that are no candidates, in the page's order."""
-    page = F.concat("html", F.lit("""<a href='mailto:x'>1</a><a href="https://u@h.test/">2</a><a href="http://[\n\n x">3</a>"""))
+    page = F.concat("html", F.lit("""<a href='mailto:x'>1</a><a href="https://u@h.test/">2</a><a href="http://[\n\nx">3</a>"""))
     return report.ignored_lines(_t(spark, sf_dir, "pages").select("page_id", "url", page.alias("html"))).select("page_id", "line")

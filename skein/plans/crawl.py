@@ -246,7 +246,6 @@ def timed(pages: DataFrame, gap: int, robots_asked: bool) -> DataFrame:
     began = F.aggregate(F.slice("_all", 1, F.size("_all") - 1), F.lit(0).cast("bigint"), lambda s, t: s + step(t))
     rows = rows.withColumns({"durationMs": F.when(F.col("_all").isNotNull(), began + last), "_left": F.greatest(F.lit(0).cast("bigint"), F.lit(gap) - last)})
     order = running(rows.where("_all IS NOT NULL").select("sequence", "_left"), ["sequence"], {}, "_at")
-    order = staged(order, "taken")
     before = order.select((F.col("_at") + 1).alias("_at"), F.col("_left").alias("_wait"))
     waits = order.select("sequence", "_at").join(before, "_at", "left").select("sequence", F.coalesce("_wait", F.lit(gap if robots_asked else 0)).cast("bigint").alias("waited"))
     return rows.join(waits, "sequence", "left").withColumn("waitedMs", F.col("waited")).select(pages.columns)
@@ -380,7 +379,7 @@ def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
             break
     summary = [{"origin": start_origin, "statusCode": robots.status, "outcome": robots.outcome, "errorKind": robots.error}]
     gap = config.min_interval_ms if robots.outcome != "parsed" or robots.rules.delay is None else max(config.min_interval_ms, min(robots_rules.DELAY_CAP_MS, int(robots.rules.delay * 1000)))
-    result = keep(timed(staged(reduce(DataFrame.unionByName, pages), "untimed"), gap, robots.attempts > 0), "pages")
+    result = keep(timed(reduce(DataFrame.unionByName, pages), gap, robots.attempts > 0), "pages")
     if not callable(web):
         web.drop()
     edges = result.where("discoveredFrom IS NOT NULL").select("discoveredFrom", "canonicalUrl", "depth")

@@ -128,3 +128,25 @@ def test_hrefs_of_any_markup(spark):
         own.feed(page)
         own.close()
         assert got[i] == own.hrefs, page[:200]
+
+
+def test_starts_of_a_hot_origin(spark):
+    """Most requests are of one origin, which lies over all partitions; starts are those of a loop."""
+    import random
+
+    from skein.operators import politeness
+
+    r = random.Random(3)
+    rows = [(r.choice(["hot"] * 9 + ["a", "b", None]), r.randrange(200000), i, r.choice([100, 200, 500])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "origin string, ready bigint, id int, gap bigint").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x.id: x.start_ms for x in politeness.start_times(df, "origin", "ready", F.col("gap"), ["ready", "id"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for origin in {x[0] for x in rows}:
+        last = before = None
+        for _, ready, i, gap in sorted((x for x in rows if x[0] == origin), key=lambda x: x[1:3]):
+            last = ready if last is None else max(ready, last + max(before, gap))
+            before = gap
+            assert got[i] == last
