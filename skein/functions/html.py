@@ -66,6 +66,11 @@ class _Page(HTMLParser):
         elif tag == "link" and not self.has_canonical and "canonical" in first.get("rel", "").lower().split():
             self.has_canonical, self.canonical = True, first.get("href")
 
+    def parse_marked_section(self, i, report=1):
+        """"<![" begins a comment up to the next ">"."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
@@ -77,7 +82,14 @@ class _Page(HTMLParser):
 
 
 def read(html: str, page_url: str) -> dict:
-    """links (resolved, without fragments, repeats kept), canonical (raw), base, ignored (reason and raw)."""
+    """links (resolved, without fragments, repeats kept), canonical (raw), base, ignored (reason and raw); error if the page can't be read."""
+    try:
+        return _read(html, page_url) | {"error": None}
+    except Exception as error:  # a page that breaks the tokenizer fails alone
+        return {"links": [], "canonical": None, "base": page_url, "ignored": [], "error": str(error) or type(error).__name__}
+
+
+def _read(html: str, page_url: str) -> dict:
     from skein.functions import weburl
 
     page = _Page()
@@ -116,7 +128,7 @@ def raw_hrefs(bodies):
 
 _IGNORED = T.StructType([T.StructField("reason", _TEXT), T.StructField("raw", _TEXT)])
 #: A type, not its DDL: workers import this module without a session.
-SCHEMA = T.StructType([T.StructField("links", T.ArrayType(_TEXT)), T.StructField("canonical", _TEXT), T.StructField("base", _TEXT), T.StructField("ignored", T.ArrayType(_IGNORED))])
+SCHEMA = T.StructType([T.StructField("links", T.ArrayType(_TEXT)), T.StructField("canonical", _TEXT), T.StructField("base", _TEXT), T.StructField("ignored", T.ArrayType(_IGNORED)), T.StructField("error", _TEXT)])
 
 
 @F.pandas_udf(SCHEMA)
@@ -125,4 +137,4 @@ def read_html(bodies, urls):
 
     from skein.functions.html import read as read_page
 
-    return pd.DataFrame([read_page(b or "", u) for b, u in zip(bodies, urls)], columns=["links", "canonical", "base", "ignored"])
+    return pd.DataFrame([read_page(b or "", u) for b, u in zip(bodies, urls)], columns=["links", "canonical", "base", "ignored", "error"])

@@ -50,11 +50,12 @@ def parsed(rows: DataFrame, max_bytes: int) -> DataFrame:
     good = F.col("error_kind").isNull() & F.col("status_code").between(200, 299) & http.is_html(F.col("content_type"))
     body = F.when(good, F.coalesce("body", F.lit("")))
     rows = rows.withColumn("page", F.when(good, html.read_html(body, F.col("url"))))
+    broken = F.col("page.error").isNotNull()
     links = F.arrays_zip(F.col("page.links").alias("url"), _keys(F.col("page.links")).alias("key"))
     canonical = F.when(F.col("page.canonical").isNotNull(), url.resolve(F.col("page.canonical"), F.col("page.base")))
-    message = F.when(F.col("error_code").isNotNull(), http.error_message(F.lit("fetch failed"), F.col("error_code"))).when(F.col("error_kind") == "too-large", F.lit(f"response exceeds {max_bytes} bytes"))
+    message = F.when(F.col("error_code").isNotNull(), http.error_message(F.lit("fetch failed"), F.col("error_code"))).when(F.col("error_kind") == "too-large", F.lit(f"response exceeds {max_bytes} bytes")).when(broken, F.col("page.error"))
     return rows.select(
-        "url", "status_code", "content_type", "location", "error_kind", message.alias("error_message"), "attempts", "tries",
+        "url", "status_code", "content_type", "location", F.coalesce("error_kind", F.when(broken, F.lit("parse"))).alias("error_kind"), message.alias("error_message"), "attempts", "tries",
         F.octet_length(body).cast("bigint").alias("byte_length"), http.content_hash(body).alias("sha"), links.alias("links"),
         canonical.alias("canonical_url"), url.exact_key(canonical).alias("canonical_key"),
     )

@@ -70,3 +70,33 @@ def test_retries_in_times_and_trace(spark):
     lines = trace.text(result).splitlines()
     assert [x for x in lines if " retry " in x] == ["[trace] retry url=http://e.com/ next=2 wait=500 status=503", "[trace] retry url=http://e.com/ next=3 wait=1000 status=500"]
     assert [x.split()[1] for x in lines] == ["crawl-start", "reserved", "take", "robots-check", "attempt-start", "retry", "attempt-start", "retry", "attempt-start", "links", "commit", "crawl-stop"]
+
+
+def test_a_fatal_error_ends_the_crawl(spark):
+    import pytest
+
+    def web(urls):
+        raise RuntimeError("no web")
+
+    with pytest.raises(RuntimeError, match="no web"):
+        crawl(spark, CrawlConfig(start_url="http://e.com"), web)
+
+
+def test_second_interrupt_leaves_at_once():
+    import io
+    import os
+    import signal
+
+    from skein import cli
+
+    codes = []
+
+    def pressed_twice(config, stopped):
+        stopped()
+        for _ in range(2):
+            os.kill(os.getpid(), signal.SIGINT)
+        assert stopped()
+
+    assert cli.run(["http://e.com"], io.StringIO(), io.StringIO(), pressed_twice, exit_now=codes.append) == 130
+    assert codes == [130]
+    assert cli.run(["http://e.com"], io.StringIO(), err := io.StringIO(), lambda *_: 1 / 0) == 1 and "division" in err.getvalue()

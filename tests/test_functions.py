@@ -150,3 +150,12 @@ def test_starts_of_a_hot_origin(spark):
             last = ready if last is None else max(ready, last + max(before, gap))
             before = gap
             assert got[i] == last
+
+
+def test_malformed_markup():
+    """Markup that no parser likes is read as far as it goes; what breaks the reader is that page's own failure."""
+    links = lambda body: html.read(body, "https://e.com/")["links"]
+    for body in ("<![foo[x]]><a href=/b>", "<![if x]><a href=/b>", "<![endif]--><a href=/b>", "<!x><a href=/b>", "<?php ?><a href=/b>", "</ ><a href=/b>", "<a href=/b", "<a href=/b>&#xFFFFFFFF;&bogus;"):
+        assert links(body) in (["https://e.com/b"], []) and html.read(body, "https://e.com/")["error"] is None
+    assert links("<![foo[x]]><a href=/b>") == ["https://e.com/b"]
+    assert html.read("<a href=x>", None)["error"]
