@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ from skein.sources import site
 M = site.MAZE
 
 
-def _crawled(spark, sf_dir, *kinds: int, **config) -> engine.CrawlResult:
+def _crawled(spark, sf_dir, *kinds: int, clock=time.time, **config) -> engine.CrawlResult:
     settings = {"max_depth": 2, "max_pages": 10**9} | config
-    return engine.crawl(spark, CrawlConfig(start_url=f"{M}/", **settings), site.maze(spark, sf_dir, kinds))
+    return engine.crawl(spark, CrawlConfig(start_url=f"{M}/", **settings), site.maze(spark, sf_dir, kinds), clock=clock)
 
 
 def _verdicts(pages: DataFrame) -> DataFrame:
@@ -129,3 +131,16 @@ def q_trace_of_redirects(spark, sf_dir):
     """Lines of the trace: each redirect and attempt of chains of five."""
     lines = trace.lines(_crawled(spark, sf_dir, 2)).where(F.col("line").rlike(r"^\[trace\] (redirect|attempt-start) "))
     return lines.groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH c AS (SELECT count(*) FILTER (c_custkey % 10 = 1) AS bad, count(*) FILTER (c_custkey % 10 = 3) AS away FROM customer),
+  b AS (SELECT 3 AS block, unnest(['reserved', 'fetched', 'ok', 'skipped', 'failed', 'queued']) AS name, unnest([1 + bad + away, 1 + bad + away, 1, away, bad, 0]) AS n, unnest(range(6)) AS i FROM c),
+  w AS (SELECT block, i, '  ' || rpad(name, CAST(max(length(name)) OVER () AS INT), ' ') || '  ' || lpad(CAST(n AS VARCHAR), CAST(max(length(CAST(n AS VARCHAR))) OVER () AS INT), ' ') AS line FROM b),
+  l AS (SELECT 0 AS block, 0 AS i, 'completed {M}/ 0ms' AS line UNION ALL SELECT 1, 0, '' UNION ALL SELECT 2, 0, 'crawl' UNION ALL SELECT * FROM w UNION ALL SELECT 4, 0, '' UNION ALL SELECT 5, 0, 'skipped'
+    UNION ALL SELECT 6, 0, '  redirect-off-origin  ' || away FROM c UNION ALL SELECT 7, 0, '' UNION ALL SELECT 8, 0, 'failed' UNION ALL SELECT 9, 0, '  redirect-loop  ' || bad FROM c
+    UNION ALL SELECT 10, 0, '' UNION ALL SELECT 11, 0, 'robots' UNION ALL SELECT 12, 0, '  {M}  allow-all 404')
+SELECT CAST(row_number() OVER (ORDER BY block, i) - 1 AS INT) AS n, line FROM l""")
+def q_report_console(spark, sf_dir):
+    """The console report, line by line; the clock stands still."""
+    lines = report.console(_crawled(spark, sf_dir, 1, 3, clock=lambda: 0.0)).rstrip("\n").split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "n int, line string")

@@ -296,8 +296,14 @@ def q_politeness_start(spark, sf_dir):
     return politeness.start_times(rows, "user_id", "ready", (F.lit(60000) + 1000 * (F.col("event_id") % 7)).cast("bigint"), ["ready", "event_id"]).select("event_id", "start_ms")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS id, epoch_us(ts) // 1000 AS ready_ms, event_id % 5 * 1000 AS hold_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+s AS (SELECT user_id, id, ready_ms, hold_ms, n, ready_ms AS take_ms, ready_ms AS start_ms, CAST(-1 AS BIGINT) AS first_end, ready_ms + hold_ms AS last_end FROM e WHERE n = 1 UNION ALL
+  SELECT e.user_id, e.id, e.ready_ms, e.hold_ms, e.n, greatest(e.ready_ms, s.first_end), greatest(e.ready_ms, s.first_end, s.start_ms + 200),
+    least(s.last_end, greatest(e.ready_ms, s.first_end, s.start_ms + 200) + e.hold_ms), greatest(s.last_end, greatest(e.ready_ms, s.first_end, s.start_ms + 200) + e.hold_ms)
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT user_id, id, CAST(ready_ms AS BIGINT) AS ready_ms, CAST(hold_ms AS BIGINT) AS hold_ms, CAST(take_ms AS BIGINT) AS take_ms, CAST(start_ms AS BIGINT) AS start_ms FROM s""")
 def q_lease_sim(spark, sf_dir):
+    """Two leases a user: when a request gets one, and when it starts."""
     rows = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ready_ms"), (F.col("event_id") % 5 * 1000).alias("hold_ms"))
     return politeness.lease_times(rows, "user_id", 2, 200)
 
@@ -322,20 +328,11 @@ def q_csv_lines(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", http.csv_line(F.col("text"), F.col("lang"), F.lit(None).cast("string")).alias("line"))
 
 
-@query("SELECT page_id, '[trace] take url=' || url || ' depth=' || (page_id % 3) || ' sequence=' || page_id AS line FROM pages WHERE regexp_matches(url, '^[A-Za-z0-9._:/-]+$')")
+@query("""SELECT page_id, '[trace] take url=' || CASE WHEN regexp_matches(url, '^[A-Za-z0-9._:/-]+$') THEN url ELSE CAST(to_json(url) AS VARCHAR) END || ' depth=' || (page_id % 3) || ' sequence=' || page_id AS line FROM pages""")
 def q_trace_lines(spark, sf_dir):
-    """The lines of URLs that need no quotes, which is what the SQL has."""
-    return _trace_lines(_t(spark, sf_dir, "pages").where(F.col("url").rlike(r"\A[A-Za-z0-9._:/-]+\z")))
-
-
-@query()
-def q_trace_lines_all(spark, sf_dir):
-    """The lines of all pages; a test compares with a brute-force version."""
-    return _trace_lines(_t(spark, sf_dir, "pages"))
-
-
-def _trace_lines(rows):
-    return rows.select("page_id", http.trace_line("take", url=F.col("url"), depth=F.col("page_id") % 3, sequence=F.col("page_id"), reason=F.lit(None).cast("string")).alias("line"))
+    """Lines of all pages; values with other characters are quoted, null fields left out."""
+    line = http.trace_line("take", url=F.col("url"), depth=F.col("page_id") % 3, sequence=F.col("page_id"), reason=F.lit(None).cast("string"))
+    return _t(spark, sf_dir, "pages").select("page_id", line.alias("line"))
 
 
 @query(f"SELECT o_orderkey, '  https://o.test  ' || CASE WHEN s = 200 THEN 'parsed 200' ELSE 'unavailable ' || s || ' http-status' END AS line FROM (SELECT o_orderkey, {_STATUS} AS s FROM orders)")

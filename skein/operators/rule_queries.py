@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import html, http, url
-from skein.operators import politeness
 from skein.operators.queries import _pick, _t, query
 from skein.plans import report
 from skein.sources import site
@@ -96,18 +95,6 @@ def q_attempt_timeline(spark, sf_dir):
     return each.select("o_orderkey", (F.col("n") + 1).alias("attempt"), "t.*")
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS id, epoch_us(ts) // 1000 AS ready_ms, event_id % 5 * 1000 AS hold_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
-s AS (SELECT user_id, id, ready_ms, hold_ms, n, ready_ms AS take_ms, ready_ms AS start_ms, CAST(-1 AS BIGINT) AS first_end, ready_ms + hold_ms AS last_end FROM e WHERE n = 1 UNION ALL
-  SELECT e.user_id, e.id, e.ready_ms, e.hold_ms, e.n, greatest(e.ready_ms, s.first_end), greatest(e.ready_ms, s.first_end, s.start_ms + 200),
-    least(s.last_end, greatest(e.ready_ms, s.first_end, s.start_ms + 200) + e.hold_ms), greatest(s.last_end, greatest(e.ready_ms, s.first_end, s.start_ms + 200) + e.hold_ms)
-  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
-SELECT user_id, id, CAST(ready_ms AS BIGINT) AS ready_ms, CAST(hold_ms AS BIGINT) AS hold_ms, CAST(take_ms AS BIGINT) AS take_ms, CAST(start_ms AS BIGINT) AS start_ms FROM s""")
-def q_lease_times(spark, sf_dir):
-    """Two leases a user: when a request gets one, and when it starts."""
-    rows = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ready_ms"), (F.col("event_id") % 5 * 1000).alias("hold_ms"))
-    return politeness.lease_times(rows, "user_id", 2, 200)
-
-
 @query("""SELECT o_orderkey, CASE WHEN st IN ('ok', 'failed') AND code IS NOT NULL THEN CAST(code AS VARCHAR) ELSE '-' END AS status, CASE st WHEN 'skipped' THEN 'robots' WHEN 'failed' THEN 'dns' ELSE '-' END AS reason
   FROM (SELECT o_orderkey, ['ok', 'skipped', 'failed', 'queued'][o_orderkey % 4 + 1] AS st, CASE WHEN o_orderkey % 3 > 0 THEN 200 + o_orderkey % 300 END AS code FROM orders)""")
 def q_detail_cells(spark, sf_dir):

@@ -60,7 +60,7 @@ def test_trace_lines_of_all_pages(spark):
 
     sf = "/root/testdata/sf0.001"
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
-    got = {r.page_id: r.line for r in QUERIES["q_trace_lines_all"](spark, sf).collect()}
+    got = {r.page_id: r.line for r in QUERIES["q_trace_lines"](spark, sf).collect()}
     shown = lambda u: u if re.fullmatch(r"[A-Za-z0-9._:/-]+", u) else json.dumps(re.sub(r"[\r\n]+", " ", u), ensure_ascii=False)
     assert not any("@" in r.url for r in pages) and any(shown(r.url) != r.url for r in pages)
     assert got == {r.page_id: f"[trace] take url={shown(r.url)} depth={r.page_id % 3} sequence={r.page_id}" for r in pages}
