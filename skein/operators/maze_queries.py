@@ -16,9 +16,9 @@ from skein.sources import site
 M = site.MAZE
 
 
-def _crawled(spark, sf_dir, *kinds: int, clock=time.time, **config) -> engine.CrawlResult:
+def _crawled(spark, sf_dir, *kinds: int, clock=time.time, robots=None, **config) -> engine.CrawlResult:
     settings = {"max_depth": 2, "max_pages": 10**9} | config
-    return engine.crawl(spark, CrawlConfig(start_url=f"{M}/", **settings), site.maze(spark, sf_dir, kinds), clock=clock)
+    return engine.crawl(spark, CrawlConfig(start_url=f"{M}/", **settings), site.maze(spark, sf_dir, kinds), robots, clock=clock)
 
 
 def _verdicts(pages: DataFrame) -> DataFrame:
@@ -144,3 +144,32 @@ def q_report_console(spark, sf_dir):
     """The console report, line by line; the clock stands still."""
     lines = report.console(_crawled(spark, sf_dir, 1, 3, clock=lambda: 0.0)).rstrip("\n").split("\n")
     return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+
+
+def _robots(spark, *answers: tuple):
+    """Scripted responses: path, attempt, status, location, body."""
+    return spark.createDataFrame([(M + path, attempt, status, "text/plain", to, None, None, body, None) for path, attempt, status, to, body in answers], site.RESPONSES)
+
+
+_RULES = "User-agent: *\nDisallow: /\n\nUser-agent: skeinbot\nDisallow: /c/2\nAllow: /c/21$\nCrawl-delay: 1\n"
+
+
+@query(f"""SELECT url, CASE WHEN denied THEN 'skipped' WHEN kind = 1 THEN 'failed' ELSE 'ok' END AS state, CASE WHEN denied THEN 'robots' WHEN kind = 1 THEN 'redirect-loop' END AS reason,
+  CAST(CASE WHEN denied THEN 0 WHEN kind = 0 THEN 2 ELSE 1 END AS INT) AS attempts, CASE WHEN NOT denied THEN CAST(1000 AS BIGINT) END AS waited, CASE WHEN NOT denied THEN CAST(CASE WHEN kind = 0 THEN 1000 ELSE 0 END AS BIGINT) END AS duration FROM (
+  SELECT '{M}/' AS url, 9 AS kind, false AS denied UNION ALL SELECT '{M}/c/' || c_custkey, c_custkey % 10, CAST(c_custkey AS VARCHAR) LIKE '2%' AND c_custkey <> 21 FROM customer WHERE c_custkey % 10 IN (0, 1))""")
+def q_robots_crawled(spark, sf_dir):
+    """A crawl under its product's own rules, read after a retry and a redirect; the crawl delay is the gap."""
+    robots = _robots(spark, ("/robots.txt", 1, 503, None, None), ("/robots.txt", 2, 302, "/rules.txt", None), ("/rules.txt", 1, 200, None, _RULES))
+    pages = _crawled(spark, sf_dir, 0, 1, robots=robots).pages
+    return pages.select(F.col("canonicalUrl").alias("url"), "state", F.coalesce("skipReason", "errorKind").alias("reason"), "attempts", F.col("waitedMs").alias("waited"), F.col("durationMs").alias("duration"))
+
+
+@query(f"""SELECT unnest(['500', '404', 'loop']) AS robots, unnest(['unavailable', 'allow-all', 'unavailable']) AS outcome, unnest(['http-status', NULL, 'redirect-loop']) AS kind, unnest(['skipped', 'ok', 'skipped']) AS state, unnest(['robots-unavailable', NULL, 'robots-unavailable']) AS reason""")
+def q_robots_outcomes_crawled(spark, sf_dir):
+    """What becomes of the start where robots.txt fails, isn't there, or leads to itself."""
+    out = []
+    for name, status, to in (("500", 500, None), ("404", 404, None), ("loop", 301, "/robots.txt")):
+        result = _crawled(spark, sf_dir, robots=_robots(spark, ("/robots.txt", 1, status, to, None)), max_depth=0)
+        start, summary = result.pages.select("state", "skipReason").first(), result.robots[0]
+        out.append((name, summary["outcome"], summary["errorKind"], *start))
+    return spark.createDataFrame(out, "robots string, outcome string, kind string, state string, reason string")

@@ -22,6 +22,7 @@ from skein.functions import http, url, weburl
 from skein.operators import robots as robots_rules
 from skein.plans.config import CrawlConfig
 from skein.shipping import ship
+from skein.sources import site
 from skein.sources.staging import ranked, running, scratch, staged
 from skein.sources.stored import StoredWeb, stored
 
@@ -262,31 +263,37 @@ def _meets(ends: DataFrame, seen: DataFrame, first: DataFrame | None) -> DataFra
 
 
 def crawl(
-    spark: SparkSession, config: CrawlConfig, web: DataFrame | StoredWeb | Source, robots_web: dict | Callable | None = None,
+    spark: SparkSession, config: CrawlConfig, web: DataFrame | StoredWeb | Source, robots_web: DataFrame | dict | Callable | None = None,
     stopped: Callable[[], bool] = lambda: False, clock: Callable[[], float] = time.time,
 ) -> CrawlResult:
-    """Crawls a stored web: url, status_code, content_type, location, error_kind, error_message, attempts, retries, byte_length, sha, links (url, key), canonical_url, canonical_key.
+    """Crawls a stored web: url, status_code, content_type, location, error_kind, error_message, attempts, tries, byte_length, sha, links (url, key), canonical_url, canonical_key.
 
     URLs that aren't stored answer 404. A live web is a function from URLs to such rows. robots_web:
-    the responses of robots.txt files by URL, or a function that gets one. stopped: asked before each
+    scripted responses of robots.txt files, what they give by URL, or a function that gets one. stopped: asked before each
     generation; once it says so, what waits stays queued and the crawl was interrupted. clock gives
     the time in seconds.
     """
     ship(spark)
+    started = int(clock() * 1000)
     with scratch() as keep:
-        return _crawl(spark, config, web, robots_web, stopped, clock, keep)
+        own = web if callable(web) else stored(web)
+        try:
+            return _crawl(spark, config, own, robots_web, stopped, clock, started, keep)
+        finally:
+            if not callable(own):
+                own.drop()
 
 
 #: Parts of what has been seen that are read side by side, before they are written as one.
 SEEN_PARTS = 16
 
 
-def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
-    started = int(clock() * 1000)
+def _crawl(spark, config, web, robots_web, stopped, clock, started, keep) -> CrawlResult:
     start = str(weburl.parse(config.start_url))
     start_key, start_origin = weburl.canonical_key(start), weburl.parse(start).origin
+    if isinstance(robots_web, DataFrame):
+        robots_web = site.robots_files(robots_web, config.retry_count, config.retry_base_delay_ms)
     robots = robots_rules.load(start_origin, robots_rules.product_token(config.user_agent), config.respect_robots, robots_web if callable(robots_web) else (robots_web or {}).get)
-    web = web if callable(web) else stored(web)
     redirects = callable(web) or not web.pages.where(F.col("status_code").isin(*http.REDIRECTS)).isEmpty()
     queued = spark.createDataFrame([(0, start_key, start, None, 0)], "created_ord bigint, key string, spelling string, discovered_from string, depth int")
     queued = queued.withColumns({"sequence": F.col("created_ord"), "parent_sequence": F.lit(-1).cast("bigint")})
@@ -380,7 +387,5 @@ def _crawl(spark, config, web, robots_web, stopped, clock, keep) -> CrawlResult:
     summary = [{"origin": start_origin, "statusCode": robots.status, "outcome": robots.outcome, "errorKind": robots.error}]
     gap = config.min_interval_ms if robots.outcome != "parsed" or robots.rules.delay is None else max(config.min_interval_ms, min(robots_rules.DELAY_CAP_MS, int(robots.rules.delay * 1000)))
     result = keep(timed(reduce(DataFrame.unionByName, pages), gap, robots.attempts > 0), "pages")
-    if not callable(web):
-        web.drop()
     edges = result.where("discoveredFrom IS NOT NULL").select("discoveredFrom", "canonicalUrl", "depth")
     return CrawlResult(config, result, summary, stop, started, int(clock() * 1000), edges, generations, {"robots_attempts": robots.attempts})

@@ -40,6 +40,17 @@ def settle(responses: DataFrame, retry_count: int, base_ms: int, max_bytes: int)
     return ends.select("url", "attempt", "attempts").join(rows, ["url", "attempt"]).join(tries, "url").withColumn("error_kind", F.col("kind"))
 
 
+def robots_files(responses: DataFrame, retry_count: int = 2, base_ms: int = 500):
+    """From scripted responses of robots.txt files, a function from a URL to what its attempts end in, or None."""
+    settled = settle(responses, retry_count, base_ms, 512_000)
+
+    def fetch(address: str) -> dict | None:
+        row = settled.where(F.col("url") == address).select("status_code", "location", "body", "error_kind", "attempts").first()
+        return None if row is None else row.asDict()
+
+    return fetch
+
+
 def web(responses: DataFrame, retry_count: int = 2, base_ms: int = 500, max_bytes: int = 1_000_000) -> DataFrame:
     """RESPONSES -> the stored web that the crawl reads: bodies are parsed once, and only links go on."""
     return parsed(settle(responses, retry_count, base_ms, max_bytes), max_bytes)
