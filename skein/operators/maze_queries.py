@@ -104,6 +104,14 @@ def q_page_times(spark, sf_dir):
     return pages.select(F.col("canonicalUrl").alias("url"), "sequence", F.col("waitedMs").alias("waited"), F.col("durationMs").alias("duration"))
 
 
+@query(f"""WITH t AS (SELECT *, CASE kind WHEN 0 THEN 200 WHEN 2 THEN 1000 ELSE 0 END AS took FROM ({_NUMBERED})),
+  e AS (SELECT *, 200 + coalesce(sum(took + 200) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + took AS ended FROM t)
+SELECT url, CASE WHEN coalesce(max(CAST(ended >= 5000 AS INT)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'queued' WHEN kind = 2 THEN 'failed' ELSE 'ok' END AS state FROM e""")
+def q_time_budget(spark, sf_dir):
+    """Five seconds of one worker: the page in hand at their end is finished, the others wait."""
+    return _crawled(spark, sf_dir, 0, 2, max_duration_ms=5000).pages.select(F.col("canonicalUrl").alias("url"), "state")
+
+
 @query(f"""WITH p AS (SELECT 'ok' AS state, '200' AS status, 0 AS depth, '{M}/' AS url, '-' AS reason UNION ALL
     SELECT CASE WHEN c_custkey % 10 = 1 THEN 'failed' ELSE 'skipped' END, CASE WHEN c_custkey % 10 = 1 THEN '302' ELSE '-' END, 1, '{M}/c/' || c_custkey, CASE WHEN c_custkey % 10 = 1 THEN 'redirect-loop' ELSE 'redirect-off-origin' END FROM customer WHERE c_custkey % 10 IN (1, 3)),
   o AS (SELECT *, row_number() OVER (ORDER BY depth, url) - 1 AS n, max(length(url)) OVER () AS width FROM p)

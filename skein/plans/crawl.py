@@ -233,23 +233,30 @@ def asked(trail: Column, last: Column, tries: Column) -> Column:
     return F.when(F.size(tries) > 0, F.concat(hops, F.array(final))).otherwise(hops)
 
 
-def timed(pages: DataFrame, gap: int, robots_asked: bool) -> DataFrame:
-    """Sets waitedMs and durationMs as they are with one worker.
+def _spent(pages: DataFrame, gap: int) -> DataFrame:
+    """Adds took, from a page's first attempt to its end, and rest, from there to the next possible start; null without attempts.
 
-    Attempts follow each other in the crawl's order. The next one starts once the one before has
-    ended, its retry wait is over and the gap since its start has passed: steps that add up, so that a
-    page's times need only its own attempts and the last one of the page before it.
+    The next attempt starts once the one before has ended, its retry wait is over and the gap since its start has passed.
     """
     every = F.flatten(F.transform(asked(F.coalesce("trail", F.array()), F.col("askedUrl"), F.col("tries")), lambda a: a["tries"]))
     rows = pages.withColumn("_all", F.when((F.col("attempts") > 0) & F.col("tries").isNotNull(), every))
     step = lambda t: F.greatest(t["duration"] + F.coalesce(t["wait"], F.lit(0)), F.lit(gap))
     last = F.element_at("_all", -1)["duration"]
     began = F.aggregate(F.slice("_all", 1, F.size("_all") - 1), F.lit(0).cast("bigint"), lambda s, t: s + step(t))
-    rows = rows.withColumns({"durationMs": F.when(F.col("_all").isNotNull(), began + last), "_left": F.greatest(F.lit(0).cast("bigint"), F.lit(gap) - last)})
-    order = running(rows.where("_all IS NOT NULL").select("sequence", "_left"), ["sequence"], {}, "_at")
-    before = order.select((F.col("_at") + 1).alias("_at"), F.col("_left").alias("_wait"))
+    return rows.withColumns({"took": F.when(F.col("_all").isNotNull(), began + last), "rest": F.when(F.col("_all").isNotNull(), F.greatest(F.lit(0).cast("bigint"), F.lit(gap) - last))}).drop("_all")
+
+
+def timed(pages: DataFrame, gap: int, robots_asked: bool) -> DataFrame:
+    """Sets waitedMs and durationMs as they are with one worker.
+
+    Attempts follow each other in the crawl's order in steps that add up, so that a page's times need
+    only its own attempts and the last one of the page before it.
+    """
+    rows = _spent(pages, gap)
+    order = running(rows.where("took IS NOT NULL").select("sequence", "rest"), ["sequence"], {}, "_at")
+    before = order.select((F.col("_at") + 1).alias("_at"), F.col("rest").alias("_wait"))
     waits = order.select("sequence", "_at").join(before, "_at", "left").select("sequence", F.coalesce("_wait", F.lit(gap if robots_asked else 0)).cast("bigint").alias("waited"))
-    return rows.join(waits, "sequence", "left").withColumn("waitedMs", F.col("waited")).select(pages.columns)
+    return rows.join(waits, "sequence", "left").withColumns({"waitedMs": F.col("waited"), "durationMs": F.col("took")}).select(pages.columns)
 
 
 def _meets(ends: DataFrame, seen: DataFrame, first: DataFrame | None) -> DataFrame:
@@ -301,6 +308,8 @@ def _crawl(spark, config, web, robots_web, stopped, clock, started, keep) -> Cra
     hashes = [spark.createDataFrame([], "known_sha string")]
     created, sequence, reserved, waiting, stop, spent = 1, 1, 1, 1, "completed", robots.attempts
     pages, generations = [], 0
+    gap = config.min_interval_ms if robots.outcome != "parsed" or robots.rules.delay is None else max(config.min_interval_ms, min(robots_rules.DELAY_CAP_MS, int(robots.rules.delay * 1000)))
+    elapsed = gap if robots.attempts else 0
     shape = [*COLUMNS, "created_ord", "sequence", "reserved", "parent_sequence", "trail", "n_links", "tries", "askedUrl"]
 
     def page(df: DataFrame, **values: Column) -> DataFrame:
@@ -315,7 +324,8 @@ def _crawl(spark, config, web, robots_web, stopped, clock, started, keep) -> Cra
         return reduce(DataFrame.unionByName, parts)
 
     while waiting:
-        late = config.max_duration_ms is not None and clock() * 1000 - started >= config.max_duration_ms
+        # A live crawl's time is the clock's, a stored one's that of its schedule.
+        late = callable(web) and config.max_duration_ms is not None and clock() * 1000 - started >= config.max_duration_ms
         if late or stopped():
             stop = "budget" if late else "interrupted"
             pages.append(page(queued, state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
@@ -344,21 +354,32 @@ def _crawl(spark, config, web, robots_web, stopped, clock, started, keep) -> Cra
             if now == before:
                 break
             before = now
+        beyond = None
+        if config.max_duration_ms is not None and not callable(web):
+            busy = _spent(rows, gap).where("took IS NOT NULL").select("sequence", "took", "rest")
+            placed = staged(running(busy, ["sequence"], {"before": F.col("took") + F.col("rest")}, "n"), "schedule")
+            # The page in hand when the time is over is finished; what comes after it is not taken.
+            beyond = placed.where(F.col("before") + F.col("took") + elapsed >= config.max_duration_ms).agg(F.min("sequence")).first()[0]
+            elapsed += placed.agg(F.coalesce(F.sum(F.col("took") + F.col("rest")), F.lit(0))).first()[0]
+            if beyond is not None:
+                rows = rows.where(F.col("sequence") <= beyond)
         if config.max_total_attempts is not None:
             # With one worker attempts are claimed in the pages' order; the first claim that is refused ends the crawl.
             placed = ranked(rows.select("sequence", "attempts"), ["sequence"], "n", F.col("attempts"), "before")
             cut_at = placed.where(F.col("before") + F.col("attempts") + spent > config.max_total_attempts).agg(F.min(F.struct("sequence", "before"))).first()[0]
             if cut_at is not None:
-                stop, at = "budget", F.col("sequence") == cut_at["sequence"]
-                own = refused(rows.where(at).first().asDict(recursive=True), config.max_total_attempts - spent - cut_at["before"])
-                own_page = spark.createDataFrame([(cut_at["sequence"], *own.values())], "sequence bigint, " + ", ".join(f"{k} {REFUSED[k]}" for k in own))
-                pages.append(page(queued.where(at).join(own_page, "sequence"), attempts=F.col("attempts"), reserved=F.lit(True)))
-                pages.append(page(queued.where(F.col("sequence") > cut_at["sequence"]), state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
-                rows, earlier = rows.where(F.col("sequence") < cut_at["sequence"]), F.col("sequence") < cut_at["sequence"]
-                denied = None if denied is None else denied.where(earlier)
-                first = _first(_claims(rows, web))
+                beyond = cut_at["sequence"]
+                own = refused(rows.where(F.col("sequence") == beyond).first().asDict(recursive=True), config.max_total_attempts - spent - cut_at["before"])
+                own_page = spark.createDataFrame([(beyond, *own.values())], "sequence bigint, " + ", ".join(f"{k} {REFUSED[k]}" for k in own))
+                pages.append(page(queued.join(own_page, "sequence"), attempts=F.col("attempts"), reserved=F.lit(True)))
+                rows = rows.where(F.col("sequence") < beyond)
             else:
                 spent += rows.agg(F.coalesce(F.sum("attempts"), F.lit(0))).first()[0]
+        if beyond is not None:
+            stop = "budget"
+            pages.append(page(queued.where(F.col("sequence") > beyond), state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
+            denied = None if denied is None else denied.where(F.col("sequence") < beyond)
+            first = _first(_claims(rows, web))
         if denied is not None:
             pages.append(page(denied, state=F.lit("skipped"), skipReason=F.lit("robots"), reserved=F.lit(True)))
         pages.append(page(rows, attempts=F.col("attempts"), reserved=F.lit(True)))
@@ -385,7 +406,6 @@ def _crawl(spark, config, web, robots_web, stopped, clock, started, keep) -> Cra
             pages.append(page(queued, state=F.lit("queued"), reserved=F.lit(True), sequence=F.lit(None)))
             break
     summary = [{"origin": start_origin, "statusCode": robots.status, "outcome": robots.outcome, "errorKind": robots.error}]
-    gap = config.min_interval_ms if robots.outcome != "parsed" or robots.rules.delay is None else max(config.min_interval_ms, min(robots_rules.DELAY_CAP_MS, int(robots.rules.delay * 1000)))
     result = keep(timed(reduce(DataFrame.unionByName, pages), gap, robots.attempts > 0), "pages")
     edges = result.where("discoveredFrom IS NOT NULL").select("discoveredFrom", "canonicalUrl", "depth")
     return CrawlResult(config, result, summary, stop, started, int(clock() * 1000), edges, generations, {"robots_attempts": robots.attempts})

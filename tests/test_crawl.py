@@ -52,12 +52,26 @@ def test_redirects_with_user_names_are_bad(spark):
 
 
 def test_clock_and_time_budget(spark):
-    """Times come from the clock that is handed in."""
+    """A stored crawl's time is that of its answers; the report's times come from the clock that is handed in."""
     times = iter(range(0, 10**6, 3))
-    web = site.web(spark.createDataFrame([response("/", body="<a href=/a>a</a>"), response("/a", body="<a href=/b>b</a>")], site.RESPONSES))
-    result = crawl(spark, CrawlConfig(start_url="http://e.com", max_duration_ms=4000), web, None, clock=lambda: next(times))
-    assert result.stop_reason == "budget" and result.started_ms == 0
-    assert [(r.canonicalUrl[12:], r.state) for r in result.pages.orderBy("created_ord").collect()] == [("/", "ok"), ("/a", "queued")]
+    pages = [response("/", body="<a href=/a>a</a><a href=/b>b</a>"), response("/a", body="<a href=/c>c</a>"), response("/b", body="x"), response("/c", body="y")]
+    scripts = spark.createDataFrame([(*p, 1500) for p in pages], site.RESPONSES + ", duration_ms bigint")
+    for most, want in ((1000, "ok queued queued"), (2000, "ok ok queued queued"), (4000, "ok ok ok queued"), (10**6, "ok ok ok ok")):
+        result = crawl(spark, CrawlConfig(start_url="http://e.com", max_duration_ms=most, respect_robots=False), site.web(scripts), None, clock=lambda: next(times))
+        assert " ".join(r.state for r in result.pages.orderBy("created_ord").collect()) == want
+        assert result.stop_reason == ("completed" if most == 10**6 else "budget") and result.finished_ms == result.started_ms + 3000
+    assert [(r.waitedMs, r.durationMs) for r in result.pages.orderBy("created_ord").collect()] == [(0, 1500)] * 4
+
+
+def test_a_live_web_and_its_clock(spark):
+    """A live crawl looks at the clock before each generation."""
+    times = iter((0, 1, 5, 6))
+
+    def live(urls):
+        return site.web(spark.createDataFrame([response("/", body="<a href=/a>a</a>")], site.RESPONSES))
+
+    result = crawl(spark, CrawlConfig(start_url="http://e.com", max_duration_ms=4000, respect_robots=False), live, clock=lambda: next(times))
+    assert [(r.canonicalUrl[12:], r.state) for r in result.pages.orderBy("created_ord").collect()] == [("/", "ok"), ("/a", "queued")] and result.stop_reason == "budget"
 
 
 def test_retries_in_times_and_trace(spark):
