@@ -97,6 +97,9 @@ TEMPLATES = {
 }
 #: Shingles that are worked on at once.
 PIECE = 8192
+#: Bits of a key by which it is looked for first.
+FIRST_BITS = 18
+_SHIFT = np.uint64(64 - FIRST_BITS)
 _TRIM = b".,;:!?\"'()[]"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -152,12 +155,15 @@ class Index:
     def __init__(self, known: list[Template]):
         self.known = known
         self.largest = max(t.group for t in known)
-        self.classes: dict[int, dict[int, tuple[list[Template], np.ndarray, np.ndarray]]] = {}
+        self.classes: dict[int, dict[int, tuple[list[Template], np.ndarray, np.ndarray, np.ndarray]]] = {}
         for width, group in sorted({(t.width, t.group) for t in known}):
             own = [t for t in known if (t.width, t.group) == (width, group)]
             keys = self._keys(np.stack([t.signature for t in own], axis=1)[: 1 if group == 1 else BANDS])
             order = np.argsort(keys, kind="stable")
-            self.classes.setdefault(width, {})[group] = own, keys[order], order % len(own)
+            # Most values aren't among the keys: their first bits say so at once.
+            first = np.zeros(1 << FIRST_BITS, bool)
+            first[keys >> _SHIFT] = True
+            self.classes.setdefault(width, {})[group] = own, keys[order], order % len(own), first
 
     @staticmethod
     def _keys(hashes: np.ndarray) -> np.ndarray:
@@ -166,13 +172,11 @@ class Index:
 
     def met(self, width: int, group: int, hashes: np.ndarray) -> set[tuple[int, int]]:
         """(window, number of the template) wherever a band agrees; hashes: bands x windows."""
-        _, keys, numbers = self.classes[width][group]
+        _, keys, numbers, first = self.classes[width][group]
         values = self._keys(hashes)
-        first = np.searchsorted(keys, values)
-        hit = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == values)
+        maybe = np.flatnonzero(first[values >> _SHIFT])
         out = set()
-        for i in hit.tolist():
-            k = first[i]
+        for i, k in zip(maybe.tolist(), np.searchsorted(keys, values[maybe]).tolist()):
             while k < len(keys) and keys[k] == values[i]:  # templates that share a MinHash
                 out.add((i % hashes.shape[1], int(numbers[k])))
                 k += 1
