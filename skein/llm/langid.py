@@ -74,56 +74,52 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The different words of a text: how often each occurs, and its likelihood in each language."""
+    """The words of a text, and their log-likelihoods in each language."""
 
     def __init__(self, model: Model, slots: np.ndarray, starts: np.ndarray):
-        self.model, k = model, len(model.langs)
-        ends = np.append(starts[1:], len(slots))
-        first: dict[bytes, int] = {}
-        which = [first.setdefault(slots[a:b].tobytes(), len(first)) for a, b in zip(starts, ends)]
-        self.counts = np.bincount(which).astype(np.float64)
-        own = [np.frombuffer(w, slots.dtype) for w in first]
-        step = max(1, CELLS // max(1, k))
-        self.pieces = [(self.counts[lo : lo + step], own[lo : lo + step]) for lo in range(0, len(own), step)]
-        self.kept = [(n, self._likely(w)) for n, w in self.pieces] if len(self.pieces) == 1 else None
-
-    def _likely(self, words: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(w) for w in words])
-        return np.add.reduceat(self.model.rows(np.concatenate(words)), np.cumsum(sizes) - sizes, axis=0).astype(np.float64) * TEMPER
+        self.model, self.slots, self.number = model, slots, len(starts)
+        self.ends = np.append(starts, len(slots))
+        self.step = max(1, CELLS // max(1, len(model.langs)))
+        self.kept = [self._likely(0, self.number)] if self.number <= self.step else None
+
+    def _likely(self, lo: int, hi: int) -> np.ndarray:
+        first, last = self.ends[lo], self.ends[hi]
+        return np.add.reduceat(self.model.rows(self.slots[first:last]), self.ends[lo:hi] - first, axis=0).astype(np.float64) * TEMPER
 
     def blocks(self):
-        """(counts, log-likelihoods words x languages) in blocks; those of a long text in many languages are made anew each time."""
-        return self.kept if self.kept is not None else ((n, self._likely(w)) for n, w in self.pieces)
+        """Words x languages, in blocks; those of a long text in many languages are made anew each time."""
+        if self.kept is not None:
+            return self.kept
+        return (self._likely(lo, min(lo + self.step, self.number)) for lo in range(0, self.number, self.step))
 
 
-def _em(words, which: np.ndarray) -> tuple[np.ndarray, float]:
+def _em(words: Words, which: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions of the languages ``which``, and the log-likelihood."""
-    total = float(words.counts.sum())
     share = np.full(len(which), 1.0 / len(which))
 
-    def weights():
-        for n, likely in words.blocks():
-            own = likely[:, which]
-            top = own.max(axis=1, keepdims=True)
-            yield n, np.exp(own - top), top[:, 0]
+    def weighed(likely):
+        own = likely[:, which]
+        top = own.max(axis=1, keepdims=True)
+        return np.exp(own - top), top
 
+    held = [weighed(x) for x in words.kept] if words.kept is not None else None
+    weights = lambda: held if held is not None else map(weighed, words.blocks())
     for _ in range(ROUNDS):
         new = np.zeros(len(which))
-        for n, weight, _ in weights():
+        for weight, _ in weights():
             joint = weight * share
-            new += (joint / joint.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0)
-        new /= total
+            new += (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0)
+        new /= words.number
         done = np.abs(new - share).max() < STEADY
         share = new
         if done:
             break
-    return share, float(sum((n * (np.log((weight * share).sum(axis=1)) + top)).sum() for n, weight, top in weights()))
+    return share, float(sum(np.log((weight * share).sum(axis=1)).sum() + top.sum() for weight, top in weights()))
 
 
-def mixture(words) -> tuple[np.ndarray, np.ndarray]:
+def mixture(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The chosen languages and their proportions, largest first."""
-    n = float(words.counts.sum())
-    single = sum((c[:, None] * likely).sum(axis=0) for c, likely in words.blocks())
+    single = sum(likely.sum(axis=0) for likely in words.blocks())
     k = len(single)
     best = np.array([int(single.argmax())])
     chosen, shares, value = best, np.ones(1), single[best[0]]
@@ -133,7 +129,7 @@ def mixture(words) -> tuple[np.ndarray, np.ndarray]:
         for m in range(2, k + 1):
             tried = np.array(order[:m])
             found, gained = _em(words, tried)
-            if gained - value <= 0.5 * np.log(max(n, 2)) + 1:
+            if gained - value <= 0.5 * np.log(max(words.number, 2)) + 1:
                 break
             chosen, shares, value = tried, found, gained
     by = np.argsort(-shares, kind="stable")
