@@ -99,9 +99,9 @@ def labelled_samples(docs: DataFrame, rows: int = TRAIN_DOCS, generated: int = G
     joins = F.explode(F.array(*(F.concat_ws(sign, "value", "value") for sign in "_-/")))
     words = words.unionByName(words.distinct().select(joins.alias("value")))
     # And names in programs, of two and three words, in their usual spellings.
-    code = spark.createDataFrame([(i, w) for i, w in enumerate(CODE_WORDS)], "i int, w string")
-    beside = lambda step: F.element_at(F.array(*map(F.lit, CODE_WORDS)), (F.pmod(F.col("i") * step + F.col("k"), F.lit(len(CODE_WORDS))) + 1).cast("int"))
-    code = code.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).select(F.array("w", beside(3), beside(7)).alias("p"))
+    word = lambda step, k: F.element_at(F.array(*map(F.lit, CODE_WORDS)), (F.pmod(F.col("id") * step + k, F.lit(len(CODE_WORDS))) + 1).cast("int"))
+    code = spark.range(len(CODE_WORDS)).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    code = code.select(F.array(word(1, F.lit(0)), word(3, F.col("k")), word(7, F.col("k"))).alias("p"))
     spellings = [F.array_join(F.transform("p", F.initcap), ""), F.array_join("p", "_"), F.array_join("p", "/"), F.upper(F.array_join("p", "_"))]
     words = words.unionByName(code.select(F.explode(F.array(*spellings)).alias("value")))
     made = None
