@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from skein.operators import maze_queries, queries
 from skein.operators.registered import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +23,28 @@ def oracle(sql, sf=SF):
     return db.execute(sql).df()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def crawls():
+    """Queries over one and the same crawl share it here; each still reads its own result from it."""
+    kept, patch = {}, pytest.MonkeyPatch()
+
+    def sharing(crawled):
+        def run(spark, sf_dir, *args, **config):
+            if "robots" in config or "clock" in config:
+                return crawled(spark, sf_dir, *args, **config)
+            key = crawled.__module__, sf_dir, args, tuple(sorted(config.items()))
+            if key not in kept:
+                kept[key] = crawled(spark, sf_dir, *args, **config)
+            return kept[key]
+
+        return run
+
+    for module in (queries, maze_queries):
+        patch.setattr(module, "_crawled", sharing(module._crawled))
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(oracle(SQL[name]))
