@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from skein.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, secrets, simhash, warc
+from skein.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, secrets, simhash, token_counts, warc
 
 
 def pipeline(spark, sf_dir):
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_token_transducer": token_counts.query,
     "pipeline": pipeline,
 }
 
