@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from skein.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, secrets, simhash, token_counts, warc
+from skein.llm import bpe, chat, exact_dedup, fill_middle, langid, licenses, mixing, quality, secrets, simhash, token_counts, warc
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_mixing": mixing.query,
     "op10_exact_dedup": exact_dedup.query,
     "op11_token_transducer": token_counts.query,
+    "op12_fill_middle": fill_middle.query,
     "pipeline": pipeline,
 }
 
@@ -30,4 +31,5 @@ ORACLES = {
     "op7_chat_snapshots": chat.SQL,
     "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_fill_middle": fill_middle.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
