@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from skein.llm import bpe, chat, exact_dedup, fill_middle, langid, licenses, mixing, quality, secrets, simhash, token_counts, warc
+from skein.llm import bpe, chat, exact_dedup, fill_middle, hard_negatives, langid, licenses, mixing, quality, secrets, simhash, token_counts, warc
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.query,
     "op11_token_transducer": token_counts.query,
     "op12_fill_middle": fill_middle.query,
+    "op13_hard_negatives": hard_negatives.query,
     "pipeline": pipeline,
 }
 
@@ -32,4 +33,5 @@ ORACLES = {
     "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
     "op12_fill_middle": fill_middle.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
