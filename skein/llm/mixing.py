@@ -132,6 +132,16 @@ def _with_source(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     return rows.join(salted, rows["source"].eqNullSafe(salted["s"]) & (rows["r"] == salted["salt"])).drop("s", "salt", "r")
 
 
+def rounds(target: Column, size: Column) -> tuple[Column, Column]:
+    """How often every row of a source is taken, and the words (fewer than the source has) still needed.
+
+    A target just below a multiple of the size rounds up to that multiple.
+    """
+    words = F.floor(target + 0.5).cast("bigint")
+    some = size > 0
+    return F.when(some, F.floor((words - words % size) / size)).otherwise(0).cast("bigint"), F.when(some, words % size).otherwise(words)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, copies (times the row is taken) and keys of every row; staged."""
     with common.scratch() as keep:
@@ -139,9 +149,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
         sums = common.staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
         sources = common.staged(targets(sums, weights, most), "sources")
         n = sources.count()
-        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-        plan = sources.withColumn("whole", whole.cast("bigint"))
-        plan = plan.withColumn("need", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("bigint"))
+        whole, need = rounds(F.col("target"), F.col("source_size"))
+        plan = sources.withColumns({"whole": whole, "need": need})
         cuts = common.staged(thresholds(_with_source(rows, plan.select("source", "source_no", "need"), n).select("source_no", "size", "h", "need")), "cuts")
         plan = plan.join(cuts, "source_no", "left")
         out = _with_source(rows, plan.select("source", "source_size", "target", "whole", "cut"), n)
@@ -182,10 +191,9 @@ WITH d AS (
   SELECT CAST(rest AS DOUBLE) AS rest, CAST(heavy AS DOUBLE) AS heavy FROM r WHERE rest <= level * heavy ORDER BY level, no LIMIT 1
 ), t AS (
   SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), weight * (SELECT rest FROM f) / (SELECT heavy FROM f)), CAST(cap AS DOUBLE)) AS target FROM r
-), p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
 ), q AS (
-  SELECT *, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) AS need FROM p
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS whole,
+    CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) % source_size ELSE CAST(floor(target + 0.5) AS BIGINT) END AS need FROM t
 ), g AS (
   SELECT source, h, sum(size) AS words FROM d GROUP BY source, h
 ), u AS (

@@ -216,6 +216,66 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd).count() == 7
 
 
+def shares(sizes, weights=(5, 2, 1), most=3):
+    """Targets by sharing the excess again until none is above its cap; sizes in the order of the sources."""
+    weight = [weights[i % len(weights)] for i in range(len(sizes))]
+    rest, open_ones, target = float(sum(sizes)), set(range(len(sizes))), [0.0] * len(sizes)
+    while open_ones:
+        heavy = sum(weight[i] for i in open_ones)
+        over = [i for i in open_ones if weight[i] * rest / heavy > most * sizes[i]]
+        if not over:
+            for i in open_ones:
+                target[i] = weight[i] * rest / heavy
+            break
+        for i in over:
+            target[i] = float(most * sizes[i])
+            open_ones.remove(i)
+        rest = sum(sizes) - sum(target)
+    return target
+
+
+def test_mixing_just_below_a_multiple(spark, tmp_path):
+    """5,000, 1,998 and 1,000 words: the third source's target is 999.75, which is all of it."""
+    import duckdb
+
+    docs = spark.createDataFrame([(i, "word", "en", "a" if i < 5000 else "b" if i < 6998 else "c", 0, "x", 1) for i in range(7998)], DOCS)
+    rows = mixing.mix(docs).collect()
+    by = {s: sum(r.copies for r in rows if r.source_size == s) for s in (5000, 1998, 1000)}
+    assert by[1000] == 1000 and abs(by[5000] - shares([5000, 1998, 1000])[0]) <= 1 and abs(by[1998] - shares([5000, 1998, 1000])[1]) <= 1
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert sorted((d, taken) for d, _, _, _, taken in db.execute(mixing.SQL).fetchall()) == sorted((r.doc_id, r.copies) for r in rows)
+
+
+def test_rounds_near_multiples(spark):
+    r = random.Random(6)
+    cases = [(size * r.randint(0, 3) + r.choice([0, -0.25, 0.25, -0.5, 0.5, -0.51, 0.49, r.random() * size]), size) for size in (r.choice([1, 2, 3, r.randint(1, 10**6)]) for _ in range(1000))]
+    cases = [(max(0.0, float(t)), s) for t, s in cases] + [(0.0, 0)]
+    whole, need = mixing.rounds(*(mixing.F.col(c) for c in ("t", "s")))
+    for row in spark.createDataFrame(cases, "t double, s bigint").select("t", "s", whole.alias("whole"), need.alias("need")).collect():
+        assert row.whole * row.s + row.need == int(row.t + 0.5) and 0 <= row.need < max(row.s, 1)
+
+
+def test_mixing_of_a_thousand_sources(spark):
+    r = random.Random(8)
+    rows, sizes, longest = [], {}, {}
+    for n in range(1000):
+        name, each = f"s{n:04d}", [r.randint(1, 9) for _ in range(r.choice([1, 2, 5, 20]))]
+        sizes[name], longest[name] = sum(each), max(each)
+        rows += [(len(rows) + k, "w " * size, "en", name, 0, "x", 1) for k, size in enumerate(each)]
+    docs = spark.createDataFrame(rows, DOCS)
+    source = {row[0]: row[3] for row in rows}
+    taken, targets = dict.fromkeys(sizes, 0), {}
+    for row in mixing.mix(docs).collect():
+        taken[source[row.doc_id]] += row.size * row.copies
+        targets[source[row.doc_id]] = row.target
+        assert 0 <= row.copies <= 3
+    for (name, own), target in zip(sizes.items(), shares(list(sizes.values()))):
+        assert abs(targets[name] - target) < 1e-6 * max(1, own)
+        assert abs(taken[name] - target) <= longest[name] / 2 + 0.5
+
+
 def test_mixing_of_rows_without_ids(spark):
     """Rows that share an id, or have none, are taken one by one; rows equal in all columns too."""
     rows = [(None if i % 2 else 7, words(10, i % 20), "en", "a", 0, "x", i % 3) for i in range(400)] + [(i, words(40, i), "en", "b", 0, "x", 1) for i in range(1000, 1060)]
