@@ -38,6 +38,11 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text"))
 
 
+def unit_hash(row_no: str = "row_no") -> Column:
+    """A number from 0 to 1 for each row, by doc_id, text and the row's number: rows with one doc_id, or none, are sampled one by one."""
+    return F.pmod(F.xxhash64("doc_id", "text", row_no), F.lit(1 << 30)) / float(1 << 30)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """The keys of each row, and the whole row as one struct, so that no name of docs can clash."""
     return docs.select(id_key().alias(ID_KEY), text_key().alias(TEXT_KEY), F.struct("*").alias("row"))

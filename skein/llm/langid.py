@@ -41,8 +41,8 @@ TEMPER = 0.5
 UNKNOWN = "und"
 #: Likelihoods (words x languages) that are held at once.
 CELLS = 1 << 22
-#: Entries of the model, at most (12 bytes each): a table whose languages need more is refused, as the model is broadcast.
-MOST_ENTRIES = 1 << 26
+#: Entries of the model, at most (16 bytes each, so 256 MB): a table whose languages need more is refused, as the model is broadcast.
+MOST_ENTRIES = 1 << 24
 #: Letters beyond this code point don't exist.
 CODES = 0x40000
 
@@ -194,23 +194,21 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """
     spark = docs.sparkSession
     known = docs.where(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    known = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.monotonically_increasing_id().alias("row_no"))
     shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     with common.scratch():
-        sample = known.join(common.staged(shares, "shares"), "lang").where(unit < F.col("share")).select("text", "lang")
+        sample = known.join(common.staged(shares, "shares"), "lang").where(common.unit_hash() < F.col("share")).select("text", "lang")
         parts = common.mapped(sample, _counted, "lang string, slot bigint, n bigint", "trigrams")
         sums = common.staged(parts.groupBy("lang", "slot").agg(F.sum("n").alias("n")), "trigram_counts")
         entries = sums.count()
         if entries > MOST_ENTRIES:
             raise ValueError(f"the languages of this table need {entries} entries, above {MOST_ENTRIES}; none is left out silently")
-        found = sums.orderBy("lang", "slot").toArrow()
-    langs = sorted(set(found.column("lang").to_pylist()))
-    if not langs:
-        return Model([], np.zeros(0, np.float32), *(np.zeros(0, t) for t in (np.int64, np.int32, np.float32)))
-    number = {x: i for i, x in enumerate(langs)}
-    which = np.array([number[x] for x in found.column("lang").to_pylist()], np.int32)
-    slots, counts = found.column("slot").to_numpy(), found.column("n").to_numpy()
+        langs = sorted(r[0] for r in sums.select("lang").distinct().collect())
+        if not langs:
+            return Model([], np.zeros(0, np.float32), *(np.zeros(0, t) for t in (np.int64, np.int32, np.float32)))
+        numbers = spark.createDataFrame(list(enumerate(langs)), "which int, lang string")
+        found = sums.join(numbers, "lang").select("which", F.col("slot").cast("int").alias("slot"), "n").orderBy("which", "slot").toArrow()
+    which, slots, counts = (found.column(c).to_numpy() for c in ("which", "slot", "n"))
     total = np.bincount(which, counts, len(langs)) + SMOOTHING * SLOTS
     above = np.log(counts + SMOOTHING) - np.log(SMOOTHING)
     return Model(langs, (np.log(SMOOTHING) - np.log(total)).astype(np.float32), slots, which, above.astype(np.float32))

@@ -6,9 +6,9 @@ of a language that pass the base rules, so they follow the corpus. A document is
 Jensen-Shannon distance (base 2, from 0 to 1) of either histogram is too large; histograms of
 documents under a minimum length are too noisy and are not judged.
 
-The language is ``lang`` if there is a word list for it, else the list with most hits in the text
-(ties: the first in alphabetical order), if a twentieth of its words at least are hits. A text whose
-language has no list has no reference: it isn't judged, and the base rules alone decide. Null and
+The language is ``lang``. Where that is null or blank, it is the list with most hits in the text
+if a fifth of its words at least are hits and no other list has half as many: related languages share
+short words. A text whose language has no list, or is unsure, has no reference: it isn't judged, and the base rules alone decide. Null and
 empty texts have no words, so the base rules drop them. Texts of any length are read whole. Repeated
 rows count as often as they are there. An empty table gives an empty result. Only doc_id, text and
 lang are read, whatever other columns are called.
@@ -39,8 +39,8 @@ CLASS_GUARD, WORD_GUARD = 20, 40
 #: The largest distances: a constant, and a part that shrinks with the square root of the words, as a sample's distance does.
 CLASS_LIMIT, WORD_LIMIT = (0.10, 1.5), (0.15, 1.35)
 
-#: Share of a text's words that its list must hold where ``lang`` doesn't name one.
-LEAST_HITS = 0.05
+#: Where ``lang`` names none: the share of a text's words that its list must hold, and of these hits, what another one may have.
+LEAST_HITS, OTHER_HITS = 0.2, 0.5
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "symbol", "mark", "accented lower", "accented upper", "other")
@@ -109,11 +109,13 @@ def measure(text: str, lang: str | None) -> tuple:
     lines = [x for x in data.split(b"\n") if x.strip()]
     chars = len(text) - sum(map(text.count, common.SPACE))
     counted = Counter(w.strip(_TRIM).lower() for w in words)
-    if lang not in _WORD_AT:
+    if lang is None or not lang.strip():
         hits = {x: sum(counted[w] for w in _WORD_AT[x]) for x in LANGS}
-        lang = max(LANGS, key=hits.get)
-        if hits[lang] < LEAST_HITS * len(words):
+        other, lang = sorted(LANGS, key=hits.get)[-2:]
+        if hits[lang] < LEAST_HITS * len(words) or hits[other] >= OTHER_HITS * hits[lang]:
             lang = None
+    elif lang not in _WORD_AT:
+        lang = None
     hist = [0] * WORD_BINS
     for w, i in _WORD_AT.get(lang, {}).items():
         hist[i] = counted.get(w, 0)

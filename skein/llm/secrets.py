@@ -89,8 +89,8 @@ def labelled_samples(docs: DataFrame, rows: int = TRAIN_DOCS, generated: int = G
     """
     spark = docs.sparkSession
     n = max(1, docs.count())
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    texts = docs.where(unit < min(1.0, rows / n)).select(common.text_or_empty().alias("text"))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_no"))
+    texts = numbered.where(common.unit_hash() < min(1.0, rows / n)).select(common.text_or_empty().alias("text"))
     found = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LETTERS)
     secrets = texts.select(F.explode(F.concat(found, *(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (ACCESS, HEX)))).alias("value"))
     words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_-]+"), F.lit(0))).alias("value"))
