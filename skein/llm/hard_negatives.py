@@ -40,7 +40,7 @@ LOW, HIGH = 50, 95
 #: Rows of a part, at most about so many; and parts for each core, so that all have work.
 PART_ROWS, PARTS_A_CORE = 1 << 16, 3
 #: Components that are quantised together, centroids of each such part, and rows (about) that these are fitted on.
-PART_WIDTH, CENTROIDS, FIT_ROWS, FIT_ROUNDS = 8, 64, 8192, 6
+PART_WIDTH, CENTROIDS, FIT_ROWS, FIT_ROUNDS = 2, 256, 8192, 6
 #: Bounds (rows x anchors) that are held at once, and pairs that are scored at once.
 CELLS, PAIRS = 1 << 20, 1 << 15
 
@@ -104,7 +104,7 @@ class Part:
         middle = np.zeros((len(anchors), hi - lo))
         sizes = np.empty((len(anchors), len(self.books)))
         for k, (part, book, code) in enumerate(zip(_parts(anchors.astype(np.float64)), self.books, self.codes)):
-            middle += (part @ book.T)[:, code[lo:hi]]
+            middle += np.take(part @ book.T, code[lo:hi], axis=1)
             sizes[:, k] = np.sqrt((part**2).sum(axis=1))
         # A little wider than the sums in doubles can err.
         slack = (sizes @ self.norms[:, lo:hi]) * (1 + 1e-9) + np.abs(middle) * 1e-12 + 1e-3
@@ -119,19 +119,24 @@ class Part:
         return out
 
 
-def _first(group: np.ndarray, score: np.ndarray, vec_id: np.ndarray, row_no: np.ndarray, most: int) -> np.ndarray:
-    """Places of the first ``most`` of each group: higher scores first, then smaller vec_ids."""
-    order = np.lexsort((row_no, vec_id, -score, group))
-    ends = np.flatnonzero(np.diff(group[order], prepend=-1))
-    place = np.arange(len(order)) - np.repeat(ends, np.diff(np.append(ends, len(order))))
-    return order[place < most]
+def _sorted(score: np.ndarray, vec_id: np.ndarray, row_no: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of each group, the groups one after another: higher scores first, then smaller vec_ids."""
+    return np.lexsort((row_no, vec_id, -score, group))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... as often as sizes[0] says, and so on."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 def _kth(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of each row; minus infinity where there are fewer."""
+    """The k-th largest of each row, for small k; minus infinity where there are fewer. Works in ``values`` itself."""
     if values.shape[1] < k:
         return np.full(len(values), -np.inf)
-    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
+    rows = np.arange(len(values))
+    for _ in range(k - 1):
+        values[rows, values.argmax(axis=1)] = -np.inf
+    return values.max(axis=1)
 
 
 #: Stands for a null vec_id, behind all others.
@@ -139,7 +144,7 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def positives_in(part: Part, anchors: dict) -> dict:
-    """For each anchor the part's best rows of its label: anchor (its place), row."""
+    """For each anchor (group: its place) the part's best rows of its label."""
     found = []
     for label in np.unique(anchors["label"]):
         lo, hi = np.searchsorted(part.label, [label, label + 1])
@@ -153,41 +158,52 @@ def positives_in(part: Part, anchors: dict) -> dict:
             itself = anchors["row_no"][some][:, None] == part.row_no[None, lo:hi]
             least[itself] = most[itself] = -np.inf
             a, r = np.nonzero((most >= _kth(least, POSITIVES)[:, None]) & ~itself)
-            found.append(_best(part, anchors, some[a], r + lo, some[a], POSITIVES))
-    return _together(found, ("group", "row", "score"))
+            a, r, score, begin = _scored(part, anchors, some, a, r + lo)
+            which = _runs(begin[:-1], np.minimum(np.diff(begin), POSITIVES))
+            found.append({"group": some[a[which]], "row": r[which], "score": score[which]})
+    return _together(found)
 
 
 def negatives_in(part: Part, anchors: dict) -> dict:
-    """For each window (of an anchor and a positive) the part's best rows of other labels inside: window, row."""
-    found, windows = [], anchors["windows"]  # windows: anchor's place, lowest, highest score
+    """For each window (group; rows of an anchor's place, the lowest and the highest score) the part's best rows of other labels inside."""
+    found, windows = [], anchors["windows"]
     step = max(1, CELLS // max(1, len(part.row_no)))
-    begin, end = (np.searchsorted(windows[:, 0], np.arange(len(anchors["row_no"])), side) for side in ("left", "right"))
+    first, last = (np.searchsorted(windows[:, 0], np.arange(len(anchors["row_no"])), side) for side in ("left", "right"))
     for at in range(0, len(anchors["row_no"]), step):
         some = np.arange(at, min(at + step, len(anchors["row_no"])))
         least, most = part.bounds(anchors["v"][some], 0, len(part.row_no))
-        other = part.label[None, :] != anchors["label"][some][:, None]
-        for n in range(int((end - begin)[some].max())):  # each anchor's n-th window
-            have = np.flatnonzero(begin[some] + n < end[some])
-            w = begin[some][have] + n
-            low, high = windows[w, 1][:, None], windows[w, 2][:, None]
-            under, over, fits = least[have], most[have], other[have]
-            surely = np.where(fits & (under >= low) & (over <= high), under, -np.inf)
-            a, r = np.nonzero(fits & (over >= np.maximum(low, _kth(surely, NEGATIVES)[:, None])) & (under <= high))
-            found.append(_best(part, anchors, some[have[a]], r, w[a], NEGATIVES, windows))
-    return _together(found, ("group", "row", "score"))
-
-
-def _best(part: Part, anchors: dict, a: np.ndarray, r: np.ndarray, group: np.ndarray, most: int, windows: np.ndarray | None = None) -> dict:
-    score = part.scores(anchors["v"], a, r)
-    if windows is not None:
-        inside = (score >= windows[group, 1]) & (score <= windows[group, 2])
-        score, r, group = score[inside], r[inside], group[inside]
-    first = _first(group, score, part.vec_id[r], part.row_no[r], most)
-    return {"group": group[first], "row": r[first], "score": score[first]}
-
-
-def _together(found: list[dict], names) -> dict:
-    return {k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in names}
+        same = part.label[None, :] == anchors["label"][some][:, None]
+        least[same] = most[same] = -np.inf
+        nth = [np.flatnonzero(first[some] + n < last[some]) for n in range(int((last - first)[some].max()))]
+        open_ones = np.zeros(least.shape, bool)
+        for n, have in enumerate(nth):  # each anchor's n-th window
+            low, high = (windows[first[some][have] + n, k][:, None] for k in (1, 2))
+            under, over = least[have], most[have]
+            surely = np.where((under >= low) & (over <= high), under, -np.inf)
+            open_ones[have] |= (over >= np.maximum(low, _kth(surely, NEGATIVES)[:, None])) & (under <= high)
+        a, r = np.nonzero(open_ones & ~same)
+        a, r, score, begin = _scored(part, anchors, some, a, r)
+        for n, have in enumerate(nth):
+            w = first[some][have] + n
+            low, high = (np.full(len(some), bound) for bound in (1, 0))
+            low[have], high[have] = windows[w, 1], windows[w, 2]
+            # Scores fall within an anchor's run, so those inside its window stand together.
+            above, inside = (np.bincount(a[x], minlength=len(some)) for x in (score > high[a], (score <= high[a]) & (score >= low[a])))
+            taken = np.minimum(inside, NEGATIVES)[have]
+            which = _runs((begin[:-1] + above)[have], taken)
+            found.append({"group": np.repeat(w, taken), "row": r[which], "score": score[which]})
+    return _together(found)
+
+
+def _scored(part: Part, anchors: dict, some: np.ndarray, a: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs in each anchor's order with their exact scores, and where each anchor's begin."""
+    score = part.scores(anchors["v"][some], a, r)
+    order = _sorted(score, part.vec_id[r], part.row_no[r], a)
+    return a[order], r[order], score[order], np.searchsorted(a[order], np.arange(len(some) + 1))
+
+
+def _together(found: list[dict]) -> dict:
+    return {k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in ("group", "row", "score")}
 
 
 def window(score: int) -> tuple[int, int]:
