@@ -1,84 +1,52 @@
-"""Links, base and canonical of a page: exact by a tokenizer in an Arrow UDF, or fast by patterns."""
+"""Links, base and canonical of a page: by patterns in the JVM where the markup is plain, else by the tokenizer in an Arrow UDF."""
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
+from skein.functions import url as urls
+from skein.functions.markup import TEXT_ONLY, Head
 
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_TEXT_ONLY = "|".join(["script", *TEXT_ONLY])
+#: What no anchor can be in: comments, and elements whose contents are text.
+HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<({_TEXT_ONLY})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)|<!doctype[^>]*>"
+#: Tags, and those in which no quote or bracket can mislead; anchors, and those whose attributes are all of the form name="value". Repeated groups recurse, so they are bounded.
+TAG, FINE_TAG = "<[A-Za-z/]", r"""<[A-Za-z/][^<>"'=]*(?:=\s*(?:"[^"<>]*")?[^<>"'=]*){0,40}>"""
+ANCHOR, FINE_ANCHOR = r"(?i)<a(?=[\s/>])", r"""(?i)<a(?:\s+[^\s"'<>/=]+="[^"<>]*"){0,20}\s*>"""
 
-#: What a pattern could misread: comments, elements whose contents aren't markup, self-made tags, anchors with other quotes.
-ODD = r"(?is)<!|<\?|<(script|style|template|textarea|title|noscript|iframe|xmp|noembed|noframes|plaintext)\b[^>]*>[^<]*<(?!/)|<(script|template|plaintext|style)\b"
 
+def _plain(bare: Column, html: Column) -> Column:
+    """Whether patterns see in the page (bare: without its hidden parts) what the tokenizer sees."""
+    odd = (
+        html.rlike("<!---?>|--!>|\\x0b") | html.rlike(rf"(?i)</(?:{_TEXT_ONLY})(?:/|\s+[^\s>])") | bare.rlike(rf"(?i)<[!?]|</?(?:base|template|plaintext|{_TEXT_ONLY})(?=[\s/>])")
+        | bare.rlike(r"(?i)=\s*\"[^\"]*\shref\s*=") | bare.rlike("(?i)<a[^<>]*&(?!amp;)")
+    )
+    counted = lambda p: F.regexp_count(bare, F.lit(p))
+    return ~odd & (counted(TAG) == counted(FINE_TAG)) & (counted(ANCHOR) == counted(FINE_ANCHOR))
 
-def fast_hrefs(html: Column) -> Column:
-    """Double-quoted hrefs of anchors in their order, in the JVM."""
-    return F.filter(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda h: F.trim(h) != "")
 
+def with_links(pages: DataFrame, html: str, url: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of pages with a row for each anchor's href: pos (from 0), raw, and the base it stands against."""
+    bare = F.regexp_replace(F.col(html), HIDDEN, " ")
+    rows = pages.where(F.col(html).isNotNull()).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(html).alias("__html"), F.col(url).alias("__url"), bare.alias("__bare"))
+    kept = [F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)]
 
-def hrefs(html: Column) -> Column:
-    """The hrefs of a page's anchors, raw: by the pattern where it can't be wrong, else by the tokenizer, which alone sees those pages.
+    def fast(rows: DataFrame) -> DataFrame:
+        anchors = F.regexp_extract_all("__bare", F.lit(FINE_ANCHOR), F.lit(0))
+        hrefs = F.transform(anchors, lambda a: F.replace(F.regexp_extract(a, r"(?i)\shref=\"([^\"]*)\"", 1), F.lit("&amp;"), F.lit("&")))
+        hrefs = F.filter(hrefs, lambda h: h.rlike(rf"[^{_SPACES}]"))
+        return rows.select(*(f"__k{i}" for i in range(len(keep))), "__url", F.posexplode(hrefs).alias("pos", "raw")).select(*kept, "pos", "raw", F.col("__url").alias("base"))
 
-    The pattern is trusted if nothing in the page could hide or make up an anchor, no value holds a
-    character reference, and it finds every anchor that has an href.
-    """
-    anchors = F.size(F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*\shref\b"), F.lit(0)))
-    double = F.size(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)))
-    plain = ~F.regexp_replace(html, "(?i)<!doctype[^>]*>", "").rlike(ODD) & (anchors == double) & ~html.rlike("""(?i)<a\\b[^>]*(&|'|=\\s*"[^"]*[<>])""")
-    return F.when(plain, fast_hrefs(html)).otherwise(raw_hrefs(F.when(~plain, html)))
+    def exact(rows: DataFrame) -> DataFrame:
+        read = rows.select(*(f"__k{i}" for i in range(len(keep))), raw_links(F.col("__html"), F.col("__url")).alias("p"))
+        return read.select("*", F.posexplode("p.hrefs").alias("pos", "raw")).select(*kept, "pos", "raw", "p.base")
 
-
-class _Page(HTMLParser):
-    """Anchors' hrefs, the first base's and the first canonical link's; templates' contents don't count."""
-
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
-    RAW = ("title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes")
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.hrefs: list[str] = []
-        self.base: str | None = None
-        self.has_base = self.has_canonical = False
-        self.canonical: str | None = None
-        self.templates, self.raw = 0, ""
-
-    def handle_starttag(self, tag, attrs):
-        if self.raw:
-            return
-        if tag == "template":
-            self.templates += 1
-        elif tag in self.RAW and tag != "noscript":
-            self.raw = tag
-        if self.templates:
-            return
-        first: dict[str, str] = {}
-        for name, value in attrs:
-            first.setdefault(name, value or "")
-        if tag == "a" and first.get("href", "").strip():
-            self.hrefs.append(first["href"])
-        elif tag == "base" and not self.has_base:
-            self.has_base, self.base = True, first.get("href")
-        elif tag == "link" and not self.has_canonical and "canonical" in first.get("rel", "").lower().split():
-            self.has_canonical, self.canonical = True, first.get("href")
-
-    def parse_marked_section(self, i, report=1):
-        """"<![" begins a comment up to the next ">"."""
-        end = self.rawdata.find(">", i + 3)
-        return end + 1 if end >= 0 else -1
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        if tag == self.raw:
-            self.raw = ""
-        elif tag == "template" and self.templates:
-            self.templates -= 1
+    return urls.split(rows, _plain(F.col("__bare"), F.col("__html")), fast, exact)
 
 
 def read(html: str, page_url: str) -> dict:
@@ -89,14 +57,18 @@ def read(html: str, page_url: str) -> dict:
         return {"links": [], "canonical": None, "base": page_url, "ignored": [], "error": str(error) or type(error).__name__}
 
 
+def _base(page: Head, own):
+    """What the page's links stand against: its first base, if that is a URL, else its own."""
+    from skein.functions import weburl
+
+    return (weburl.parse(page.base, own) if page.base and page.base.strip() else None) or own
+
+
 def _read(html: str, page_url: str) -> dict:
     from skein.functions import weburl
 
-    page = _Page()
-    page.feed(html)
-    page.close()
-    own = weburl.parse(page_url)
-    base = (weburl.parse(page.base, own) if page.base and page.base.strip() else None) or own
+    page, own = Head(html), weburl.parse(page_url)
+    base = _base(page, own)
     links, ignored = [], []
     for raw in page.hrefs:
         url = weburl.parse(raw, base)
@@ -111,19 +83,20 @@ def _read(html: str, page_url: str) -> dict:
 _TEXT = T.StringType()
 
 
-@F.pandas_udf(T.ArrayType(_TEXT))
-def raw_hrefs(bodies):
-    from skein.functions.html import _Page
+@F.pandas_udf(T.StructType([T.StructField("hrefs", T.ArrayType(_TEXT)), T.StructField("base", _TEXT)]))
+def raw_links(bodies, pages):
+    import pandas as pd
+
+    from skein.functions import weburl
+    from skein.functions.html import _base
+    from skein.functions.markup import Head
 
-    def read(body):
-        if body is None:
-            return None
-        page = _Page()
-        page.feed(body)
-        page.close()
-        return page.hrefs
+    def read(body, url):
+        page, own = Head(body), weburl.parse(url) if url is not None else None
+        base = _base(page, own)
+        return page.hrefs, url if base is None or base is own else str(base)
 
-    return bodies.map(read)
+    return pd.DataFrame([read(b, u) for b, u in zip(bodies, pages)], columns=["hrefs", "base"])
 
 
 _IGNORED = T.StructType([T.StructField("reason", _TEXT), T.StructField("raw", _TEXT)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from skein.operators import politeness, robots
 from skein.plans import crawl as engine
 from skein.plans import trace
 from skein.plans.config import CrawlConfig
+from skein.shipping import ship
 from skein.sources import site
-from skein.sources.staging import ranked
+from skein.sources.staging import held, ranked, scratch
 from skein.streaming import crawl_streams
 
 QUERIES: dict = {}
@@ -19,8 +22,17 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Registers a query. The executors get this package before it runs; of what it stages, its result alone stays."""
+
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            with scratch() as keep:
+                out = f(spark, sf_dir)
+                return keep(out, f.__name__) if held() else out
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -47,10 +59,11 @@ _QS = f"array_to_string(list_transform({_PAIRS}, lambda q: {_ENC.format('q.name'
 #: Characters beyond ASCII stand percent-encoded in a key, as the URL standard says.
 _BARE = f"array_to_string(list_transform(string_split(regexp_replace({_PATH}, '/+$', ''), ''), lambda c: CASE WHEN ord(c) > 127 THEN url_encode(c) ELSE c END), '')"
 _KEY = f"{_ORIGIN} || CASE WHEN {_BARE} = '' THEN '/' ELSE {_BARE} END || CASE WHEN {_QS} = '' THEN '' ELSE '?' || {_QS} END"
-#: Root-relative links, as the pages table has them.
-_LINKS = r"""SELECT page_id, page_url, pos, CASE WHEN href LIKE '/%' THEN regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href ELSE href END AS url FROM (
+#: Root-relative links, as the pages table has them; characters beyond ASCII stand percent-encoded, as the URL standard says.
+_LINKS = r"""SELECT page_id, page_url, pos, array_to_string(list_transform(string_split(regexp_replace(url, '#.*$', ''), ''), lambda c: CASE WHEN ord(c) > 127 THEN url_encode(c) ELSE c END), '') AS url FROM (
+  SELECT page_id, page_url, pos, CASE WHEN href LIKE '/%' THEN regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href ELSE href END AS url FROM (
   SELECT page_id, url AS page_url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos FROM (
-    SELECT page_id, url, list_filter(regexp_extract_all(html, '(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1), lambda h: trim(h) <> '') AS hrefs FROM pages))"""
+    SELECT page_id, url, list_filter(regexp_extract_all(html, '(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1), lambda h: trim(h) <> '') AS hrefs FROM pages)))"""
 
 
 def spellings(pages: DataFrame) -> DataFrame:
@@ -64,7 +77,7 @@ _SPELLINGS = r"""SELECT page_id, unnest([url, url || '#top', url || '?b=2&a=1+x&
 
 @query(f"SELECT page_id, url, {_KEY} AS key FROM ({_SPELLINGS})")
 def q_canonical_key(spark, sf_dir):
-    return spellings(_t(spark, sf_dir, "pages")).select("page_id", "url", url.canonical_key(F.col("url")).alias("key"))
+    return url.with_key(spellings(_t(spark, sf_dir, "pages")), "url", "key")
 
 
 @query(f"SELECT page_id, {_ORIGIN} AS origin, {_PATH} AS path, regexp_replace(url, '#.*$', '') AS spelling FROM ({_SPELLINGS})")
@@ -79,9 +92,9 @@ def q_query_params(spark, sf_dir):
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, page_url, pos, url of every anchor; pages of plain markup stay in the JVM."""
-    rows = pages.select("page_id", F.col("url").alias("page_url"), html.hrefs(F.col("html")).alias("raws")).select("page_id", "page_url", F.posexplode("raws").alias("pos", "raw"))
-    return rows.select("page_id", "page_url", "pos", url.resolve_simple(F.col("raw"), F.col("page_url")).alias("url"))
+    """page_id, page_url, pos, url of every anchor, resolved; pages of plain markup and plain references stay in the JVM."""
+    rows = html.with_links(pages.withColumn("page_url", F.col("url")), "html", "url", ["page_id", "page_url"])
+    return url.with_resolved(rows, "raw", "base", "url").select("page_id", "page_url", "pos", "url")
 
 
 @query(f"SELECT page_id, CAST(pos AS INT) AS pos, url FROM ({_LINKS})")
@@ -89,16 +102,16 @@ def q_links(spark, sf_dir):
     return links(_t(spark, sf_dir, "pages")).select("page_id", "pos", "url")
 
 
-@query(rf"""SELECT page_id, CAST(pos AS INT) AS pos, array_to_string(list_transform(string_split(regexp_replace(url, '#.*$', ''), ''), lambda c: CASE WHEN ord(c) > 127 THEN url_encode(c) ELSE c END), '') AS url FROM ({_LINKS}) WHERE regexp_matches(url, '^https?://')""")
+@query(f"SELECT page_id, CAST(pos AS INT) AS pos, url FROM ({_LINKS}) WHERE regexp_matches(url, '^https?://')")
 def q_links_exact(spark, sf_dir):
-    """The same links by the HTML tokenizer and the exact resolver."""
+    """The same links by the HTML tokenizer and the exact resolver alone."""
     page = html.read_html(F.col("html"), F.col("url"))
     return _t(spark, sf_dir, "pages").select("page_id", page.alias("p")).select("page_id", F.posexplode("p.links").alias("pos", "url"))
 
 
 @query(f"SELECT page_id, key, arg_min(url, pos) AS spelling, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, pos, url, {_KEY} AS key FROM ({_LINKS})) GROUP BY page_id, key")
 def q_links_first_spelling(spark, sf_dir):
-    rows = links(_t(spark, sf_dir, "pages")).withColumn("key", url.canonical_key(F.col("url")))
+    rows = url.with_key(links(_t(spark, sf_dir, "pages")), "url", "key")
     return rows.groupBy("page_id", "key").agg(F.min_by("url", "pos").alias("spelling"), F.count("*").alias("n"))
 
 
@@ -141,7 +154,7 @@ _DECIDED = f"""SELECT key, first_page, CASE WHEN origin NOT LIKE 'https:%' THEN
 
 def _decided(spark, sf_dir) -> DataFrame:
     """Candidates of all pages: scope stands for https, depth for the page's number modulo 5, so that both rules meet rows."""
-    rows = links(_t(spark, sf_dir, "pages")).withColumn("key", url.canonical_key(F.col("url")))
+    rows = url.with_key(links(_t(spark, sf_dir, "pages")), "url", "key")
     rows = rows.groupBy("key").agg(F.min("page_id").alias("first_page"))
     return rows.withColumn("reason", F.when(~F.col("key").startswith("https:"), "other-origin").when(F.col("first_page") % 5 == 4, "depth-limit"))
 

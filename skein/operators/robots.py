@@ -97,35 +97,23 @@ def allowed_path(path: str, rules: list[tuple[bool, str]]) -> bool:
     return Matcher(rules).allows(path)
 
 
-#: More rules than this are matched by a function over the paths, as an expression with a branch for each has no end.
+#: More rules than this are joined (``robots_table.decide``), as an expression with a branch for each has no end.
 BRANCHES = 64
 
 
 def allowed(url: Column, rules: list[tuple[bool, str]]) -> Column:
-    """The same decision over URLs; what a robots file may hold is capped in bytes, so its rules can be sent along."""
+    """The same decision over URLs, for few rules, as one expression."""
     if not rules:
         return F.lit(True)
+    if len(rules) > BRANCHES:
+        raise ValueError(f"{len(rules)} rules are too many for an expression; join them by robots_table.decide")
     place = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1)
     place = F.when(place.startswith("/"), place).otherwise(F.concat(F.lit("/"), place))
-    if len(rules) > BRANCHES:
-        return _matches(rules)(place)
     found = F.array(*(F.when(place.rlike(regex_of(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(allow).alias("allow"))) for allow, p in rules))
     best = F.array_max(F.filter(found, lambda x: x.isNotNull()))
     return F.coalesce(best["allow"], F.lit(True))
 
 
-def _matches(rules: list[tuple[bool, str]]):
-    own: list[Matcher] = []
-
-    @F.pandas_udf("boolean")
-    def match(paths):
-        if not own:
-            own.append(Matcher(rules))
-        return paths.map(own[0].allows)
-
-    return match
-
-
 def outcome(status: Column, error: Column) -> Column:
     """parsed, allow-all or unavailable from the last response of robots.txt."""
     return F.when(error.isNotNull(), "unavailable").when(status.between(200, 299), "parsed").when(status.between(400, 499) & (status != 429), "allow-all").otherwise("unavailable")

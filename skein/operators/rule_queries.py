@@ -119,17 +119,30 @@ def q_tokens_and_redaction(spark, sf_dir):
     return _t(spark, sf_dir, "supplier").select("s_suppkey", url.product_token(agent).alias("token"), url.redact_userinfo(secret).alias("redacted"), url.redact_userinfo(plain).alias("plain"))
 
 
-_TARGETS = ["x", "./y", "../z?q#f", "//h.test/w", "?a=1", "#top", "https://o.test", "a/../b", "/../c", "mailto:m@n"]
+#: Forms of references made of a real root-relative href (/x): as it is, relative, up one and two folders, of a host, a query, with dots inside, and with what is to be escaped.
+def _forms(href):
+    rest = F.substr(href, F.lit(2), F.length(href))
+    own = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return F.array(href, rest, own("./", rest, "#top"), own("../", rest), own("../../", rest, "/."), own("//H.test:80", href), own("?q=", rest), own("/a/./b/../..", href, "/%2e%2E/"), own(" ", href, " <{\"}>?'x' "), own("#", rest))
 
 
-@query("""SELECT page_id, array_to_string([p || 'dir/x', p || 'dir/y', p || 'z?q', 'https://h.test/w', p || 'dir/page?a=1', p || 'dir/page', 'https://o.test/', p || 'dir/b', p || 'c', 'mailto:m@n'], ' ') AS resolved
-  FROM (SELECT page_id, 'https://e' || page_id || '.test/' AS p FROM pages)""")
+_FORMS_SQL = """[o || e, d || substr(e, 2), d || substr(e, 2), u || substr(e, 2), uu || substr(e, 2) || '/', s || '://h.test' || CASE WHEN s = 'https' THEN ':80' ELSE '' END || e,
+  o || p || '?q=' || substr(e, 2), o || CASE WHEN contains(substr(e, 2), '/') THEN regexp_replace(e, '[^/]*$', '') ELSE '/' END, o || e || '%20%3C%7B%22%7D%3E?%27x%27', o || p || q]"""
+
+
+@query(rf"""WITH l AS (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos FROM (
+  SELECT page_id, url, list_filter(regexp_extract_all(html, '(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1), lambda h: trim(h) <> '') AS hrefs FROM pages)),
+m AS (SELECT page_id, pos, array_to_string(list_transform(string_split(href, ''), lambda c: CASE WHEN ord(c) > 127 THEN url_encode(c) ELSE c END), '') AS e, lower(regexp_extract(url, '^([a-z]+):', 1)) AS s,
+  regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) END AS p,
+  regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS q FROM l),
+n AS (SELECT *, o || regexp_replace(p, '[^/]*$', '') AS d, o || regexp_replace(regexp_replace(p, '[^/]*$', ''), '[^/]+/$', '') AS u FROM m),
+k AS (SELECT *, o || regexp_replace(substr(u, length(o) + 1), '[^/]+/$', '') AS uu FROM n)
+SELECT page_id, CAST(pos AS INT) AS pos, unnest(range(10)) AS form, unnest({_FORMS_SQL}) AS resolved FROM k""")
 def q_resolved(spark, sf_dir):
-    """Relative references of every form against a page's URL."""
-    base = F.concat(F.lit("https://e"), F.col("page_id"), F.lit(".test/dir/page"))
-    rows = _t(spark, sf_dir, "pages").select("page_id", base.alias("base"), F.posexplode(F.array(*map(F.lit, _TARGETS))).alias("n", "raw"))
-    rows = rows.select("page_id", F.struct("n", url.resolve(F.col("raw"), F.col("base")).alias("u")).alias("r"))
-    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["u"]), " ").alias("resolved"))
+    """References of every form, made of the pages' real hrefs, against their pages' URLs."""
+    rows = html.with_links(_t(spark, sf_dir, "pages"), "html", "url", ["page_id"])
+    rows = rows.select("page_id", "pos", "base", F.posexplode(_forms(F.col("raw"))).alias("form", "raw"))
+    return url.with_resolved(rows, "raw", "base", "resolved").select("page_id", "pos", F.col("form").cast("bigint").alias("form"), "resolved")
 
 
 @query(r"""SELECT page_id, '[debug] ignored ' || unnest(['scheme mailto:x', 'userinfo https://u@h.test/', 'unparsable http://[ x']) || ' base ' || url AS line FROM pages""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import html
 from skein.operators.queries import _KEY, _LINKS, SQL, query
 from skein.shipping import ship
-from skein.sources.staging import shared_path
+from skein.sources.staging import passing
 from skein.streaming import crawl_streams
 
 
@@ -20,13 +20,13 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _run(rows: DataFrame, mode: str) -> DataFrame:
     """Writes all of a stream's results to the shared folder and reads them."""
-    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "stream")
+    spark, path = rows.sparkSession, passing(rows.sparkSession, "stream")
     ship(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{'result' if mode == 'complete' else number}")
 
-    rows.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    rows.writeStream.outputMode(mode).option("checkpointLocation", passing(spark, "stream-state")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
@@ -49,8 +49,6 @@ def q_stream_outcomes(spark, sf_dir):
 @query(f"SELECT DISTINCT {_KEY} AS key FROM ({_LINKS})")
 def q_stream_first_seen(spark, sf_dir):
     """The first sight of each link's key."""
-    from skein.functions import url
-
     pages = _stream(spark, sf_dir, "pages")
-    rows = pages.select(F.col("url").alias("page_url"), F.explode(html.hrefs(F.col("html"))).alias("raw")).select(url.resolve_simple(F.col("raw"), F.col("page_url")).alias("url"))
+    rows = pages.select(F.explode(html.read_html(F.col("html"), F.col("url"))["links"]).alias("url"))
     return _run(crawl_streams.first_seen(rows), "append").select("key")

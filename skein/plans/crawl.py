@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import http, url, weburl
 from skein.operators import robots as robots_rules
+from skein.operators import robots_table
 from skein.plans.config import CrawlConfig
 from skein.shipping import ship
 from skein.sources import site
@@ -78,7 +79,14 @@ def _tries(answers: DataFrame) -> Column:
     return F.coalesce(F.col("tries").cast(TRIES), made) if "tries" in answers.columns else made
 
 
-def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_origin: str, rules: list, redirects: bool) -> DataFrame:
+def _may(rows: DataFrame, at: str, rules: list | DataFrame) -> DataFrame:
+    """Adds whether robots.txt allows a URL: few rules as an expression, many by a join."""
+    if isinstance(rules, DataFrame):
+        return robots_table.decide(rows, rules, at, "_may")
+    return rows.withColumn("_may", robots_rules.allowed(F.col(at), rules))
+
+
+def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_origin: str, rules: list | DataFrame, redirects: bool) -> DataFrame:
     """Follows each row's responses; adds its end and ``hops``, the aliased keys with what was known at each."""
     rows = gen.withColumns({"at": F.col("spelling"), "hops": F.array().cast(HOP), "tried": F.lit(0)})
     done = None
@@ -96,7 +104,7 @@ def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_or
             return got.withColumns({"errorKind": error, "errorMessage": message, "skipReason": F.when(error.isNull() & ~html, "non-html")})
         target = url.resolve(F.col("location"), F.col("at"))
         got = got.withColumn("to", F.when(redirect & F.col("location").isNotNull(), target))
-        got = got.withColumn("to_key", F.when(F.col("to").isNotNull(), url.exact_key(F.col("to"))))
+        got = _may(got.withColumn("to_key", F.when(F.col("to").isNotNull(), url.exact_key(F.col("to")))), "to", rules)
         to = F.col("to")
         scheme = F.regexp_extract(to, "^([a-z][a-z0-9+.-]*):", 1)
         named = F.coalesce(to.rlike("^[a-z][a-z0-9+.-]*://[^/?#]*@"), F.lit(False))
@@ -125,14 +133,14 @@ def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_or
         )
         goes = redirect & error.isNull() & skip.isNull()
         guard = F.when(goes, url.trap_reason(F.col("to_key"), config.max_url_length, config.max_path_depth, config.max_segment_repeats))
-        denied = F.when(goes & ~robots_rules.allowed(to, rules), "robots")
+        denied = F.when(goes & ~F.coalesce("_may", F.lit(True)), "robots")
         step = F.struct(F.col("to_key").alias("key"), F.col("at").alias("url"), status.cast("int").alias("status"), F.col("content_type").alias("type"), F.col("tried").cast("int").alias("attempts"), F.col("tries").alias("tries"))
         got = got.withColumns({"_goes": goes, "_step": step, "_error": error, "_message": F.when(error.isNotNull(), message), "_skip": F.when(error.isNull(), F.coalesce(skip, guard, denied))})
         got = got.withColumn("hops", F.when(F.col("_goes"), F.concat("hops", F.array("_step"))).otherwise(F.col("hops")))
         got = staged(got, "hop")
         ends = got.where(~(F.col("_goes") & F.col("_skip").isNull())).withColumnsRenamed({"_error": "errorKind", "_message": "errorMessage", "_skip": "skipReason"})
         # A hop that leads nowhere has its tries among the hops already.
-        ends = ends.withColumn("tries", F.when(F.col("_goes"), F.array().cast(TRIES)).otherwise(F.col("tries"))).drop("_goes", "_step", "to", "to_key")
+        ends = ends.withColumn("tries", F.when(F.col("_goes"), F.array().cast(TRIES)).otherwise(F.col("tries"))).drop("_goes", "_step", "_may", "to", "to_key")
         done = ends if done is None else done.unionByName(ends)
         rows = got.where(F.col("_goes") & F.col("_skip").isNull()).select(*gen.columns, F.col("to").alias("at"), "hops", "tried")
         if rows.isEmpty():
@@ -323,6 +331,9 @@ def _crawl(spark, config, web, robots_web, stopped, clock, started, keep) -> Cra
             parts[:] = [staged(reduce(DataFrame.unionByName, parts), name)]
         return reduce(DataFrame.unionByName, parts)
 
+    rules, ruled = robots.rules.rules, bool(robots.rules.rules)
+    if len(rules) > robots_rules.BRANCHES:
+        rules = robots_table.prepared(spark.createDataFrame([(start_origin, *x) for x in rules], "origin string, allow boolean, pattern string"))
     while waiting:
         # A live crawl's time is the clock's, a stored one's that of its schedule.
         late = callable(web) and config.max_duration_ms is not None and clock() * 1000 - started >= config.max_duration_ms
@@ -334,10 +345,9 @@ def _crawl(spark, config, web, robots_web, stopped, clock, started, keep) -> Cra
         if robots.outcome == "unavailable":
             pages.append(page(queued, state=F.lit("skipped"), skipReason=F.lit("robots-unavailable"), reserved=F.lit(True)))
             break
-        rules = robots.rules.rules
-        may = robots_rules.allowed(F.col("spelling"), rules)
-        ends = staged(_walk(queued.where(may) if rules else queued, web, config, start_origin, rules, redirects), "ends")
-        denied = queued.where(~may) if rules else None
+        asking = staged(_may(queued, "spelling", rules), "asking") if ruled else None
+        ends = staged(_walk(asking.where("_may").drop("_may") if ruled else queued, web, config, start_origin, rules, redirects), "ends")
+        denied = asking.where("NOT _may").drop("_may") if ruled else None
         known = whole(seen, "seen")
         bodies = whole(hashes, "hashes") if config.dedupe_content else None
         hopping = redirects and not ends.where(F.size("hops") > 0).isEmpty()

@@ -63,15 +63,26 @@ def scratch():
                 _SCRATCH[-1].append((spark, path))
 
 
+def passing(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes as staged tables do."""
+    path = shared_path(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append((spark, path))
+    return path
+
+
+def held() -> bool:
+    """Whether anything has been staged in the innermost scratch."""
+    return bool(_SCRATCH and _SCRATCH[-1])
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it again.
 
     It cuts the lineage: a lost executor costs a read of this table, not the work behind it.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    if _SCRATCH:
-        _SCRATCH[-1].append((spark, path))
+    path = passing(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -19,7 +19,9 @@ def first_seen(links: DataFrame, link: str = "url", event_time: str | None = Non
     Without event_time, all keys are remembered for ever. With it a key is forgotten ``delay`` after
     its row, so the state is bounded.
     """
-    rows = links.withColumn("key", url.canonical_key(F.col(link))).where("key IS NOT NULL")
+    # A stream is read once: its rows aren't split by what their keys need.
+    keyed = links.withColumn("key", url.canonical_key(F.col(link))) if links.isStreaming else url.with_key(links, link, "key")
+    rows = keyed.where("key IS NOT NULL")
     if event_time is None:
         return rows.dropDuplicates(["key"])
     return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["key"])

@@ -1,10 +1,14 @@
 import json
+import random
 import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import html, http, url, weburl
-from skein.operators import robots
+from skein.functions.markup import Head
+from skein.operators import robots, robots_table
 from skein.plans.config import ConfigError, CrawlConfig, from_options
 
 KEYS = [
@@ -112,8 +116,11 @@ def test_very_many_robots_rules(spark):
 
     rows = spark.createDataFrame([(i, f"https://e.test{p}") for i, p in enumerate(paths)], "n int, u string")
     few = [x for x in rules if len(x[1]) > 4][:50]
-    for some in (rules, few):
-        got = {x.n: x.a for x in rows.select("n", robots.allowed(F.col("u"), some).alias("a")).collect()}
+    with pytest.raises(ValueError, match="too many"):
+        robots.allowed(F.col("u"), rules)
+    table = robots_table.prepared(spark.createDataFrame([("https://e.test", *x) for x in rules], "origin string, allow boolean, pattern string"))
+    for some, decided in ((rules, robots_table.decide(rows, table, "u", "a")), (few, rows.select("n", robots.allowed(F.col("u"), few).alias("a")))):
+        got = {x.n: x.a for x in decided.collect()}
         assert got == {i: slowly(p, list(dict.fromkeys(some))) for i, p in enumerate(paths)}
 
 
@@ -122,12 +129,80 @@ def test_hrefs_of_any_markup(spark):
     pages = ["<a href=\"/a\">x</a><A class=b HREF = \"/b\">", "<!-- <a href=\"/no\"> --><a href=\"/a\">", "<script>'<a href=\"/no\">'</script><a href=\"/a\">", "<a href='/a'><a href=/b>", "<a href=\"/a?x=1&amp;y=2\">",
              "<title><a href=\"/no\"></title><a href=\"/a\">", "<title>plain</title><a href=\"/a\"><a href=\" \">", "<a data-x='<a href=\"/no\">' href=\"/a\">", "", "<template><a href=\"/no\"></template>", "<a href=\"/a\" href=\"/b\">"]
     pages += [x.html for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
-    got = {x.n: x.h for x in spark.createDataFrame(list(enumerate(pages)), "n int, p string").select("n", html.hrefs(F.col("p")).alias("h")).collect()}
+    r = random.Random(5)
+    bits = ["<a href=x>", '<a href="/q">', '<a class="b" href="/r">', '<a title="x href=" href="/s">', "<a ", "<!-- c -->", "<!--", "-->", "<!-->", "--!>", "<script>", "</script>", "</script x>", "<style>", "</style >", "<title>", "</title>",
+            "<template>", "</template>", "text", "<", "</", "<br/>", '<base href="/b/">', ">", '"', "'", "=", "<!doctype html>", "<![CDATA[x]]>", "<?pi?>", '<p class="a">', '<p class=b" c=">', "&lt;", '<a href="/t?a&amp;b">', '<a href="/u?a&copy=b">', "<plaintext>", "\x0b"]
+    pages += ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(4000)]
+    rows = spark.createDataFrame([(i, p, f"https://e.com/{i}") for i, p in enumerate(pages)], "n int, p string, u string")
+    got = {i: [] for i in range(len(pages))}
+    for x in html.with_links(rows, "p", "u", ["n"]).orderBy("n", "pos").collect():
+        assert x.pos == len(got[x.n])
+        got[x.n].append((x.raw, x.base))
     for i, page in enumerate(pages):
-        own = html._Page()
-        own.feed(page)
-        own.close()
-        assert got[i] == own.hrefs, page[:200]
+        own = Head(page)
+        base = f"https://e.com/{i}" if not (own.base or "").strip() else weburl.resolve(own.base, f"https://e.com/{i}")
+        assert got[i] == [(h, base) for h in own.hrefs], page[:200]
+
+
+def test_plain_pages_stay_in_the_jvm(spark):
+    """The pages table has no page that needs the tokenizer, so none of its plans has Python."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    links = html.with_links(pages, "html", "url", ["page_id"])
+    plan = url.with_key(url.with_resolved(links, "raw", "base", "link"), "link", "key")._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_tokenizer_is_linear():
+    """A megabyte of what isn't closed, or closed late."""
+    for part in ("<a ", '<a href="', "<a x='", "<!--", "<!", "</", "</a ", "<script>", "<script><!--<script>", "<", "<title>", "&amp", "<a href=&amp", "<a&#1"):
+        page = part * (1_000_000 // len(part))
+        began = time.process_time()
+        Head(page)
+        assert time.process_time() - began < 4, part
+
+
+def test_tokenizer():
+    heads = {
+        "<a href=x>": ["x"], "<A HREF = 'y z'>": ["y z"], "<a/href=s>": ["s"], "<a href='1' href='2'>": ["1"], "<a href>": [], "<a href=' '>": [], "<a href=x": [], "<!--><a href=1>": ["1"], "<!---><a href=1>": ["1"],
+        "<!-- --!><a href=1>": ["1"], "<!-- <a href=1>": [], "<script><!--<script></script><a href=1>--></script><a href=2>": ["2"], "<script><!--</script><a href=1>": ["1"], "<script>'</scripty><a href=1>'</script ><a href=2>": ["2"],
+        "<title></b><a href=1></title><a href=2>": ["2"], "<textarea><a href=1>": [], "<plaintext><a href=1>": [], "<template><template></template><a href=1></template><a href=2>": ["2"], "</template><a href=1>": ["1"],
+        "<a href='?a&amp;b&copy;&copy=1&copyx&#65;&#x42&notit;&amp'>": ["?a&b\u00a9&copy=1&copyxAB&notit;&"], "<a =x href=1>": ["1"], "<a b=c'd href=1>": ["1"], "<a b='>' href=1>": ["1"], "a < b <a href=1>": ["1"], "</ <a href=1>><a href=2>": ["2"],
+    }
+    for page, hrefs in heads.items():
+        assert Head(page).hrefs == hrefs, page
+
+
+def test_references_of_any_form(spark, monkeypatch):
+    """Expressions resolve plain hosts as the exact function does; few rows need it."""
+    r = random.Random(3)
+    bases = ["https://Example.com/dir/page?x=1#f", "http://e.com:80", "https://e.com:8443/a/b/../c", "http://h.test/a b/%zz", "https://u:p@e.com/x", "http://e.com//a//b", "https://e.com?q", "http://127.0.0.1/x", "https://b\u00fccher.de/a",
+             "ftp://f.com/a", "https://e.com/./a/%2e%2E/b/", "mailto:x", "", "https://e.com/a?b?c", "https://e_x.com./a", "http:/e.com/a", "https:e.com/b"]
+    bits = ["..", ".", "/", "//", "?", "#", "a", "b c", "%2e", "%2E%2e", "\u00e9", "\u6f22", "\U0001f600", "\\", "h.test", "http:", "https:", "HTTPS:", "ftp:", "mailto:", "x@", "u:p@", ":", "80", "443", ":8080", "=", "&", "'", '"', "<", ">",
+            "`", "{", "}", "^", "|", "[", "]", "\t", "\n", " ", "%", "%C3", "+", "~", "javascript:", "0x7f", "1.2.3.4", "xn--a", ".com", "e.com"]
+    cases = [(r.choice(bases), "".join(r.choice(bits) for _ in range(r.randint(0, 7)))) for _ in range(4000)] + [(None, "x"), ("https://e.com/", None)]
+    cases += [(b, x) for b in bases for x in ["x", "./y", "../z?q#f", "//h.test/w", "?a=1", "#top", "", "https://o.test", "a/../b", "/../c", "mailto:m@n", "//h.test:443/x", "https:x/y", "http:x", "/a/./b/..", "..", "../../..", ".", "//u@h/", "https://h:99999/", " x "]]
+    df = spark.createDataFrame([(i, b, x) for i, (b, x) in enumerate(cases)], "i int, base string, raw string")
+    want = [None if b is None or x is None else weburl.resolve(x, b) for b, x in cases]
+    assert {x.i: x.u for x in url.with_resolved(df, "raw", "base", "u").collect()} == dict(enumerate(want))
+    monkeypatch.setattr(url, "resolve", lambda raw, base: F.lit("odd"))
+    mine = [i for i, b in enumerate(bases) if b.startswith("http") and "127" not in b and b.isascii()]
+    own = url.with_resolved(df.where(F.col("base").isin([bases[i] for i in mine])), "raw", "base", "u").collect()
+    assert sum(x.u == "odd" for x in own) < 0.35 * len(own) and all(x.u in ("odd", want[x.i]) for x in own)
+
+
+def test_very_long_urls(spark):
+    """Hundreds of thousands of characters in any part: no pattern recurses by the character."""
+    n = 100_000
+    long = ["https://e.com/?q=" + "a" * n, "https://e.com/?" + "a=1&" * n, "https://e.com/?" + "%41" * n, "https://e.com/?" + "%zz" * n, "https://e.com/" + "a/" * n, "https://e.com/" + "/" * n + "x", "https://e.com/" + "/" * n, "https://e.com/" + "x" * n + "#" + "y" * n,
+            "https://" + "a." * n + "com/", "https://e.com:" + "1" * n + "/", "https://e.com/" + "../" * 3000, "x" * n, "https://e.com/" + "%" * n]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(long)], "i int, u string")
+    got = url.with_key(rows, "u", "key").withColumn("same", url.canonical_key(F.col("u"))).collect()
+    for x in got:
+        assert x.key == x.same == weburl.canonical_key(x.u)
+    reasons = {x.i: x.r for x in rows.select("i", url.trap_reason(F.col("u")).alias("r")).collect()}
+    assert all(reasons[i] == "url-length" for i in range(len(long)))
+    base = rows.withColumn("base", F.lit("https://e.com/d/p"))
+    assert all(x.to == weburl.resolve(x.u, x.base) for x in url.with_resolved(base, "u", "base", "to").collect())
 
 
 def test_starts_of_a_hot_origin(spark):
