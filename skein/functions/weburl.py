@@ -46,6 +46,8 @@ def _encoded(text: str, unsafe: set) -> str:
 
 def _number(part: str) -> int | None:
     try:
+        if len(part.lstrip("0xX")) > 12:
+            return 1 << 48  # beyond any address, however many digits follow
         if part[:2] in ("0x", "0X"):
             return int(part[2:] or "0", 16)
         return int(part, 8) if len(part) > 1 and part[0] == "0" else int(part)
@@ -135,9 +137,10 @@ def parse(text: str, base: Url | None = None) -> Url | None:
     host = _host(m[1]) if m and m[1] else None
     if host is None:
         return None
-    port = int(m[2]) if m[2] else None
-    if port is not None and port > 65535:
+    digits = (m[2] or "").lstrip("0")
+    if len(digits) > 5 or int(digits or 0) > 65535:
         return None
+    port = int(digits or 0) if m[2] else None
     return Url(scheme, user if at and user not in ("", ":") else None, host, None if port == PORTS[scheme] else port, _path(tail, []), query)
 
 
