@@ -326,11 +326,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ship(spark)
     path = common.shared_path(spark, "archives")
-    write_archives(common.table(spark, sf_dir, "pages"), path)
-    out = read_archives(spark, path, payloads=False).where("gap IS NULL")
-    return out.select(
-        F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to")
-    )
+    with common.scratch() as keep:
+        write_archives(common.table(spark, sf_dir, "pages"), path)
+        out = read_archives(spark, path, payloads=False).where("gap IS NULL")
+        out = out.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+        out = keep(out, "records")
+        common.remove(spark, path)
+        return out
 
 
 SQL = r"""
