@@ -76,14 +76,15 @@ def q_odd_links(spark, sf_dir):
     return _verdicts(_crawled(spark, sf_dir, 9).pages)
 
 
-@query(f"""SELECT decision, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['queued', 'other-origin', 'repeated-segment', 'depth-limit']) AS decision FROM customer WHERE c_custkey % 10 = 9
-  UNION ALL SELECT 'queued') GROUP BY decision""")
+@query("""SELECT depth, decision, CAST(count(*) AS BIGINT) AS n FROM (SELECT 1 AS depth, unnest(['queued', 'other-origin', 'depth-limit', 'depth-limit']) AS decision FROM customer WHERE c_custkey % 10 = 9
+  UNION ALL SELECT 2, unnest(['queued', 'queued', 'other-origin', 'repeated-segment']) FROM customer WHERE c_custkey % 10 = 9 UNION ALL SELECT unnest([1, 2]), 'queued') GROUP BY depth, decision""")
 def q_admission_crawled(spark, sf_dir):
-    """What the engine decides on each link: depth comes before traps, another origin before depth."""
-    pages = _crawled(spark, sf_dir, 9, max_depth=1, max_segment_repeats=3).pages
-    more = _crawled(spark, sf_dir, 9).pages.where("skipReason = 'repeated-segment'")
-    rows = pages.where(F.col("canonicalUrl").contains("/a/a/") == F.lit(False)).unionByName(more)
-    return rows.groupBy(F.coalesce("skipReason", F.lit("queued")).alias("decision")).agg(F.count("*").alias("n"))
+    """What the engine decides on each link, at two depths: another origin comes before depth, depth before traps."""
+    both = None
+    for depth in (1, 2):
+        pages = _crawled(spark, sf_dir, 9, max_depth=depth).pages.select(F.lit(depth).alias("depth"), F.coalesce("skipReason", F.lit("queued")).alias("decision"))
+        both = pages if both is None else both.unionByName(pages)
+    return both.groupBy("depth", "decision").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT url, depth, rank <= 30 AS taken, CASE WHEN rank > 30 THEN 'page-limit' END AS reason FROM (SELECT url, depth, row_number() OVER (ORDER BY depth, url) AS rank FROM (

@@ -148,15 +148,19 @@ def q_path_depth(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.size(url.path_segments(F.col("url"))).alias("segments"))
 
 
-_DECIDED = f"""SELECT key, first_page, CASE WHEN origin NOT LIKE 'https:%' THEN 'other-origin' WHEN first_page % 5 = 4 THEN 'depth-limit' ELSE NULL END AS reason
-  FROM (SELECT key, min(page_id) AS first_page, any_value(split_part(key, '/', 1)) AS origin FROM (SELECT page_id, url, {_KEY} AS key FROM ({_LINKS})) GROUP BY key)"""
+#: Scope is the origin with most pages (ties: the first by name); a trap is a path of more than one segment, or a key of more than 44 characters.
+_KEY_PARTS = _TRAP.replace("length(url) > 90", "length(url) > 44").replace("> 6 THEN", "> 1 THEN")
+_DECIDED = f"""SELECT key, first_page, CASE WHEN origin <> (SELECT arg_min(o, (-n, o)) FROM (SELECT {_ORIGIN} AS o, count(*) AS n FROM pages GROUP BY 1)) THEN 'other-origin' ELSE trap END AS reason FROM (
+  SELECT url AS key, first_page, {_ORIGIN} AS origin, {_KEY_PARTS} AS trap FROM (SELECT key AS url, min(page_id) AS first_page FROM (SELECT page_id, {_KEY} AS key FROM ({_LINKS})) GROUP BY key))"""
 
 
 def _decided(spark, sf_dir) -> DataFrame:
-    """Candidates of all pages: scope stands for https, depth for the page's number modulo 5, so that both rules meet rows."""
-    rows = url.with_key(links(_t(spark, sf_dir, "pages")), "url", "key")
-    rows = rows.groupBy("key").agg(F.min("page_id").alias("first_page"))
-    return rows.withColumn("reason", F.when(~F.col("key").startswith("https:"), "other-origin").when(F.col("first_page") % 5 == 4, "depth-limit"))
+    """Candidates of all pages, each at the first page that links to it: another origin than the one with most pages, or a trap."""
+    pages = _t(spark, sf_dir, "pages")
+    scope = pages.groupBy(url.origin(F.col("url")).alias("o")).agg((-F.count("*")).alias("n")).agg(F.min_by("o", F.struct("n", "o"))).first()[0]
+    rows = url.with_key(links(pages), "url", "key").groupBy("key").agg(F.min("page_id").alias("first_page"))
+    trap = url.trap_reason(F.col("key"), 44, 1, 2)
+    return rows.select("key", "first_page", F.when(url.origin(F.col("key")) != F.lit(scope), "other-origin").otherwise(trap).alias("reason"))
 
 
 @query(f"SELECT coalesce(reason, 'queued') AS decision, CAST(count(*) AS BIGINT) AS n FROM ({_DECIDED}) GROUP BY 1")

@@ -5,49 +5,40 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import html, http, url
-from skein.operators.queries import _pick, _t, query
+from skein.operators.queries import _KEY, _LINKS, _pick, _t, query
 from skein.plans import report
 from skein.sources import site
 
-#: URL and its key, as the identity rules say.
-KEYS = [
-    ("https://Example.com", "https://example.com/"), ("http://e.com:80/a/", "http://e.com/a"), ("https://e.com:443/a//", "https://e.com/a"), ("http://e.com:443/x", "http://e.com:443/x"),
-    ("https://e.com/a/../b", "https://e.com/b"), ("https://e.com/a/./b/", "https://e.com/a/b"), ("https://e.com/a%2Fb", "https://e.com/a%2Fb"), ("https://e.com/a b", "https://e.com/a%20b"),
-    ("https://e.com/%C3%A9", "https://e.com/%C3%A9"), ("https://e.com/\u00e9", "https://e.com/%C3%A9"), ("https://e.com/?q=a%20b%zz", "https://e.com/?q=a+b%25zz"), ("https://e.com/?q=%7e", "https://e.com/?q=%7E"),
-    ("https://e.com/?q=~", "https://e.com/?q=%7E"), ("https://e.com/?b=2&a=1&a=0", "https://e.com/?a=0&a=1&b=2"), ("https://e.com/?a&&b=", "https://e.com/?a=&b="), ("https://e.com/?x=1+2#f", "https://e.com/?x=1+2"),
-    ("https://e.com/?q=%C3%A9", "https://e.com/?q=%C3%A9"), ("https://e.com/?q=\u00e9", "https://e.com/?q=%C3%A9"), ("https://e.com\\a\\b", "https://e.com/a/b"), ("HTTPS://E.COM/A", "https://e.com/A"),
-    ("https://fa\u00df.de/", "https://xn--fa-hia.de/"), ("https://b\u00fccher.example/", "https://xn--bcher-kva.example/"), ("http://0x7f.1/", "http://127.0.0.1/"), ("https://e.com./", "https://e.com./"),
-    ("  https://e.com/ ", "https://e.com/"), ("https://e.com/a\tb", "https://e.com/ab"), ("https://e.com:99999/", None), ("mailto:a@b.c", None), ("ftp://e.com/", None), ("not a url", None), ("/a", None),
-    ("https://u:p@e.com/", None), ("https://u@e.com/", None), ("https://e.com/%2e%2e/a", "https://e.com/a"), ("https://e.com/a;b=c,d!e", "https://e.com/a;b=c,d!e"),
-]
-
-
-def _literal(text: str | None) -> str:
-    if text is None:
-        return "NULL"
-    plain = text.replace("'", "''")
-    parts = [f"'{plain}'"] if plain.isascii() and plain.isprintable() else [f"chr({ord(c)})" if not (c.isascii() and c.isprintable()) else "'" + c.replace("'", "''") + "'" for c in text]
-    return " || ".join(parts)
+#: Spellings of a page's URL, each with what is to be seen in its key: dot segments, escapes, case, ports, outer space, queries in another order, and very long ones.
+def _spelled(u):
+    own = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    origin, path = F.regexp_extract(u, "^([a-z]+://[^/?#]*)", 1), F.regexp_extract(u, "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    upper = F.regexp_replace(u, "^[a-z]+://[^/?#]*", "")
+    return F.array(own("  ", u, " "), own(F.upper(origin), upper), own(origin, "/a/b/../.", path, "/."), own(origin, path, "/%C3%A9\u00e9 <"), own(origin, path, "?b=%zz&a=1+2&&c&a=0&~=%7e"), own(origin, ":0443", path), own(origin, path, "?q=", F.repeat(F.lit("a=%41&"), 2000)),
+                   own(origin, "\\x", path), F.regexp_replace(u, "://", "://u@"), F.regexp_replace(u, "^[a-z]+", "ftp"), path)
 
 
-_CASES = ", ".join(f"({i}, {_literal(u)}, {_literal(k)})" for i, (u, k) in enumerate(KEYS))
+_SPELLED_SQL = """[o || coalesce(nullif(bare, ''), '/') || q, o || coalesce(nullif(bare, ''), '/') || q, o || '/a' || bare, o || rawpath || '/%C3%A9%C3%A9%20%3C', o || coalesce(nullif(bare, ''), '/') || '?a=0&a=1+2&b=%25zz&c=&%7E=%7E',
+  o || CASE WHEN o LIKE 'http:%' THEN ':443' ELSE '' END || coalesce(nullif(bare, ''), '/'), o || coalesce(nullif(bare, ''), '/') || '?' || rtrim(repeat('a=A&', 1999), '&') || '&q=a%3DA', o || '/x' || bare, NULL, NULL, NULL]"""
 
 
-@query(f"SELECT r_regionkey AS region, n, u AS url, k AS key, k AS exact FROM region, (VALUES {_CASES}) c(n, u, k)")
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS rawpath, {_KEY} AS key FROM pages),
+b AS (SELECT page_id, o, rawpath, rtrim(rawpath, '/') AS bare, regexp_extract(key, '(\\?.*)$', 1) AS q FROM p)
+SELECT page_id, unnest(range(11)) AS n, unnest({_SPELLED_SQL}) AS key FROM b""")
 def q_url_identity(spark, sf_dir):
-    """Literal URLs and keys, by the expression and by the exact function."""
-    cases = F.posexplode(F.array(*(F.lit(u) for u, _ in KEYS)))
-    rows = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), cases.alias("n", "url"))
-    return rows.select("region", "n", "url", url.canonical_key(F.col("url")).alias("key"), url.exact_key(F.col("url")).alias("exact"))
+    """The keys of all pages' URLs in odd spellings."""
+    rows = _t(spark, sf_dir, "pages").select("page_id", F.posexplode(_spelled(F.col("url"))).alias("n", "url"))
+    return url.with_key(rows, "url", "key").select("page_id", F.col("n").cast("bigint").alias("n"), "key")
 
 
-@query("""SELECT page_id, o || '/d' || page_id || '/' AS base, 'c?x=' || page_id AS canonical, o || '/d' || page_id || '/p ' || o || '/q https://h.test/' AS links, 'scheme mailto:x, userinfo http://u@h.test/, unparsable http://[' AS ignored
-  FROM (SELECT page_id, 'https://e' || page_id || '.test' AS o FROM pages)""")
+@query(rf"""SELECT h.page_id, o || '/d' || h.page_id || '/' AS base, 'c?x=' || h.page_id AS canonical, o || '/d' || h.page_id || '/p ' || o || '/q https://h.test/' || coalesce(own, '') AS links,
+  'scheme mailto:x, userinfo http://u@h.test/, unparsable http://[' AS ignored FROM (SELECT page_id, 'https://e' || page_id || '.test' AS o FROM pages) h
+  LEFT JOIN (SELECT page_id, string_agg(' https://e' || page_id || '.test' || regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '' ORDER BY pos) AS own FROM ({_LINKS}) GROUP BY page_id) l USING (page_id)""")
 def q_html_head(spark, sf_dir):
-    """Base, canonical and links of a made page: the first base and canonical count, templates, scripts and comments don't."""
+    """Base, canonical and links of each page behind a head with a base: the first base and canonical count, templates, scripts and comments don't."""
     page = F.concat(
         F.lit('<!-- <base href="/no/"> --><template><base href="/no/"><a href="no">n</a></template><base href="/d'), F.col("page_id"), F.lit('/"><base href="/later/"><link rel="next" href="n"><link rel="x CANONICAL" href="c?x='), F.col("page_id"),
-        F.lit("\"><link rel=canonical href=second><script>'<a href=no>'</script><a href=p>1</a><a name=x>2</a><a href=' '>3</a><a href='../q#f'>4</a><a href=\"//H.test\">5</a><a href=mailto:x>6</a><a href=http://u@h.test/>7</a><a href='http://['>8</a>"),
+        F.lit("\"><link rel=canonical href=second><script>'<a href=no>'</script><a href=p>1</a><a name=x>2</a><a href=' '>3</a><a href='../q#f'>4</a><a href=\"//H.test\">5</a><a href=mailto:x>6</a><a href=http://u@h.test/>7</a><a href='http://['>8</a>"), F.coalesce("html", F.lit("")),
     )
     rows = _t(spark, sf_dir, "pages").select("page_id", page.alias("html"), F.concat(F.lit("https://e"), F.col("page_id"), F.lit(".test/x/y")).alias("u"))
     read = rows.select("page_id", html.read_html(F.col("html"), F.col("u")).alias("p"))
