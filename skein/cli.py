@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     for flag, key, text in SWITCHES:
         out.add_argument(flag, dest=key, action="store_const", const=False, help=text)
     out.add_argument("--format", metavar="NAME", help="console, json or csv (console)")
-    out.add_argument("--output", metavar="PATH", help="write the report to a file")
+    out.add_argument("--output", metavar="PATH", help="write the report to a file, or csv and json as parts to a folder if PATH ends in /")
     for flag, text in (("--details", "add the table of pages (console)"), ("--trace", "event lines on stderr")):
         out.add_argument(flag, action="store_true", help=text)
     out.add_argument("-h", "--help", action="store_true", help="show this text")
@@ -122,7 +122,12 @@ def run(argv: list[str], stdout=sys.stdout, stderr=sys.stderr, crawl=live_crawl,
         result = crawl(config, stopped)
         if len(pressed) > 1:
             return 130
-        out = report.render(result, form, output, details, trace.text(result) if with_trace else "")
+        events = trace.text(result) if with_trace else ""
+        if output and output.endswith("/") and form in ("csv", "json"):
+            report.save(result, form, output.rstrip("/"))
+            out = report.render(result, None, None, False, events)
+        else:
+            out = report.render(result, form, output, details, events)
         if out["file"]:
             (write_file or _write)(*out["file"])
         stderr.write(out["stderr"])

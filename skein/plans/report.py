@@ -1,6 +1,7 @@
 """Reports of a crawl: console summary, details, CSV, JSON, and where each goes.
 
-Tables are made as DataFrames; only their finished lines come to the driver, which prints them.
+Tables are made as DataFrames; only their finished lines come to the driver, which prints them. ``save``
+writes CSV and JSON of any size as parts in a folder instead.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from skein.functions import html, http, url
 from skein.plans.config import ConfigError, camel
 from skein.plans.crawl import COLUMNS, CrawlResult, tally
+from skein.sources import ordered
 
 FORMATS = ("console", "json", "csv")
 LABELS = ("reserved", "fetched", "ok", "skipped", "failed", "queued")
@@ -71,9 +73,8 @@ def csv(result: CrawlResult) -> str:
     return "\n".join([",".join(COLUMNS), *(r["line"] for r in csv_lines(result.pages).orderBy("created_ord").toLocalIterator())]) + "\n"
 
 
-def envelope(result: CrawlResult) -> dict:
+def _envelope(result: CrawlResult, pages: list[dict]) -> dict:
     iso = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-    pages = [r.asDict() for r in result.pages.orderBy("created_ord").select(*COLUMNS).toLocalIterator()]
     return {
         "schemaVersion": 1, "startUrl": result.config.start_url, "startedAt": iso(result.started_ms), "finishedAt": iso(result.finished_ms),
         "durationMs": result.finished_ms - result.started_ms, "stopReason": result.stop_reason, "config": {camel(k): v for k, v in asdict(result.config).items()},
@@ -81,6 +82,24 @@ def envelope(result: CrawlResult) -> dict:
     }
 
 
+def envelope(result: CrawlResult) -> dict:
+    return _envelope(result, [r.asDict() for r in result.pages.orderBy("created_ord").select(*COLUMNS).toLocalIterator()])
+
+
+def save(result: CrawlResult, format: str, path: str) -> None:
+    """A CSV or JSON report of any size as numbered parts in a folder, in the order of creation; nulls are kept."""
+    if format == "csv":
+        ordered.write(csv_lines(result.pages), "created_ord", "line", path, head=",".join(COLUMNS))
+        return
+    if format != "json":
+        raise ConfigError(f"No parts of format: {format}")
+    head, tail = json.dumps(_envelope(result, []), ensure_ascii=False).split('"pages": []')
+    first = result.pages.agg(F.min("created_ord")).first()[0]
+    page = F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})
+    lines = result.pages.select("created_ord", F.concat(F.when(F.col("created_ord") == first, "").otherwise(","), page).alias("line"))
+    ordered.write(lines, "created_ord", "line", path, head=f'{head}"pages": [', tail=f"]{tail}")
+
+
 def to_json(result: CrawlResult) -> str:
     return json.dumps(envelope(result), indent=2, ensure_ascii=False) + "\n"
 
