@@ -20,6 +20,7 @@ def content_hash(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
+#: Fixed values below: codes of errors and the kinds they stand for.
 def error_kind(code: Column) -> Column:
     return (
         F.when(code == "TimeoutError", "timeout")

@@ -237,6 +237,7 @@ def _pick(values: list, key: str = "o_orderkey"):
 
 
 _STATUSES = [200, 301, 404, 429, 500, 502, 503, 504]
+#: Error codes of the network, as they must be recognised.
 _CODES = "TimeoutError ENOTFOUND EAI_AGAIN ECONNREFUSED UND_ERR_CONNECT_TIMEOUT ECONNRESET UND_ERR_SOCKET EPIPE DEPTH_ZERO_SELF_SIGNED_CERT CERT_HAS_EXPIRED ERR_TLS_X OTHER".split()
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from skein.operators import maze_queries, queries
 from skein.operators.registered import QUERIES, SQL
+from skein.sources import staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,7 +35,12 @@ def crawls():
                 return crawled(spark, sf_dir, *args, **config)
             key = crawled.__module__, sf_dir, args, tuple(sorted(config.items()))
             if key not in kept:
-                kept[key] = crawled(spark, sf_dir, *args, **config)
+                # A query deletes what it staged; a shared crawl must outlive it.
+                scratches, staging._SCRATCH[:] = staging._SCRATCH[:], []
+                try:
+                    kept[key] = crawled(spark, sf_dir, *args, **config)
+                finally:
+                    staging._SCRATCH[:] = scratches
             return kept[key]
 
         return run
