@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from skein.functions import url as urls
 from skein.functions.markup import TEXT_ONLY, Head
+from skein.sources.staging import staged
 
 _SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TEXT_ONLY = "|".join(["script", *TEXT_ONLY])
@@ -31,22 +32,29 @@ def _plain(bare: Column, html: Column) -> Column:
 
 
 def with_links(pages: DataFrame, html: str, url: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of pages with a row for each anchor's href: pos (from 0), raw, and the base it stands against."""
-    bare = F.regexp_replace(F.col(html), HIDDEN, " ")
-    rows = pages.where(F.col(html).isNotNull()).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(html).alias("__html"), F.col(url).alias("__url"), bare.alias("__bare"))
-    kept = [F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)]
+    """The columns ``keep`` of pages with a row for each anchor's href: pos (from 0), raw, and the base it stands against; staged."""
+    keys = [f"__k{i}" for i in range(len(keep))]
 
-    def fast(rows: DataFrame) -> DataFrame:
-        anchors = F.regexp_extract_all("__bare", F.lit(FINE_ANCHOR), F.lit(0))
+    def read(bare: Column) -> Column:
+        anchors = F.regexp_extract_all(bare, F.lit(FINE_ANCHOR), F.lit(0))
         hrefs = F.transform(anchors, lambda a: F.replace(F.regexp_extract(a, r"(?i)\shref=\"([^\"]*)\"", 1), F.lit("&amp;"), F.lit("&")))
-        hrefs = F.filter(hrefs, lambda h: h.rlike(rf"[^{_SPACES}]"))
-        return rows.select(*(f"__k{i}" for i in range(len(keep))), "__url", F.posexplode(hrefs).alias("pos", "raw")).select(*kept, "pos", "raw", F.col("__url").alias("base"))
+        return F.struct(_plain(bare, F.col(html)).alias("plain"), F.filter(hrefs, lambda h: h.rlike(rf"[^{_SPACES}]")).alias("hrefs"))
+
+    # Bound to a variable, the page without its hidden parts is made once.
+    found = F.transform(F.array(F.regexp_replace(F.col(html), HIDDEN, " ")), read)[0]
+    rows = pages.where(F.col(html).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(keep, keys)), F.col(html).alias("__html"), F.col(url).alias("__url"), found.alias("__found"))
+    # Of plain pages the links alone are kept.
+    rows = staged(rows.select(*keys, "__url", "__found.plain", F.when(F.col("__found.plain"), F.col("__found.hrefs")).alias("hrefs"), F.when(~F.col("__found.plain"), F.col("__html")).alias("__html")), "links")
+    kept = [F.col(k).alias(c) for c, k in zip(keep, keys)]
+
+    def fast(rows: DataFrame) -> DataFrame:
+        return rows.select(*keys, "__url", F.posexplode("hrefs").alias("pos", "raw")).select(*kept, "pos", "raw", F.col("__url").alias("base"))
 
     def exact(rows: DataFrame) -> DataFrame:
-        read = rows.select(*(f"__k{i}" for i in range(len(keep))), raw_links(F.col("__html"), F.col("__url")).alias("p"))
+        read = rows.select(*keys, raw_links(F.col("__html"), F.col("__url")).alias("p"))
         return read.select("*", F.posexplode("p.hrefs").alias("pos", "raw")).select(*kept, "pos", "raw", "p.base")
 
-    return urls.split(rows, _plain(F.col("__bare"), F.col("__html")), fast, exact)
+    return urls.split(rows, F.col("plain"), fast, exact)
 
 
 def read(html: str, page_url: str) -> dict:
