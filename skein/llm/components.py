@@ -2,7 +2,8 @@
 
 Each round is two aggregations and joins over the edges, staged in the shared folder; neither
 edges nor components are ever collected. Minima are staged before the join on them, so that the
-planner sees plain scans and can split the partition of a node with very many edges.
+planner sees plain scans and can split the partition of a node with very many edges. No join is a
+broadcast, which would pass through the driver.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def _round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = common.staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "minima")
     # large star: neighbours above u point to u's minimum.
-    large = common.staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    large = common.staged(common.joined(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
     # small star: u and its neighbours below it point to the least of them.
     least = common.staged(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
-    below = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    below = common.joined(large, least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return below.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

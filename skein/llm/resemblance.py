@@ -102,17 +102,17 @@ def _verified(batches):
 
 def texts_of(nodes: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
     """fp and text of each fp of nodes; staged. members has the keys of one row for each fp."""
-    asked = common.staged(members.join(nodes, "fp", "left_semi").select("fp", common.ID_KEY, common.TEXT_KEY), "asked")
+    asked = common.staged(common.joined(members, nodes, "fp", "left_semi").select("fp", common.ID_KEY, common.TEXT_KEY), "asked")
     marked = docs.select(common.id_key().alias(common.ID_KEY), common.text_key().alias(common.TEXT_KEY), common.text_or_empty().cast("binary").alias("text"))
-    found = marked.join(asked.select(common.ID_KEY, common.TEXT_KEY), [common.ID_KEY, common.TEXT_KEY], "left_semi").dropDuplicates([common.ID_KEY, common.TEXT_KEY])
-    return common.staged(found.join(asked, [common.ID_KEY, common.TEXT_KEY]).select("fp", "text"), "texts")
+    found = common.joined(marked, asked.select(common.ID_KEY, common.TEXT_KEY), [common.ID_KEY, common.TEXT_KEY], "left_semi").dropDuplicates([common.ID_KEY, common.TEXT_KEY])
+    return common.staged(common.joined(found, asked, [common.ID_KEY, common.TEXT_KEY]).select("fp", "text"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of fp, those whose texts (fp, text) are alike."""
     pairs = common.staged(pairs.distinct(), "candidates")
-    one = common.staged(pairs.join(texts.toDF("a", "text_a"), "a"), "half")
-    both = one.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    one = common.staged(common.joined(pairs, texts.toDF("a", "text_a"), "a"), "half")
+    both = common.joined(one, texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return common.mapped(both, _verified, "a bigint, b bigint", "alike")
 
 
@@ -137,19 +137,19 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """
     t, more = SIMILARITY.numerator, SIMILARITY.denominator
     rows = common.mapped(texts, _shingled, "fp bigint, shingle bigint", "shingles")
-    sizes = common.staged(rows.groupBy("fp").agg(F.count("*").alias("size")).join(labels, "fp"), "sizes")
+    sizes = common.staged(common.joined(rows.groupBy("fp").agg(F.count("*").alias("size")), labels, "fp"), "sizes")
     shared = common.staged(rows.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "frequencies")
-    met = common.staged(rows.join(shared, "shingle"), "shared_shingles")
+    met = common.staged(common.joined(rows, shared, "shingle"), "shared_shingles")
     order = Window.partitionBy("fp").orderBy("texts", "shingle")
     # From the end, as the shingles of one text alone come first: their number needs no rows.
-    met = met.withColumn("rest", F.count("*").over(Window.partitionBy("fp")) - F.row_number().over(order) + 1).join(sizes, "fp")
+    met = common.joined(met.withColumn("rest", F.count("*").over(Window.partitionBy("fp")) - F.row_number().over(order) + 1), sizes, "fp")
     # The longest prefix has size - ceil(t size) + 1 shingles: the first at which t size or more are left, itself included.
     probe = common.staged(met.where(F.col("rest") * more >= F.col("size") * t), "prefixes").select("shingle", "fp", "label", "size", "rest")
     # The smaller set's need only have size - ceil(2 t / (1 + t) size) + 1.
     index = probe.where(F.col("rest") * (more + t) >= F.col("size") * 2 * t).toDF("shingle", "fp2", "label2", "size2", "rest2")
     later = (F.col("size") > F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("fp") > F.col("fp2")))
     room = F.least("rest", "rest2") * (more + t) >= (F.col("size") + F.col("size2")) * t
-    pairs = probe.join(index, "shingle").where((F.col("label") != F.col("label2")) & later & _fits("size", "size2") & room)
+    pairs = common.joined(probe, index, "shingle").where((F.col("label") != F.col("label2")) & later & _fits("size", "size2") & room)
     return pairs.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
 
@@ -163,16 +163,16 @@ def near_roots(docs: DataFrame) -> DataFrame:
         tops = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "fp", "size")).alias("top")).where("n > 1")
         tops = common.staged(tops.select("key", F.col("top.fp").alias("top"), F.col("top.size").alias("top_size")), "tops")
         # Keys of a single member lead nowhere. The texts of the others are looked up once.
-        met = common.staged(keyed.join(tops, "key").select("key", "fp", "size", "top", "top_size"), "met")
+        met = common.staged(common.joined(keyed, tops, "key").select("key", "fp", "size", "top", "top_size"), "met")
         texts = texts_of(met.select("fp").distinct(), docs, members)
         stars = components(verified(met.where((F.col("fp") != F.col("top")) & _fits("size", "top_size")).select(F.col("fp").alias("a"), F.col("top").alias("b")), texts))
-        labels = common.staged(members.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
+        labels = common.staged(common.joined(members, stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
         # What the stars left apart asks again.
-        shared = common.staged(met.select("key", "fp").join(labels, "fp").select("key", "fp", "label"), "shared")
+        shared = common.staged(common.joined(met.select("key", "fp"), labels, "fp").select("key", "fp", "label"), "shared")
         apart = shared.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        asked = common.staged(shared.join(common.staged(apart, "apart"), "key", "left_semi").select("fp").distinct(), "apart_members")
-        links = verified(prefix_pairs(texts.join(asked, "fp", "left_semi"), labels), texts)
+        asked = common.staged(common.joined(shared, common.staged(apart, "apart"), "key", "left_semi").select("fp").distinct(), "apart_members")
+        links = verified(prefix_pairs(common.joined(texts, asked, "fp", "left_semi"), labels), texts)
         # The stars as links of their own join what the pairs lead to.
         whole = components(links.unionByName(labels.where("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b"))))
-        roots = common.staged(members.join(whole.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "near_roots")
-        return keep(rows.join(roots, "fp").select("doc_id", common.ID_KEY, common.TEXT_KEY, "root"), "near")
+        roots = common.staged(common.joined(members, whole.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "near_roots")
+        return keep(common.joined(rows, roots, "fp").select("doc_id", common.ID_KEY, common.TEXT_KEY, "root"), "near")

@@ -14,7 +14,8 @@ candidate is verified by its bit count.
 
 Copies collapse to one distinct fingerprint first. A bucket of many fingerprints close to each
 other is first joined to its most copied member only, which is linear; the exact search then asks
-just for links between what is still apart, so its output doesn't grow with a group's square.
+just for links between what is still apart, so its output doesn't grow with a group's square. Nothing
+that grows with the input is broadcast, so the driver holds no table.
 
 Null texts and texts without words have fingerprint zero and link like any other; texts of any
 length are read whole. Null doc_ids count as largest. Repeated rows share their fingerprint. An
@@ -201,7 +202,7 @@ def star_links(prints: DataFrame) -> DataFrame:
     stored = keyed(prints.select("fp", F.col("copies").alias("label")), stored_keys)
     top = F.max(F.struct("label", "fp"))
     tops = stored.groupBy("key").agg(F.count("*").alias("n"), top.alias("top")).where("n > 1").select("key", F.col("top.fp").alias("top"))
-    links = stored.join(common.staged(tops, "tops"), "key").where((F.col("fp") != F.col("top")) & _close("fp", "top"))
+    links = common.joined(stored, common.staged(tops, "tops"), "key").where((F.col("fp") != F.col("top")) & _close("fp", "top"))
     return links.select(F.col("fp").alias("a"), F.col("top").alias("b"))
 
 
@@ -215,10 +216,10 @@ def cross_links(labelled: DataFrame) -> DataFrame:
     stored = common.staged(keyed(labelled, stored_keys), "stored")
     asked = keyed(labelled, looked_up_keys).toDF("key", "fp2", "label2")
     there = stored.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    asked = asked.join(there, "key").where((F.col("label2") != F.col("low")) | (F.col("label2") != F.col("high")))
+    asked = common.joined(asked, there, "key").where((F.col("label2") != F.col("low")) | (F.col("label2") != F.col("high")))
     asked = common.staged(asked.select("key", "fp2", "label2"), "asked")
-    stored = common.staged(stored.join(asked.select("key").distinct(), "key", "left_semi"), "stored")
-    met = asked.join(stored, "key").where((F.col("label") != F.col("label2")) & _close("fp", "fp2"))
+    stored = common.staged(common.joined(stored, asked.select("key").distinct(), "key", "left_semi"), "stored")
+    met = common.joined(asked, stored, "key").where((F.col("label") != F.col("label2")) & _close("fp", "fp2"))
     return met.select(F.least("label", "label2").alias("a"), F.greatest("label", "label2").alias("b")).distinct()
 
 
@@ -227,20 +228,20 @@ def components_of(rows: DataFrame) -> DataFrame:
     with common.scratch() as keep:
         prints = common.staged(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "prints")
         stars = components(star_links(prints))
-        labelled = prints.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"), "first_id")
+        labelled = common.joined(prints, stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"), "first_id")
         labelled = common.staged(labelled, "labelled")
         roots = components(cross_links(labelled))
-        joined = labelled.join(roots.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("root", "label").alias("root"), "first_id")
+        joined = common.joined(labelled, roots.withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("root", "label").alias("root"), "first_id")
         joined = common.staged(joined, "rooted")
         least = common.staged(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-        return keep(joined.join(least, "root").select("fp", "component_id", "root"), "components")
+        return keep(common.joined(joined, least, "root").select("fp", "component_id", "root"), "components")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keys, fp, component_id and root of every row; staged."""
     with common.scratch() as keep:
         rows = fingerprints(docs)
-        return keep(rows.join(components_of(rows), "fp").select("doc_id", "fp", "component_id", "root", common.ID_KEY, common.TEXT_KEY), "near")
+        return keep(common.joined(rows, components_of(rows), "fp").select("doc_id", "fp", "component_id", "root", common.ID_KEY, common.TEXT_KEY), "near")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
