@@ -1,8 +1,10 @@
-"""Near copies by five-word Jaccard similarity: MinHash bands, then exact verification.
+"""Near copies by five-word Jaccard similarity: groups of another search and MinHash bands, then exact verification.
 
-SimHash distances of texts that resemble each other by 0.8 run far beyond the three bits that the
-Golay keys retrieve, so the near stage has its own link rule: texts link if the sets of their
-five-word shingles have a Jaccard similarity of 0.8 at least. With 40 bands of 7 MinHashes a pair
+Texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 at least. The
+groups handed in (the near stage gives the SimHash components that the Golay keys retrieve) are
+candidates like a band's: each stands for one key more of its members. SimHash distances of texts
+that resemble each other by 0.8 run far beyond the three bits of those keys, so bands find the rest.
+With 40 bands of 7 MinHashes a pair
 at just 0.8 is missed with probability (1 - 0.8^7)^40 < 0.0001, one at 0.9 with less than 10^-11;
 nothing else is left to chance, as every candidate is verified by its words.
 
@@ -153,13 +155,23 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
 
 
-def near_roots(docs: DataFrame) -> DataFrame:
-    """doc_id, keys and root of every row: rows that links lead to one another have the same root."""
+def near_roots(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """doc_id, keys and root of every row: rows that links lead to one another have the same root.
+
+    groups: ID_KEY, TEXT_KEY and root of rows that another search has put together. All links within
+    a group are found, as within a band.
+    """
     with common.scratch() as keep:
         rows = prints(docs)
         first = F.min(F.struct(common.ID_KEY, common.TEXT_KEY)).alias("first")
         members = common.staged(rows.groupBy("fp").agg(F.count("*").alias("copies"), first, F.min("size").alias("size"), F.min("bands").alias("bands")).select("fp", "copies", "size", "bands", "first.*"), "members")
-        keyed = common.staged(members.select(F.explode("bands").alias("key"), "fp", "size", "copies"), "keyed")
+        keyed = members.select(F.explode("bands").alias("key"), "fp", "size", "copies")
+        if groups is not None:
+            # Rows with the same keys have the same text, so the first of them speaks for its words. Numbered apart from the bands, whose hashes name them.
+            own = groups.groupBy(common.ID_KEY, common.TEXT_KEY).agg(F.min("root").alias("root"))
+            own = common.joined(members, own, [common.ID_KEY, common.TEXT_KEY])
+            keyed = keyed.unionByName(own.select(F.xxhash64(F.lit("group"), "root").alias("key"), "fp", "size", "copies"))
+        keyed = common.staged(keyed, "keyed")
         tops = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("copies", "fp", "size")).alias("top")).where("n > 1")
         tops = common.staged(tops.select("key", F.col("top.fp").alias("top"), F.col("top.size").alias("top_size")), "tops")
         # Keys of a single member lead nowhere. The texts of the others are looked up once.

@@ -247,13 +247,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of docs from each group of near copies, with all its columns: that of its smallest doc_id.
 
-    Three bits are too few for texts that are 0.8 alike, so groups are those of the resemblance links.
-    A group is known by its root, as groups may share a doc_id or have none.
+    The components that the Golay keys retrieve are searched for texts that are 0.8 alike by their
+    five-word shingles. Three bits are too few to bring all of these together, so MinHash bands are
+    searched as well (resemblance). A group is known by its root, as groups may share a doc_id or have none.
     """
     # Null doc_ids come last; where rows share that doc_id, the least text key stands for them.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", common.TEXT_KEY, common.ID_KEY)).alias("first")
     with common.scratch() as keep:
-        kept = keep(resemblance.near_roots(docs).groupBy("root").agg(first).select("first.*"), "firsts")
+        kept = keep(resemblance.near_roots(docs, near_dedup(docs)).groupBy("root").agg(first).select("first.*"), "firsts")
     return common.rows_of(docs, kept, distinct=True)
 
 
