@@ -102,9 +102,8 @@ def _walk(gen: DataFrame, web: StoredWeb | Source, config: CrawlConfig, start_or
             error = F.coalesce("error_kind", F.when(~status.between(200, 299), "http-status"))
             message = F.coalesce("error_message", F.when(F.col("error_kind").isNull() & ~status.between(200, 299), F.concat(F.lit("HTTP "), status)))
             return got.withColumns({"errorKind": error, "errorMessage": message, "skipReason": F.when(error.isNull() & ~html, "non-html")})
-        target = url.resolve(F.col("location"), F.col("at"))
-        got = got.withColumn("to", F.when(redirect & F.col("location").isNotNull(), target))
-        got = _may(got.withColumn("to_key", F.when(F.col("to").isNotNull(), url.exact_key(F.col("to")))), "to", rules)
+        got = url.with_target(got.withColumn("_location", F.when(redirect, F.col("location"))), "_location", "at", "to", "to_key").drop("_location")
+        got = _may(got, "to", rules)
         to = F.col("to")
         scheme = F.regexp_extract(to, "^([a-z][a-z0-9+.-]*):", 1)
         named = F.coalesce(to.rlike("^[a-z][a-z0-9+.-]*://[^/?#]*@"), F.lit(False))
