@@ -190,23 +190,23 @@ def _settled(ends: DataFrame, cut: DataFrame | None, hashes: DataFrame | None, c
 
 
 def _claims(rows: DataFrame, web: StoredWeb | Source) -> DataFrame:
-    """(claimed, sequence, kind, position, spelling, depth, parent): what each row claims, first spelling of a link first."""
+    """(claimed, sequence, kind, spelling, n, depth, parent): what each row claims; n is the place of a link on its page."""
     base = ["sequence", "depth", F.col("key").alias("parent")]
     none = F.lit(None).cast("string")
-    alias = rows.select(*base, F.posexplode("aliases").alias("n", "claimed")).select("sequence", "depth", "parent", "claimed", F.lit(0).alias("kind"), none.alias("spelling"))
-    canon = rows.where("to_canonical").select(*base, F.col("canonical_key").alias("claimed"), F.lit(1).alias("kind"), F.col("canonical_url").alias("spelling"))
-    wide = rows.where("expands")
+    alias = rows.select(*base, F.posexplode("aliases").alias("n", "claimed")).select("sequence", "depth", "parent", "claimed", F.lit(0).alias("kind"), none.alias("spelling"), "n")
+    canon = rows.where("to_canonical").select(*base, F.col("canonical_key").alias("claimed"), F.lit(1).alias("kind"), F.col("canonical_url").alias("spelling"), F.lit(0).alias("n"))
+    wide = rows.where("expands AND n_links > 0")
     if callable(web):
         links = wide.select(*base, F.posexplode("links").alias("n", "link")).select("sequence", "depth", "parent", "n", "link.url", "link.key")
     else:
         links = wide.select(*base, F.col("at").alias("from_url")).join(web.links, "from_url").select("sequence", "depth", "parent", "n", "url", "key")
-    links = links.groupBy("sequence", "depth", "parent", F.col("key").alias("claimed")).agg(F.min_by("url", "n").alias("spelling"))
-    links = links.select("sequence", F.col("depth") + 1, "parent", "claimed", F.lit(2), "spelling").toDF("sequence", "depth", "parent", "claimed", "kind", "spelling")
+    links = links.select("sequence", F.col("depth") + 1, "parent", "key", F.lit(2), "url", "n").toDF("sequence", "depth", "parent", "claimed", "kind", "spelling", "n")
     return alias.unionByName(canon).unionByName(links)
 
 
 def _first(claims: DataFrame) -> DataFrame:
-    return claims.groupBy("claimed").agg(F.min(F.struct("sequence", "kind", "spelling", "depth", "parent")).alias("c")).select("claimed", "c.*")
+    """Each key's first claim; of a page that links to a key again, the first spelling."""
+    return claims.groupBy("claimed").agg(F.min(F.struct("sequence", "kind", "n", "spelling", "depth", "parent")).alias("c")).select("claimed", "c.*").drop("n")
 
 
 REFUSED = {"state": "string", "skipReason": "string", "errorKind": "string", "errorMessage": "string", "finalUrl": "string", "askedUrl": "string", "statusCode": "int", "contentType": "string", "attempts": "int", "trail": HOP, "tries": TRIES}
@@ -259,11 +259,12 @@ def timed(pages: DataFrame, gap: int, robots_asked: bool) -> DataFrame:
     Attempts follow each other in the crawl's order in steps that add up, so that a page's times need
     only its own attempts and the last one of the page before it.
     """
-    rows = _spent(pages, gap)
-    order = running(rows.where("took IS NOT NULL").select("sequence", "rest"), ["sequence"], {}, "_at")
+    # Numbers alone are put in order, once.
+    busy = staged(_spent(pages, gap).where("took IS NOT NULL").select("sequence", "took", "rest"), "busy")
+    order = staged(running(busy, ["sequence"], {}, "_at"), "starts")
     before = order.select((F.col("_at") + 1).alias("_at"), F.col("rest").alias("_wait"))
-    waits = order.select("sequence", "_at").join(before, "_at", "left").select("sequence", F.coalesce("_wait", F.lit(gap if robots_asked else 0)).cast("bigint").alias("waited"))
-    return rows.join(waits, "sequence", "left").withColumns({"waitedMs": F.col("waited"), "durationMs": F.col("took")}).select(pages.columns)
+    waits = order.select("sequence", "_at", "took").join(before, "_at", "left").select("sequence", "took", F.coalesce("_wait", F.lit(gap if robots_asked else 0)).cast("bigint").alias("waited"))
+    return pages.join(waits, "sequence", "left").withColumns({"waitedMs": F.col("waited"), "durationMs": F.col("took")}).select(pages.columns)
 
 
 def _meets(ends: DataFrame, seen: DataFrame, first: DataFrame | None) -> DataFrame:
@@ -393,9 +394,11 @@ def _crawl(spark, config, web, robots_web, stopped, clock, started, keep) -> Cra
             pages.append(page(denied, state=F.lit("skipped"), skipReason=F.lit("robots"), reserved=F.lit(True)))
         pages.append(page(rows, attempts=F.col("attempts"), reserved=F.lit(True)))
         fresh = first.where("kind > 0").join(known, "claimed", "left_anti")
-        inside = url.origin(F.col("spelling")).eqNullSafe(F.lit(start_origin))
+        inside = F.when(F.col("spelling").startswith(f"{start_origin}/"), True).otherwise(url.origin(F.col("spelling")).eqNullSafe(F.lit(start_origin)))
         trap = url.trap_reason(F.col("claimed"), config.max_url_length, config.max_path_depth, config.max_segment_repeats)
         fresh = fresh.withColumn("reason", F.when(~inside, "other-origin").when(F.col("depth") > config.max_depth, "depth-limit").otherwise(trap))
+        # Written, as a range partition reads its input twice.
+        fresh = staged(fresh, "fresh")
         # Those that are let in stand at the front of those that may be, so their number before is their place too.
         placed = running(fresh, ["sequence", "kind", "claimed"], {"before": F.col("reason").isNull().cast("bigint")}, "n")
         full = F.col("reason").isNull() & (F.col("before") + reserved >= config.max_pages)
