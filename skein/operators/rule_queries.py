@@ -41,8 +41,7 @@ def q_html_head(spark, sf_dir):
         F.lit("\"><link rel=canonical href=second><script>'<a href=no>'</script><a href=p>1</a><a name=x>2</a><a href=' '>3</a><a href='../q#f'>4</a><a href=\"//H.test\">5</a><a href=mailto:x>6</a><a href=http://u@h.test/>7</a><a href='http://['>8</a>"), F.coalesce("html", F.lit("")),
     )
     rows = _t(spark, sf_dir, "pages").select("page_id", page.alias("html"), F.concat(F.lit("https://e"), F.col("page_id"), F.lit(".test/x/y")).alias("u"))
-    read = rows.select("page_id", html.read_html(F.col("html"), F.col("u")).alias("p"))
-    return read.select("page_id", "p.base", "p.canonical", F.array_join("p.links", " ").alias("links"), F.array_join(F.transform("p.ignored", lambda i: F.concat_ws(" ", i["reason"], i["raw"])), ", ").alias("ignored"))
+    return html.with_page(rows, "html", "u", "p").select("page_id", "p.base", "p.canonical", F.array_join("p.links", " ").alias("links"), F.array_join(F.transform("p.ignored", lambda i: F.concat_ws(" ", i["reason"], i["raw"])), ", ").alias("ignored"))
 
 
 _FORMS = ["%a, %d %b %Y %H:%M:%S GMT", "%A, %d-%b-%y %H:%M:%S GMT", "%a %b %-d %H:%M:%S %Y"]

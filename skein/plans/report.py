@@ -43,9 +43,9 @@ def console(result: CrawlResult) -> str:
 
 
 def ignored_lines(pages: DataFrame) -> DataFrame:
-    """The columns of pages (url, html, ...) and a debug line for each link of a page that is no candidate."""
-    read = pages.withColumn("_page", html.read_html(F.col("html"), F.col("url")))
-    rows = read.select(*pages.columns, F.explode("_page.ignored").alias("_link"))
+    """The columns of pages (url, html, ...) but html, and a debug line for each link of a page that is no candidate."""
+    read = html.with_page(pages, "html", "url", "_page")
+    rows = read.select(*(c for c in pages.columns if c != "html"), F.explode("_page.ignored").alias("_link"))
     return rows.withColumn("line", F.concat(F.lit("[debug] ignored "), F.col("_link.reason"), F.lit(" "), F.col("_link.raw"), F.lit(" base "), F.regexp_replace("url", r"[\r\n]+", " "))).drop("_link")
 
 
